@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import near_dedup, quality_rules
+from lodestone.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
+from lodestone.llm.scratch import new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +18,22 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_duplicates(docs)
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", dedup)]
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages don't contaminate."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source weights take them."""
+    return mixing.mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard, and their slot in it."""
+    return sharding.assign(docs).withColumnsRenamed({"shard_": "shard", "slot_": "slot"}).drop("size_", "crc_")
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("decontaminate", clean), ("mix_sources", mix), ("shards", shard)]
 
 #: The stages can't be expressed in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
@@ -25,8 +41,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of ``sf_dir`` after all stages."""
-    from lodestone.llm.scratch import new_path
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, name)

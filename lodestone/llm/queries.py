@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import near_dedup, quality_rules
+from lodestone.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +16,24 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit(sharding.LAW).alias("law"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     return quality_rules.judged(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op7_quality_rules)}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_consistent_hash_shards, op5_decontaminate, op7_quality_rules, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {}
