@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
+from lodestone.llm import decontaminate, mixing, near_dedup, quality_rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit(sharding.LAW).alias("law"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -34,6 +38,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_consistent_hash_shards, op5_decontaminate, op7_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op7_quality_rules, op10_mix_sources)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql()}
