@@ -4,8 +4,9 @@
    on, however many copies there are, so copies cost one row each.
 2. Runs of registers are keys of bands. A band's bucket links every member to the bucket's smallest document: as many
    pairs as members. Pairs that pass exact size bounds and the likelihood estimate are verified on full sets.
-3. Buckets that still hold several components compare all members outside their leader's component with all others, so
-   that no candidate pair between components stays unverified; pairs inside a component can't change the result.
+3. Buckets that still hold several components compare all members outside their leader's component with all others, in
+   blocks and on full sets, so that no candidate pair between components stays unverified; pairs inside a component
+   can't change the result, and pairs are never rows.
 
 With 5 registers a band and 30 bands, a pair at similarity 0.85 shares no band with probability
 (1 - 0.85 ** 5) ** 30 < 3e-8. The estimate drops pairs only five standard deviations below the threshold.
@@ -32,6 +33,8 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: The standard deviation of the estimate at the threshold is below 0.03.
 ESTIMATE_SLACK = 0.15
+#: Bounds of the blocks in which a bucket's members are compared.
+BLOCK_ELEMENTS, BLOCK_ROWS = 500_000, 2048
 _KEYS = "doc_id long, n long, key_a long, key_b long, registers binary"
 
 
@@ -94,6 +97,61 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets.mapInArrow(_verified, "a long, b long")
 
 
+def _across(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components inside buckets: of each bucket, the members outside the leader's component against all.
+
+    Both sides are dealt into blocks of bounded size, every pair of blocks is compared at once on full sets, and a pair of
+    blocks returns no more links than join its components to each other.
+    """
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    mixed = named.groupBy("band").agg(F.count_if("stray").alias("strays"), F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")).where("strays > 0 and low <> high").select("band", "blocks")
+    rows = named.join(mixed, "band").withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    members = rows.select("band", F.col("own").alias("right"), F.lit(False).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "left")
+    asking = rows.where("stray").select("band", F.col("own").alias("left"), F.lit(True).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "right")
+    sides = asking.unionByName(members).join(sets, "doc_id")
+    return sides.groupBy("band", "left", "right").applyInArrow(_compared, "a long, b long")
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    asks = table.column("asks").to_numpy()
+    ids, n, component = (table.column(c).to_numpy() for c in ("doc_id", "n", "component"))
+    parts = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("elements").combine_chunks()]
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    _, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    # an element of one row alone is in no intersection
+    number = np.cumsum(count > 1) - 1
+    row, at = row[count[at] > 1], number[at[count[at] > 1]]
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    both = np.zeros((len(x), len(y)), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
+        part = slice(*np.searchsorted(at, [low, low + 1024]))
+        dense = np.zeros((len(parts), 1024), dtype=np.float32)
+        dense[row[part], at[part] - low] = 1
+        both += dense[x] @ dense[y].T
+    union = n[x][:, None] + n[y][None, :] - both
+    linked = (100 * both >= PERCENT * union) & (component[x][:, None] != component[y][None, :])
+    found, root = [], {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    i, j = np.nonzero(linked)
+    _, once = np.unique(np.stack([component[x[i]], component[y[j]]]), axis=1, return_index=True)
+    for k in once:
+        a, b = x[i[k]], y[j[k]]
+        ca, cb = top(int(component[a])), top(int(component[b]))
+        if ca != cb:
+            root[ca] = cb
+            found.append((int(ids[a]), int(ids[b])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text, ...); other columns are ignored.
 
@@ -121,12 +179,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = buckets.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     named = named.join(first.select(F.col("id").alias("leader"), F.col("component").alias("leads")), "leader", "left").withColumn("leads", F.coalesce("leads", "leader"))
-    named = materialize(named.select("band", "doc_id", "component", "leads", "leader"), "named")
-    outer = named.where("component <> leads and doc_id <> leader").select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
     # the leader itself was compared with every member already
-    inner = named.where("doc_id <> leader").select("band", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    rest = outer.join(inner, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _links(rest, reps, sets)
+    named = materialize(named.where("doc_id <> leader").join(reps.select("doc_id", "n"), "doc_id").select("band", "doc_id", "n", "component", F.expr("component <> leads").alias("stray")), "named")
+    more = _across(named, sets)
     edges = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
     final = materialize(components(edges), "components")
 
