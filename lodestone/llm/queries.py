@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, mixing, near_dedup, quality_rules, secrets, sharding
+from lodestone.llm import decontaminate, licenses, mixing, near_dedup, personal_data, quality_model, quality_rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.scored(docs, quality_model.trained(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
@@ -29,15 +34,27 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_columns(licenses.license_spans(_table(spark, sf_dir, "documents")))
+
+
+def license_columns(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_notices"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     return quality_rules.judged(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op9_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.private_spans(_table(spark, sf_dir, "documents")))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op7_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_model, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op6_license_notices, op7_quality_rules, op9_private_terms, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql()}
