@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, licenses, mixing, near_dedup, personal_data, quality_model, quality_rules, secrets, sharding
+from lodestone.llm import decontaminate, licenses, mixing, near_dedup, personal_data, quality_model, quality_rules, secrets, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.private_spans(_table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_model, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op6_license_notices, op7_quality_rules, op9_private_terms, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_model, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op6_license_notices, op7_quality_rules, op8_suffix_dedup, op9_private_terms, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql()}
