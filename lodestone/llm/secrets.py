@@ -103,7 +103,8 @@ class BlobLedger:
         paths = versions.select("doc_id", F.sha2(text, 256).alias("blob"))
         seen = self.scanned().where(F.col("rules") == rules_version).select("blob")
         first = paths.groupBy("blob").agg(F.min("doc_id").alias("first_id")).join(seen, "blob", "left_anti")
-        whole = versions.select("doc_id", text.alias("text")).join(first, F.col("doc_id").eqNullSafe(F.col("first_id"))).where(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
+        # the text depends on the join, so the optimizer can't move the scan below it, where it would meet all versions
+        whole = versions.select("doc_id", text.alias("text")).join(first, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", F.when(F.sha2("text", 256) == F.col("blob"), F.col("text")).alias("text")).where("text is not null")
         found_in(whole, rules).withColumn("rules", F.lit(rules_version)).select("blob", "rules", "kind", "rank", "start", "stop").write.mode("append").parquet(f"{self.path}/findings")
         first.select("blob", F.lit(rules_version).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
         return paths
