@@ -34,7 +34,7 @@ def pixel_features(pixels: DataFrame) -> DataFrame:
     fractions = pixels.groupBy("image").agg(F.avg(F.expr("cast(v < 200 as double)")).alias("ink_frac"), F.avg(F.expr("cast(v > 240 as double)")).alias("white_frac"), F.count("*").alias("n"))
     bins = pixels.groupBy("image", F.least(F.expr("v * 16 div 256"), F.lit(15)).alias("bin")).agg(F.count("*").alias("c")).join(fractions.select("image", "n"), "image")
     share = F.col("c") / F.col("n")
-    entropy = bins.groupBy("image").agg((-F.sum(share * F.log2(share))).alias("entropy"))
+    entropy = bins.groupBy("image").agg((0 - F.sum(share * F.log2(share))).alias("entropy"))
     rows = pixel_rows(pixels)
     gap = F.col("y") - F.lag("y").over(Window.partitionBy("image").orderBy("y"))
     gaps = rows.where("is_line").select("image", gap.alias("gap")).groupBy("image").agg(F.count("*").alias("lines"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("gap_deviation"))

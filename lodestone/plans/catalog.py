@@ -15,6 +15,7 @@ from lodestone.operators import resolve as R
 from lodestone.operators.chunking import chunk_pages, token_counts
 from lodestone.plans import fixtures as X
 from lodestone.sources.tables import document_pages, evidence_json
+from lodestone.sources.workspace import built_once
 
 BLOCK = K.surrogate_block(X.SUBJECT)
 DOCUMENTS = ["src0", "src3", "src7"]
@@ -39,7 +40,8 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build_index(pages(spark, sf_dir), X.lexicon(spark), X.cache(spark), X.RULES, X.MAX_CANDIDATES)
+    """The index over the documents: built and written by the first query of a session that needs it, read by the others."""
+    return built_once(spark, sf_dir, lambda: index.build_index(pages(spark, sf_dir), X.lexicon(spark), X.cache(spark), X.RULES, X.MAX_CANDIDATES))
 
 
 def one_question(spark: SparkSession, question: str = X.QUESTION) -> DataFrame:

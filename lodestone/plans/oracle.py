@@ -1 +1,303 @@
-ORACLE: dict[str, str] = {}
+"""DuckDB SQL with the results of the catalog's queries, built from the same constants and small tables."""
+
+from __future__ import annotations
+
+from lodestone import constants as C
+from lodestone.functions.keys import surrogate_block
+from lodestone.plans import catalog as Q
+from lodestone.plans import fixtures as X
+
+BLOCK = surrogate_block(X.SUBJECT)
+V = X.sql_value
+
+
+def _list(words) -> str:
+    return V(sorted(words))
+
+
+def _re(pattern: str) -> str:
+    return V(pattern)
+
+
+STOPS = _list(C.STOP_WORDS | C.QUESTION_WORDS)
+NAME_TOKEN = V(C.NAME_TOKEN)
+NAME_STRIP = V(C.NAME_STRIP)
+ATOM = V(r"\[[^\]]+\]|Br|Cl|[BCNOSPFIbcnosp]")
+
+
+def bibliography(text: str) -> str:
+    m, c, i = (f"len(regexp_extract_all({text}, {V(p)}))" for p in (C.REFERENCE_MARKER, C.REFERENCE_CITATION, C.REFERENCE_INITIALS))
+    return f"({m} >= 3 or {c} >= 3 or ({i} >= 6 and {m} >= 1))"
+
+
+def terms(text: str) -> str:
+    tokens = f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
+    kept = f"list_filter({tokens}, lambda t: not list_contains({STOPS}, t))"
+    return f"case when len({kept}) = 0 then {tokens} else {kept} end"
+
+
+STEP = C.CHUNK_WORDS - C.OVERLAP_WORDS
+CHUNKS = f"""
+page_words as (select doc_id, source, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as ws from documents),
+chunks as (
+  select doc_id * 100000 + i as chunk_ord, source as source_doc, doc_id as page_number, cast(i as integer) as chunk_idx,
+    array_to_string(ws[i * {STEP} + 1 : i * {STEP} + {C.CHUNK_WORDS}], ' ') as text
+  from (select *, unnest(range(0, case when len(ws) <= {C.CHUNK_WORDS} then 1 else 1 + cast(ceil((len(ws) - {C.CHUNK_WORDS}) / {STEP}.0) as bigint) end)) as i from page_words where len(ws) > 0)
+)"""
+PROSE = f"prose as (select * from chunks where not {bibliography('text')})"
+
+
+def names_of(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, {NAME_TOKEN}), lambda t: lower(trim(t, {NAME_STRIP})))"
+
+
+def morphemes(word: str, words: tuple[str, ...] = C.MORPHEMES) -> str:
+    spans = f"list_transform({V(list(words))}, lambda m: {{'s': instr({word}, m), 'e': instr({word}, m) + length(m)}})"
+    found = f"list_transform(list_filter({spans}, lambda p: p.s > 0), lambda p: [p])"
+    clash = "len(list_filter(a, lambda t: t.s < x[1].e and x[1].s < t.e)) > 0"
+    return f"cast(len(list_reduce({found}, lambda a, x: case when {clash} then a else list_concat(a, x) end, cast([] as struct(s bigint, e bigint)[]))) as integer)"
+
+
+def looks(word: str, suffixes: tuple[str, ...]) -> str:
+    locant = f"(regexp_matches({word}, {V(C.LOCANT)}) or regexp_matches({word}, '^({'|'.join(C.LOCANT_PREFIXES)})'))"
+    suffix, alpha = f"regexp_matches({word}, '({'|'.join(suffixes)})$')", f"regexp_full_match({word}, '\\p{{L}}+')"
+    return (
+        f"(case when length({word}) < {C.MIN_WORD} or list_contains({_list(C.FALSE_FRIENDS)}, {word}) then false when list_contains({_list(C.SEEDS)}, {word}) then true "
+        f"when {locant} and ({suffix} or regexp_matches({word}, '[0-9]')) then true when {suffix} and {alpha} then true "
+        f"else length({word}) >= {C.MIN_MORPHEME_WORD} and {alpha} and {morphemes(word)} >= {C.MIN_MORPHEMES} end)"
+    )
+
+
+def candidates(suffixes: tuple[str, ...], vocabulary: str, source: str = "chunks") -> str:
+    """CTEs up to ``candidates`` (chunk_ord, name); vocabulary is a table with a name."""
+    return f"""
+vocab as (select distinct name from {vocabulary}),
+split as (select chunk_ord, {names_of('text')} as ws from {source}),
+toks as (select chunk_ord, ws[i] as w, ws[i + 1] as nxt from (select *, unnest(range(1, len(ws) + 1)) as i from split)),
+lexical as (select distinct chunk_ord, w as name from toks where w in (select w from (select distinct w from toks) where {looks('w', suffixes)})),
+hyphen as (select distinct chunk_ord, lower(trim(part, {NAME_STRIP})) as name from (select chunk_ord, unnest(string_split(w, '-')) as part from toks where contains(w, '-') and w not in (select name from vocab)) where lower(trim(part, {NAME_STRIP})) in (select name from vocab)),
+joined as (select distinct chunk_ord, w || nxt as name from toks where w <> '' and nxt <> '' and w || nxt in (select name from vocab)),
+acid as (select distinct chunk_ord, w || ' acid' as name from toks where nxt = 'acid' and length(w) > {C.MIN_ACID_STEM} and w like '%ic'),
+candidates as (select * from lexical union select * from hyphen union select * from joined union select * from acid)"""
+
+
+LEXICON = X.sql_rows(X.LEXICON, "name, smiles")
+CACHE = X.sql_rows(X.CACHE, "name, smiles")
+KEYED = f"""
+frags as (select name, smiles, f, j, len(regexp_extract_all(f, {ATOM})) as atoms from (select name, smiles, string_split(smiles, '.') as fs, unnest(range(1, len(string_split(smiles, '.')) + 1)) as j, fs[j] as f from resolved where smiles is not null)),
+largest as (select name, smiles, arg_max(f, atoms * 1000 - j) as f, max(atoms) as atoms from frags group by name, smiles),
+keyed as (select name, smiles, case when atoms >= {C.MIN_HEAVY_ATOMS} then upper(left(sha256(regexp_replace(f, '[/\\\\@]', '', 'g')), 14)) end as block, atoms from largest)"""
+RESOLVE = f"""
+resolved as (select n.name, case when l.name is not null then l.smiles when c.name is not null then c.smiles end as smiles,
+  case when l.name is not null then 'lexicon' when c.name is not null then 'cache' else 'unresolved' end as tier
+  from wanted n left join {LEXICON} l using (name) left join {CACHE} c on c.name = n.name)"""
+INDEX = f"""{CHUNKS},{candidates(X.RULES.suffixes, LEXICON)},
+frequency as (select name, count(*) as frequency from candidates group by name),
+wanted as (select name from frequency order by frequency desc, name limit {X.MAX_CANDIDATES}),{RESOLVE},{KEYED},
+compounds as (select name, smiles, block from keyed where block is not null),
+entities as (select chunk_ord, c.name, block from candidates c join compounds using (name)),
+gathered as (select chunk_ord, list_sort(list_distinct(list(name))) as compounds, list_sort(list_distinct(list(block))) as blocks from entities group by chunk_ord),
+annotated as (select c.*, coalesce(g.compounds, cast([] as varchar[])) as compounds, coalesce(g.blocks, cast([] as varchar[])) as blocks from chunks c left join gathered g using (chunk_ord))"""
+
+
+def bm25(name: str, scope: str, questions: str, k: int) -> str:
+    """CTEs that end in ``name`` (question_id, chunk_ord, score, rank) over the scope's prose."""
+    p = name
+    return f"""
+{p}_scope as (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from {scope} where not {bibliography('text')}),
+{p}_stats as (select count(*) as n, avg(len(ts)) as mean from {p}_scope),
+{p}_asked as (select question_id, term, count(*) as weight from (select question_id, unnest({terms('question')}) as term from {questions}) group by all),
+{p}_tf as (select chunk_ord, dl, term, count(*) as tf from (select chunk_ord, len(ts) as dl, unnest(ts) as term from {p}_scope) where term in (select term from {p}_asked) group by all),
+{p}_df as (select term, count(*) as df from {p}_tf group by term),
+{p}_all as (select question_id, chunk_ord, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {C.BM25_K1 + 1} / (tf + {C.BM25_K1} * (1 - {C.BM25_B} + {C.BM25_B} * dl / mean))), 3) as score
+  from {p}_tf join {p}_df using (term) cross join {p}_stats join {p}_asked using (term) group by all),
+{p} as (select * from (select *, cast(row_number() over (partition by question_id order by score desc, chunk_ord) as integer) as rank from {p}_all) where rank <= {k})"""
+
+
+ONE = f"(select cast(question_id as bigint) as question_id, question from {X.sql_rows([(0, X.QUESTION)], 'question_id, question')})"
+SCOPE = f"scope as (select * from annotated where list_contains(blocks, '{BLOCK}'))"
+
+
+def structure(name: str, questions: str, k: int, scope: str = "scope") -> str:
+    """CTEs that end in ``name`` (question_id, chunk_ord, score, rank), with the fallback."""
+    return f"""{bm25(f'{name}_text', scope, f"(select * from {questions} where coalesce(question, '') <> '')", k)},
+{name}_rich as (select chunk_ord, cast(row_number() over (order by len(compounds) desc, chunk_ord) as integer) as rank from {scope} where not {bibliography('text')}),
+{name} as (select question_id, chunk_ord, score, rank from {name}_text union all
+  select question_id, chunk_ord, cast(null as double), rank from {questions} cross join {name}_rich where rank <= {k} and question_id not in (select question_id from {name}_text))"""
+
+
+def interleaved(name: str, routes: list[str], marker: str, k: int) -> str:
+    union = " union all ".join(f"select question_id, chunk_ord, score, (rank - 1) * {len(routes)} + {i} as place, {i} as route_no from {r}" for i, r in enumerate(routes))
+    return f"""
+{name}_all as ({union}),
+{name}_once as (select * from (select m.*, row_number() over (partition by question_id, {marker} order by place) as copy from {name}_all m join chunks c using (chunk_ord)) where copy = 1),
+{name} as (select * from (select question_id, chunk_ord, score, route_no, cast(row_number() over (partition by question_id order by place) as integer) as rank from {name}_once) where rank <= {k})"""
+
+
+TURNS = """
+turns as (select conv_id as question_id, turn, role, text, max(case when role = 'user' then turn end) over (partition by conv_id) as last from conversations),
+questions as (select question_id, text as question from turns where turn = last and role = 'user'),
+history as (select question_id, turn, role, text from turns where turn < last)"""
+CONTEXTUAL = f"""
+recent as (select * from (select *, row_number() over (partition by question_id order by turn desc) as age from history) where age <= {C.HISTORY_TURNS}),
+asked as (select question_id, string_agg(text, ' ' order by turn) as asked from (select *, row_number() over (partition by question_id order by turn desc) as back from recent where role = 'user') where back <= {C.CARRIED_QUESTIONS} group by question_id),
+answers as (select question_id, arg_max(text, turn) as answer from recent where role = 'assistant' group by question_id),
+contextual as (select question_id, question, concat_ws(' ', asked, case when len({terms('question')}) <= {C.SHORT_QUESTION} then left(regexp_replace(answer, '\\[Source [0-9]+\\]', '', 'g'), {C.HINT_CHARACTERS}) end, question) as contextual
+  from questions left join asked using (question_id) left join answers using (question_id))"""
+FOLLOW_UP = f"(regexp_matches({{0}}, {V('(?i)' + C.FOLLOW_UP)}) or len({terms('{0}')}) <= {C.FOLLOW_UP_TERMS})"
+
+
+def follow_up(text: str) -> str:
+    return FOLLOW_UP.replace("{0}", text)
+
+
+QUERY_NAMES = f"""
+own as (select distinct name from compounds where block = '{BLOCK}'),
+names as (select name from own union select '{X.EXTRA_NAME}' where lower('{X.EXTRA_NAME}') not in (select lower(name) from own))"""
+EDGE_L, EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+NAME_HITS = f"hits as (select name, chunk_ord from names join chunks on regexp_matches(text, '(?i){EDGE_L}' || name || '{EDGE_R}'))"
+
+IMAGES = X.sql_rows([(*i, *(X.FEATURES.get(i[:3]) or (None,) * 5)) for i in X.IMAGES], "filename, page, image_index, width, height, white_frac, ink_frac, chroma, n_hlines, grid")
+THIN = f"coalesce(width <> 0 and height <> 0 and ((height <= {C.STRIP_THICKNESS} and width / cast(height as double) >= {C.STRIP_ASPECT}) or (width <= {C.STRIP_THICKNESS} and width / cast(height as double) <= {1 / C.STRIP_ASPECT})), false)"
+TABLE_LIKE = "((aspect >= 1.7 and n_hlines >= 4 and white_frac >= 0.45 and ink_frac <= 0.5) or (grid and aspect >= 1.35 and white_frac >= 0.4 and ink_frac <= 0.5))"
+LINE_ART = "(white_frac >= 0.45 and ink_frac <= 0.35 and chroma < 20)"
+_CASES = [
+    ("coalesce(width, 0) = 0 or coalesce(height, 0) = 0", "unknown", "['missing_dimensions']"), (f"{THIN} and height <= {C.STRIP_THICKNESS}", "table_image", "['thin_wide_strip']"), (THIN, "table_image", "['thin_tall_strip']"),
+    ("white_frac is null and aspect >= 2.2", "scheme_or_reaction", "['wide_aspect_only']"), ("white_frac is null and aspect between 0.65 and 1.45", "structure_drawing", "['near_square_only']"), ("white_frac is null", "other", "['geometry_only']"),
+    (TABLE_LIKE, "table_image", "list_filter([case when aspect >= 1.7 then 'wide_aspect' end, case when grid then 'grid_like' end, 'horizontal_lines'], lambda x: x is not null)"),
+    (f"aspect between 0.55 and 1.7 and {LINE_ART}", "structure_drawing", "['near_square', 'sparse_line_art']"), (LINE_ART, "scheme_or_reaction", "['line_art_composite']"), ("aspect >= 1.6 and white_frac >= 0.35", "scheme_or_reaction", "['wide_composite']"),
+]
+CLASSIFIED = (
+    f"images as (select *, width / cast(nullif(height, 0) as double) as aspect from {IMAGES}), "
+    f"classified as (select *, case {' '.join(f'when {c} then {V(label)}' for c, label, _ in _CASES)} else 'other' end as label, "
+    f"case {' '.join(f'when {c} then {r}' for c, _, r in _CASES)} else ['dense_or_photo'] end as reasons from images)"
+)
+
+BOXES = X.sql_rows(X.word_boxes(), 'table_id, word_ord, text, conf, "left", top, width, height')
+ROWS = f"""
+boxes as (select * from {BOXES}),
+measured as (select b.*, line_height, top + height / 2.0 as centre from boxes b join (select table_id, median(height) as line_height from boxes group by table_id) using (table_id)),
+flagged as (select *, case when centre - lag(centre) over (partition by table_id order by centre) > greatest({C.ROW_FLOOR}, {C.ROW_SCALE} * line_height) then 1 else 0 end as opens from measured),
+text_rows as (select *, cast(sum(opens) over (partition by table_id order by centre range between unbounded preceding and current row) as integer) as "row" from flagged)"""
+GUTTERS = f"""
+rights as (select *, max("left" + width) over (partition by table_id, "row" order by "left", word_ord rows between unbounded preceding and 1 preceding) as rgt from text_rows),
+gutters as (select table_id, "row", line_height, (rgt + "left") / 2.0 as x from rights where "left" - rgt >= greatest({C.GUTTER_FLOOR}, {C.GUTTER_SCALE} * line_height))"""
+EDGES = f"""
+voted as (select *, case when x - lag(x) over (partition by table_id order by x) > greatest({C.MERGE_FLOOR}, {C.MERGE_SCALE} * line_height) then 1 else 0 end as opens from gutters),
+voting as (select *, sum(opens) over (partition by table_id order by x range between unbounded preceding and current row) as edge from voted),
+sizes as (select table_id, max("row") + 1 as n_rows from text_rows group by table_id),
+counted as (select table_id, edge, count(distinct "row") as support, median(x) as x from voting group by all),
+column_edges as (select table_id, list(x order by x) as edges from counted join sizes using (table_id) where support >= greatest({C.SUPPORT_FLOOR}, ceil(n_rows * {C.SUPPORT_SHARE})) group by table_id)"""
+GRID = f"""
+sized as (select table_id, n_rows, edges, len(edges) + 1 as n_cols from sizes join column_edges using (table_id) where n_rows >= {C.OCR_MIN_ROWS} and len(edges) + 1 >= {C.OCR_MIN_COLS}),
+extents as (select table_id, "row", min("left") as low, max("left" + width) as high from text_rows group by all),
+lines as (select e.table_id, e."row", n_rows, n_cols, edges, (e.table_id, e."row") not in (select (table_id, "row") from gutters) and len(list_filter(edges, lambda x: low < x and x < high)) > 0 as spans from extents e join sized using (table_id)),
+placed as (select r.table_id, r."row", case when spans then 0 else len(list_filter(edges, lambda x: x < r."left" + r.width / 2.0)) end as col, r.text, r."left" as l, r.word_ord from text_rows r join lines using (table_id, "row")),
+cells as (select table_id, "row", col, string_agg(text, ' ' order by l, word_ord) as cell from placed group by all),
+dense as (select l.*, c.col, coalesce(x.cell, '') as cell from (select *, unnest(range(0, n_cols)) as col from lines) c join lines l using (table_id, "row") left join cells x on x.table_id = c.table_id and x."row" = c."row" and x.col = c.col),
+by_row as (select table_id, "row", n_rows, n_cols, edges, spans, string_agg(cell, ' | ' order by col) as line, sum(case when not spans and trim(cell) <> '' then 1 else 0 end) as used from dense group by all),
+grids as (select table_id, n_rows, cast(n_cols as integer) as n_cols, trim(string_agg(line, chr(10) order by "row"), ' ' || chr(10)) as text, coalesce(list("row" order by "row") filter (spans), cast([] as integer[])) as spanning_rows,
+  case when count(*) filter (not spans) > 0 then sum(used) / (count(*) filter (not spans) * n_cols) else 0.0 end as fill_fraction, count(*) filter (spans) / n_rows as spanning_fraction, list_transform(edges, lambda e: round(e, 1)) as column_boundaries
+  from by_row group by table_id, n_rows, n_cols, edges)"""
+RAW = """raw_lines as (select table_id, "row", string_agg(text, ' ' order by "left", word_ord) as line from text_rows group by all), raw as (select table_id, string_agg(line, chr(10) order by "row") as raw_text from raw_lines group by table_id)"""
+PIXELS = X.sql_rows(X.pixels(), "image, y, x, v")
+PIXEL_ROWS = f"""
+px as (select * from {PIXELS}),
+px_rows as (select image, y, avg(v) as mean, stddev_pop(v) as deviation from px group by all),
+px_lines as (select *, deviation < 25 and coalesce(abs(mean - lag(mean) over (partition by image order by y)), 0) > 8 as is_line from px_rows)"""
+REPORT = X.sql_rows([r[:7] for r in X.TABLE_REPORT], "ord, id, filename, page, status, reason, mean_confidence")
+
+PARSE = r"^(\[[^\[\]]+\]|Br|Cl|[BCNOSPFIbcnosp]|[0-9]|%[0-9]{2}|[-=#$:/\\.~()*])+$"
+STRUCTURES = f"""
+predictions as (select ord, id, source_doc, page_number, nullif(trim(coalesce(smiles, '')), '') as predicted_smiles, error, confidence from {X.sql_rows(X.STRUCTURES, 'ord, id, source_doc, page_number, smiles, error, confidence')}),
+parsed as (select *, case when regexp_matches(predicted_smiles, {V(PARSE)}) then predicted_smiles end as part from predictions),
+reasoned as (select *, len(regexp_extract_all(part, {ATOM})) as atoms, case when error is not null then 'recognizer_error:' || error when predicted_smiles is null then 'empty_prediction' when part is null then 'invalid_smiles' when len(regexp_extract_all(part, {ATOM})) < {C.MIN_HEAVY_ATOMS} then 'too_small' end as reason from parsed),
+structures as (select *, case when reason is null then 'accepted' else 'refused' end as status, case when reason is null then upper(left(sha256(regexp_replace(part, '[/\\\\@]', '', 'g')), 14)) end as block from reasoned),
+deduped as (select * from (select *, row_number() over (partition by source_doc, page_number, block, status order by ord) as copy from structures) where status <> 'accepted' or copy = 1)"""
+
+HIT_COLUMNS = "question_id, rank, chunk_ord, score"
+_FOLLOWUP_TAIL = "trim(split_part(substr(raw, instr(raw, '<followups>') + 11), '</followups>', 1), ' ' || chr(10))"
+
+ORACLE: dict[str, str] = {
+    "bm25_topk": f"with {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS}, source_doc, page_number, 'text' as route, text from best join chunks using (chunk_ord)",
+    "bm25_batch": f"with {CHUNKS},{bm25('best', 'chunks', '(select item_id as question_id, text as question from benchmark)', C.TOP_K)} select {HIT_COLUMNS} from best",
+    "chunk_windows": f"with {CHUNKS} select * from chunks",
+    "chunk_token_stats": f"with {CHUNKS} select chunk_ord, cast(len(ts) as integer) as n_tokens, cast(len(list_distinct(ts)) as integer) as n_distinct from (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from chunks)",
+    "repair_hyphen_literal": f"select id, regexp_replace(translate(text, '‐‑‒–', '----'), '(\\w)-[ \\t\\x{{a0}}]*\\n[ \\t\\x{{a0}}]*(\\w)', '\\1\\2', 'g') as repaired from {X.sql_rows(X.HYPHEN_TEXTS, 'id, text')}",
+    "query_terms_benchmark": f"select item_id as question_id, {terms('text')} as terms from benchmark",
+    "bibliography_flag": f"with {CHUNKS} select id, {bibliography('text')} as is_bibliography from (select cast(-id as bigint) as id, text from {X.sql_rows(X.REFERENCE_TEXTS, 'id, text')} union all select chunk_ord, text from chunks)",
+    "candidate_suffix": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select chunk_ord, name from lexical",
+    "candidate_literal": f"with texts as (select cast(chunk_ord as bigint) as chunk_ord, text from {X.sql_rows(X.NAME_TEXTS, 'chunk_ord, text')}),{candidates(C.SUFFIXES, X.sql_rows([(v,) for v in X.VOCABULARY], 'name'), 'texts')} select * from candidates",
+    "morpheme_count_literal": f"select word, {morphemes('word')} as n_morphemes from {X.sql_rows([(w,) for w in sorted({w for _, t in X.NAME_TEXTS for w in t.lower().split()} | {'acetaminophen', 'phenacetin', 'paper'})], 'word')}",
+    "candidate_bigram_join": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select * from joined",
+    "candidate_hyphen_part": f"with {CHUNKS},{candidates(X.RULES.suffixes, X.sql_rows([*[(n,) for n, _ in X.LEXICON], ('the',), ('er',), ('de',)], 'name'))} select * from hyphen",
+    "candidate_acid_literal": f"with texts as (select cast(chunk_ord as bigint) as chunk_ord, text from {X.sql_rows(X.NAME_TEXTS, 'chunk_ord, text')}),{candidates(C.SUFFIXES, LEXICON, 'texts')} select * from acid",
+    "name_frequency_topn": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select name, count(*) as frequency from candidates group by name order by frequency desc, name limit 100",
+    "resolve_tiers": f"with wanted as (select distinct lower(trim(name)) as name from {X.sql_rows([(n,) for n in ('THBLE ', 'ontion', 'retion', 'thing', 'nothing known', 'erble')], 'name')}),{RESOLVE} select name, smiles, tier from resolved",
+    "unresolved_names": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit 200) select name from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
+    "surrogate_key": f"with resolved as (select * from {LEXICON}),{KEYED} select name, block, cast(atoms as integer) as heavy_atoms from keyed",
+    "verified_lexicon": f"with resolved as (select * from {LEXICON} union all select 'nothing', null),{KEYED} select r.name, r.smiles, k.block, cast(len(regexp_extract_all(r.smiles, {ATOM})) as integer) as heavy_atoms, coalesce(r.smiles, '') <> '' as accepted from resolved r left join keyed k using (name)",
+    "chunk_annotation": f"with {INDEX} select chunk_ord, compounds, blocks from annotated",
+    "synonym_groups": f"with {INDEX} select block, list_sort(list(name)) as names from compounds group by block having count(*) > 1",
+    "spellings_for_block": f"with {INDEX} select name from compounds where block = '{BLOCK}'",
+    "structure_filter": f"with {INDEX},{SCOPE} select chunk_ord, source_doc, page_number from scope",
+    "structure_search": f"with {INDEX},{SCOPE},{structure('found', ONE, 6)} select {HIT_COLUMNS}, 'structure' as route from found",
+    "structure_fallback": f"with {INDEX},{SCOPE}, asked as (select cast(question_id as bigint) as question_id, question from {X.sql_rows([(0, ''), (1, 'zzzz qqqq'), (2, None)], 'question_id, question')}),{structure('found', 'asked', 6)} select {HIT_COLUMNS}, 'structure' as route from found",
+    "scoped_documents_search": f"with {INDEX}, scope as (select * from annotated where list_contains(blocks, '{BLOCK}') and source_doc in ({', '.join(map(V, Q.DOCUMENTS))})),{structure('found', ONE, 6)} select {HIT_COLUMNS} from found",
+    "hybrid_interleave": f"with {INDEX},{SCOPE},{structure('found', ONE, 8)},{bm25('best', 'annotated', ONE, 8)},{interleaved('mixed', ['found', 'best'], 'source_doc, page_number, left(text, 60)', 8)} select {HIT_COLUMNS}, case route_no when 0 then 'structure' else 'text' end as route from mixed",
+    "route_comparison": f"with {INDEX},{SCOPE},{structure('found', ONE, 5)},{bm25('best', 'annotated', ONE, 5)} select {HIT_COLUMNS}, 'structure' as route from found union all select {HIT_COLUMNS}, 'text' from best",
+    "checked_retrieval": f"with {INDEX},{SCOPE},{structure('found', ONE, 5)} select {HIT_COLUMNS}, true as on_structure from found",
+    "follow_up_flag": f"select conv_id, turn, {follow_up('text')} as is_follow_up from conversations where role = 'user'",
+    "retrieval_query": f"with {TURNS},{CONTEXTUAL} select question_id, contextual from contextual",
+    "conversation_search": f"with {INDEX},{SCOPE},{TURNS},{CONTEXTUAL}, follow_ups as (select question_id, contextual as question from contextual where {follow_up('question')} and question_id in (select question_id from history)),{structure('current', 'questions', C.CHAT_TOP_K)},{bm25('context', 'scope', 'follow_ups', C.CHAT_TOP_K)},"
+    + interleaved("mixed", ["current_text", "context"], "source_doc, page_number, text", C.CHAT_TOP_K)
+    + f" select {HIT_COLUMNS} from mixed union all select {HIT_COLUMNS} from current where question_id not in (select question_id from mixed)",
+    "page_expansion": f"with {INDEX},{SCOPE},{structure('found', ONE, 8)}, firsts as (select * from (select f.rank, c.source_doc, c.page_number, c.text as anchor_text, row_number() over (partition by source_doc, page_number order by rank) as copy from found f join chunks c using (chunk_ord)) where copy = 1) "
+    "select rank, source_doc, page_number, array_to_string(ws, ' ') as text, anchor_text, 'same-page expansion' as context_scope, (select cast(count(*) as integer) from chunks c where c.page_number = f.page_number and c.source_doc = f.source_doc) as context_chunks from firsts f join page_words p on p.doc_id = f.page_number",
+    "documents_for_structure": f"with {INDEX},{SCOPE}, found as (select source_doc, list_sort(list_distinct(list(e.name))) as names from scope s join entities e using (chunk_ord) where e.block = '{BLOCK}' group by source_doc) select distinct source_doc, coalesce(names, cast([] as varchar[])) as names from scope left join found using (source_doc)",
+    "exact_name_counts": f"with {INDEX},{QUERY_NAMES},{NAME_HITS} select name, count(chunk_ord) as n_chunks, regexp_matches(name, {V(C.REGISTRY_NUMBER)}) as is_registry_number from names left join hits using (name) group by name",
+    "reach_report": f"with {INDEX},{QUERY_NAMES},{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated), counts as (select name, count(chunk_ord) as n from names left join hits using (name) group by name), best as (select name, n from counts order by n desc, name limit 1) "
+    "select count(*) filter (s) as n_structure, count(*) filter (u) as n_union, count(*) filter (s and not u) as adds, count(*) filter (u and not s) as misses, (select count(*) from counts) as n_names, (select name from best) as best_name, (select n from best) as best_count from flags",
+    "reach_unreachable": f"with {INDEX}, names as (select distinct name from compounds where block = '{BLOCK}'),{NAME_HITS}, alone as (select chunk_ord, text from annotated where list_contains(blocks, '{BLOCK}') and chunk_ord not in (select chunk_ord from hits)), "
+    "tried as (select chunk_ord, text, name, regexp_extract(text, '(?i)' || array_to_string(regexp_extract_all(name, '.'), '[\\s\\-]?')) as fragment from alone cross join names), first as (select chunk_ord, text, arg_min(fragment, name) as fragment from tried where fragment <> '' group by all) "
+    "select a.chunk_ord, fragment, case when fragment is null then left(a.text, 240) else substr(a.text, greatest(1, strpos(a.text, fragment) - 90), strpos(a.text, fragment) + length(fragment) + 90 - greatest(1, strpos(a.text, fragment) - 90)) end as snippet from alone a left join first using (chunk_ord)",
+    "set_difference": f"with {INDEX}, names as (select 'thble' as name),{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated) select count(*) filter (s and not u) as recovered, count(*) filter (s and u) as shared, count(*) filter (u and not s) as text_only from flags",
+    "library_stats": f"with {CHUNKS} select source_doc, count(*) as n_passages, count(distinct page_number) as n_pages from chunks group by source_doc",
+    "index_totals": f"with {INDEX} select (select count(*) from annotated) as n_chunks, (select count(*) from annotated where len(blocks) > 0) as n_annotated, (select count(*) from annotated where {bibliography('text')}) as n_bibliography, (select count(*) from compounds) as n_names, (select count(distinct block) from compounds) as n_blocks",
+    "build_context": f"with {INDEX},{SCOPE},{structure('found', ONE, 3)} select question_id, string_agg('[Source ' || rank || '] ' || source_doc || ' | page ' || page_number || ' | route: structure | compounds: ' || case when len(compounds) > 0 then array_to_string(compounds, ', ') else 'none' end || case when list_contains(blocks, '{BLOCK}') then ' | SUBJECT: yes' else ' | SUBJECT: NO - different molecule' end || ' | context: matched chunk' || chr(10) || text, chr(10) || chr(10) order by rank) as context from found join annotated using (chunk_ord) group by question_id",
+    "split_follow_ups": f"with a as (select *, instr(raw, '<followups>') > 0 as tagged from {X.sql_rows(X.ANSWERS, 'answer_id, raw')}), t as (select *, case when tagged then {_FOLLOWUP_TAIL} end as tail from a), lists as (select answer_id, tail from t where json_valid(tail) and json_type(tail) = 'ARRAY'), "
+    f"items as (select answer_id, i, json_extract(tail, '$[' || i || ']') as j from (select *, unnest(range(0, cast(json_array_length(tail) as bigint))) as i from lists)), texts as (select answer_id, i, trim(j ->> '$') as q from items where json_type(j) = 'VARCHAR'), kept as (select answer_id, q, min(i) as i from texts where length(q) between 1 and {C.FOLLOW_UP_CHARACTERS} group by all), "
+    f"firsts as (select answer_id, list(q order by i)[1:{C.FOLLOW_UPS}] as followups from kept group by answer_id) select answer_id, case when tagged then trim(split_part(raw, '<followups>', 1), ' ' || chr(10)) else raw end as body, coalesce(followups, cast([] as varchar[])) as followups from t left join firsts using (answer_id)",
+    "plot_intent": f"select conv_id, turn, regexp_matches(text, {V(C.PLOT_INTENT)}) as is_plot_request from (select conv_id, turn, text from conversations union all select cast(conv_id as bigint), cast(turn as bigint), text from {X.sql_rows([(-1, 0, 'Please plot it'), (-2, 0, 'a Chart, now'), (-3, 0, 'charting'), (-4, 0, 'visualise this')], 'conv_id, turn, text')})",
+    "chat_messages": f"with {TURNS}, recent as (select * from (select *, row_number() over (partition by question_id order by turn desc) as age from history) where age <= {C.HISTORY_TURNS}), past as (select question_id, list(role order by turn) as rs, list(text order by turn) as cs from recent group by question_id) "
+    "select question_id, case when question_id % 2 = 0 then list_concat(['system'], coalesce(rs, []), ['user']) end as roles, case when question_id % 2 = 0 then list_concat(['system text'], coalesce(cs, []), ['Context:' || chr(10) || '[Source 1] text' || chr(10) || chr(10) || 'Question: ' || question || chr(10)]) end as contents from questions left join past using (question_id)",
+    "previews": "select doc_id, case when length(text) > 240 then left(text, 240) || '…' else text end as preview from documents",
+    "paper_ids": f"with f as (select filename, regexp_replace(regexp_extract(filename, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') as stem from {X.sql_rows([('A_paracetamol_cocrystals.pdf',), ('notes.pdf',), ('_x.pdf',), ('dir/B_c_d.pdf',), ('plain',)], 'filename')}) select filename, case when contains(stem, '_') and split_part(stem, '_', 1) <> '' then split_part(stem, '_', 1) when stem <> '' then stem else filename end as paper_id from f",
+    "thin_rule": f"select filename, page, image_index, {THIN} as thin, not {THIN} as needs_pixels from {IMAGES}",
+    "pixel_rows": f"with {PIXEL_ROWS} select image, y, round(mean, 6) as mean, round(deviation, 6) as deviation, is_line from px_lines",
+    "pixel_features": f"with {PIXEL_ROWS}, fr as (select image, avg(case when v < 200 then 1.0 else 0 end) as ink, avg(case when v > 240 then 1.0 else 0 end) as white, count(*) as n from px group by image), en as (select image, 0 - sum(c / n * log2(c / n)) as entropy from (select image, least(v * 16 // 256, 15) as bin, count(*) as c from px group by all) join fr using (image) group by image), "
+    "gp as (select image, count(*) as lines, avg(gap) as mean_gap, stddev_pop(gap) as dev from (select image, y - lag(y) over (partition by image order by y) as gap from px_lines where is_line) group by image), hs as (select image, count(*) as height, count(*) filter (is_line) as n_hlines from px_lines group by image) "
+    "select image, round(ink, 6) as ink_frac, round(white, 6) as white_frac, round(entropy, 6) as entropy, round(n_hlines / height, 6) as hline_frac, n_hlines, coalesce(lines >= 4 and dev < greatest(2.0, 0.35 * mean_gap), false) as grid from fr join en using (image) join hs using (image) left join gp using (image)",
+    "image_classify": f"with {CLASSIFIED} select filename, page, image_index, label, reasons from classified",
+    "inventory_pivot": f"with {CLASSIFIED} select filename, {', '.join(f'count(*) filter (label = {V(x)}) as {x}' for x in C.IMAGE_LABELS)}, count(*) as total from classified group by filename",
+    "inventory_rollup": f"with {CLASSIFIED} select filename, label, count(*) as n_images from classified group by rollup (filename, label)",
+    "ocr_skip_reason": f"select id, case when label is distinct from 'table_image' then 'not_table_image' when {THIN} then 'thin_table_rule' when width < {C.OCR_MIN_WIDTH} or height < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skip_reason from (select id, label, coalesce(width, 0) as width, coalesce(height, 0) as height from {X.sql_rows([(i, *r) for i, r in enumerate(X.TABLE_IMAGES)], 'id, label, width, height')})",
+    "ocr_words": "select * from (values ('t', 0, 'a', 90.0::double, 1, 1, 1, 1), ('t', 5, 'e', 91.0::double, 6, 6, 6, 6)) v(table_id, word_ord, text, conf, \"left\", top, width, height)",
+    "ocr_rows": f"with {ROWS} select table_id, word_ord, \"row\" from text_rows",
+    "ocr_raw_text": f"with {ROWS}, {RAW} select table_id, raw_text from raw",
+    "ocr_gutters": f"with {ROWS},{GUTTERS} select table_id, \"row\", x from gutters",
+    "ocr_boundaries": f"with {ROWS},{GUTTERS},{EDGES} select table_id, edges from column_edges",
+    "ocr_grid": f"with {ROWS},{GUTTERS},{EDGES},{GRID} select * from grids",
+    "ocr_decision": f"with {ROWS},{GUTTERS},{EDGES},{GRID}, t as (select distinct table_id from boxes union all select 'empty'), m as (select table_id, avg(conf) as mean from boxes group by table_id), "
+    f"r as (select table_id, mean, n_rows, n_cols, case when mean is null then 'no_text' when mean < {C.OCR_CONFIDENCE} then 'low_confidence' when text is null then 'grid_not_recovered' when fill_fraction < {C.OCR_MIN_FILL} then 'sparse_grid' end as reason from t left join m using (table_id) left join grids using (table_id)) "
+    "select table_id, case when reason is null then 'accepted' else 'refused' end as status, reason, round(mean, 6) as mean_confidence, case when reason is null then n_rows end as n_rows, case when reason is null then n_cols end as n_cols from r",
+    "ocr_summary": f"select status, reason, cast(grouping(status) + grouping(reason) as integer) as level, count(*) as n_tables from {REPORT} group by grouping sets ((status, reason), (status), ())",
+    "table_text": f"select * from {X.sql_rows([('tbl_1', 'Compound | %' + chr(10) + 'acetaminophen | 50'), ('tbl_4', 'caption' + chr(10) + 'acetaminophen |  | HPLC')], 'id, text')}",
+    "ocsr_candidates": f"with {CLASSIFIED} select filename, page, image_index from classified where label in ({', '.join(map(V, C.STRUCTURE_LABELS))}) and not {THIN}",
+    "ocsr_validate": f"with {STRUCTURES} select id, status, reason, predicted_smiles, case when reason is null then part end as smiles, block, case when reason is null then cast(atoms as integer) end as heavy_atoms, cast(confidence as double) as confidence from structures",
+    "ocsr_dedupe": f"with {STRUCTURES} select id, status from deduped",
+    "ocsr_summary": f"with {STRUCTURES} select count(*) as crops, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'refused') as refused, (select '{{' || string_agg('\"' || reason || '\":' || n, ',' order by reason) || '}}' from (select reason, count(*) as n from deduped where status = 'refused' group by reason)) as refused_by_reason from deduped",
+    "structures_for_block": f"with {STRUCTURES} select id, source_doc, page_number from structures where status = 'accepted' and block = '{BLOCK}'",
+    "attach_structures": f"with {CHUNKS},{STRUCTURES}, both_kinds as (select 'page' as method, source_doc from chunks union all select 'structure_ocr', source_doc from deduped where status = 'accepted') select method, count(*) as n_chunks, count(distinct source_doc) as n_documents from both_kinds group by method",
+    "stable_ids": "select doc_id, 'tbl_' || left(sha1(concat_ws('|', source, doc_id, 0)), 14) as table_id, 'ocsr_' || left(sha1(concat_ws('|', source, doc_id, 'embedded', 1, 'None')), 14) as structure_id from documents",
+}
