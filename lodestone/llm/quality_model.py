@@ -135,7 +135,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part, texts in groups(batch):
                 row, bucket, value = features(texts)
-                score = np.bincount(row, weights=model.weights[bucket] * value, minlength=len(texts))
+                score = np.bincount(row, weights=model.weights[bucket] * value, minlength=len(texts)).astype(np.float64)
                 tails = model.tails(score)
                 yield pa.record_batch([batch.column("doc_id")[part], pa.array(score), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= LEAST_TAIL)], names=["doc_id", "score", "expected_grade", "tail_1", "tail_2", "kept"])
 
