@@ -30,6 +30,9 @@ LEAST_TERM = 4
 #: Bound of the candidate terms that are sent to all tasks, 16 MB; beyond it, terms of all texts are joined.
 HELD_TERMS = 2_000_000
 
+#: Counts that a task gathers before it passes them on.
+TASK_TERMS = 1 << 20
+
 # Patterns that find the same as the base rules. Runs are entered at their first character and never given back, so long
 # runs cost no more than their length.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -114,9 +117,18 @@ def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _term_counts(held: np.ndarray | None):
-    """Rows (term, texts): of each word, by its hash, the texts of a group that hold it; of ``held`` words only, if given."""
+    """Rows (term, texts): of each word, by its hash, how many texts of a task hold it; of ``held`` words only, if given."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        term, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return term, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(term)).astype(np.int64)
+
+    def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        term, n = summed(parts)
+        return pa.record_batch([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "texts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, texts in groups(batch):
                 words = words_of(texts, ALNUM)
@@ -129,8 +141,14 @@ def _term_counts(held: np.ndarray | None):
                 h, text = h[order], text[order]
                 first = np.ones(len(h), dtype=bool)
                 first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                term, n = np.unique(h[first], return_counts=True)
-                yield pa.record_batch([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "texts"])
+                parts.append(np.unique(h[first], return_counts=True))
+                if sum(len(t) for t, _ in parts) > TASK_TERMS:
+                    parts = [summed(parts)]
+                    if len(parts[0][0]) > TASK_TERMS // 2:
+                        yield rows(parts)
+                        parts = []
+        if parts:
+            yield rows(parts)
 
     return count
 
