@@ -47,7 +47,7 @@ def _repeated(windows: Column) -> Column:
         twin = (e["h"] == F.get(windows, k - 1)["h"]) | (e["h"] == F.get(windows, k + 1)["h"])
         return F.when(F.coalesce(twin, F.lit(False)), e["i"])
 
-    return F.array_sort(F.array_compact(F.transform(windows, at)))
+    return F.sort_array(F.array_compact(F.transform(windows, at)))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("spoken") - F.size(F.array_distinct("spoken"))).cast("long").alias("n_dup_lines"),
-        F.array_sort(F.coalesce(three, F.array().cast("array<struct<h:bigint,i:int>>"))).alias("windows"),
+        F.sort_array(F.coalesce(three, F.array().cast("array<struct<h:bigint,i:int>>"))).alias("windows"),
         line.alias("lines"),
     )
     rows = rows.withColumn("repeated", _repeated(F.col("windows"))).drop("windows")
