@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,17 +97,15 @@ def words_of(texts: list[bytes], kind: np.ndarray) -> Words:
 
 
 def groups(batch: pa.RecordBatch, column: str = "text", limit: int = GROUP_BYTES) -> Iterator[tuple[slice, list[bytes | None]]]:
-    """Slices of a batch with about ``limit`` bytes of text each, one text at least."""
-    values = batch.column(column).cast(pa.large_binary()).to_pylist()
-    at, held = 0, 0
-    for i, value in enumerate(values):
-        size = len(value or b"")
-        if i > at and held + size > limit:
-            yield slice(at, i), values[at:i]
-            at, held = i, 0
-        held += size
-    if at < len(values):
-        yield slice(at, len(values)), values[at:]
+    """Slices of a batch with about ``limit`` bytes of text each, one text at least; only one slice at a time is copied."""
+    values = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(values):
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield slice(at, stop), values.slice(at, stop - at).cast(pa.large_binary()).to_pylist()
+        at, before = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
 
 
 def gram_hashes(word: np.ndarray, n: int) -> np.ndarray:
