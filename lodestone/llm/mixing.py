@@ -111,6 +111,8 @@ def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
     tilts = rates(histogram, goals)
     rate = F.when(F.col("size_") == 0, 0.0).when(F.col("tilt").isNull(), float(MOST)).otherwise(F.exp(F.least(F.col("tilt") * F.col("size_") / F.col("mean"), F.lit(math.log(MOST)))))
     rated = rows.join(goals.join(tilts, "key_"), "key_").withColumn("rate", rate).withColumn("settles", _unit(2, "doc_id", "size_") * F.col("n") < settled)
+    # written here, so that only the settled documents, few of any source, are dealt by source below
+    rated = materialize(rated.select("doc_id", "key_", "size_", "source_size", "target", "rate", "settles"), "rated")
     plain = F.floor("rate") + (_unit(1, "doc_id", "size_") < F.col("rate") - F.floor("rate")).cast("long")
     most = rated.where("not settles").withColumn("copies", F.when(F.col("size_") == 0, F.lit(0)).otherwise(plain).cast("long"))
     used = most.groupBy("key_").agg(F.sum(F.col("copies") * F.col("size_")).alias("used"))
@@ -120,8 +122,9 @@ def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
         group = group.assign(order=np.arange(len(group))).sort_values(["size_", "unit", "doc_id"], ascending=[False, True, True], kind="stable")
         return group.assign(copies=list(_settle(group)))[["doc_id", "key_", "size_", "source_size", "target", "copies"]]
 
+    columns = ["doc_id", "key_", "size_", "source_size", "target", "copies"]
     few = rest.withColumn("unit", _unit(3, "doc_id", "size_")).select("doc_id", "key_", "size_", "source_size", "target", "rate", "due", "unit").groupBy("key_").applyInPandas(settle, "doc_id long, key_ string, size_ long, source_size long, target double, copies long")
-    mixed = most.select(*few.columns).unionByName(few)
+    mixed = most.select(*columns).unionByName(few)
     return mixed.select("doc_id", "key_", F.col("size_").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("size_")).alias("taken"))
 
 
