@@ -30,7 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard, and their slot in it."""
-    return sharding.assign(docs).withColumnsRenamed({"shard_": "shard", "slot_": "slot"}).drop("size_", "crc_")
+    placed = sharding.assign(docs)
+    return placed.select(*[c for c in docs.columns if c not in ("shard", "slot")], placed["shard_"].alias("shard"), placed["slot_"].alias("slot"))
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("decontaminate", clean), ("mix_sources", mix), ("shards", shard)]

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.rows import packed, unpacked
 from lodestone.llm.scratch import materialize
-from lodestone.llm.textarrays import ALNUM, gram_hashes, groups, words_of
+from lodestone.llm.textarrays import ALNUM, gram_hashes, groups, mix, words_of
 
 SPAN = 13
 GRAM = 8
@@ -45,8 +46,6 @@ def fingerprints(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def spans_at(word: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Hashes of the SPAN words from each start; the same figures that gram_hashes gives."""
-    from lodestone.llm.textarrays import mix
-
     total = np.full(len(start), SPAN, dtype=np.uint64)
     for j in range(SPAN):
         total = total * np.uint64(0x2545F4914F6CDD1D) + word[start + j]
@@ -216,8 +215,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept."""
     items = _items(benchmark)
     if not _fits(items):
-        gone = _joined(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_text")).distinct()
-        return docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, "_text", "left_anti").select(*docs.columns)
+        digest = F.xxhash64(F.coalesce("text", F.lit("")))
+        gone = _joined(docs.select(digest.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("digest")).distinct()
+        return unpacked(packed(docs, digest=digest).join(gone, "digest", "left_anti"), docs.columns)
     index = docs.sparkSession.sparkContext.broadcast(_index(items))
     at = docs.columns.index("text")
 

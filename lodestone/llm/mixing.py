@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import packed, unpacked
 from lodestone.llm.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -31,10 +32,10 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), source.cast("string")))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with key_ and size_ (words) added."""
+def _own() -> dict[str, Column]:
+    """A row's doc_id, source key and size in words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("key_", _key(F.col("source"))).withColumn("size_", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    return {"doc_id": F.col("doc_id").cast("long"), "key_": _key(F.col("source")), "size_": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")}
 
 
 def targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -104,8 +105,7 @@ def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
     Reruns agree: copies depend on the rows alone. Null and wordless texts have size 0 and take nothing; a null source is
     the last of the sources. Repeated rows are separate documents of equal rates. No rows give no rows.
     """
-    rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")).select("doc_id", "key_", "size_")
-    rows = materialize(rows, "sizes")
+    rows = materialize(docs.select(*[c.alias(name) for name, c in _own().items()]), "sizes")
     histogram = materialize(rows.groupBy("key_", "size_").agg(F.count("*").alias("n")), "histogram")
     goals = materialize(targets(histogram), "targets")
     tilts = rates(histogram, goals)
@@ -130,8 +130,8 @@ def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; rows alike in doc_id, source and size are taken alike."""
-    taken = mix(docs, settled).groupBy("doc_id", "key_", "size").agg(F.max("copies").alias("copies_")).where("copies_ > 0")
-    keyed = sized(docs).withColumn("id_", F.col("doc_id").cast("long"))
-    match = keyed["id_"].eqNullSafe(taken["doc_id"]) & (keyed["key_"] == taken["key_"]) & (keyed["size_"] == taken["size"])
-    chosen = keyed.join(taken.select("doc_id", "key_", "size", "copies_"), match).select(*[keyed[c] for c in docs.columns], "copies_")
-    return chosen.withColumn("copies_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(*docs.columns)
+    taken = mix(docs, settled).groupBy("doc_id", "key_", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("key_").alias("taken_key"), F.col("size").alias("taken_size"), "copies")
+    match = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("key_") == F.col("taken_key")) & (F.col("size_") == F.col("taken_size"))
+    chosen = packed(docs, **_own()).join(taken, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return unpacked(chosen, docs.columns)

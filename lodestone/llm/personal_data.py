@@ -13,10 +13,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import cell, packed, unpacked
 from lodestone.llm.scratch import materialize
 from lodestone.llm.textarrays import ALNUM, groups, words_of
 
@@ -214,12 +216,11 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame, generalise: bool = True) -> DataFrame:
     """``docs`` with private spans replaced by their kind in brackets, or removed; of overlapping spans the first stands."""
-    spans = private_spans(docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("doc_id"), "text")).groupBy("doc_id").agg(F.first("spans").alias("_spans")).where(F.size("_spans") > 0)
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    spans = private_spans(docs.select(digest.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("digest")).agg(F.first("spans").alias("spans")).where(F.size("spans") > 0)
 
     @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, own in zip(text, spans, strict=True):
             if own is None:
@@ -233,5 +234,5 @@ def sanitised(docs: DataFrame, generalise: bool = True) -> DataFrame:
             out.append("".join(parts) + t[at:])
         return pd.Series(out)
 
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(spans.withColumnRenamed("doc_id", "_key"), "_key", "left")
-    return keyed.withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    rows = packed(docs, digest=digest).join(spans, "digest", "left")
+    return unpacked(rows, docs.columns, text=cut(cell("text"), F.col("spans")))

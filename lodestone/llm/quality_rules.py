@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import cell, packed, unpacked
 from lodestone.llm.scratch import materialize
 
 BLANKS = " \t\n\x0b\f\r"
@@ -98,11 +99,11 @@ def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, without their frequent lines; ``n_chars``, where present, follows the new text."""
-    verdicts = judged(docs, limits).where("kept").groupBy("host", "content").agg(F.first("removed").alias("_removed"))
-    keyed = docs.withColumn("_host", F.coalesce(F.col("source").cast("string"), F.lit("\x00"))).withColumn("_content", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = keyed.join(verdicts.withColumnRenamed("host", "_host").withColumnRenamed("content", "_content"), ["_host", "_content"])
-    stays = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normalised(x)))), "\n")
-    found = found.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(stays))
+    verdicts = judged(docs, limits).where("kept").groupBy("host", "content").agg(F.first("removed").alias("removed"))
+    keyed = packed(docs, host=F.coalesce(F.col("source").cast("string"), F.lit("\x00")), content=F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = keyed.join(verdicts, ["host", "content"])
+    stays = F.array_join(F.filter(F.split(cell("text"), "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x)))), "\n")
+    changed = {"text": F.when(F.col("removed").isNull(), cell("text")).otherwise(stays)}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return found.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("removed").isNull(), cell("n_chars")).otherwise(F.length(stays).cast("long"))
+    return unpacked(found, docs.columns, **changed)

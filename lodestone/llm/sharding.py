@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import packed, unpacked
 from lodestone.llm.textarrays import mix
 
 SHARDS = 8
 VIRTUAL_NODES = 128
 #: Rows of one sorting unit; their number grows with the input, not their size.
-CELL_ROWS = 20_000
+CELL_ROWS = 5_000
 LAW = "rows"
 
 
@@ -57,7 +58,7 @@ def equal_bounds(rows: int, shards: int) -> np.ndarray:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0) -> DataFrame:
-    """``docs`` with shard_ and slot_, size_ (UTF-8 bytes plus 1) and crc_ added; needs doc_id and text.
+    """``docs`` with shard_ and slot_, size_ (UTF-8 bytes plus 1) and crc_ added, or replaced; needs doc_id and text.
 
     With ``slack`` each shard may hold that share above the equal one, and fewer documents move when shards are added;
     counts may then differ by more than one. A null text has size 1; null ids share a place on the ring. Repeated rows
@@ -84,15 +85,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_N
     coarse = min(fine, 10)
 
     def top(bits: int) -> Column:
-        return F.shiftright("at_", 64 - bits) if bits else F.lit(0).cast("long")
+        return F.shiftright("at", 64 - bits) if bits else F.lit(0).cast("long")
 
-    located = docs.withColumn("at_", F.xxhash64("doc_id")).withColumn("cell_", top(fine))
-    cells = docs.select(F.xxhash64("doc_id").alias("at_")).groupBy(top(coarse).alias("part_"), top(fine).alias("cell_")).agg(F.count("*").alias("n"))
-    parts = cells.groupBy("part_").agg(F.sum("n").alias("n")).withColumn("parts_before", F.coalesce(F.sum("n").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    cells = cells.withColumn("cells_before", F.coalesce(F.sum("n").over(Window.partitionBy("part_").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = cells.join(parts, "part_").select("cell_", (F.col("parts_before") + F.col("cells_before")).alias("offset_"))
+    cells = docs.select(F.xxhash64("doc_id").alias("at")).groupBy(top(coarse).alias("part"), top(fine).alias("cell")).agg(F.count("*").alias("n"))
+    parts = cells.groupBy("part").agg(F.sum("n").alias("n")).withColumn("parts_before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    cells = cells.withColumn("cells_before", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    offsets = cells.join(parts, "part").select("cell", (F.col("parts_before") + F.col("cells_before")).alias("offset"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = located.withColumn("size_", F.octet_length(text).cast("long") + F.lit(1).cast("long")).withColumn("crc_", F.crc32(text.cast("binary")))
-    ranked = sized.withColumn("rank_", F.row_number().over(Window.partitionBy("cell_").orderBy("at_", "doc_id", "crc_", "size_"))).join(offsets, "cell_")
-    placed = ranked.withColumn("to_", place(F.col("offset_") + F.col("rank_") - 1))
-    return placed.select(*docs.columns, "size_", "crc_", F.col("to_.shard").alias("shard_"), F.col("to_.slot").alias("slot_"))
+    sized = packed(docs, at=F.xxhash64("doc_id"), id=F.col("doc_id"), size=F.octet_length(text).cast("long") + F.lit(1).cast("long"), crc=F.crc32(text.cast("binary"))).withColumn("cell", top(fine))
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("at", "id", "crc", "size"))).join(offsets, "cell")
+    placed = ranked.withColumn("to", place(F.col("offset") + F.col("rank") - 1))
+    return unpacked(placed, docs.columns, size_=F.col("size"), crc_=F.col("crc"), shard_=F.col("to.shard"), slot_=F.col("to.slot"))

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, n long, h string"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, n long, h string, row int, size int, rank string, host int, content int, digest string, key_ int, cell int"
 
 
 def spaced(text: str | None) -> list[str]:
@@ -34,7 +34,7 @@ def table(spark):
         out = []
         for i, row in enumerate(rows, first):
             text, source = row if isinstance(row, tuple) else (row, f"s{i % 3}")
-            out.append((i, text, "en", source, len(text or ""), 7, "x"))
+            out.append((i, text, "en", source, len(text or ""), 7, "x", 1, 2, "r", 3, 4, "d", 5, 6))
         return spark.createDataFrame(out, DOCUMENTS)
 
     return make
