@@ -5,15 +5,16 @@ Of the suffixes of all texts only those are sorted whose first ``GRAM`` bytes ha
 sorts beside its twins, with equal bytes in front of it.
 
 1. Of equal texts only the first goes on; the others are wholly repeats.
-2. Suffixes whose first two 8-byte tokens stand at one place only need nothing more. The rest get their bytes on both sides.
-3. Sampled splitters range-partition them by leading tokens. All suffixes of equal leading tokens come to one bucket, and
-   equal stretches share these, so comparing across a boundary never finds more. Each bucket is sorted by multikey
-   quicksort on 8-byte tokens; common lengths of neighbours cut it into runs of equal stretches at every offset.
+2. Suffixes whose first ``GRAM`` bytes stand at one place only need nothing more. The rest get their bytes on both sides.
+3. Splitters, sampled from a bounded number of texts, range-partition them by their leading 8-byte token. All suffixes of
+   one leading token come to one bucket, and equal stretches share it, so comparing across a boundary never finds more.
+   Each bucket is sorted by multikey quicksort on such tokens; common lengths of neighbours cut it into runs of equal
+   stretches at every offset.
 4. Of a run all but the first, by id and position, are removed; spans are joined back to their texts.
 
 Groups of more than ``HOT`` suffixes with equal leading tokens don't go to a bucket: each of their stretches becomes a row,
-and the first of equal ones is a minimum that tasks take in advance. Tables of up to ``SENT_BYTES`` are sent to all
-tasks for joining with texts; larger ones are joined by shuffling.
+and the first of equal ones is a minimum that tasks take in advance. Texts are dealt by id once: the join with their wanted
+suffixes and the join with their spans are parts of one plan and share that exchange.
 """
 
 from __future__ import annotations
@@ -30,23 +31,22 @@ from lodestone.llm.scratch import materialize
 from lodestone.llm.textarrays import groups, mix, prefix_hash, span_hash
 
 LENGTH = 100
-GRAM = 16
+GRAM = 24
 #: Positions among which a stretch picks, and bytes in front of its pick at most.
 PICKS = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
-HOT = 50_000
-SENT_BYTES = 32 << 20
+HOT = 150_000
+#: Texts that splitters are sampled from, and records that a bucket holds on average. Neither changes results.
+SPLITTER_TEXTS, BUCKET_RECORDS = 2000, 40_000
+#: Records that are sorted at once; more only where their leading tokens are equal.
+SORTED_RECORDS = 16_384
+_WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two big-endian 8-byte tokens from each position."""
-    n = len(data) - GRAM + 1
-    token = np.zeros(n + 8, dtype=np.uint64)
-    for j in range(8):
-        token <<= np.uint64(8)
-        token |= data[j : j + n + 8]
-    return token[:n], token[8:]
+def _tokens(raw: bytes) -> np.ndarray:
+    """The big-endian 8-byte token from each position of ``raw``, which must not be shorter than that."""
+    return np.ndarray((len(raw) - 7,), dtype=">u8", buffer=raw, strides=(1,)).astype(np.uint64)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -61,49 +61,51 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 class Picked:
-    """Suffixes that the stretches of some texts pick: place in the group, text, tokens, and the span of offsets picked at."""
+    """Suffixes that the stretches of some texts pick: place in the group, text, key and leading token, and the span of offsets picked at."""
 
     def __init__(self, texts: list[bytes | None]):
-        self.data = data = np.frombuffer(b"".join(t or b"" for t in texts) + bytes(1), dtype=np.uint8)[:-1]
+        self.raw = raw = b"".join(t or b"" for t in texts)
         sizes = np.fromiter((len(t or b"") for t in texts), dtype=np.int64, count=len(texts))
         self.stop = np.cumsum(sizes)
         self.start = self.stop - sizes
         empty = np.zeros(0, dtype=np.int64)
-        if len(data) < LENGTH:
+        if len(raw) < LENGTH:
             self.at = self.text = self.least = self.most = empty
-            self.one = self.two = empty.astype(np.uint64)
+            self.key = self.lead = empty.astype(np.uint64)
             return
-        one, two = _tokens(data)
-        order = mix(mix(one) + two)
-        place = np.arange(len(order), dtype=np.uint64)
+        token = _tokens(raw)
+        n = len(raw) - GRAM + 1
+        order = token[:n] * np.uint64(_WEIGHTS[0])
+        for j in range(1, GRAM // 8):
+            order += token[8 * j : 8 * j + n] * np.uint64(_WEIGHTS[j])
+        order = mix(order)
         # equal hashes: the last place; texts share a group, so only differences of places count
-        pick = (_LOW - (_sliding_min((order & ~_LOW) | (_LOW - place), PICKS) & _LOW)).astype(np.int64)
-        first = np.arange(len(pick))
-        text = np.searchsorted(self.stop, first, "right")
-        inside = first + LENGTH <= self.stop[np.minimum(text, len(texts) - 1)]
-        pick, first, text = pick[inside], first[inside], text[inside]
+        ranked = (order & ~_LOW) | (_LOW - np.arange(n, dtype=np.uint64))
+        pick = (_LOW - (_sliding_min(ranked, PICKS) & _LOW)).astype(np.int64)
         new = np.flatnonzero(np.diff(pick, prepend=-1))
-        self.at, self.text = pick[new], text[new]
-        self.most = self.at - first[new]
-        self.least = self.at - first[np.append(new[1:], len(pick)) - 1] if len(new) else empty
-        self.one, self.two = one[self.at], two[self.at]
+        # runs of stretches that pick one place, cut to those inside a text
+        last = np.append(new[1:], len(pick)) - 1
+        at = pick[new]
+        text = np.searchsorted(self.stop, at, "right")
+        low, high = np.maximum(new, self.start[text]), np.minimum(last, self.stop[text] - LENGTH)
+        inside = low <= high
+        self.at, self.text = at[inside], text[inside]
+        self.most, self.least = self.at - low[inside], self.at - high[inside]
+        self.key, self.lead = order[self.at], token[self.at]
 
     @property
     def position(self) -> np.ndarray:
         return self.at - self.start[self.text]
 
-    def keys(self) -> np.ndarray:
-        return mix(mix(self.one) + self.two)
-
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, place): each pick's tokens, hashed, and a hash of text and position."""
+    """(key, place): each pick's first bytes, hashed, and a hash of text and position."""
     for batch in batches:
         digest = batch.column("d").to_numpy().view(np.uint64)
         for part, texts in groups(batch):
             p = Picked(texts)
             place = mix(mix(p.position.astype(np.uint64)) + digest[part][p.text])
-            yield pa.record_batch([pa.array(p.keys().view(np.int64)), pa.array(place.view(np.int64))], names=["key", "place"])
+            yield pa.record_batch([pa.array(p.key.view(np.int64)), pa.array(place.view(np.int64))], names=["key", "place"])
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,36 +113,55 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, digest = batch.column("id").to_numpy(), batch.column("d").to_numpy()
         for part, texts in groups(batch):
             p = Picked(texts)
-            yield pa.record_batch([pa.array(p.keys().view(np.int64)), pa.array(ids[part][p.text]), pa.array(digest[part][p.text]), pa.array(p.position)], names=["key", "id", "d", "position"])
+            yield pa.record_batch([pa.array(p.key.view(np.int64)), pa.array(ids[part][p.text]), pa.array(digest[part][p.text]), pa.array(p.position.astype(np.int32))], names=["key", "id", "d", "position"])
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted picks of each text with their bytes on both sides."""
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, digest = batch.column("id").to_numpy(), batch.column("d").to_numpy()
-        for part, texts in groups(batch):
-            p = Picked(texts)
-            position = p.position
-            bounds = np.searchsorted(p.text, np.arange(len(texts) + 1))
-            keep = np.zeros(len(position), dtype=bool)
-            for i, wanted in enumerate(batch.column("wanted")[part]):
-                own = slice(bounds[i], bounds[i + 1])
-                keep[own] = np.isin(position[own], wanted.values.to_numpy())
-            raw, at = p.data.tobytes(), p.at[keep].tolist()
-            before = [raw[a - m : a] for a, m in zip(at, p.most[keep].tolist(), strict=True)]
-            after = [raw[a : a + LENGTH - m] for a, m in zip(at, p.least[keep].tolist(), strict=True)]
-            text = p.text[keep]
-            yield pa.record_batch([pa.array(p.one[keep].view(np.int64)), pa.array(p.two[keep].view(np.int64)), pa.array(ids[part][text]), pa.array(digest[part][text]), pa.array(position[keep]), pa.array(p.least[keep]), pa.array(p.most[keep]), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["one", "two", "id", "d", "position", "least", "most", "before", "after"])
+        for _, texts in groups(batch):
+            yield pa.record_batch([pa.array((Picked(texts).lead >> np.uint64(1)).astype(np.int64))], names=["lead"])
+
 
+def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Leading tokens, halved, at which buckets end, from a sample of texts."""
+    total = docs.count()
+    sample = docs.sample(min(1.0, SPLITTER_TEXTS / max(1, total)), seed=7).limit(2 * SPLITTER_TEXTS)
+    leads = np.sort(sample.mapInArrow(_leads, "lead long").toArrow().column("lead").to_numpy())
+    return leads[np.linspace(0, len(leads) - 1, buckets + 1).astype(int)[1:-1]] if len(leads) else leads
 
-_RECORD = "one long, two long, id long, d long, position long, least long, most long, before binary, after binary"
 
+def _record_rows(ends: np.ndarray):
+    """The wanted picks of each text with their bytes on both sides, and their bucket."""
 
-def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes as rows of one matrix, filled up with 0, and their lengths."""
-    size = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-    flat = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), dtype=np.uint8)
-    return flat.reshape(len(values), width), size
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digest, all_wanted = batch.column("id").to_numpy(), batch.column("d").to_numpy(), batch.column("wanted")
+            for part, texts in groups(batch):
+                p = Picked(texts)
+                position, bounds = p.position, np.searchsorted(p.text, np.arange(len(texts) + 1))
+                keep = np.zeros(len(position), dtype=bool)
+                for i, wanted in enumerate(all_wanted[part]):
+                    own = slice(bounds[i], bounds[i + 1])
+                    keep[own] = np.isin(position[own], wanted.values.to_numpy())
+                at, least, most, text = p.at[keep], p.least[keep], p.most[keep], p.text[keep]
+                body = [p.raw[a:b] for a, b in zip((at - most).tolist(), (at + LENGTH - least).tolist(), strict=True)]
+                bucket = np.searchsorted(ends, (p.lead[keep] >> np.uint64(1)).astype(np.int64), "right").astype(np.int32)
+                yield pa.record_batch([pa.array(bucket), pa.array(ids[part][text]), pa.array(digest[part][text]), pa.array(position[keep]), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(body, pa.binary())], names=["bucket", "id", "d", "position", "least", "most", "body"])
+
+    return rows
+
+
+_RECORD = "bucket int, id long, d long, position long, least int, most int, body binary"
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """Rows of ``width`` bytes: ``size`` bytes from ``start`` in steps of 1 or -1, then zeros."""
+    out = np.zeros((len(start), width), dtype=np.uint8)
+    for at in range(0, len(start), 4096):
+        part = slice(at, at + 4096)
+        inside = np.arange(width)[None, :] < size[part, None]
+        out[part][inside] = flat[(start[part, None] + step * np.arange(width)[None, :])[inside]]
+    return out
 
 
 def multikey_order(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -163,16 +184,16 @@ def multikey_order(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeats(before: list[bytes], after: list[bytes], least: np.ndarray, most: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """(records, REACH + 1) flags: the stretch with that many bytes in front also stands at a place of smaller rank."""
-    width = 8 * -(-LENGTH // 8)
-    right, size = _matrix(after, width)
-    left, _ = _matrix([b[::-1] for b in before], REACH)
+def repeats(left: np.ndarray, right: np.ndarray, size: np.ndarray, least: np.ndarray, most: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """(records, REACH + 1) flags: the stretch with that many bytes in front also stands at a place of smaller rank.
+
+    left holds the bytes in front, nearest first, and right those from the suffix on, ``size`` of them.
+    """
     order = multikey_order(np.ascontiguousarray(right).view(">u8").astype(np.uint64), size)
     right, size, left, least, most, rank = right[order], size[order], left[order], least[order], most[order], rank[order]
     common = np.zeros(len(order), dtype=np.int64)
     differs = right[1:] != right[:-1]
-    common[1:] = np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), width), np.minimum(size[1:], size[:-1]))
+    common[1:] = np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), right.shape[1]), np.minimum(size[1:], size[:-1]))
     flags = np.zeros((len(order), REACH + 1), dtype=bool)
     ahead = np.zeros(len(order), dtype=np.uint64)
     for offset in range(REACH + 1):
@@ -180,10 +201,11 @@ def repeats(before: list[bytes], after: list[bytes], least: np.ndarray, most: np
             ahead = mix(ahead * np.uint64(3) + left[:, offset - 1] + np.uint64(1))
         run = np.cumsum(common < LENGTH - offset)
         valid = np.flatnonzero((least <= offset) & (offset <= most))
+        if len(valid) < 2:
+            continue
         r = run[valid]
-        twin = np.zeros(len(valid), dtype=bool)
-        twin[1:] = r[1:] == r[:-1]
-        twin[:-1] |= twin[1:]
+        same = r[1:] == r[:-1]
+        twin = np.append(same, False) | np.append(False, same)
         valid, r = valid[twin], r[twin]
         if len(valid) < 2:
             continue
@@ -203,18 +225,37 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    table = pa.Table.from_batches(held)
+    table = pa.Table.from_batches(held).combine_chunks()
+    del held
     ids, digest, position, least, most = (table.column(c).to_numpy() for c in ("id", "d", "position", "least", "most"))
+    body = table.column("body").chunk(0)
+    offsets = np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+    flat = np.frombuffer(body.buffers()[2], dtype=np.uint8)
     by = np.lexsort((position, digest, ids))
     new = np.ones(len(by), dtype=bool)
     new[1:] = (ids[by][1:] != ids[by][:-1]) | (digest[by][1:] != digest[by][:-1]) | (position[by][1:] != position[by][:-1])
     rank = np.zeros(len(by), dtype=np.int64)
     rank[by] = np.cumsum(new)
-    flags = repeats(table.column("before").to_pylist(), table.column("after").to_pylist(), least, most, rank)
-    edge = np.diff(flags.astype(np.int8), prepend=0, append=0, axis=1)
-    row, low = np.nonzero(edge == 1)
-    _, high = np.nonzero(edge == -1)
-    yield pa.record_batch([pa.array(ids[row]), pa.array(digest[row]), pa.array(position[row] - high + 1), pa.array(position[row] - low + LENGTH)], names=["id", "d", "from", "to"])
+    start, size = offsets[:-1] + most, (LENGTH - least).astype(np.int64)
+    lead = np.ascontiguousarray(_gathered(flat, start, np.full(len(start), 16), 16)).view(">u8").astype(np.uint64)
+    order = np.lexsort((lead[:, 1], lead[:, 0]))
+    lead = lead[order]
+    cuts = np.append(np.flatnonzero((lead[1:] != lead[:-1]).any(axis=1)) + 1, len(order))
+    del lead, by, new
+    at = 0
+    while at < len(order):
+        stop = int(cuts[min(np.searchsorted(cuts, at + SORTED_RECORDS), len(cuts) - 1)])
+        rows = order[at:stop]
+        left = _gathered(flat, start[rows] - 1, most[rows].astype(np.int64), REACH, -1)
+        right = _gathered(flat, start[rows], size[rows], 8 * -(-LENGTH // 8))
+        flags = repeats(left, right, size[rows], least[rows], most[rows], rank[rows])
+        edge = np.diff(flags.astype(np.int8), prepend=0, append=0, axis=1)
+        row, low = np.nonzero(edge == 1)
+        _, high = np.nonzero(edge == -1)
+        row = rows[row]
+        yield pa.record_batch([pa.array(ids[row]), pa.array(digest[row]), pa.array(position[row] - high + 1), pa.array(position[row] - low + LENGTH)], names=["id", "d", "from", "to"])
+        at = stop
+    pa.default_memory_pool().release_unused()
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +263,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            before, after = part.column("before").to_pylist(), part.column("after").to_pylist()
-            least, most, position = (part.column(c).to_numpy() for c in ("least", "most", "position"))
-            data = np.frombuffer(b"".join(b + a for b, a in zip(before, after, strict=True)), dtype=np.uint8)
-            size = np.fromiter((len(b) + len(a) for b, a in zip(before, after, strict=True)), dtype=np.int64, count=len(before))
+            body = part.column("body").to_pylist()
+            least, most, position = (part.column(c).to_numpy().astype(np.int64) for c in ("least", "most", "position"))
+            data = np.frombuffer(b"".join(body), dtype=np.uint8)
+            size = np.fromiter(map(len, body), dtype=np.int64, count=len(body))
             origin = np.cumsum(size) - size
             n = most - least + 1
             row = np.repeat(np.arange(len(n)), n)
@@ -250,56 +291,62 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), batch.column("d"), pa.array(out, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=["id", "d", "spans"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, removed, count, sizes = [], [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-            raw, own = (text.as_py() or "").encode(), spans.as_py() or []
-            at, parts = 0, []
-            for s in own:
-                parts.append(raw[at : s["from"]])
-                at = s["to"]
-            parts.append(raw[at:])
-            rest = b"".join(parts)
-            kept.append(rest)
-            removed.append(len(raw) - len(rest))
-            count.append(len(own))
-            sizes.append(len(raw))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def _with_texts(texts: DataFrame, side: DataFrame, size: int, how: str) -> DataFrame:
-    """Join on (id, d): the side is sent to the texts where it is small."""
-    return texts.join(F.broadcast(side) if size <= SENT_BYTES else side.hint("shuffle_merge"), ["id", "d"], how)
+def _cut(keep: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, all_spans = batch.column("doc_id"), batch.column("spans")
+            for part, texts in groups(batch):
+                kept, sizes, count = [], [], []
+                for raw, spans in zip(texts, all_spans[part].to_pylist(), strict=True):
+                    at, parts = 0, []
+                    for s in spans or []:
+                        parts.append(raw[at : s["from"]])
+                        at = s["to"]
+                    parts.append(raw[at:])
+                    kept.append(b"".join(parts))
+                    sizes.append(len(raw))
+                    count.append(len(spans or []))
+                removed = [a - len(b) for a, b in zip(sizes, kept, strict=True)]
+                columns = [ids[part], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                yield pa.record_batch([*columns, pa.array(kept, pa.binary())], names=[*names, "kept"]) if keep else pa.record_batch(columns, names=names)
+
+    return rows
 
 
 def _removals(docs: DataFrame) -> DataFrame:
-    """(id, d, spans) of the texts with spans to remove; docs has id, d (a hash of the text) and text."""
+    """(id, d, spans) of the texts with spans to remove; docs has doc_id, id, d (a hash of the text) and text."""
     rows = docs.select("id", "d", F.md5("text").alias("content"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= LENGTH)
     firsts = rows.groupBy("content").agg(F.min("id").alias("first"))
     copies = materialize(rows.join(firsts, "content").where("id > first").select("id", "d", "size").distinct(), "copies")
 
     repeated = docs.mapInArrow(_places, "key long, place long").groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", (F.col("n") > HOT).alias("hot"))
-    seeds = docs.mapInArrow(_seeds, "key long, id long, d long, position long").join(repeated, "key").join(copies, ["id", "d"], "left_anti")
+    seeds = docs.mapInArrow(_seeds, "key long, id long, d long, position int").join(repeated, "key").join(copies, ["id", "d"], "left_anti")
     wanted = materialize(seeds.groupBy("id", "d", "hot").agg(F.sort_array(F.collect_set("position")).alias("wanted")), "seeds")
 
+    sizes = {r.hot: r.n for r in wanted.groupBy("hot").agg(F.sum(F.size("wanted")).alias("n")).collect()}
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes.get(False, 0) // BUCKET_RECORDS))
+    ends = splitters(docs, buckets)
+
     def records(hot: bool) -> DataFrame:
+        if hot not in sizes:
+            return spark.createDataFrame([], _RECORD)
         side = wanted.where(F.col("hot") == hot).select("id", "d", "wanted")
-        size = side.agg(F.sum(F.size("wanted") * 8 + 64)).first()[0]
-        return _with_texts(docs, side, size or 0, "inner").select("id", "d", "text", "wanted").mapInArrow(_records, _RECORD) if size else docs.sparkSession.createDataFrame([], _RECORD)
+        # all columns of docs, so that the exchange is the one that the last join reads
+        return docs.join(side, ["id", "d"]).select("doc_id", "id", "d", "text", "wanted").mapInArrow(_record_rows(ends), _RECORD)
 
-    buckets = records(False).repartitionByRange("one", "two")
-    spans = buckets.mapInArrow(_bucket, "id long, d long, from long, to long")
+    spans = records(False).repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket, "id long, d long, from long, to long")
     stretches = records(True).mapInArrow(_stretches, "h long, g long, id long, d long, from long")
     first = stretches.groupBy("h", "g").agg(F.min(F.struct("id", "d", "from")).alias("first"))
     again = stretches.join(first, ["h", "g"]).where(F.struct("id", "d", "from") != F.col("first")).select("id", "d", "from", (F.col("from") + LENGTH).alias("to"))
     found = spans.unionByName(again).groupBy("id", "d").agg(F.collect_list(F.struct("from", "to")).alias("spans")).mapInArrow(_merged, "id long, d long, spans array<struct<from:bigint,to:bigint>>")
     whole = copies.select("id", "d", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))).alias("spans"))
-    return materialize(found.unionByName(whole), "removals")
+    return found.unionByName(whole)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of (doc_id, text, ...).
+def deduplicated(docs: DataFrame, keep: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with ``keep`` the bytes that stay as ``kept``, for each row of (doc_id, text, ...).
 
     Removed is every byte in a stretch of LENGTH bytes that also starts earlier: at a smaller doc_id, or earlier in the
     text. Null texts are empty; texts below LENGTH bytes lose nothing. A null doc_id comes after all others; rows that
@@ -307,7 +354,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("d"), "text")
-    removals = _removals(keyed.select("id", "d", "text"))
-    size = removals.agg(F.sum(F.size("spans") * 16 + 64)).first()[0] or 0
-    rows = _with_texts(keyed, removals, size, "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = keyed.join(_removals(keyed), ["id", "d"], "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(_cut(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)

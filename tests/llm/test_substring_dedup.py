@@ -30,7 +30,7 @@ def check(docs):
     assert got == expected(docs.collect())
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
+@pytest.mark.parametrize("hot", [150_000, 3])
 def test_matches_brute_force(table, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     rng = random.Random(5)
@@ -45,8 +45,9 @@ def test_matches_brute_force(table, monkeypatch, hot):
     check(table(texts))
 
 
-def test_shuffled_joins_give_the_same(table, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SENT_BYTES", 0)
+def test_small_buckets_give_the_same(table, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET_RECORDS", 5)
+    monkeypatch.setattr(substring_dedup, "SORTED_RECORDS", 2)
     rng = random.Random(6)
     one = prose(rng, 50)
     check(table([one, prose(rng, 30) + one, one + prose(rng, 30), "short"]))
