@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, licenses, mixing, near_dedup, personal_data, quality_model, quality_rules, secrets, sharding, substring_dedup
+from lodestone.llm.oracle import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(_table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.deduplicated(_table(spark, sf_dir, "documents"), keep=False)
 
 
 def op9_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_model, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op6_license_notices, op7_quality_rules, op8_suffix_dedup, op9_private_terms, op10_mix_sources)}
 
-ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql()}
+__all__ = ["ORACLE_SQL", "QUERIES"]
