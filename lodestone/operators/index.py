@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions.keys import surrogate_key
 from lodestone.functions.names import NameRules
+from lodestone.functions.text import tokenize
 from lodestone.operators import names as N
 from lodestone.operators import resolve as R
 from lodestone.operators.chunking import chunk_pages
+from lodestone.operators.rank import postings
 from lodestone.operators.tableocr import table_text
 
 
 @dataclass
 class Index:
-    """chunks are annotated ones; compounds is (name, smiles, inchikey, block); entities is (chunk_ord, name, block)."""
+    """chunks are annotated ones with n_tokens; compounds is (name, smiles, inchikey, block); entities is (chunk_ord, name, block); postings is (term, chunk_ord, tf)."""
 
     chunks: DataFrame
     compounds: DataFrame
     entities: DataFrame
     structures: DataFrame | None = None
     tables: DataFrame | None = None
+    postings: DataFrame | None = None
 
 
 def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_candidates: int = C.MAX_CANDIDATES, keyer=surrogate_key) -> Index:
@@ -33,11 +36,12 @@ def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None =
     candidates = N.candidate_names(chunks, lexicon, rules)
     known = R.compounds(R.resolve(N.frequent_names(candidates, max_candidates), lexicon, cache), keyer)
     entities = R.chunk_entities(candidates, known)
-    return Index(R.annotate(chunks, entities), known, entities)
+    counted = R.annotate(chunks, entities).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
+    return Index(counted, known, entities, postings=postings(chunks))
 
 
 def _extended(chunks: DataFrame) -> DataFrame:
-    for name, kind in (("extraction_method", "string"), ("table_ocr_id", "string"), ("image_structure_ids", "array<string>")):
+    for name, kind in (("n_tokens", "int"), ("extraction_method", "string"), ("table_ocr_id", "string"), ("image_structure_ids", "array<string>")):
         if name not in chunks.columns:
             chunks = chunks.withColumn(name, F.lit(None).cast(kind))
     return chunks
@@ -54,7 +58,7 @@ def attach_structures(chunks: DataFrame, records: DataFrame) -> DataFrame:
     passages = accepted.select(
         (F.lit(ATTACHED) + (1 << 58) + F.col("ord")).alias("chunk_ord"), "source_doc", F.col("page_number").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.lit(C.STRUCTURE_PASSAGE).alias("text"), F.lit(False).alias("is_bibliography"),
         F.array().cast("array<string>").alias("compounds"), F.array("block").alias("blocks"), F.lit("structure_ocr").alias("extraction_method"), F.lit(None).cast("string").alias("table_ocr_id"), F.array("id").alias("image_structure_ids"),
-    )
+    ).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
     return kept.unionByName(passages.select(*kept.columns))
 
 
@@ -75,7 +79,7 @@ def attach_tables(chunks: DataFrame, known: DataFrame, report: DataFrame, lexico
     passages = accepted.withColumn("chunk_ord", F.col("ord").cast("long")).join(entities, "chunk_ord", "left").select(
         (F.lit(ATTACHED) + F.col("ord")).alias("chunk_ord"), F.col("filename").alias("source_doc"), F.col("page").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.concat(F.lit(C.TABLE_PASSAGE), F.col("body")).alias("text"), F.lit(False).alias("is_bibliography"),
         F.coalesce("compounds", empty).alias("compounds"), F.coalesce("blocks", empty).alias("blocks"), F.lit("table_ocr").alias("extraction_method"), F.col("id").alias("table_ocr_id"), F.lit(None).cast("array<string>").alias("image_structure_ids"),
-    )
+    ).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
     return kept.unionByName(passages.select(*kept.columns)), compounds
 
 

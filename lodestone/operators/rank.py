@@ -9,25 +9,35 @@ from lodestone import constants as C
 from lodestone.functions import text as T
 
 
-def bm25_scores(chunks: DataFrame, questions: DataFrame, drop_references: bool = True, terms: str | None = None) -> DataFrame:
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_ord, tf): how often each chunk holds each token."""
+    return chunks.select("chunk_ord", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"))
+
+
+def bm25_scores(chunks: DataFrame, questions: DataFrame, drop_references: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_ord, score) of chunks that share a term with a question (question_id, question).
 
     Document frequencies and the mean length are of the chunks given, so a scope must be cut before. Only postings of
     question terms leave the scan: other tokens count towards lengths alone. Question words count as often as they stand.
+    With ``stored`` postings and a column n_tokens nothing is tokenized: the terms pick their postings, the scope its own.
     """
     if drop_references:
         chunks = chunks.where(~F.col("is_bibliography"))
-    tokens = T.tokenize(F.col("text"))
-    lengths = chunks.select("chunk_ord", tokens.alias("tokens"))
-    stats = lengths.agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("mean_length"))
-    asked = questions.select("question_id", F.explode(F.col(terms) if terms else T.query_terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
+    asked = questions.select("question_id", F.explode(T.query_terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
     wanted = asked.select("term").distinct()
-    postings = lengths.select("chunk_ord", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_ord", "length", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if stored is not None:
+        lengths = chunks.select("chunk_ord", F.col("n_tokens").alias("length"))
+        found = stored.join(wanted, "term", "left_semi").join(lengths, "chunk_ord").select("chunk_ord", "length", "term", "tf")
+    else:
+        tokens = chunks.select("chunk_ord", T.tokenize(F.col("text")).alias("tokens"))
+        lengths = tokens.select("chunk_ord", F.size("tokens").alias("length"))
+        found = tokens.select("chunk_ord", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_ord", "length", "term").agg(F.count("*").alias("tf"))
+    stats = lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = F.col("n_chunks"), F.col("mean_length")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("length") / mean))
-    rows = postings.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_ord", (idf * saturated).alias("part"))
+    rows = found.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_ord", (idf * saturated).alias("part"))
     scored = rows.join(asked, "term").groupBy("question_id", "chunk_ord").agg(F.round(F.sum(F.col("part") * F.col("weight")), 3).alias("score"), F.sum(F.col("part") * F.col("weight")).alias("raw"))
     return scored.where("raw > 0").drop("raw")
 
@@ -38,7 +48,7 @@ def top_ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_search(chunks: DataFrame, questions: DataFrame, top_k: int = C.TOP_K, drop_references: bool = True, terms: str | None = None) -> DataFrame:
+def bm25_search(chunks: DataFrame, questions: DataFrame, top_k: int = C.TOP_K, drop_references: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """The best chunks of each question with question_id, score, rank and route."""
-    best = top_ranked(bm25_scores(chunks, questions, drop_references, terms), top_k)
+    best = top_ranked(bm25_scores(chunks, questions, drop_references, stored), top_k)
     return best.join(chunks, "chunk_ord").withColumn("route", F.lit("text"))

@@ -1,7 +1,7 @@
 """Retrieval by text, by structure, by both, and in conversations.
 
 Chunks here are annotated ones, with ``compounds`` and ``blocks``. Result rows keep the chunk's columns and add
-question_id, score, rank and route.
+question_id, score, rank and route. ``stored`` postings of the index save the scan of all texts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def _by_richness(scope: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(order))
 
 
-def structure_search(chunks: DataFrame, questions: DataFrame, block: str, top_k: int = C.TOP_K, drop_references: bool = True) -> DataFrame:
+def structure_search(chunks: DataFrame, questions: DataFrame, block: str, top_k: int = C.TOP_K, drop_references: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """The best chunks of a structure: ranked by the question, or by number of names where it is empty or finds nothing.
 
     Ranking by text always leaves reference lists out, whatever ``drop_references`` says of the fallback.
@@ -43,7 +43,7 @@ def structure_search(chunks: DataFrame, questions: DataFrame, block: str, top_k:
     if drop_references:
         scope = scope.where(~F.col("is_bibliography"))
     asked = questions.where(F.coalesce(F.col("question"), F.lit("")) != "")
-    ranked = bm25_search(scope, asked, top_k)
+    ranked = bm25_search(scope, asked, top_k, stored=stored)
     silent = questions.select("question_id").join(ranked.select("question_id").distinct(), "question_id", "left_anti")
     columns = [*chunks.columns, "question_id", "score", "rank"]
     return ranked.select(*columns).unionByName(_by_richness(scope, silent, top_k).select(*columns)).withColumn("route", F.lit("structure"))
@@ -58,10 +58,10 @@ def _interleaved(routes: list[DataFrame], marker: list[Column], k: int) -> DataF
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("place"))).where(F.col("rank") <= k).drop("copy", "place")
 
 
-def hybrid_search(chunks: DataFrame, questions: DataFrame, block: str, top_k: int = C.TOP_K) -> DataFrame:
+def hybrid_search(chunks: DataFrame, questions: DataFrame, block: str, top_k: int = C.TOP_K, stored: DataFrame | None = None) -> DataFrame:
     """Both routes in turn, so that neither crowds the other out."""
-    text = bm25_search(chunks, questions, top_k)
-    structure = structure_search(chunks, questions, block, top_k).select(*text.columns)
+    text = bm25_search(chunks, questions, top_k, stored=stored)
+    structure = structure_search(chunks, questions, block, top_k, stored=stored).select(*text.columns)
     return _interleaved([structure, text], [F.col("source_doc"), F.col("page_number"), F.left("text", F.lit(60))], top_k)
 
 
@@ -107,25 +107,25 @@ def expand_source_pages(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).withColumn("context_scope", F.lit("same-page expansion")).withColumn("context_chunks", F.coalesce("context_chunks", F.lit(0))).drop("words")
 
 
-def conversation_hits(chunks: DataFrame, questions: DataFrame, history: DataFrame, block: str, top_k: int = C.CHAT_TOP_K) -> DataFrame:
+def conversation_hits(chunks: DataFrame, questions: DataFrame, history: DataFrame, block: str, top_k: int = C.CHAT_TOP_K, stored: DataFrame | None = None) -> DataFrame:
     """Ranked chunks of the structure for each question in its conversation, before pages are expanded.
 
     The question's own ranking, and for follow-ups also that of the question in its context, in turn.
     """
     scope = with_block(chunks, block).where(~F.col("is_bibliography"))
-    current = bm25_search(scope, questions, top_k)
+    current = bm25_search(scope, questions, top_k, stored=stored)
     follow_ups = questions.where(T.is_follow_up(F.col("question"))).join(history.select("question_id").distinct(), "question_id", "left_semi")
     asked = retrieval_query(follow_ups, history).select("question_id", F.col("contextual").alias("question"))
-    contextual = bm25_search(scope, asked, top_k)
+    contextual = bm25_search(scope, asked, top_k, stored=stored)
     hits = _interleaved([current, contextual], [F.col("source_doc"), F.col("page_number"), F.col("text")], top_k).withColumn("route", F.lit("structure"))
     silent = questions.select("question_id").join(hits.select("question_id").distinct(), "question_id", "left_anti")
     fallback = _by_richness(scope, silent, min(top_k, C.CHAT_TOP_K)).withColumn("route", F.lit("structure"))
     return hits.unionByName(fallback.select(*hits.columns))
 
 
-def conversation_search(chunks: DataFrame, questions: DataFrame, history: DataFrame, block: str, top_k: int = C.CHAT_TOP_K) -> DataFrame:
+def conversation_search(chunks: DataFrame, questions: DataFrame, history: DataFrame, block: str, top_k: int = C.CHAT_TOP_K, stored: DataFrame | None = None) -> DataFrame:
     """conversation_hits on expanded pages."""
-    return expand_source_pages(conversation_hits(chunks, questions, history, block, top_k), chunks)
+    return expand_source_pages(conversation_hits(chunks, questions, history, block, top_k, stored), chunks)
 
 
 def documents_for_structure(chunks: DataFrame, known: DataFrame, block: str) -> DataFrame:
@@ -146,7 +146,7 @@ def checked_retrieval(chunks: DataFrame, question: str, block: str, top_k: int)
     return structure_search(chunks, asked, block, top_k).withColumn("on_structure", F.array_contains("blocks", block))
 
 
-def compare_routes(chunks: DataFrame, questions: DataFrame, block: str, top_k: int = C.TOP_K) -> DataFrame:
+def compare_routes(chunks: DataFrame, questions: DataFrame, block: str, top_k: int = C.TOP_K, stored: DataFrame | None = None) -> DataFrame:
     """Text hits and structure hits side by side, told apart by route."""
-    text = bm25_search(chunks, questions, top_k)
-    return text.unionByName(structure_search(chunks, questions, block, top_k).select(*text.columns))
+    text = bm25_search(chunks, questions, top_k, stored=stored)
+    return text.unionByName(structure_search(chunks, questions, block, top_k, stored=stored).select(*text.columns))

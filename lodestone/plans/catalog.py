@@ -68,6 +68,17 @@ def bm25_topk(spark, sf_dir):
     return rank.bm25_search(chunks_of(spark, sf_dir), one_question(spark), 10).select(*HITS, "source_doc", "page_number", "route", "text")
 
 
+@query
+def bm25_stored(spark, sf_dir):
+    built = index_of(spark, sf_dir)
+    return rank.bm25_search(built.chunks, one_question(spark), 10, stored=built.postings).select(*HITS)
+
+
+@query
+def stored_postings(spark, sf_dir):
+    return rank.postings(chunks_of(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_tokens"))
+
+
 @query
 def bm25_batch(spark, sf_dir):
     return rank.bm25_search(chunks_of(spark, sf_dir), benchmark_questions(spark, sf_dir), C.TOP_K).select(*HITS)
@@ -182,29 +193,33 @@ def structure_filter(spark, sf_dir):
 
 @query
 def structure_search(spark, sf_dir):
-    return search.structure_search(index_of(spark, sf_dir).chunks, one_question(spark), BLOCK, 6).select(*HITS, "route")
+    built = index_of(spark, sf_dir)
+    return search.structure_search(built.chunks, one_question(spark), BLOCK, 6, stored=built.postings).select(*HITS, "route")
 
 
 @query
 def structure_fallback(spark, sf_dir):
     asked = X.frame(spark, [(0, ""), (1, "zzzz qqqq"), (2, None)], "question_id long, question string")
-    return search.structure_search(index_of(spark, sf_dir).chunks, asked, BLOCK, 6).select(*HITS, "route")
+    built = index_of(spark, sf_dir)
+    return search.structure_search(built.chunks, asked, BLOCK, 6, stored=built.postings).select(*HITS, "route")
 
 
 @query
 def scoped_documents_search(spark, sf_dir):
-    scope = search.in_documents(index_of(spark, sf_dir).chunks, DOCUMENTS)
-    return search.structure_search(scope, one_question(spark), BLOCK, 6).select(*HITS)
+    built = index_of(spark, sf_dir)
+    return search.structure_search(search.in_documents(built.chunks, DOCUMENTS), one_question(spark), BLOCK, 6, stored=built.postings).select(*HITS)
 
 
 @query
 def hybrid_interleave(spark, sf_dir):
-    return search.hybrid_search(index_of(spark, sf_dir).chunks, one_question(spark), BLOCK, 8).select(*HITS, "route")
+    built = index_of(spark, sf_dir)
+    return search.hybrid_search(built.chunks, one_question(spark), BLOCK, 8, built.postings).select(*HITS, "route")
 
 
 @query
 def route_comparison(spark, sf_dir):
-    return search.compare_routes(index_of(spark, sf_dir).chunks, one_question(spark), BLOCK, 5).select(*HITS, "route")
+    built = index_of(spark, sf_dir)
+    return search.compare_routes(built.chunks, one_question(spark), BLOCK, 5, built.postings).select(*HITS, "route")
 
 
 @query
@@ -226,13 +241,15 @@ def retrieval_query(spark, sf_dir):
 @query
 def conversation_search(spark, sf_dir):
     questions, history = conversation_turns(spark, sf_dir)
-    return search.conversation_hits(index_of(spark, sf_dir).chunks, questions, history, BLOCK).select(*HITS)
+    built = index_of(spark, sf_dir)
+    return search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings).select(*HITS)
 
 
 @query
 def page_expansion(spark, sf_dir):
-    chunks = index_of(spark, sf_dir).chunks
-    hits = search.structure_search(chunks, one_question(spark), BLOCK, 8)
+    built = index_of(spark, sf_dir)
+    chunks = built.chunks
+    hits = search.structure_search(chunks, one_question(spark), BLOCK, 8, stored=built.postings)
     return search.expand_source_pages(hits, chunks).select("rank", "source_doc", "page_number", "text", "anchor_text", "context_scope", "context_chunks")
 
 

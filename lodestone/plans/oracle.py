@@ -220,6 +220,8 @@ _FOLLOWUP_TAIL = "trim(split_part(substr(raw, instr(raw, '<followups>') + 11), '
 
 ORACLE: dict[str, str] = {
     "bm25_topk": f"with {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS}, source_doc, page_number, 'text' as route, text from best join chunks using (chunk_ord)",
+    "bm25_stored": f"with {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS} from best",
+    "stored_postings": f"with {CHUNKS} select term, count(distinct chunk_ord) as n_chunks, count(*) as n_tokens from (select chunk_ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from chunks) group by term",
     "bm25_batch": f"with {CHUNKS},{bm25('best', 'chunks', '(select item_id as question_id, text as question from benchmark)', C.TOP_K)} select {HIT_COLUMNS} from best",
     "chunk_windows": f"with {CHUNKS} select * from chunks",
     "chunk_token_stats": f"with {CHUNKS} select chunk_ord, cast(len(ts) as integer) as n_tokens, cast(len(list_distinct(ts)) as integer) as n_distinct from (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from chunks)",

@@ -38,10 +38,12 @@ def merged_cache(cache: DataFrame, looked_up: DataFrame) -> DataFrame:
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
-    """Chunks partitioned by nothing and ordered by document, entities ordered by structure: scans of either prune row groups."""
+    """Chunks are ordered by document, entities by structure and postings by term, so that scans prune row groups."""
     index.chunks.sortWithinPartitions("source_doc", "chunk_ord").write.mode(mode).parquet(f"{path}/chunks")
     index.entities.repartitionByRange("block", "chunk_ord").sortWithinPartitions("block", "chunk_ord").write.mode(mode).parquet(f"{path}/entities")
     index.compounds.write.mode(mode).parquet(f"{path}/compounds")
+    if index.postings is not None:
+        index.postings.repartitionByRange("term", "chunk_ord").sortWithinPartitions("term", "chunk_ord").write.mode(mode).parquet(f"{path}/postings")
     for name in ("structures", "tables"):
         if (table := getattr(index, name)) is not None:
             table.write.mode(mode).parquet(f"{path}/{name}")
@@ -57,7 +59,7 @@ def read_index(spark: SparkSession, *paths: str) -> Index:
                 raise
             continue
         optional = {}
-        for name in ("structures", "tables"):
+        for name in ("structures", "tables", "postings"):
             try:
                 optional[name] = spark.read.parquet(f"{path}/{name}")
             except AnalysisException as error:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.operators import facts, images, index, structocr, tableocr
-from lodestone.plans import catalog, fixtures
+from lodestone.plans import catalog, fixtures, runs
 from lodestone.sources import adapters, tables
 from lodestone.streaming.ingest import start_ingest
 
@@ -145,3 +145,26 @@ def test_streaming_ingest(spark, tmp_path):
         start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == 3
     assert {r.name for r in spark.read.parquet(str(tmp_path / "out/names")).collect()} == {"paracetamol", "caffeine"}
+
+
+def test_whole_runs(spark, tmp_path):
+    (tmp_path / "A_x.pdf").write_bytes(b"file")
+    files = adapters.pdf_files(spark, str(tmp_path))
+    embedded = adapters.pdf_images(files, lambda content: [(1, 0, 1601, 5, 10, "/a", ["/F"], b"strip"), (1, 1, 300, 300, 10, "/b", None, b"good"), (2, 0, 300, 290, 10, "/c", None, b"bad")])
+    found = runs.inventory(embedded)
+    assert {(r.image_index, r.page): (r.label, r.paper_id) for r in found.collect()} == {(0, 1): ("table_image", "A"), (1, 1): ("structure_drawing", "A"), (0, 2): ("structure_drawing", "A")}
+
+    def recognise(content):
+        if content.startswith(b"bad"):
+            raise ValueError
+        return "CC(=O)Nc1ccc(O)cc1"
+
+    records = runs.run_structure_ocr(found, adapters.page_images(files, lambda content, dpi: [b"page", b"page"]), lambda image: [image, image], recognise).collect()
+    assert sorted((r.page_number, r.source_kind, r.status) for r in records) == [(1, "embedded", "accepted"), (2, "embedded", "refused"), (2, "embedded", "refused"), (2, "page_segment", "accepted")]
+    assert all(r.id.startswith("ocsr_") for r in records)
+    with pytest.raises(ValueError, match="neither"):
+        runs.run_structure_ocr(None, None, lambda image: [], recognise)
+    tables_ = found.withColumn("label", F.lit("table_image")).withColumn("content", F.expr("if(page = 2, null, content)"))
+    words = {"level": [5] * 4, "conf": [90] * 4, "text": ["A", "B", "1", "2"], "left": [10, 120, 10, 120], "top": [10, 10, 50, 50], "width": [40] * 4, "height": [16] * 4}
+    got = sorted((r.page, r.image_index, r.status, r.reason) for r in runs.run_table_ocr(tables_, lambda content: words).collect())
+    assert got == [(1, 0, "skipped", "thin_table_rule"), (1, 1, "accepted", None), (2, 0, "refused", "decode_failed")]

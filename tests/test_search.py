@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import surrogate_block
+from lodestone.functions.text import tokenize
 from lodestone.operators import chat, coverage, index, search
 from lodestone.operators import resolve as R
-from lodestone.operators.rank import bm25_search
+from lodestone.operators.rank import bm25_search, postings
 from lodestone.sources.tables import evidence_json, merged_cache, read_index, read_lexicon, write_index, write_name_cache
 
 CHUNK = "chunk_ord long, source_doc string, page_number long, text string, is_bibliography boolean, compounds array<string>, blocks array<string>"
@@ -186,3 +187,12 @@ def test_follow_up_suggestions(spark):
     raw = ['Answer <followups>["Next?", "Next?"]</followups>', "Answer <followups>invalid</followups>", "no tag ", f'x <followups>["{"y" * 181}", 3, "a", "b", "c", "d"]</followups>']
     rows = chat.split_follow_ups(spark.createDataFrame(list(enumerate(raw)), "answer_id int, raw string")).orderBy("answer_id").collect()
     assert [(r.body, r.followups) for r in rows] == [("Answer", ["Next?"]), ("Answer", []), ("no tag ", []), ("x", ["a", "b", "c"])]
+
+
+def test_stored_postings_give_the_same_ranking(spark, chunks):
+    stored = postings(chunks)
+    counted = chunks.withColumn("n_tokens", F.size(tokenize(F.col("text"))))
+    q = asked(spark, "red water", "", "salt acid heat")
+    for plain, quick in ((search.structure_search(chunks, q, B, 5), search.structure_search(counted, q, B, 5, stored=stored)), (search.hybrid_search(chunks, q, B, 5), search.hybrid_search(counted, q, B, 5, stored))):
+        columns = ["question_id", "rank", "chunk_ord", "score", "route"]
+        assert sorted(map(str, plain.select(*columns).collect())) == sorted(map(str, quick.select(*columns).collect()))
