@@ -170,7 +170,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     terms = materialize(pairs.select("term").distinct().mapInArrow(_hashed, "term string, h long"), "terms")
     n_terms = terms.count()
     if n_terms <= HELD_TERMS:
-        held = np.unique(np.array([r.h for r in terms.select("h").collect()], dtype=np.int64).view(np.uint64))
+        held = np.unique(terms.select("h").toArrow().column("h").to_numpy().view(np.uint64))
         shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
