@@ -30,7 +30,7 @@ def _by_richness(scope: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Without any text to go by: chunks with most names first, in corpus order, without a score."""
     first = scope.orderBy(F.desc(F.size("compounds")), "chunk_ord").limit(k)
     order = Window.partitionBy("question_id").orderBy(F.desc(F.size("compounds")), "chunk_ord")
-    rows = first.crossJoin(F.broadcast(questions.select("question_id")))
+    rows = questions.select("question_id").crossJoin(F.broadcast(first))
     return rows.withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(order))
 
 
@@ -92,7 +92,7 @@ def expand_source_pages(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("question_id", *pages).orderBy("rank"))
     anchors = sources.withColumn("copy", first).where("copy = 1").drop("copy")
     wanted = anchors.select(*pages).distinct()
-    parts = chunks.where(~F.col("is_bibliography")).join(F.broadcast(wanted), pages, "left_semi").groupBy(*pages).agg(F.sort_array(F.collect_list(F.struct("chunk_ord", "text"))).alias("parts"))
+    parts = chunks.where(~F.col("is_bibliography")).join(wanted, pages, "left_semi").groupBy(*pages).agg(F.sort_array(F.collect_list(F.struct("chunk_ord", "text"))).alias("parts"))
 
     def append(have: Column, part: Column) -> Column:
         following = T.words(part["text"])
