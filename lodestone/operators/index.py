@@ -30,14 +30,25 @@ class Index:
     postings: DataFrame | None = None
 
 
-def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_candidates: int = C.MAX_CANDIDATES, keyer=surrogate_key) -> Index:
-    """Chunk, find names, resolve the most frequent once each, and write keys back on the chunks."""
-    chunks = chunk_pages(pages)
-    candidates = N.candidate_names(chunks, lexicon, rules)
-    known = R.compounds(R.resolve(N.frequent_names(candidates, max_candidates), lexicon, cache), keyer)
-    entities = R.chunk_entities(candidates, known)
-    counted = R.annotate(chunks, entities).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
-    return Index(counted, known, entities, postings=postings(chunks))
+def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_candidates: int = C.MAX_CANDIDATES, keyer=surrogate_key, folder: str | None = None) -> Index:
+    """Chunk, find names, resolve the most frequent once each, and write keys back on the chunks.
+
+    With a ``folder`` chunks, candidates and compounds are written there first and read back, so that pages are cut and
+    searched once, however many tables of the index are written from them.
+    """
+
+    def staged(table: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return table
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return table.sparkSession.read.parquet(f"{folder}/{name}")
+
+    chunks = staged(chunk_pages(pages).withColumn("n_tokens", F.size(tokenize(F.col("text")))), "staged_chunks")
+    candidates = staged(N.candidate_names(chunks, lexicon, rules), "staged_candidates")
+    known = staged(R.compounds(R.resolve(N.frequent_names(candidates, max_candidates), lexicon, cache), keyer), "staged_compounds")
+    # compounds are as many as candidates were let through
+    entities = R.chunk_entities(candidates, F.broadcast(known))
+    return Index(R.annotate(chunks, entities), known, entities, postings=postings(chunks))
 
 
 def _extended(chunks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions import text as T
 from lodestone.functions.names import NameRules, looks_like_name
+from lodestone.functions.sizes import sent_if_few
 
 
 def _tokens(chunks: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def lexical_names(chunks: DataFrame, rules: NameRules = NameRules()) -> DataFram
 
 def hyphen_part_names(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Known names among the parts of hyphenated words that aren't known as a whole."""
-    known = vocabulary.select("name").distinct()
+    known = sent_if_few(vocabulary.select("name").distinct())
     whole = _tokens(chunks).where(F.col("word").contains("-")).select("chunk_ord", "word").distinct().join(known.withColumnRenamed("name", "word"), "word", "left_anti")
     parts = whole.select("chunk_ord", F.explode(F.split("word", "-")).alias("part")).select("chunk_ord", T.clean_token(F.col("part")).alias("name"))
     return parts.join(known, "name", "left_semi").select("chunk_ord", "name").distinct()
@@ -34,7 +35,7 @@ def hyphen_part_names(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def joined_names(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Known names that a blank had split into two neighbouring tokens."""
     pairs = _tokens(chunks).where("word <> '' and next <> ''").select("chunk_ord", F.concat("word", "next").alias("name"))
-    return pairs.join(vocabulary.select("name").distinct(), "name", "left_semi").select("chunk_ord", "name").distinct()
+    return pairs.join(sent_if_few(vocabulary.select("name").distinct()), "name", "left_semi").select("chunk_ord", "name").distinct()
 
 
 def acid_names(chunks: DataFrame) -> DataFrame:

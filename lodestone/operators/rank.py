@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
+from lodestone.functions.sizes import sent_if_few
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame, drop_references: bool =
     if drop_references:
         chunks = chunks.where(~F.col("is_bibliography"))
     asked = questions.select("question_id", F.explode(T.query_terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
-    wanted = asked.select("term").distinct()
+    wanted = sent_if_few(asked.select("term").distinct())
     if stored is not None:
         lengths = chunks.select("chunk_ord", F.col("n_tokens").alias("length"))
         found = stored.join(wanted, "term", "left_semi").join(lengths, "chunk_ord").select("chunk_ord", "length", "term", "tf")
@@ -33,6 +34,7 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame, drop_references: bool =
         lengths = tokens.select("chunk_ord", F.size("tokens").alias("length"))
         found = tokens.select("chunk_ord", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_ord", "length", "term").agg(F.count("*").alias("tf"))
     stats = lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
+    # few rows are left for each term, so statistics meet them without another pass over the tokens
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = F.col("n_chunks"), F.col("mean_length")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -38,7 +38,7 @@ def compounds(resolved: DataFrame, keyer=surrogate_key) -> DataFrame:
 
 def chunk_entities(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """(chunk_ord, name, block): candidates that have a key, one row each."""
-    return candidates.join(known.select("name", "block"), "name").select("chunk_ord", "name", "block")
+    return candidates.join(known, "name").select("chunk_ord", "name", "block")
 
 
 def annotate(chunks: DataFrame, entities: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index over the documents: built and written by the first query of a session that needs it, read by the others."""
-    return built_once(spark, sf_dir, lambda: index.build_index(pages(spark, sf_dir), X.lexicon(spark), X.cache(spark), X.RULES, X.MAX_CANDIDATES))
+    return built_once(spark, sf_dir, lambda folder: index.build_index(pages(spark, sf_dir), X.lexicon(spark), X.cache(spark), X.RULES, X.MAX_CANDIDATES, folder=folder))
 
 
 def one_question(spark: SparkSession, question: str = X.QUESTION) -> DataFrame:

@@ -19,10 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def built_once(spark: SparkSession, key: str, build) -> Index:
-    """The index that ``build()`` gives, written on the first call of a session and read on later ones."""
+    """The index that ``build(folder)`` gives, written on the first call of a session and read on later ones."""
     known = (spark.sparkContext.applicationId, key)
     if known not in _built:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        write_index(build(), path)
+        write_index(build(path), path)
         _built[known] = path
     return read_index(spark, _built[known])
