@@ -27,7 +27,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = sharding.assign(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     return rows.select("doc_id", F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit(sharding.LAW).alias("law"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

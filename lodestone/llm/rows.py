@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 _ROW = "row"
 
 
-def packed(docs: DataFrame, **own: Column) -> DataFrame:
-    """A single column with the whole row, and the operator's own columns beside it, computed from the row's."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW), *[c.alias(name) for name, c in own.items()])
+def packed(docs: DataFrame, kept: list[str] | None = None, **own: Column) -> DataFrame:
+    """A single column with the row, or with its ``kept`` columns, and the operator's own columns beside it, computed from the row's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in kept or docs.columns]).alias(_ROW), *[c.alias(name) for name, c in own.items()])
 
 
 def cell(name: str) -> Column:

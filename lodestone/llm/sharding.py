@@ -57,10 +57,10 @@ def equal_bounds(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (s < rows % shards) for s in range(shards)], dtype=np.int64)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with shard_ and slot_, size_ (UTF-8 bytes plus 1) and crc_ added, or replaced; needs doc_id and text.
 
-    With ``slack`` each shard may hold that share above the equal one, and fewer documents move when shards are added;
+    Of the input's columns only ``columns`` go along, if given. With ``slack`` each shard may hold that share above the equal one, and fewer documents move when shards are added;
     counts may then differ by more than one. A null text has size 1; null ids share a place on the ring. Repeated rows
     are separate documents. No rows give no rows.
     """
@@ -92,7 +92,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_N
     cells = cells.withColumn("cells_before", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     offsets = cells.join(parts, "part").select("cell", (F.col("parts_before") + F.col("cells_before")).alias("offset"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = packed(docs, at=F.xxhash64("doc_id"), id=F.col("doc_id"), size=F.octet_length(text).cast("long") + F.lit(1).cast("long"), crc=F.crc32(text.cast("binary"))).withColumn("cell", top(fine))
+    sized = packed(docs, columns, at=F.xxhash64("doc_id"), id=F.col("doc_id"), size=F.octet_length(text).cast("long") + F.lit(1).cast("long"), crc=F.crc32(text.cast("binary"))).withColumn("cell", top(fine))
     ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("at", "id", "crc", "size"))).join(offsets, "cell")
     placed = ranked.withColumn("to", place(F.col("offset") + F.col("rank") - 1))
-    return unpacked(placed, docs.columns, size_=F.col("size"), crc_=F.col("crc"), shard_=F.col("to.shard"), slot_=F.col("to.slot"))
+    return unpacked(placed, columns or docs.columns, size_=F.col("size"), crc_=F.col("crc"), shard_=F.col("to.shard"), slot_=F.col("to.slot"))
