@@ -16,3 +16,9 @@ def sent_if_few(side: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     corpus, is not shuffled to meet a handful of rows.
     """
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def spread_if_few(table: DataFrame) -> DataFrame:
+    """``table`` dealt over all cores if its files give fewer partitions than there are cores, as one small file does; large tables stay where they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

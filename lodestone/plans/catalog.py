@@ -9,6 +9,7 @@ from lodestone import constants as C
 from lodestone.functions import keys as K
 from lodestone.functions import names as FN
 from lodestone.functions import text as T
+from lodestone.functions.sizes import spread_if_few
 from lodestone.operators import chat, coverage, facts, images, index, rank, search, structocr, tableocr
 from lodestone.operators import names as N
 from lodestone.operators import resolve as R
@@ -32,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pages(table(spark, sf_dir, "documents"))
+    return document_pages(spread_if_few(table(spark, sf_dir, "documents")))
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
