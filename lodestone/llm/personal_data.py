@@ -3,8 +3,11 @@
 Identifiers are found by pattern. Terms near an identifier are then weighed by information: with N distinct texts, an
 identifier in e of them, a term in t and both near each other in c, the term's pointwise mutual information with the
 identifier is log2(c * N / (e * t)), at most the identifier's own information log2(N / e). A term whose share of that
-reaches ``DISCLOSES``, on ``SUPPORT`` texts or more, discloses the identifier where it stands near it, and is
-generalised or removed like the identifier. All counts are over the whole corpus, copies of a text counted once.
+reaches ``DISCLOSES`` discloses the identifier where it stands near it, and is generalised or removed like the identifier,
+unless chance explains it: c meetings of e and t out of N texts have at most the probability exp(-e * D(c / e || t / N)),
+D being the relative entropy in nats, and that times the identifier's number of tried terms must not exceed ``CHANCE``.
+An identifier of a single text is weighed like any other. All counts are over the whole corpus, copies of a text counted
+once.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.rows import cell, packed, unpacked
@@ -25,7 +28,8 @@ from lodestone.llm.textarrays import ALNUM, groups, words_of
 BASE = ("email", "ip", "card", "phone")
 TERM = "term"
 DISCLOSES = 0.8
-SUPPORT = 3
+#: Bound of the number of terms that an identifier gets by chance.
+CHANCE = 0.05
 #: Code points on either side of an identifier in which terms are weighed.
 NEAR = 120
 LEAST_TERM = 4
@@ -161,12 +165,20 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("term"), pa.array(h.view(np.int64))], names=["term", "h"])
 
 
+def _entropy(share: Column, chance: Column) -> Column:
+    """Relative entropy of two shares in nats; 0 * log(0) is 0."""
+    def part(a: Column, b: Column) -> Column:
+        return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+
+    return part(share, chance) + part(1 - share, 1 - chance)
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(identifier, term) pairs that reach the thresholds, from the identified texts and the corpus."""
     near = found.select("content", F.explode("near").alias("x")).select("content", "x.identifier", "x.term").distinct()
-    pairs = near.groupBy("identifier", "term").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
+    pairs = near.groupBy("identifier", "term").agg(F.count("*").alias("c"))
     pairs = materialize(pairs, "pairs")
-    texts = near.select("identifier", "content").distinct().groupBy("identifier").agg(F.count("*").alias("e")).where(F.col("e") >= SUPPORT)
+    texts = near.groupBy("identifier", "content").agg(F.count("*").alias("n")).groupBy("identifier").agg(F.count("*").alias("e"), F.sum("n").alias("tried"))
     terms = materialize(pairs.select("term").distinct().mapInArrow(_hashed, "term string, h long"), "terms")
     n_terms = terms.count()
     if n_terms <= HELD_TERMS:
@@ -182,7 +194,10 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     weighed = pairs.join(texts, "identifier").join(terms, "term").join(df, "h")
     own = F.log2(F.lit(float(total)) / F.col("e"))
     shared_bits = F.log2(F.col("c") * float(total) / (F.col("e") * F.col("t")))
-    return weighed.where((own > 0) & (shared_bits >= DISCLOSES * own)).select("identifier", "term")
+    # the same bound holds with the identifier's and the term's texts exchanged
+    e, t, c = (F.col(x).cast("double") for x in "etc")
+    rare = F.greatest(e * _entropy(c / e, t / total), t * _entropy(c / t, e / total)) >= F.log(F.col("tried") / CHANCE)
+    return weighed.where((own > 0) & (shared_bits >= DISCLOSES * own) & rare).select("identifier", "term")
 
 
 def private_spans(docs: DataFrame) -> DataFrame:

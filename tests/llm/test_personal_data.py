@@ -76,3 +76,14 @@ def test_joined_counts_agree_with_sent_ones(table, monkeypatch):
 
 def test_empty_table(table):
     assert P.private_spans(table([])).count() == 0
+
+
+def test_identifier_of_one_text_has_disclosing_terms(table):
+    rng = random.Random(7)
+    texts = [prose(rng, 12, 40) for _ in range(400)]
+    texts[7] = "w1 w2 zebrafinch keeper me@x.org w3 w4"
+    texts[9] = "w1 keeper w5"
+    texts[11:60] = [f"{t} keeper" for t in texts[11:60]]
+    spans = {r.doc_id: r.spans for r in P.private_spans(table(texts)).collect()}
+    assert [texts[7][s.start : s.stop] for s in spans[7] if s.kind == P.TERM] == ["zebrafinch"]
+    assert not any(spans[i] for i in spans if i != 7)
