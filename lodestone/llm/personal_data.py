@@ -189,8 +189,8 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
             yield from _term_counts(shared.value)(batches)
     else:
         count = _term_counts(None)
-    df = docs.select("text").mapInArrow(count, "h long, texts long").groupBy("h").agg(F.sum("texts").alias("t"))
-    total = docs.count()
+    df = docs.select("content", "text").dropDuplicates(["content"]).select("text").mapInArrow(count, "h long, texts long").groupBy("h").agg(F.sum("texts").alias("t"))
+    total = found.select("content").distinct().count()
     weighed = pairs.join(texts, "identifier").join(terms, "term").join(df, "h")
     own = F.log2(F.lit(float(total)) / F.col("e"))
     shared_bits = F.log2(F.col("c") * float(total) / (F.col("e") * F.col("t")))

@@ -87,3 +87,13 @@ def test_identifier_of_one_text_has_disclosing_terms(table):
     spans = {r.doc_id: r.spans for r in P.private_spans(table(texts)).collect()}
     assert [texts[7][s.start : s.stop] for s in spans[7] if s.kind == P.TERM] == ["zebrafinch"]
     assert not any(spans[i] for i in spans if i != 7)
+
+
+def test_copies_of_a_disclosing_text_count_once(table):
+    rng = random.Random(8)
+    texts = [prose(rng, 12, 40) for _ in range(400)]
+    texts[:3] = [f"{prose(rng, 4, 40)} zebrafinch me@x.org {prose(rng, 4, 40)}" for _ in range(3)]
+    texts += [texts[0]] * 300
+    spans = {r.doc_id: r.spans for r in P.private_spans(table(texts)).collect()}
+    for i in (0, 1, 2, 400, 699):
+        assert [texts[i][s.start : s.stop] for s in spans[i] if s.kind == P.TERM] == ["zebrafinch"]
