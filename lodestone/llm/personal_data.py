@@ -1,13 +1,13 @@
 """Personal data, and terms that give it away.
 
-Identifiers are found by pattern. Terms near an identifier are then weighed by information: with N distinct texts, an
-identifier in e of them, a term in t and both near each other in c, the term's pointwise mutual information with the
-identifier is log2(c * N / (e * t)), at most the identifier's own information log2(N / e). A term whose share of that
-reaches ``DISCLOSES`` discloses the identifier where it stands near it, and is generalised or removed like the identifier,
-unless chance explains it: c meetings of e and t out of N texts have at most the probability exp(-e * D(c / e || t / N)),
-D being the relative entropy in nats, and that times the identifier's number of tried terms must not exceed ``CHANCE``.
-An identifier of a single text is weighed like any other. All counts are over the whole corpus, copies of a text counted
-once.
+Identifiers are found by pattern. Words of the texts that hold them are then weighed by information: with N distinct
+texts, an identifier in e of them, a term in t and both in c, the term's pointwise mutual information with the identifier
+is log2(c * N / (e * t)), at most the identifier's own information log2(N / e). A term whose share of that reaches
+``DISCLOSES`` discloses the identifier, unless chance explains it: c meetings of e and t out of N texts have at most the
+probability exp(-e * D(c / e || t / N)), D being the relative entropy in nats, and that times the identifier's number of
+tried terms must not exceed ``CHANCE``. An identifier of a single text is weighed like any other. All counts are over the
+whole corpus, copies of a text counted once. A disclosing term is generalised or removed like the identifiers wherever it
+stands, also in texts without any.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,8 @@ TERM = "term"
 DISCLOSES = 0.8
 #: Bound of the number of terms that an identifier gets by chance.
 CHANCE = 0.05
-#: Code points on either side of an identifier in which terms are weighed.
-NEAR = 120
-LEAST_TERM = 4
-#: Bound of the candidate terms that are sent to all tasks, 16 MB; beyond it, terms of all texts are joined.
+#: Bound of the candidate terms, of the disclosing ones and of the repeated texts' digests that are sent to all tasks, 16 MB
+#: (32 MB for digests); beyond it, terms of all texts are joined, and texts are moved to be told apart.
 HELD_TERMS = 2_000_000
 
 #: Counts that a task gathers before it passes them on.
@@ -46,7 +45,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -82,52 +80,83 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], BASE.index(x[2])))
 
 
-def _hash(values: list[str]) -> np.ndarray:
-    """64-bit hashes that equal those of whole words in texts."""
-    words = words_of([v.encode() for v in values], ALNUM)
-    return words.hashes()[words.bounds[:-1]] if len(values) else np.zeros(0, dtype=np.uint64)
+def _words(texts: list[bytes | None], spans: list[list[tuple[int, int, str]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: the hashes of its words outside of its spans, with their starts and stops in code points."""
+    words = words_of(texts, ALNUM)
+    h = words.hashes()
+    point = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+    for i, own in enumerate(spans):
+        part = slice(words.bounds[i], words.bounds[i + 1])
+        start, stop = (point[x[part]] - point[words.text_start[i]] for x in (words.start, words.end))
+        free = np.ones(len(start), dtype=bool)
+        if own:
+            covered = np.maximum.accumulate([0, *(b for _, b, _ in own)])
+            free = covered[np.searchsorted([a for a, _, _ in own], stop, "left")] <= start
+        yield h[part][free], start[free], stop[free]
 
 
-def _near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(identifier, term, start, end) of words near identifiers and outside of all of them; a word that the edge of the neighbourhood cuts doesn't count."""
-    out = []
-    covered = np.array([a for a, _, _ in spans]), np.maximum.accumulate([b for _, b, _ in spans])
-    for a, b, kind in spans:
-        name = f"{kind}:{text[a:b].translate(_LOWER)}"
-        low, high = max(0, a - NEAR), min(len(text), b + NEAR)
-        around = text[low:high].translate(_LOWER)
-        for m in _TERM.finditer(around):
-            start, end = low + m.start(), low + m.end()
-            if (m.start() == 0 and low) or (end == high and high < len(text)) or end - start < LEAST_TERM:
+_FOUND = "content string, identifiers array<string>, terms array<long>"
+_SPANS = "doc_id long, spans array<struct<start:bigint,stop:bigint,kind:string>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
+
+
+def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold identifiers, with the distinct hashes of their other words."""
+    for batch in batches:
+        contents = batch.column("content")
+        for part, raw in groups(batch):
+            texts = [(t or b"").decode() for t in raw]
+            spans = [base_spans(t) for t in texts]
+            at = [i for i, own in enumerate(spans) if own]
+            if not at:
                 continue
-            before = int(np.searchsorted(covered[0], end, "left"))
-            if not before or covered[1][before - 1] <= start:
-                out.append((name, m[0], start, end))
-    return out
+            names = [sorted({f"{kind}:{texts[i][a:b].translate(_LOWER)}" for a, b, kind in spans[i]}) for i in at]
+            terms = [np.unique(h).view(np.int64) for h, _, _ in _words([raw[i] for i in at], [spans[i] for i in at])]
+            content = contents[part].take(pa.array(at))
+            yield pa.record_batch([content, pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))], names=["content", "identifiers", "terms"])
 
 
-_FOUND = "doc_id long, content string, spans array<struct<start:bigint,stop:bigint,kind:string>>, near array<struct<identifier:string,term:string,start:bigint,stop:bigint>>"
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
-_NEAR = pa.list_(pa.struct([("identifier", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
+def _held(h: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of the hashes are among the sorted ``held`` ones."""
+    return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h if len(held) else np.zeros(len(h), dtype=bool)
 
 
-def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spanned(held: np.ndarray | None):
+    """Rows (doc_id, spans): identifiers, and words that are among ``held`` or, without it, among the row's own ``terms``."""
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in groups(batch):
+                spans = [base_spans((t or b"").decode()) for t in raw]
+                own = [held] * len(raw) if held is not None else [np.sort(np.array(x or [], dtype=np.int64).view(np.uint64)) for x in batch.column("terms")[part].to_pylist()]
+                rows = []
+                for base, known, (h, start, stop) in zip(spans, own, _words(raw, spans), strict=True):
+                    at = _held(h, known)
+                    rows.append([{"start": a, "stop": b, "kind": k} for a, b, k in base] + [{"start": a, "stop": b, "kind": TERM} for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+                yield pa.record_batch([batch.column("doc_id")[part], pa.array(rows, _SPAN)], names=["doc_id", "spans"])
+
+    return span
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, near = [], []
-        for value in batch.column("text"):
-            text = value.as_py() or ""
-            own = base_spans(text)
-            spans.append([{"start": a, "stop": b, "kind": k} for a, b, k in own])
-            near.append([{"identifier": e, "term": t, "start": a, "stop": b} for e, t, a, b in _near_terms(text, own)] if own else [])
-        yield pa.record_batch([batch.column("doc_id"), batch.column("content"), pa.array(spans, _SPAN), pa.array(near, _NEAR)], names=["doc_id", "content", "spans", "near"])
+        contents = batch.column("content")
+        for part, raw in groups(batch):
+            terms = [np.unique(h) for h, _, _ in _words(raw, [[]] * len(raw))]
+            at = np.repeat(np.arange(len(raw)), [len(t) for t in terms])
+            yield pa.record_batch([contents[part].take(pa.array(at)), pa.array(np.concatenate(terms).view(np.int64))], names=["content", "h"])
+
 
+def _term_counts(held: np.ndarray | None, copies: tuple[np.ndarray, np.ndarray]):
+    """Rows (term, texts): of each word, by its hash, how many texts of a task hold it; of ``held`` words only, if given.
 
-def _term_counts(held: np.ndarray | None):
-    """Rows (term, texts): of each word, by its hash, how many texts of a task hold it; of ``held`` words only, if given."""
+    ``copies`` are sorted digests of texts that stand in several rows, and the numbers of these rows; such a row counts as
+    a part of one text.
+    """
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         term, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-        return term, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(term)).astype(np.int64)
+        return term, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(term))
 
     def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         term, n = summed(parts)
@@ -136,18 +165,21 @@ def _term_counts(held: np.ndarray | None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for _, texts in groups(batch):
+            digests = batch.column("copy").to_numpy(zero_copy_only=False)
+            for part, texts in groups(batch):
+                weight = np.ones(len(texts))
+                known = _held(digests[part], copies[0])
+                weight[known] = 1 / copies[1][np.searchsorted(copies[0], digests[part][known])]
                 words = words_of(texts, ALNUM)
                 h, text = words.hashes(), np.repeat(np.arange(len(texts)), words.counts())
                 if held is not None:
-                    at = np.minimum(np.searchsorted(held, h), max(0, len(held) - 1))
-                    known = held[at] == h if len(held) else np.zeros(len(h), dtype=bool)
+                    known = _held(h, held)
                     h, text = h[known], text[known]
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
                 first = np.ones(len(h), dtype=bool)
                 first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                parts.append(np.unique(h[first], return_counts=True))
+                parts.append(summed([(h[first], weight[text[first]])]))
                 if sum(len(t) for t, _ in parts) > TASK_TERMS:
                     parts = [summed(parts)]
                     if len(parts[0][0]) > TASK_TERMS // 2:
@@ -159,10 +191,12 @@ def _term_counts(held: np.ndarray | None):
     return count
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = _hash(batch.column("term").to_pylist())
-        yield pa.record_batch([batch.column("term"), pa.array(h.view(np.int64))], names=["term", "h"])
+def _sent(terms: DataFrame) -> Broadcast | None:
+    """The sorted hashes of a table of distinct terms for all tasks, unless there are too many."""
+    if terms.count() > HELD_TERMS:
+        return None
+    held = np.sort(terms.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    return terms.sparkSession.sparkContext.broadcast(held)
 
 
 def _entropy(share: Column, chance: Column) -> Column:
@@ -174,44 +208,55 @@ def _entropy(share: Column, chance: Column) -> Column:
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(identifier, term) pairs that reach the thresholds, from the identified texts and the corpus."""
-    near = found.select("content", F.explode("near").alias("x")).select("content", "x.identifier", "x.term").distinct()
-    pairs = near.groupBy("identifier", "term").agg(F.count("*").alias("c"))
-    pairs = materialize(pairs, "pairs")
-    texts = near.groupBy("identifier", "content").agg(F.count("*").alias("n")).groupBy("identifier").agg(F.count("*").alias("e"), F.sum("n").alias("tried"))
-    terms = materialize(pairs.select("term").distinct().mapInArrow(_hashed, "term string, h long"), "terms")
-    n_terms = terms.count()
-    if n_terms <= HELD_TERMS:
-        held = np.unique(terms.select("h").toArrow().column("h").to_numpy().view(np.uint64))
-        shared = docs.sparkSession.sparkContext.broadcast(held)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _term_counts(shared.value)(batches)
-    else:
-        count = _term_counts(None)
-    df = docs.select("content", "text").dropDuplicates(["content"]).select("text").mapInArrow(count, "h long, texts long").groupBy("h").agg(F.sum("texts").alias("t"))
-    total = found.select("content").distinct().count()
-    weighed = pairs.join(texts, "identifier").join(terms, "term").join(df, "h")
+    """(h): the hashes of terms that reach the thresholds with an identifier, from the distinct identified texts and the corpus."""
+    near = found.select(F.explode("identifiers").alias("identifier"), "terms").withColumn("identifier", F.xxhash64("identifier"))
+    texts = near.groupBy("identifier").agg(F.count("*").alias("e"), F.sum(F.size("terms")).alias("tried"))
+    shared = _sent(materialize(found.select(F.explode("terms").alias("h")).distinct(), "terms"))
+
+    # texts that stand in one row needn't be moved to be told apart; of the others the digests are sent, unless there are too many
+    contents = materialize(docs.groupBy(F.xxhash64("content").alias("copy")).agg(F.count("*").alias("n")), "contents")
+    total = contents.count()
+    repeated, rows = contents.where("n > 1"), docs.select(F.xxhash64("content").alias("copy"), "text")
+    if repeated.count() > HELD_TERMS:
+        repeated, rows = repeated.limit(0), rows.dropDuplicates(["copy"])
+    found_twice = repeated.orderBy("copy").toArrow()
+    copies = docs.sparkSession.sparkContext.broadcast(tuple(found_twice.column(x).to_numpy() for x in ("copy", "n")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _term_counts(shared.value if shared else None, copies.value)(batches)
+
+    df = rows.mapInArrow(count, "h long, texts double").groupBy("h").agg(F.round(F.sum("texts")).alias("t"))
+    # c is at most e, so the information of a more common term can't reach the share; the rest is few rows
+    most = F.pow(F.lit(float(total)), 1 - DISCLOSES) * F.pow("e", DISCLOSES) * 1.001
+    tried = near.select("identifier", "terms").join(texts.select("identifier", "e"), "identifier").select("identifier", "e", F.explode("terms").alias("h"))
+    pairs = tried.join(df, "h").where(F.col("t") <= most).groupBy("identifier", "h").agg(F.count("*").alias("c"), F.first("t").alias("t"))
+    weighed = pairs.join(texts, "identifier")
     own = F.log2(F.lit(float(total)) / F.col("e"))
     shared_bits = F.log2(F.col("c") * float(total) / (F.col("e") * F.col("t")))
     # the same bound holds with the identifier's and the term's texts exchanged
     e, t, c = (F.col(x).cast("double") for x in "etc")
     rare = F.greatest(e * _entropy(c / e, t / total), t * _entropy(c / t, e / total)) >= F.log(F.col("tried") / CHANCE)
-    return weighed.where((own > 0) & (shared_bits >= DISCLOSES * own) & rare).select("identifier", "term")
+    return weighed.where((own > 0) & (shared_bits >= DISCLOSES * own) & rare).select("h").distinct()
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans) for each row of (doc_id, text, ...): (start, stop, kind) in code points, the identifiers and the terms that disclose them.
+    """(doc_id, spans) for each row of (doc_id, text, ...): (start, stop, kind) in code points, the identifiers and the terms that disclose any.
 
     Null and empty texts have no spans. Spans depend on a text and the corpus alone, so repeated rows have equal spans.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("content", F.md5("text"))
-    found = materialize(docs.select("doc_id", "content", "text").mapInArrow(_identified, _FOUND), "identified")
-    pairs = disclosing(found, docs)
-    near = found.select("content", F.explode("near").alias("x")).select("content", "x.*").join(pairs, ["identifier", "term"])
-    terms = near.select("content", "start", "stop").distinct().groupBy("content").agg(F.collect_list(F.struct("start", "stop", F.lit(TERM).alias("kind"))).alias("terms"))
-    rows = found.select("doc_id", "content", "spans").join(terms, "content", "left")
-    return rows.select("doc_id", F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>"))).alias("spans"))
+    found = materialize(docs.select("content", "text").mapInArrow(_identified, _FOUND).dropDuplicates(["content"]), "identified")
+    terms = materialize(disclosing(found, docs), "disclosing")
+    shared = _sent(terms)
+    rows = docs.select("doc_id", "text")
+    if not shared:
+        own = docs.select("content", "text").mapInArrow(_distinct_words, "content string, h long").join(terms, "h").groupBy("content").agg(F.collect_set("h").alias("terms"))
+        rows = docs.join(own, "content", "left").select("doc_id", "text", "terms")
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _spanned(shared.value if shared else None)(batches)
+
+    return rows.mapInArrow(span, _SPANS)
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -89,11 +89,26 @@ def test_identifier_of_one_text_has_disclosing_terms(table):
     assert not any(spans[i] for i in spans if i != 7)
 
 
-def test_copies_of_a_disclosing_text_count_once(table):
+def test_copies_of_a_disclosing_text_count_once(table, monkeypatch):
     rng = random.Random(8)
     texts = [prose(rng, 12, 40) for _ in range(400)]
     texts[:3] = [f"{prose(rng, 4, 40)} zebrafinch me@x.org {prose(rng, 4, 40)}" for _ in range(3)]
     texts += [texts[0]] * 300
-    spans = {r.doc_id: r.spans for r in P.private_spans(table(texts)).collect()}
-    for i in (0, 1, 2, 400, 699):
-        assert [texts[i][s.start : s.stop] for s in spans[i] if s.kind == P.TERM] == ["zebrafinch"]
+    for held in (P.HELD_TERMS, 0):
+        monkeypatch.setattr(P, "HELD_TERMS", held)
+        spans = {r.doc_id: r.spans for r in P.private_spans(table(texts)).collect()}
+        for i in (0, 1, 2, 400, 699):
+            assert [texts[i][s.start : s.stop] for s in spans[i] if s.kind == P.TERM] == ["zebrafinch"]
+
+
+def test_disclosing_terms_count_and_go_wherever_they_stand(table, monkeypatch):
+    """A heading far from the identifier, three characters long, and a text without the identifier."""
+    rng = random.Random(9)
+    texts = [prose(rng, 12, 40) for _ in range(400)]
+    texts[:4] = [f"Zäb 日本 {prose(rng, 60, 40)} me@x.org {prose(rng, 4, 40)}" for _ in range(4)]
+    texts[4] = f"{prose(rng, 30, 40)} 🙂 zäb"
+    wanted = {**dict.fromkeys(range(4), ["Zäb", "日本"]), 4: ["zäb"]}
+    for held in (P.HELD_TERMS, 1):
+        monkeypatch.setattr(P, "HELD_TERMS", held)
+        spans = {r.doc_id: r.spans for r in P.private_spans(table(texts)).collect()}
+        assert {i: [texts[i][s.start : s.stop] for s in x if s.kind == P.TERM] for i, x in spans.items() if x} == wanted
