@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +34,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.select(*[c for c in docs.columns if c not in ("shard", "slot")], placed["shard_"].alias("shard"), placed["slot_"].alias("slot"))
 
 
+#: Near copies of the pipeline share this part of their shingles or more; op1_near_dedup has its own threshold.
+NEAR_PERCENT = 80
+
 STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("decontaminate", clean), ("mix_sources", mix), ("shards", shard)]
 
 #: The stages can't be expressed in SQL; tests hold the pipeline against brute force.

@@ -9,7 +9,8 @@
    can't change the result, and pairs are never rows.
 
 With 5 registers a band and 30 bands, a pair at similarity 0.85 shares no band with probability
-(1 - 0.85 ** 5) ** 30 < 3e-8. The estimate drops pairs only five standard deviations below the threshold.
+(1 - 0.85 ** 5) ** 30 < 3e-8, one at 0.8 with (1 - 0.8 ** 5) ** 30 < 7e-6. The estimate drops pairs only five standard
+deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -27,28 +28,34 @@ from lodestone.llm.setsketch import band_keys, estimate_jaccard, sketch
 from lodestone.llm.textarrays import SPACED, groups, mix, shingle_sets, words_of
 
 SHINGLE_WORDS = 5
-#: Two sets are linked when 100 * intersection >= PERCENT * union.
+#: Two sets are linked when 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
-#: The standard deviation of the estimate at the threshold is below 0.03.
-ESTIMATE_SLACK = 0.15
 #: Bounds of the blocks in which a bucket's members are compared.
 BLOCK_ELEMENTS, BLOCK_ROWS = 500_000, 2048
 _KEYS = "doc_id long, n long, key_a long, key_b long, registers binary"
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id")
-        for part, texts in groups(batch):
-            n, a, b, registers = [], [], [], []
-            for elements in shingle_sets(words_of(texts, SPACED), SHINGLE_WORDS):
-                n.append(len(elements))
-                a.append(int(mix(elements).sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                registers.append(sketch(elements, REGISTERS).tobytes() if len(elements) > SHINGLE_WORDS else b"")
-            yield pa.record_batch([ids[part].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(registers, pa.binary())], names=["doc_id", "n", "key_a", "key_b", "registers"])
+def _least(percent: int) -> int:
+    """Sets of fewer elements reach the threshold only when they are equal: n of n + 1 is the best that n elements do."""
+    return -(-percent // max(1, 100 - percent))
+
+
+def _sketches(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for part, texts in groups(batch):
+                n, a, b, registers = [], [], [], []
+                for elements in shingle_sets(words_of(texts, SPACED), SHINGLE_WORDS):
+                    n.append(len(elements))
+                    a.append(int(mix(elements).sum(dtype=np.uint64).view(np.int64)))
+                    b.append(int(mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                    registers.append(sketch(elements, REGISTERS).tobytes() if len(elements) >= least else b"")
+                yield pa.record_batch([ids[part].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(registers, pa.binary())], names=["doc_id", "n", "key_a", "key_b", "registers"])
+
+    return run
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,13 +68,19 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS))], names=["band", "doc_id"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(part.num_rows, REGISTERS) for c in ("ra", "rb"))
-            near = estimate_jaccard(a, b, *(part.column(c).to_numpy().astype(float) for c in ("na", "nb"))) >= PERCENT / 100 - ESTIMATE_SLACK
-            yield part.select(["a", "b"]).filter(pa.array(near))
+def _likely(percent: int):
+    share = percent / 100
+    limit = share - 5 * (share * (1 - share) / REGISTERS) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(part.num_rows, REGISTERS) for c in ("ra", "rb"))
+                near = estimate_jaccard(a, b, *(part.column(c).to_numpy().astype(float) for c in ("na", "nb"))) >= limit
+                yield part.select(["a", "b"]).filter(pa.array(near))
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,27 +90,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("doc_id")[part].cast(pa.int64()), pa.array(sets, pa.large_binary())], names=["doc_id", "elements"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return run
 
-def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) that are linked: by sizes, then by estimate, then on full sets."""
     a = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     b = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    likely = sized.mapInArrow(_likely, "a long, b long")
+    sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    likely = sized.mapInArrow(_likely(percent), "a long, b long")
     with_sets = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("sb")), "b")
-    return with_sets.mapInArrow(_verified, "a long, b long")
+    return with_sets.mapInArrow(_verified(percent), "a long, b long")
 
 
-def _across(named: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside buckets: of each bucket, the members outside the leader's component against all.
 
     Both sides are dealt into blocks of bounded size, every pair of blocks is compared at once on full sets, and a pair of
@@ -110,10 +126,14 @@ def _across(named: DataFrame, sets: DataFrame) -> DataFrame:
     members = rows.select("band", F.col("own").alias("right"), F.lit(False).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "left")
     asking = rows.where("stray").select("band", F.col("own").alias("left"), F.lit(True).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "right")
     sides = asking.unionByName(members).join(sets, "doc_id")
-    return sides.groupBy("band", "left", "right").applyInArrow(_compared, "a long, b long")
+
+    def compared(table: pa.Table) -> pa.Table:
+        return _compared(table, percent)
+
+    return sides.groupBy("band", "left", "right").applyInArrow(compared, "a long, b long")
 
 
-def _compared(table: pa.Table) -> pa.Table:
+def _compared(table: pa.Table, percent: int) -> pa.Table:
     asks = table.column("asks").to_numpy()
     ids, n, component = (table.column(c).to_numpy() for c in ("doc_id", "n", "component"))
     parts = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("elements").combine_chunks()]
@@ -132,7 +152,7 @@ def _compared(table: pa.Table) -> pa.Table:
         dense[row[part], at[part] - low] = 1
         both += dense[x] @ dense[y].T
     union = n[x][:, None] + n[y][None, :] - both
-    linked = (100 * both >= PERCENT * union) & (component[x][:, None] != component[y][None, :])
+    linked = (100 * both >= percent * union) & (component[x][:, None] != component[y][None, :])
     found, root = [], {}
 
     def top(c: int) -> int:
@@ -152,21 +172,20 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text, ...); other columns are ignored.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text, ...); other columns are ignored. The bands are made for ``percent`` of 80 or more.
 
     Null and wordless texts have no shingles and stay alone. Rows that repeat a doc_id share its component when their
     texts are linked, and each gets a row; ``kept`` is whether doc_id is the component's smallest. A null doc_id
     belongs to the class of equal sets, links nothing else and is never kept.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(docs.mapInArrow(_sketches, _KEYS), "sketches")
+    found = materialize(docs.mapInArrow(_sketches(_least(percent)), _KEYS), "sketches")
     keys = ["n", "key_a", "key_b"]
     classes = found.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     members = found.select("doc_id", *keys).join(classes, keys, "left")
 
-    # sets of up to five shingles reach the threshold only when they are equal
-    many = classes.where(F.col("n") > SHINGLE_WORDS)
+    many = classes.where(F.col("n") >= _least(percent))
     reps = materialize(found.join(many.select(*keys, F.col("rep").alias("doc_id")), ["doc_id", *keys]).dropDuplicates(["doc_id"]).select("doc_id", "n", "registers"), "representatives")
     banded = reps.select("doc_id", "registers").mapInArrow(_bands, "band long, doc_id long")
     shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1").select("band", "leader")
@@ -175,13 +194,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, elements binary"), "sets")
 
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = materialize(components(_links(stars, reps, sets)), "components")
+    first = materialize(components(_links(stars, reps, sets, percent)), "components")
 
     named = buckets.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     named = named.join(first.select(F.col("id").alias("leader"), F.col("component").alias("leads")), "leader", "left").withColumn("leads", F.coalesce("leads", "leader"))
     # the leader itself was compared with every member already
     named = materialize(named.where("doc_id <> leader").join(reps.select("doc_id", "n"), "doc_id").select("band", "doc_id", "n", "component", F.expr("component <> leads").alias("stray")), "named")
-    more = _across(named, sets)
+    more = _across(named, sets, percent)
     edges = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
     final = materialize(components(edges), "components")
 
@@ -190,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that another document of their group stands for; rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from llm.conftest import ODD, lower, prose, spaced
 
+import corpus_pipeline
 from lodestone.llm import near_dedup, setsketch
 from lodestone.llm.components import components
 
@@ -93,3 +94,14 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_other_thresholds_and_the_pipelines(table):
+    """Pairs of similarity 4 / 5 and 36 / 44, and one of 36 / 46."""
+    words = [f"a{i}" for i in range(200)]
+    texts = [words[:8], words[:9], words[20:60], words[20:68], words[100:140], words[100:150]]
+    docs = table([" ".join(t) for t in texts])
+    at_80 = {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 80).collect()} == at_80
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {i: i for i in at_80}
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(None, docs, "").collect()) == [0, 2, 4, 5]
