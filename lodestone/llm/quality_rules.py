@@ -22,11 +22,12 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is boilerplate of a host when more distinct documents than both figures hold it; a document whose removed
-    lines hold more than ``removed_share`` of its words is depleted. ``min_words`` and ``repeat_percent`` are the base rule."""
+    """A line is boilerplate of a host when more than ``line_documents`` distinct documents hold it, however large the host
+    is; a ``line_share`` above 0 asks for more than that share of the host's documents too. A document whose removed lines
+    hold more than ``removed_share`` of its words is depleted. ``min_words`` and ``repeat_percent`` are the base rule."""
 
-    line_documents: int = 50
-    line_share: float = 0.1
+    line_documents: int = 10
+    line_share: float = 0.0
     removed_share: float = 0.5
     min_words: int = 50
     repeat_percent: int = 50
@@ -76,10 +77,12 @@ def measured(docs: DataFrame) -> DataFrame:
 def frequent_lines(measures: DataFrame, limits: Limits) -> DataFrame:
     """(host, h) of the lines above the limits."""
     distinct = measures.select("host", "content", "lines").dropDuplicates(["host", "content"])
-    hosts = measures.groupBy("host", "content").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("documents"))
     lines = distinct.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    above = lines.where(F.col("n") > limits.line_documents).join(hosts, "host")
-    return above.where(F.col("n") > limits.line_share * F.col("documents")).select("host", "h")
+    above = lines.where(F.col("n") > limits.line_documents)
+    if limits.line_share <= 0:
+        return above.select("host", "h")
+    hosts = measures.groupBy("host", "content").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("documents"))
+    return above.join(hosts, "host").where(F.col("n") > limits.line_share * F.col("documents")).select("host", "h")
 
 
 def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

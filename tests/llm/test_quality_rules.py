@@ -57,3 +57,16 @@ def test_copies_of_one_document_are_not_boilerplate(table):
 def test_empty_table(table):
     assert quality_rules.judged(table([])).count() == 0
     assert quality_rules.keep_good(table([])).count() == 0
+
+
+def test_default_limits_on_a_hot_host_and_on_a_small_one(table):
+    """A line in 20 of 600 documents, and one in all of 12; 10 documents aren't enough."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"all rights of us\n{prose(rng, 60)}" if i < 20 else f"rare line\n{prose(rng, 60)}" if i < 30 else prose(rng, 60), "hot") for i in range(600)]
+    rows += [(f"read more here\n{prose(rng, 60)}", "small") for _ in range(12)]
+    got = {r.doc_id: r.n_removed_words for r in quality_rules.judged(table(rows)).collect()}
+    assert got == {**dict.fromkeys(range(600), 0), **dict.fromkeys(range(20), 4), **dict.fromkeys(range(600, 612), 3)}
+    texts = {r.doc_id: r.text for r in quality_rules.keep_good(table(rows)).collect()}
+    assert len(texts) == 612 and not any("all rights" in t or "read more" in t for t in texts.values())
