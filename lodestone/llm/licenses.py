@@ -87,9 +87,13 @@ class Searcher:
                     merged[-1][1] = max(high, merged[-1][1])
                 else:
                     merged.append([low, high])
-            for low, high in merged:
-                for m in self.patterns[i].finditer(text, low, high):
+            shortest = len(self.notices[i].text) - self.notices[i].edits
+            while merged:
+                low, high = merged.pop()
+                if high - low >= shortest and (m := self.patterns[i].search(text, low, high)):
                     found.add((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                    # the best match of the window; others stand before or behind it
+                    merged += [[low, m.start()], [m.end(), high]]
         return sorted(found)
 
 

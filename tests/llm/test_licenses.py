@@ -46,3 +46,9 @@ def test_clean_prose_has_no_notices_and_empty_tables_work(table):
     rng = random.Random(8)
     assert all(r.labels == "" and r.score == 0 for r in L.license_spans(table([prose(rng, 300) for _ in range(20)])).collect())
     assert L.license_spans(table([])).count() == 0
+
+
+def test_neighbouring_notices_with_different_edits():
+    searcher = L.Searcher([L.notice("all rights reserved", "rights-notice")])
+    for body, edits in (("x all rights reservd all rights reserved y", [1, 0]), ("all rights reserved all rihts reserved", [0, 1]), ("al rights reserved, all rights reserved. all rights resrved all rights reserved", [1, 0, 1, 0])):
+        assert [s[3] for s in searcher.spans(body)] == edits
