@@ -158,7 +158,7 @@ def resolve_tiers(spark, sf_dir):
 
 @query
 def unresolved_names(spark, sf_dir):
-    names = N.frequent_names(N.candidate_names(chunks_of(spark, sf_dir), X.lexicon(spark), X.RULES), 200)
+    names = N.frequent_names(N.candidate_names(chunks_of(spark, sf_dir), X.lexicon(spark), X.RULES), X.MAX_CANDIDATES)
     return R.unresolved(names, X.lexicon(spark), X.cache(spark))
 
 
