@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
 
-#: Chunks that one page can have before ordinals of neighbouring pages would meet.
-PAGE_ORDINALS = 100_000
+#: ``part`` of the ordinals of passages: those of pages come first, then what is attached to the index.
+PAGE_PART, TABLE_PART, STRUCTURE_PART = 0, 1, 2
+
+
+def ordinal(part: int, page: Column, idx: Column, record: Column | None = None) -> Column:
+    """A passage's key, which sorts in corpus order.
+
+    It holds the page's own key whole, of any type, so no two passages share one, however many a page has; attached
+    passages have no page and are told apart by the id of their record.
+    """
+    own = F.lit(None).cast("string") if record is None else record
+    return F.struct(F.lit(part).alias("part"), page.alias("page"), idx.cast("long").alias("idx"), own.alias("record"))
 
 
 def chunk_pages(pages: DataFrame, chunk_words: int = C.CHUNK_WORDS, overlap_words: int = C.OVERLAP_WORDS, repair: bool = True) -> DataFrame:
     """(chunk_ord, source_doc, page_number, chunk_idx, text, is_bibliography) of pages (page_ord, source_doc, page_number, text).
 
     Windows start every chunk_words - overlap_words words and end with the page; pages without words give none.
-    ``page_ord`` is the reading order of pages; it makes chunk_ord without a sort over the corpus.
+    ``page_ord`` is any key that sorts in reading order and is a page's own; with it chunk_ord needs no sort over the corpus.
     """
     step = max(chunk_words - overlap_words, 1)
     body = T.repair_page_text(F.col("text")) if repair else F.col("text")
@@ -25,8 +35,7 @@ def chunk_pages(pages: DataFrame, chunk_words: int = C.CHUNK_WORDS, overlap_word
     count = F.when(n <= chunk_words, 1).otherwise(1 + F.ceil((n - chunk_words) / step)).cast("int")
     windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice("words", i * step + 1, chunk_words), " "))
     rows = split.where(n > 0).select("page_ord", "source_doc", "page_number", F.posexplode(windows).alias("chunk_idx", "text"))
-    order = F.col("page_ord").cast("long") * PAGE_ORDINALS + F.col("chunk_idx")
-    return rows.select(order.alias("chunk_ord"), "source_doc", F.col("page_number").cast("long").alias("page_number"), "chunk_idx", "text", T.is_bibliography(F.col("text")).alias("is_bibliography"))
+    return rows.select(ordinal(PAGE_PART, F.col("page_ord"), F.col("chunk_idx")).alias("chunk_ord"), "source_doc", F.col("page_number").cast("long").alias("page_number"), "chunk_idx", "text", T.is_bibliography(F.col("text")).alias("is_bibliography"))
 
 
 def token_counts(chunks: DataFrame) -> DataFrame:

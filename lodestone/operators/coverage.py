@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.sizes import sent_if_few
 
 
-def name_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, chunk_ord) of literal whole-word finds. Names are those of one query, so they are sent to the chunks."""
-    wanted = names.select("name", T.exact_name_pattern(F.col("name")).alias("pattern")).distinct()
-    return chunks.select("chunk_ord", "text").join(F.broadcast(wanted), F.expr("rlike(text, pattern)")).select("name", "chunk_ord")
+def _listed(names: DataFrame, pattern) -> list[tuple[str, str]]:
+    """The distinct names, in order, each with its pattern. They are the spellings of one structure, no more than an index resolves."""
+    return [(r.name, r.pattern) for r in names.select("name", pattern(F.col("name")).alias("pattern")).distinct().orderBy("name").collect()]
 
 
-def name_counts(chunks: DataFrame, names: DataFrame) -> DataFrame:
+def name_hits(chunks: DataFrame, names: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(name, chunk_ord) of literal whole-word finds.
+
+    Each chunk is read once and tried against all names, as patterns that are literals of the plan and compiled once. With
+    ``stored`` postings only chunks that hold every token of a name are tried, and only against that name: a whole-word
+    find has all tokens of the name. Names without tokens are tried on all chunks.
+    """
+    if stored is None:
+        return _tried(chunks, _listed(names, T.exact_name_pattern))
+    tokens = names.select("name").distinct().select("name", F.array_distinct(T.tokenize(F.col("name"))).alias("tokens"))
+    bare = tokens.where(F.size("tokens") == 0)
+    asked = sent_if_few(tokens.select("name", F.size("tokens").alias("n"), F.explode("tokens").alias("term")))
+    holding = stored.select("term", "chunk_ord").join(asked, "term").groupBy("name", "n", "chunk_ord").agg(F.count("*").alias("found")).where("found = n")
+    exact = holding.join(chunks.select("chunk_ord", "text"), "chunk_ord").withColumn("pattern", T.exact_name_pattern(F.col("name"))).where("rlike(text, pattern)").select("name", "chunk_ord")
+    listed = _listed(bare, T.exact_name_pattern)
+    return exact.unionByName(_tried(chunks, listed)) if listed else exact
+
+
+def _tried(chunks: DataFrame, listed: list[tuple[str, str]]) -> DataFrame:
+    found = F.array(*[F.when(F.col("text").rlike(pattern), F.lit(name)) for name, pattern in listed]) if listed else F.array().cast("array<string>")
+    return chunks.select("chunk_ord", F.explode(F.array_compact(found)).alias("name")).select("name", "chunk_ord")
+
+
+def name_counts(chunks: DataFrame, names: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(name, n_chunks, is_registry_number) of every name, also those found nowhere."""
-    counts = name_hits(chunks, names).groupBy("name").agg(F.count("*").alias("n_chunks"))
+    counts = name_hits(chunks, names, stored).groupBy("name").agg(F.count("*").alias("n_chunks"))
     return names.select("name").distinct().join(counts, "name", "left").select("name", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), T.is_registry_number(F.col("name")).alias("is_registry_number"))
 
 
@@ -29,41 +52,43 @@ def query_names(known: DataFrame, block: str, extra: str | None = None) -> DataF
     return names.unionByName(own.join(names.select(F.lower("name").alias("low")), F.lower("name") == F.col("low"), "left_anti"))
 
 
-def _flags(chunks: DataFrame, names: DataFrame, block: str) -> DataFrame:
-    found = name_hits(chunks, names).select("chunk_ord").distinct().withColumn("named", F.lit(True))
+def _flags(chunks: DataFrame, names: DataFrame, block: str, stored: DataFrame | None = None) -> DataFrame:
+    found = name_hits(chunks, names, stored).select("chunk_ord").distinct().withColumn("named", F.lit(True))
     structure = F.array_contains("blocks", block)
     return chunks.withColumn("structured", structure).join(found, "chunk_ord", "left").withColumn("named", F.coalesce("named", F.lit(False)))
 
 
-def reach_report(chunks: DataFrame, known: DataFrame, block: str, extra: str | None = None) -> DataFrame:
+def reach_report(chunks: DataFrame, known: DataFrame, block: str, extra: str | None = None, stored: DataFrame | None = None) -> DataFrame:
     """One row: chunks by structure, by any name, by one route alone, and the best single name."""
     names = query_names(known, block, extra)
-    counts = name_counts(chunks, names)
+    counts = name_counts(chunks, names, stored)
     total = counts.agg(F.count("*").alias("n_names"))
     top = counts.orderBy(F.desc("n_chunks"), "name").limit(1).select(F.col("name").alias("best_name"), F.col("n_chunks").alias("best_count"))
-    sums = _flags(chunks, names, block).agg(
+    sums = _flags(chunks, names, block, stored).agg(
         F.count_if("structured").alias("n_structure"), F.count_if("named").alias("n_union"),
         F.count_if(F.expr("structured and not named")).alias("adds"), F.count_if(F.expr("named and not structured")).alias("misses"),
     )
     return sums.crossJoin(F.broadcast(total)).join(F.broadcast(top), F.lit(True), "left")
 
 
-def unreachable(chunks: DataFrame, known: DataFrame, block: str, extra: str | None = None) -> DataFrame:
+def unreachable(chunks: DataFrame, known: DataFrame, block: str, extra: str | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(chunk_ord, source_doc, page_number, fragment, snippet) of chunks that only the structure finds; the fragment is a name that the page had split."""
     names = query_names(known, block, extra)
-    alone = _flags(chunks, names, block).where("structured and not named")
-    patterns = known.where(F.col("block") == block).select("name").distinct().select("name", T.loose_pattern(F.col("name")).alias("pattern"))
-    tried = alone.join(F.broadcast(patterns), F.expr("rlike(text, pattern)"), "left")
-    tried = tried.withColumn("fragment", F.expr("nullif(regexp_substr(text, pattern), '')")).withColumn("start", F.expr("regexp_instr(text, pattern)"))
-    first = F.row_number().over(Window.partitionBy("chunk_ord").orderBy(F.col("name").asc_nulls_last()))
-    found = tried.withColumn("copy", first).where("copy = 1")
+    alone = _flags(chunks, names, block, stored).where("structured and not named")
+    # names in order: the first whose letters stand there, however they are parted, gives the fragment
+    loose = [p for _, p in _listed(known.where(F.col("block") == block), T.loose_pattern)]
+    fragment, start = F.lit(None).cast("string"), F.lit(None).cast("int")
+    if loose:
+        fragment = F.coalesce(*[F.nullif(F.regexp_substr("text", F.lit(p)), F.lit("")) for p in loose])
+        start = F.coalesce(*[F.nullif(F.regexp_instr("text", F.lit(p)), F.lit(0)) for p in loose])
+    found = alone.withColumn("fragment", fragment).withColumn("start", start)
     return found.select("chunk_ord", "source_doc", "page_number", "fragment", T.snippet(F.col("text"), F.coalesce("start", F.lit(0)), F.coalesce(F.length("fragment"), F.lit(0))).alias("snippet"))
 
 
-def set_difference(chunks: DataFrame, name: str | Column, block: str) -> DataFrame:
+def set_difference(chunks: DataFrame, name: str | Column, block: str, stored: DataFrame | None = None) -> DataFrame:
     """One row (recovered, shared, text_only) of the structure's chunks against those of one literal name."""
     names = chunks.sparkSession.createDataFrame([(name,)], "name string")
-    flags = _flags(chunks, names, block)
+    flags = _flags(chunks, names, block, stored)
     return flags.agg(F.count_if(F.expr("structured and not named")).alias("recovered"), F.count_if(F.expr("structured and named")).alias("shared"), F.count_if(F.expr("named and not structured")).alias("text_only"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone import constants as C
 from lodestone.functions.keys import surrogate_key
@@ -13,7 +14,7 @@ from lodestone.functions.names import NameRules
 from lodestone.functions.text import tokenize
 from lodestone.operators import names as N
 from lodestone.operators import resolve as R
-from lodestone.operators.chunking import chunk_pages
+from lodestone.operators.chunking import STRUCTURE_PART, TABLE_PART, chunk_pages, ordinal
 from lodestone.operators.rank import postings
 from lodestone.operators.tableocr import table_text
 
@@ -58,8 +59,12 @@ def _extended(chunks: DataFrame) -> DataFrame:
     return chunks
 
 
-#: Ordinals of attached passages begin here, beyond those of any page.
-ATTACHED = 1 << 60
+def _attached(chunks: DataFrame, part: int) -> Column:
+    """Ordinals of attached passages, behind those of all pages, of the type that the chunks' ordinals have."""
+    kind = chunks.schema["chunk_ord"].dataType
+    if not isinstance(kind, StructType):
+        raise TypeError("chunk_ord must be an ordinal as chunk_pages makes it")
+    return ordinal(part, F.lit(None).cast(kind["page"].dataType), F.col("ord"), F.col("id"))
 
 
 def attach_structures(chunks: DataFrame, records: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def attach_structures(chunks: DataFrame, records: DataFrame) -> DataFrame:
     kept = _extended(chunks).where("extraction_method is distinct from 'structure_ocr'")
     accepted = records.where("status = 'accepted' and coalesce(block, '') <> '' and coalesce(smiles, '') <> ''")
     passages = accepted.select(
-        (F.lit(ATTACHED) + (1 << 58) + F.col("ord")).alias("chunk_ord"), "source_doc", F.col("page_number").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.lit(C.STRUCTURE_PASSAGE).alias("text"), F.lit(False).alias("is_bibliography"),
+        _attached(chunks, STRUCTURE_PART).alias("chunk_ord"), "source_doc", F.col("page_number").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.lit(C.STRUCTURE_PASSAGE).alias("text"), F.lit(False).alias("is_bibliography"),
         F.array().cast("array<string>").alias("compounds"), F.array("block").alias("blocks"), F.lit("structure_ocr").alias("extraction_method"), F.lit(None).cast("string").alias("table_ocr_id"), F.array("id").alias("image_structure_ids"),
     ).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
     return kept.unionByName(passages.select(*kept.columns))
@@ -80,15 +85,15 @@ def attach_tables(chunks: DataFrame, known: DataFrame, report: DataFrame, lexico
     """
     kept = _extended(chunks).where("extraction_method is distinct from 'table_ocr'")
     accepted = report.where("status = 'accepted' and size(cells) > 0").withColumn("body", table_text(F.col("cells"), F.col("spanning_rows")))
-    bodies = accepted.select(F.col("ord").cast("long").alias("chunk_ord"), F.col("body").alias("text"))
+    bodies = accepted.select(F.col("id").alias("chunk_ord"), F.col("body").alias("text"))
     order = F.row_number().over(Window.partitionBy("chunk_ord").orderBy("name"))
     found = N.candidate_names(bodies, lexicon, rules).withColumn("n", order).where(F.col("n") <= max_names).drop("n")
     fresh = R.compounds(R.resolve(found.join(known.select("name"), "name", "left_anti"), lexicon, cache), keyer)
     compounds = known.unionByName(fresh)
     entities = R.chunk_entities(found, compounds).groupBy("chunk_ord").agg(F.sort_array(F.collect_set("name")).alias("compounds"), F.sort_array(F.collect_set("block")).alias("blocks"))
     empty = F.array().cast("array<string>")
-    passages = accepted.withColumn("chunk_ord", F.col("ord").cast("long")).join(entities, "chunk_ord", "left").select(
-        (F.lit(ATTACHED) + F.col("ord")).alias("chunk_ord"), F.col("filename").alias("source_doc"), F.col("page").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.concat(F.lit(C.TABLE_PASSAGE), F.col("body")).alias("text"), F.lit(False).alias("is_bibliography"),
+    passages = accepted.withColumn("chunk_ord", F.col("id")).join(entities, "chunk_ord", "left").select(
+        _attached(chunks, TABLE_PART).alias("chunk_ord"), F.col("filename").alias("source_doc"), F.col("page").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.concat(F.lit(C.TABLE_PASSAGE), F.col("body")).alias("text"), F.lit(False).alias("is_bibliography"),
         F.coalesce("compounds", empty).alias("compounds"), F.coalesce("blocks", empty).alias("blocks"), F.lit("table_ocr").alias("extraction_method"), F.col("id").alias("table_ocr_id"), F.lit(None).cast("array<string>").alias("image_structure_ids"),
     ).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
     return kept.unionByName(passages.select(*kept.columns)), compounds

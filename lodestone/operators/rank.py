@@ -10,6 +10,10 @@ from lodestone.functions import text as T
 from lodestone.functions.sizes import sent_if_few
 
 
+#: Stands for the length of a chunk among its postings.
+LENGTH_TERM = ""
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_ord, tf): how often each chunk holds each token."""
     return chunks.select("chunk_ord", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"))
@@ -21,21 +25,28 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame, drop_references: bool =
     Document frequencies and the mean length are of the chunks given, so a scope must be cut before. Only postings of
     question terms leave the scan: other tokens count towards lengths alone. Question words count as often as they stand.
     With ``stored`` postings and a column n_tokens nothing is tokenized: the terms pick their postings, the scope its own.
+    Else each chunk is read and tokenized once: it also gives one posting of ``LENGTH_TERM``, which no token is, so that
+    frequencies, lengths and scores all come from one exchange of postings.
     """
     if drop_references:
         chunks = chunks.where(~F.col("is_bibliography"))
     asked = questions.select("question_id", F.explode(T.query_terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
-    wanted = sent_if_few(asked.select("term").distinct())
     if stored is not None:
+        wanted = sent_if_few(asked.select("term").distinct())
         lengths = chunks.select("chunk_ord", F.col("n_tokens").alias("length"))
         found = stored.join(wanted, "term", "left_semi").join(lengths, "chunk_ord").select("chunk_ord", "length", "term", "tf")
     else:
-        tokens = chunks.select("chunk_ord", T.tokenize(F.col("text")).alias("tokens"))
-        lengths = tokens.select("chunk_ord", F.size("tokens").alias("length"))
-        found = tokens.select("chunk_ord", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_ord", "length", "term").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
-    # few rows are left for each term, so statistics meet them without another pass over the tokens
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+        tokens = chunks.select("chunk_ord", T.tokenize(F.col("text")).alias("tokens")).select("chunk_ord", F.size("tokens").alias("length"), F.concat("tokens", F.array(F.lit(LENGTH_TERM))).alias("tokens"))
+        marked = sent_if_few(asked.select("term").distinct().unionByName(questions.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))))
+        found = tokens.select("chunk_ord", "length", F.explode("tokens").alias("term")).join(marked, "term", "left_semi").groupBy("chunk_ord", "length", "term").agg(F.count("*").alias("tf"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+    if stored is not None:
+        stats = lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
+    else:
+        # a condition inside the sums, not a filter, which would be pushed below the exchange and part it from the others
+        whole = F.col("term") == LENGTH_TERM
+        stats = df.agg(F.coalesce(F.max(F.when(whole, F.col("df"))), F.lit(0)).alias("n_chunks"), F.max(F.when(whole, F.col("total") / F.col("df"))).alias("mean_length"))
+    df = df.drop("total")
     n, mean = F.col("n_chunks"), F.col("mean_length")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("length") / mean))

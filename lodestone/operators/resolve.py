@@ -25,8 +25,9 @@ def resolve(names: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None
 
 
 def unresolved(names: DataFrame, lexicon: DataFrame, cache: DataFrame) -> DataFrame:
-    """Distinct names that neither table knows."""
-    wanted = names.select(F.lower(F.trim("name")).alias("name")).distinct()
+    """Distinct names that neither table knows, with their frequency where ``names`` has one."""
+    often = [F.max("frequency").alias("frequency")] if "frequency" in names.columns else []
+    wanted = names.withColumn("name", F.lower(F.trim("name"))).groupBy("name").agg(*often) if often else names.select(F.lower(F.trim("name")).alias("name")).distinct()
     return wanted.join(lexicon.select("name"), "name", "left_anti").join(cache.select("name"), "name", "left_anti")
 
 

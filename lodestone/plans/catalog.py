@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
@@ -16,7 +16,7 @@ from lodestone.operators import resolve as R
 from lodestone.operators.chunking import chunk_pages, token_counts
 from lodestone.plans import fixtures as X
 from lodestone.sources.tables import document_pages, evidence_json
-from lodestone.sources.workspace import built_once
+from lodestone.sources.workspace import built_once, state_of
 
 BLOCK = K.surrogate_block(X.SUBJECT)
 DOCUMENTS = ["src0", "src3", "src7"]
@@ -42,7 +42,8 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index over the documents: built and written by the first query of a session that needs it, read by the others."""
-    return built_once(spark, sf_dir, lambda folder: index.build_index(pages(spark, sf_dir), X.lexicon(spark), X.cache(spark), X.RULES, X.MAX_CANDIDATES, folder=folder))
+    made_of = "|".join((sf_dir, state_of(spark, f"{sf_dir}/documents.parquet"), repr((X.LEXICON, X.CACHE, X.RULES, X.MAX_CANDIDATES))))
+    return built_once(spark, made_of, lambda folder: index.build_index(pages(spark, sf_dir), X.lexicon(spark), X.cache(spark), X.RULES, X.MAX_CANDIDATES, folder=folder))
 
 
 def one_question(spark: SparkSession, question: str = X.QUESTION) -> DataFrame:
@@ -61,18 +62,24 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return placed.where("turn = last and role = 'user'").select("question_id", F.col("text").alias("question")), placed.where("turn < last").select("question_id", "turn", "role", "text")
 
 
-HITS = ["question_id", "rank", "chunk_ord", "score"]
+def place() -> list[Column]:
+    """A passage's key as columns of a result."""
+    return [F.col("chunk_ord.page").alias("page_ord"), F.col("chunk_ord.idx").cast("int").alias("chunk_idx")]
+
+
+def hit() -> list[Column]:
+    return [F.col("question_id"), F.col("rank"), *place(), F.col("score")]
 
 
 @query
 def bm25_topk(spark, sf_dir):
-    return rank.bm25_search(chunks_of(spark, sf_dir), one_question(spark), 10).select(*HITS, "source_doc", "page_number", "route", "text")
+    return rank.bm25_search(chunks_of(spark, sf_dir), one_question(spark), 10).select(*hit(), "source_doc", "page_number", "route", "text")
 
 
 @query
 def bm25_stored(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return rank.bm25_search(built.chunks, one_question(spark), 10, stored=built.postings).select(*HITS)
+    return rank.bm25_search(built.chunks, one_question(spark), 10, stored=built.postings).select(*hit())
 
 
 @query
@@ -82,17 +89,17 @@ def stored_postings(spark, sf_dir):
 
 @query
 def bm25_batch(spark, sf_dir):
-    return rank.bm25_search(chunks_of(spark, sf_dir), benchmark_questions(spark, sf_dir), C.TOP_K).select(*HITS)
+    return rank.bm25_search(chunks_of(spark, sf_dir), benchmark_questions(spark, sf_dir), C.TOP_K).select(*hit())
 
 
 @query
 def chunk_windows(spark, sf_dir):
-    return chunks_of(spark, sf_dir).select("chunk_ord", "source_doc", "page_number", "chunk_idx", "text")
+    return chunks_of(spark, sf_dir).select("source_doc", "page_number", "chunk_idx", "text")
 
 
 @query
 def chunk_token_stats(spark, sf_dir):
-    return token_counts(chunks_of(spark, sf_dir))
+    return token_counts(chunks_of(spark, sf_dir)).select(*place(), "n_tokens", "n_distinct")
 
 
 @query
@@ -107,14 +114,14 @@ def query_terms_benchmark(spark, sf_dir):
 
 @query
 def bibliography_flag(spark, sf_dir):
-    literal = X.frame(spark, X.REFERENCE_TEXTS, "id long, text string").select((-F.col("id")).alias("id"), "text")
-    both = literal.unionByName(chunks_of(spark, sf_dir).select(F.col("chunk_ord").alias("id"), "text"))
-    return both.select("id", T.is_bibliography(F.col("text")).alias("is_bibliography"))
+    literal = X.frame(spark, X.REFERENCE_TEXTS, "id long, text string").select((-F.col("id")).alias("page_ord"), F.lit(0).alias("chunk_idx"), "text")
+    both = literal.unionByName(chunks_of(spark, sf_dir).select(*place(), "text"))
+    return both.select("page_ord", "chunk_idx", T.is_bibliography(F.col("text")).alias("is_bibliography"))
 
 
 @query
 def candidate_suffix(spark, sf_dir):
-    return N.lexical_names(chunks_of(spark, sf_dir), X.RULES)
+    return N.lexical_names(chunks_of(spark, sf_dir), X.RULES).select(*place(), "name")
 
 
 @query
@@ -132,12 +139,12 @@ def morpheme_count_literal(spark, sf_dir):
 
 @query
 def candidate_bigram_join(spark, sf_dir):
-    return N.joined_names(chunks_of(spark, sf_dir), X.lexicon(spark))
+    return N.joined_names(chunks_of(spark, sf_dir), X.lexicon(spark)).select(*place(), "name")
 
 
 @query
 def candidate_hyphen_part(spark, sf_dir):
-    return N.hyphen_part_names(chunks_of(spark, sf_dir), X.lexicon(spark).unionByName(X.frame(spark, [("the", "C"), ("er", "C"), ("de", "C")], "name string, smiles string")))
+    return N.hyphen_part_names(chunks_of(spark, sf_dir), X.lexicon(spark).unionByName(X.frame(spark, [("the", "C"), ("er", "C"), ("de", "C")], "name string, smiles string"))).select(*place(), "name")
 
 
 @query
@@ -159,7 +166,7 @@ def resolve_tiers(spark, sf_dir):
 @query
 def unresolved_names(spark, sf_dir):
     names = N.frequent_names(N.candidate_names(chunks_of(spark, sf_dir), X.lexicon(spark), X.RULES), X.MAX_CANDIDATES)
-    return R.unresolved(names, X.lexicon(spark), X.cache(spark))
+    return R.unresolved(names, X.lexicon(spark), X.cache(spark)).select("name")
 
 
 @query
@@ -174,7 +181,7 @@ def verified_lexicon(spark, sf_dir):
 
 @query
 def chunk_annotation(spark, sf_dir):
-    return index_of(spark, sf_dir).chunks.select("chunk_ord", "compounds", "blocks")
+    return index_of(spark, sf_dir).chunks.select(*place(), "compounds", "blocks")
 
 
 @query
@@ -189,43 +196,43 @@ def spellings_for_block(spark, sf_dir):
 
 @query
 def structure_filter(spark, sf_dir):
-    return search.with_block(index_of(spark, sf_dir).chunks, BLOCK).select("chunk_ord", "source_doc", "page_number")
+    return search.with_block(index_of(spark, sf_dir).chunks, BLOCK).select(*place(), "source_doc", "page_number")
 
 
 @query
 def structure_search(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.structure_search(built.chunks, one_question(spark), BLOCK, 6, stored=built.postings).select(*HITS, "route")
+    return search.structure_search(built.chunks, one_question(spark), BLOCK, 6, stored=built.postings).select(*hit(), "route")
 
 
 @query
 def structure_fallback(spark, sf_dir):
     asked = X.frame(spark, [(0, ""), (1, "zzzz qqqq"), (2, None)], "question_id long, question string")
     built = index_of(spark, sf_dir)
-    return search.structure_search(built.chunks, asked, BLOCK, 6, stored=built.postings).select(*HITS, "route")
+    return search.structure_search(built.chunks, asked, BLOCK, 6, stored=built.postings).select(*hit(), "route")
 
 
 @query
 def scoped_documents_search(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.structure_search(search.in_documents(built.chunks, DOCUMENTS), one_question(spark), BLOCK, 6, stored=built.postings).select(*HITS)
+    return search.structure_search(search.in_documents(built.chunks, DOCUMENTS), one_question(spark), BLOCK, 6, stored=built.postings).select(*hit())
 
 
 @query
 def hybrid_interleave(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.hybrid_search(built.chunks, one_question(spark), BLOCK, 8, built.postings).select(*HITS, "route")
+    return search.hybrid_search(built.chunks, one_question(spark), BLOCK, 8, built.postings).select(*hit(), "route")
 
 
 @query
 def route_comparison(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.compare_routes(built.chunks, one_question(spark), BLOCK, 5, built.postings).select(*HITS, "route")
+    return search.compare_routes(built.chunks, one_question(spark), BLOCK, 5, built.postings).select(*hit(), "route")
 
 
 @query
 def checked_retrieval(spark, sf_dir):
-    return search.checked_retrieval(index_of(spark, sf_dir).chunks, X.QUESTION, BLOCK, 5).select(*HITS, "on_structure")
+    return search.checked_retrieval(index_of(spark, sf_dir).chunks, X.QUESTION, BLOCK, 5).select(*hit(), "on_structure")
 
 
 @query
@@ -243,7 +250,7 @@ def retrieval_query(spark, sf_dir):
 def conversation_search(spark, sf_dir):
     questions, history = conversation_turns(spark, sf_dir)
     built = index_of(spark, sf_dir)
-    return search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings).select(*HITS)
+    return search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings).select(*hit())
 
 
 @query
@@ -263,24 +270,25 @@ def documents_for_structure(spark, sf_dir):
 @query
 def exact_name_counts(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return coverage.name_counts(built.chunks, coverage.query_names(built.compounds, BLOCK, X.EXTRA_NAME))
+    return coverage.name_counts(built.chunks, coverage.query_names(built.compounds, BLOCK, X.EXTRA_NAME), built.postings)
 
 
 @query
 def reach_report(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return coverage.reach_report(built.chunks, built.compounds, BLOCK, X.EXTRA_NAME)
+    return coverage.reach_report(built.chunks, built.compounds, BLOCK, X.EXTRA_NAME, built.postings)
 
 
 @query
 def reach_unreachable(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return coverage.unreachable(built.chunks, built.compounds, BLOCK).select("chunk_ord", "fragment", "snippet")
+    return coverage.unreachable(built.chunks, built.compounds, BLOCK, stored=built.postings).select(*place(), "fragment", "snippet")
 
 
 @query
 def set_difference(spark, sf_dir):
-    return coverage.set_difference(index_of(spark, sf_dir).chunks, "thble", BLOCK)
+    built = index_of(spark, sf_dir)
+    return coverage.set_difference(built.chunks, "thble", BLOCK, built.postings)
 
 
 @query

@@ -37,10 +37,13 @@ def terms(text: str) -> str:
 
 
 STEP = C.CHUNK_WORDS - C.OVERLAP_WORDS
+#: More chunks than a page can have; a passage's key here is one number, and two columns in results.
+PAGE_STEP = 1 << 32
+PLACE = f"cast(chunk_ord // {PAGE_STEP} as bigint) as page_ord, cast(chunk_ord % {PAGE_STEP} as integer) as chunk_idx"
 CHUNKS = f"""
 page_words as (select doc_id, source, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as ws from documents),
 chunks as (
-  select doc_id * 100000 + i as chunk_ord, source as source_doc, doc_id as page_number, cast(i as integer) as chunk_idx,
+  select cast(doc_id as hugeint) * {PAGE_STEP} + i as chunk_ord, source as source_doc, doc_id as page_number, cast(i as integer) as chunk_idx,
     array_to_string(ws[i * {STEP} + 1 : i * {STEP} + {C.CHUNK_WORDS}], ' ') as text
   from (select *, unnest(range(0, case when len(ws) <= {C.CHUNK_WORDS} then 1 else 1 + cast(ceil((len(ws) - {C.CHUNK_WORDS}) / {STEP}.0) as bigint) end)) as i from page_words where len(ws) > 0)
 )"""
@@ -215,7 +218,7 @@ reasoned as (select *, len(regexp_extract_all(part, {ATOM})) as atoms, case when
 structures as (select *, case when reason is null then 'accepted' else 'refused' end as status, case when reason is null then upper(left(sha256(regexp_replace(part, '[/\\\\@]', '', 'g')), 14)) end as block from reasoned),
 deduped as (select * from (select *, row_number() over (partition by source_doc, page_number, block, status order by ord) as copy from structures) where status <> 'accepted' or copy = 1)"""
 
-HIT_COLUMNS = "question_id, rank, chunk_ord, score"
+HIT_COLUMNS = f"question_id, rank, {PLACE}, score"
 _FOLLOWUP_TAIL = "trim(split_part(substr(raw, instr(raw, '<followups>') + 11), '</followups>', 1), ' ' || chr(10))"
 
 ORACLE: dict[str, str] = {
@@ -223,26 +226,26 @@ ORACLE: dict[str, str] = {
     "bm25_stored": f"with {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS} from best",
     "stored_postings": f"with {CHUNKS} select term, count(distinct chunk_ord) as n_chunks, count(*) as n_tokens from (select chunk_ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from chunks) group by term",
     "bm25_batch": f"with {CHUNKS},{bm25('best', 'chunks', '(select item_id as question_id, text as question from benchmark)', C.TOP_K)} select {HIT_COLUMNS} from best",
-    "chunk_windows": f"with {CHUNKS} select * from chunks",
-    "chunk_token_stats": f"with {CHUNKS} select chunk_ord, cast(len(ts) as integer) as n_tokens, cast(len(list_distinct(ts)) as integer) as n_distinct from (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from chunks)",
+    "chunk_windows": f"with {CHUNKS} select source_doc, page_number, chunk_idx, text from chunks",
+    "chunk_token_stats": f"with {CHUNKS} select {PLACE}, cast(len(ts) as integer) as n_tokens, cast(len(list_distinct(ts)) as integer) as n_distinct from (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from chunks)",
     "repair_hyphen_literal": f"select id, regexp_replace(translate(text, '‐‑‒–', '----'), '(\\w)-[ \\t\\x{{a0}}]*\\n[ \\t\\x{{a0}}]*(\\w)', '\\1\\2', 'g') as repaired from {X.sql_rows(X.HYPHEN_TEXTS, 'id, text')}",
     "query_terms_benchmark": f"select item_id as question_id, {terms('text')} as terms from benchmark",
-    "bibliography_flag": f"with {CHUNKS} select id, {bibliography('text')} as is_bibliography from (select cast(-id as bigint) as id, text from {X.sql_rows(X.REFERENCE_TEXTS, 'id, text')} union all select chunk_ord, text from chunks)",
-    "candidate_suffix": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select chunk_ord, name from lexical",
+    "bibliography_flag": f"with {CHUNKS} select page_ord, chunk_idx, {bibliography('text')} as is_bibliography from (select cast(-id as bigint) as page_ord, 0 as chunk_idx, text from {X.sql_rows(X.REFERENCE_TEXTS, 'id, text')} union all select {PLACE}, text from chunks)",
+    "candidate_suffix": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from lexical",
     "candidate_literal": f"with texts as (select cast(chunk_ord as bigint) as chunk_ord, text from {X.sql_rows(X.NAME_TEXTS, 'chunk_ord, text')}),{candidates(C.SUFFIXES, X.sql_rows([(v,) for v in X.VOCABULARY], 'name'), 'texts')} select * from candidates",
     "morpheme_count_literal": f"select word, {morphemes('word')} as n_morphemes from {X.sql_rows([(w,) for w in sorted({w for _, t in X.NAME_TEXTS for w in t.lower().split()} | {'acetaminophen', 'phenacetin', 'paper'})], 'word')}",
-    "candidate_bigram_join": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select * from joined",
-    "candidate_hyphen_part": f"with {CHUNKS},{candidates(X.RULES.suffixes, X.sql_rows([*[(n,) for n, _ in X.LEXICON], ('the',), ('er',), ('de',)], 'name'))} select * from hyphen",
+    "candidate_bigram_join": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from joined",
+    "candidate_hyphen_part": f"with {CHUNKS},{candidates(X.RULES.suffixes, X.sql_rows([*[(n,) for n, _ in X.LEXICON], ('the',), ('er',), ('de',)], 'name'))} select {PLACE}, name from hyphen",
     "candidate_acid_literal": f"with texts as (select cast(chunk_ord as bigint) as chunk_ord, text from {X.sql_rows(X.NAME_TEXTS, 'chunk_ord, text')}),{candidates(C.SUFFIXES, LEXICON, 'texts')} select * from acid",
     "name_frequency_topn": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select name, count(*) as frequency from candidates group by name order by frequency desc, name limit 100",
     "resolve_tiers": f"with wanted as (select distinct lower(trim(name)) as name from {X.sql_rows([(n,) for n in ('THBLE ', 'ontion', 'retion', 'thing', 'nothing known', 'erble')], 'name')}),{RESOLVE} select name, smiles, tier from resolved",
-    "unresolved_names": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit 200) select name from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
+    "unresolved_names": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
     "surrogate_key": f"with resolved as (select * from {LEXICON}),{KEYED} select name, block, cast(atoms as integer) as heavy_atoms from keyed",
     "verified_lexicon": f"with resolved as (select * from {LEXICON} union all select 'nothing', null),{KEYED} select r.name, r.smiles, k.block, cast(len(regexp_extract_all(r.smiles, {ATOM})) as integer) as heavy_atoms, coalesce(r.smiles, '') <> '' as accepted from resolved r left join keyed k using (name)",
-    "chunk_annotation": f"with {INDEX} select chunk_ord, compounds, blocks from annotated",
+    "chunk_annotation": f"with {INDEX} select {PLACE}, compounds, blocks from annotated",
     "synonym_groups": f"with {INDEX} select block, list_sort(list(name)) as names from compounds group by block having count(*) > 1",
     "spellings_for_block": f"with {INDEX} select name from compounds where block = '{BLOCK}'",
-    "structure_filter": f"with {INDEX},{SCOPE} select chunk_ord, source_doc, page_number from scope",
+    "structure_filter": f"with {INDEX},{SCOPE} select {PLACE}, source_doc, page_number from scope",
     "structure_search": f"with {INDEX},{SCOPE},{structure('found', ONE, 6)} select {HIT_COLUMNS}, 'structure' as route from found",
     "structure_fallback": f"with {INDEX},{SCOPE}, asked as (select cast(question_id as bigint) as question_id, question from {X.sql_rows([(0, ''), (1, 'zzzz qqqq'), (2, None)], 'question_id, question')}),{structure('found', 'asked', 6)} select {HIT_COLUMNS}, 'structure' as route from found",
     "scoped_documents_search": f"with {INDEX}, scope as (select * from annotated where list_contains(blocks, '{BLOCK}') and source_doc in ({', '.join(map(V, Q.DOCUMENTS))})),{structure('found', ONE, 6)} select {HIT_COLUMNS} from found",
@@ -262,7 +265,7 @@ ORACLE: dict[str, str] = {
     "select count(*) filter (s) as n_structure, count(*) filter (u) as n_union, count(*) filter (s and not u) as adds, count(*) filter (u and not s) as misses, (select count(*) from counts) as n_names, (select name from best) as best_name, (select n from best) as best_count from flags",
     "reach_unreachable": f"with {INDEX}, names as (select distinct name from compounds where block = '{BLOCK}'),{NAME_HITS}, alone as (select chunk_ord, text from annotated where list_contains(blocks, '{BLOCK}') and chunk_ord not in (select chunk_ord from hits)), "
     "tried as (select chunk_ord, text, name, regexp_extract(text, '(?i)' || array_to_string(regexp_extract_all(name, '.'), '[\\s\\-]?')) as fragment from alone cross join names), first as (select chunk_ord, text, arg_min(fragment, name) as fragment from tried where fragment <> '' group by all) "
-    "select a.chunk_ord, fragment, case when fragment is null then left(a.text, 240) else substr(a.text, greatest(1, strpos(a.text, fragment) - 90), strpos(a.text, fragment) + length(fragment) + 90 - greatest(1, strpos(a.text, fragment) - 90)) end as snippet from alone a left join first using (chunk_ord)",
+    f"select {PLACE}, fragment, case when fragment is null then left(a.text, 240) else substr(a.text, greatest(1, strpos(a.text, fragment) - 90), strpos(a.text, fragment) + length(fragment) + 90 - greatest(1, strpos(a.text, fragment) - 90)) end as snippet from alone a left join first using (chunk_ord)",
     "set_difference": f"with {INDEX}, names as (select 'thble' as name),{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated) select count(*) filter (s and not u) as recovered, count(*) filter (s and u) as shared, count(*) filter (u and not s) as text_only from flags",
     "library_stats": f"with {CHUNKS} select source_doc, count(*) as n_passages, count(distinct page_number) as n_pages from chunks group by source_doc",
     "index_totals": f"with {INDEX} select (select count(*) from annotated) as n_chunks, (select count(*) from annotated where len(blocks) > 0) as n_annotated, (select count(*) from annotated where {bibliography('text')}) as n_bibliography, (select count(*) from compounds) as n_names, (select count(distinct block) from compounds) as n_blocks",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.operators import facts, images, index, structocr, tableocr
+from lodestone.operators.chunking import chunk_pages
 from lodestone.plans import catalog, fixtures, runs
 from lodestone.sources import adapters, tables
 from lodestone.streaming.ingest import start_ingest
@@ -89,14 +90,16 @@ def test_structures_are_validated_and_kept_once(spark):
 
     crops = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"!"))], "crop_id string, content binary")
     assert sorted((r.crop_id, r.predicted_smiles, r.confidence, r.error) for r in adapters.recognised(crops, recognise).collect()) == [("a", "CCO", 0.5, None), ("b", None, None, "RuntimeError")]
-    assert [adapters.normalised_prediction(p) for p in (" C ", ("C", "x"), ["C", 1], {}, None)] == [("C", None), ("C", None), ("C", 1.0), ("", None), ("", None)]
-
-
-CHUNK = "chunk_ord long, source_doc string, page_number long, chunk_idx int, text string, is_bibliography boolean, compounds array<string>, blocks array<string>"
+    answers = [" C ", ("C", "x"), ["C", 1], {}, None, {"SMILES": "O", "confidence": 2}, ("N",), 7]
+    crops = spark.createDataFrame([(str(i), bytearray(str(i).encode())) for i in range(len(answers))], "crop_id string, content binary")
+    got = {r.crop_id: (r.predicted_smiles, r.confidence) for r in adapters.recognised(crops, lambda content: answers[int(content)]).collect()}
+    assert [got[str(i)] for i in range(len(answers))] == [("C", None), ("C", None), ("C", 1.0), ("", None), ("", None), ("O", 2.0), ("N", None), ("7", None)]
 
 
 def test_attaching_is_idempotent(spark):
-    chunks = spark.createDataFrame([(0, "A.pdf", 1, 0, "plain", False, [], [])], CHUNK)
+    pages = spark.createDataFrame([(0, "A.pdf", 1, "plain")], "page_ord long, source_doc string, page_number long, text string")
+    empty = F.array().cast("array<string>")
+    chunks = chunk_pages(pages).withColumn("compounds", empty).withColumn("blocks", empty)
     records = structocr.deduplicate(catalog.recognised(spark))
     once = index.attach_structures(chunks, records)
     twice = index.attach_structures(once, records)
@@ -110,6 +113,10 @@ def test_attaching_is_idempotent(spark):
     tables_ = again.where("extraction_method = 'table_ocr'").orderBy("source_doc").collect()
     assert first.count() == again.count() == 5 and "acetaminophen | 50" in tables_[0].text and tables_[0].compounds == ["acetaminophen"] and tables_[0].blocks == [catalog.BLOCK]
     assert index.ocr_candidates(catalog.report(spark)).count() == 3
+    # records of several pages that are numbered alike still have keys of their own
+    alike = index.attach_structures(chunks, records.withColumn("ord", F.lit(1)))
+    assert alike.select("chunk_ord").distinct().count() == alike.count() == 3
+    assert [r.p for r in first.orderBy("chunk_ord").select(F.col("chunk_ord.part").alias("p")).collect()] == [0, 1, 1, 2, 2]
 
 
 def test_solubility_facts(spark, tmp_path):
@@ -132,9 +139,12 @@ def test_pdf_adapter_and_lookup(spark, tmp_path):
     files = adapters.pdf_files(spark, str(tmp_path))
     pages = adapters.pdf_pages(files, lambda content: content.decode().split("|")).orderBy("source_doc", "page_number").collect()
     assert [(p.source_doc, p.page_number, p.text) for p in pages] == [("a.pdf", 1, "one"), ("a.pdf", 2, "two"), ("b.pdf", 1, "one"), ("b.pdf", 2, "two")]
-    assert len({p.page_ord for p in pages}) == 4
+    assert [p.page_ord.page for p in sorted(pages, key=lambda p: p.page_ord)] == [1, 2, 1, 2]
     names = spark.createDataFrame([("x",), ("y",)], "name string")
     assert {(r.name, r.smiles) for r in adapters.look_up(names, {"x": "C"}.get).collect()} == {("x", "C"), ("y", None)}
+    often = spark.createDataFrame([("a", 1), ("b", 5), ("c", 3)], "name string, frequency long")
+    assert {r.name for r in adapters.look_up(often, {}.get, most=2).collect()} == {"b", "c"}
+    assert adapters.version_of("pyspark") and adapters.version_of("no_such_module") is None
     assert adapters.available("json") and not adapters.available("no_such_module")
 
 

@@ -11,7 +11,9 @@ from lodestone.functions.keys import surrogate_block
 from lodestone.functions.text import tokenize
 from lodestone.operators import chat, coverage, index, search
 from lodestone.operators import resolve as R
-from lodestone.operators.rank import bm25_search, postings
+from lodestone.operators.chunking import chunk_pages
+from lodestone.operators.rank import bm25_scores, bm25_search, postings
+from lodestone.sources.adapters import pdf_pages
 from lodestone.sources.tables import evidence_json, merged_cache, read_index, read_lexicon, write_index, write_name_cache
 
 CHUNK = "chunk_ord long, source_doc string, page_number long, text string, is_bibliography boolean, compounds array<string>, blocks array<string>"
@@ -171,6 +173,52 @@ def test_index_round_trip_and_documents(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
 
 
+def test_files_to_answers(spark, tmp_path):
+    """From file bytes to hits: pages in order of paths, keys that no other page has, however long a path or a page is."""
+    files = tmp_path / "files"
+    (files / ("deep" * 40)).mkdir(parents=True)
+    (files / "b.pdf").write_bytes(b"caffeine melts|theine dissolves")
+    (files / ("deep" * 40) / "a.pdf").write_bytes(b"caffeine " * 1000 + b"|nothing of note")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(files)).select("path", "content")
+    pages = pdf_pages(found, lambda content: content.decode().split("|"))
+    lexicon = spark.createDataFrame([("caffeine", "Cn1c(=O)c2c(ncn2C)n(C)c1=O"), ("theine", "Cn1c(=O)c2c(ncn2C)n(C)c1=O")], "name string, smiles string")
+    built = index.build_index(pages, lexicon, folder=str(tmp_path / "staged"))
+    write_index(built, str(tmp_path / "index"))
+    again = read_index(spark, str(tmp_path / "index"))
+    order = [(r.source_doc, r.page_number) for r in again.chunks.orderBy("chunk_ord").collect()]
+    assert order == [("b.pdf", 1), ("b.pdf", 2)] + [("a.pdf", 1)] * 7 + [("a.pdf", 2)] and again.chunks.select("chunk_ord").distinct().count() == 10
+    hits = search.structure_search(again.chunks, asked(spark, "melts dissolves"), again.compounds.first().block, 3, stored=again.postings).orderBy("rank").collect()
+    assert [(h.source_doc, h.page_number) for h in hits] == [("b.pdf", 1), ("b.pdf", 2)]
+    pages_ = search.expand_source_pages(search.structure_search(again.chunks, asked(spark, "caffeine"), again.compounds.first().block, 9), again.chunks)
+    assert pages_.where("source_doc = 'a.pdf'").count() == 1
+
+
+def test_keys_hold_any_page_and_any_number_of_passages(spark):
+    most = 2**63 - 1
+    pages = spark.createDataFrame([(-most - 1, "d", 1, "x"), (most, "d", 2, "y " * 5), (7, "d", 3, "z " * 100_105), (8, "d", 4, "w")], "page_ord long, source_doc string, page_number long, text string")
+    chunks = chunk_pages(pages, chunk_words=1, overlap_words=0)
+    assert chunks.count() == chunks.select("chunk_ord").distinct().count() == 1 + 5 + 100_105 + 1
+    assert [r.page_number for r in chunks.where("chunk_idx = 0").orderBy("chunk_ord").collect()] == [1, 3, 4, 2]
+
+
+def test_names_by_stored_postings(spark, chunks):
+    names = spark.createDataFrame([("red",), ("stone-water",), ("Blue",), ("--",), ("redd",)], "name string")
+    rows = spark.createDataFrame([(1, "red stone-water"), (2, "stone water blue"), (3, "reds"), (4, "stone-waters, BLUE -- x"), (5, "a--b")], "chunk_ord long, text string")
+    want = {("red", 1), ("stone-water", 1), ("Blue", 2), ("Blue", 4), ("--", 5)}
+    assert {tuple(r) for r in coverage.name_hits(rows, names).collect()} == want
+    assert {tuple(r) for r in coverage.name_hits(rows, names, postings(rows)).collect()} == want
+
+
+def test_bm25_reads_its_chunks_once(spark, tmp_path):
+    spark.createDataFrame(corpus(), CHUNK).write.parquet(str(tmp_path / "chunks"))
+    scores = bm25_scores(spark.read.parquet(str(tmp_path / "chunks")), asked(spark, "red stone"))
+    scores.collect()
+    plan = scores._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") <= 1 + plan.count("Reused")
+    empty = spark.createDataFrame([], CHUNK)
+    assert bm25_scores(empty, asked(spark, "red")).count() == 0
+
+
 def test_chat_payload(spark, chunks):
     q = asked(spark, "red water", "other")
     hits = search.structure_search(chunks, q.limit(1), B, 2)
