@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialize
+from lodestone.llm.scratch import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node of the edges (a, b); component is the smallest node reachable.
 
-    No edges give no rows. Each round is written to the shared folder; after the last the edges are stars, each node
+    No edges give no rows. Each round is written to the shared folder in place of the one before; after the last the edges are stars, each node
     beside its smallest, and a round that changes nothing ends the loop.
     """
     state = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(now) == mark or now[0] == 0:
             break
         mark = tuple(now)
-        state = materialize(_star(_star(state, True), False), "edges")
+        before, state = state, materialize(_star(_star(state, True), False), "edges")
+        release(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = state.select(F.col("b").alias("id")).distinct()

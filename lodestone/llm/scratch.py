@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, as in local tests, a new folder that is then set for the session."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where that is unset a local session, as in tests, gets a new folder that is then set for the session. A cluster gets
+    an error: its executors couldn't see a folder of the driver's machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lodestone.scratch", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-scratch-")
         spark.conf.set("spark.lodestone.scratch", base)
     return base.rstrip("/")
@@ -26,10 +33,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table through the file system that owns the path."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, through the file system that owns them."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
