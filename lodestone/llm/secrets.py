@@ -1,7 +1,8 @@
 """Secret scans over a ledger of blobs, in DataFrame functions only.
 
 Every historical version of a file is content-addressed; only pairs of blob and rule version that the ledger doesn't
-hold are scanned, once for all paths, and findings are joined back to all paths that hold the blob.
+hold are scanned, once for all paths, and findings are joined back to all paths that hold the blob. A rule's version is a
+digest of all that it says, so a changed rule is a new one, and rules that stayed aren't run again.
 
 Positions of matches come from two lists of equal order: the matches themselves, and the stretches between them, which
 splitting by the same pattern gives. Running sums of their lengths are the offsets in code points.
@@ -9,6 +10,7 @@ splitting by the same pattern gives. Running sums of their lengths are the offse
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -27,6 +29,10 @@ class Rule:
     group: int = 0
     least: int = 1
 
+    @property
+    def version(self) -> str:
+        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
+
 
 # Fixed patterns: the three base kinds, then well-known token formats.
 RULES = (
@@ -39,8 +45,7 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 27),
 )
 BASE = ("assign", "access", "hex")
-RULES_VERSION = "1"
-_FINDING = "blob string, rules string, kind string, rank int, start long, stop long"
+_FINDING = "blob string, rule string, start long, stop long"
 
 
 def _search(rule: Rule) -> str:
@@ -62,15 +67,16 @@ def _hits(rule: Rule, rank: int) -> Column:
 
 
 def found_in(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kind, rank, start, stop) of all matches in (blob, text)."""
+    """(blob, rule, start, stop) of all matches in (blob, text, unseen); ``unseen`` lists the versions of the rules to try."""
     for rule in rules:
-        texts = texts.withColumn(f"m_{rule.kind}", F.regexp_extract_all("text", F.lit(_search(rule)), F.lit(0)))
+        matches = F.regexp_extract_all("text", F.lit(_search(rule)), F.lit(0))
+        texts = texts.withColumn(f"m_{rule.kind}", F.when(F.array_contains("unseen", rule.version), matches).otherwise(F.array().cast("array<string>")))
     hits = [_hits(rule, rank) for rank, rule in enumerate(rules)]
     rows = texts.select("blob", F.concat(*hits).alias("hits")).where(F.size("hits") > 0).dropDuplicates(["blob"]).select("blob", F.explode("hits").alias("hit")).select("blob", "hit.*")
     so_far = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = rows.withColumn("stop", F.sum(F.col("gap") + F.col("n")).over(so_far)).where("ok")
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
-    return ends.select("blob", kind.alias("kind"), "rank", (F.col("stop") - F.col("n")).alias("start"), "stop")
+    version = F.element_at(F.array(*[F.lit(r.version) for r in rules]), F.col("rank") + 1)
+    return ends.select("blob", version.alias("rule"), (F.col("stop") - F.col("n")).alias("start"), "stop")
 
 
 class BlobLedger:
@@ -92,34 +98,46 @@ class BlobLedger:
             return self.spark.createDataFrame([], schema)
 
     def scanned(self) -> DataFrame:
-        return self._read("scanned", "blob string, rules string")
+        """(blob, rules): versions of the rules that a scan tried on a blob; a blob has a row for each scan that met it with new rules."""
+        return self._read("scanned", "blob string, rules array<string>")
 
-    def findings(self) -> DataFrame:
-        return self._read("findings", _FINDING).distinct()
+    def findings(self, blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, rule, start, stop) of some blobs (blob) and rules. Other blobs of the history drop out before anything is gathered."""
+        own = self._read("findings", _FINDING).where(F.col("rule").isin(*[r.version for r in rules]))
+        return own.join(blobs.select("blob").distinct(), "blob", "left_semi").distinct()
 
-    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION) -> DataFrame:
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scan what is new in ``versions`` (doc_id, text) and return (doc_id, blob) of all of them. A null text is an empty blob."""
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         paths = versions.select("doc_id", F.sha2(text, 256).alias("blob"))
-        seen = self.scanned().where(F.col("rules") == rules_version).select("blob")
-        first = paths.groupBy("blob").agg(F.min("doc_id").alias("first_id")).join(seen, "blob", "left_anti")
-        # the text depends on the join, so the optimizer can't move the scan below it, where it would meet all versions
-        whole = versions.select("doc_id", text.alias("text")).join(first, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", F.when(F.sha2("text", 256) == F.col("blob"), F.col("text")).alias("text")).where("text is not null")
-        found_in(whole, rules).withColumn("rules", F.lit(rules_version)).select("blob", "rules", "kind", "rank", "start", "stop").write.mode("append").parquet(f"{self.path}/findings")
-        first.select("blob", F.lit(rules_version).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
+        wanted = F.array(*[F.lit(r.version) for r in rules])
+        batch = paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
+        seen = self.scanned().join(batch.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
+        unseen = F.array_except(wanted, F.coalesce("rules", F.array().cast("array<string>")))
+        first = batch.join(seen, "blob", "left").select("blob", "first_id", unseen.alias("unseen")).where(F.size("unseen") > 0)
+        # by content as well as by id: ids may be null or repeat, and then id alone would pair every such row with every other.
+        # The text depends on both sides, so the optimizer can't move the scan below the join, where it would meet all versions
+        held = versions.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("own"))
+        whole = held.join(first, (F.col("own") == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "unseen", F.when(F.col("own") == F.col("blob"), F.col("text")).alias("text"))
+        found_in(whole, rules).write.mode("append").parquet(f"{self.path}/findings")
+        first.select("blob", F.col("unseen").alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
         return paths
 
 
-def secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION) -> DataFrame:
+def secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row of (doc_id, text, ...).
 
     Spans are kind:start:end by start, then by order of the rules. Texts without secrets, empty and null ones have
-    no spans; rows that repeat an id or a text each get a row.
+    no spans; rows that repeat an id or a text each get a row, and null ids are kept. Very long texts are matched whole, by
+    the built-in functions, one row at a time. Without a ledger a new one is begun, and everything is unseen.
     """
     ledger = ledger or BlobLedger(docs.sparkSession, new_path(docs.sparkSession, "ledger"))
-    paths = ledger.scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules, rules_version)
-    spans = F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop")))
-    by_blob = ledger.findings().where(F.col("rules") == rules_version).groupBy("blob").agg(spans.alias("found"))
+    paths = ledger.scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules)
+    ranks = F.array(*[F.lit(r.version) for r in rules])
+    rank = (F.array_position(ranks, F.col("rule")) - 1).cast("int")
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
+    named = ledger.findings(paths, rules).withColumn("rank", rank).select("blob", "start", "rank", kind.alias("kind"), "stop")
+    by_blob = named.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("found"))
     rows = paths.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")))
 
     def joined(found):

@@ -43,10 +43,21 @@ def test_only_unseen_blobs_and_rule_versions_are_scanned(spark, table):
     again = secrets.secrets(table([*TEXTS, TEXTS[14]]), ledger).collect()
     assert ledger.scanned().count() == len({t or "" for t in TEXTS})
     assert {r.doc_id: r.spans for r in again}[len(TEXTS)] == expected(TEXTS[14])[1]
-    rules = (*RULES, Rule("pin", r"PIN [0-9]{4}"))
-    newer = secrets.secrets(table(["PIN 1234", TEXTS[14]]), ledger, rules, "2").collect()
-    assert {r.spans for r in newer} == {"pin:0:8", expected(TEXTS[14])[1]}
-    assert ledger.scanned().where("rules = '2'").count() == 2
+    # a new rule, and a changed one: of blobs that are known only these two are tried
+    rules = (RULES[0], Rule("access", r"AKIA[A-Z0-9]+", 0, 5), *RULES[2:], Rule("pin", r"PIN [0-9]{4}"))
+    texts = ["PIN 1234", TEXTS[14], TEXTS[17]]
+    newer = secrets.secrets(table(texts), ledger, rules).collect()
+    assert {r.doc_id: r.spans for r in newer} == {i: expected(t, rules)[1] for i, t in enumerate(texts)}
+    added = [set(r.rules) for r in ledger.scanned().collect() if rules[1].version in r.rules]
+    assert sorted(map(len, added)) == [2, 2, len(rules)]
+    # the old rules still give what they gave
+    assert {r.doc_id: r.spans for r in secrets.secrets(table(TEXTS), ledger).collect()} == {i: expected(t)[1] for i, t in enumerate(TEXTS)}
+    assert ledger.scanned().count() == len({t or "" for t in TEXTS}) + 3
+
+
+def test_many_null_ids_are_not_paired_with_each_other(spark):
+    rows = spark.createDataFrame([(None, f"token = {'a' * 8}{i}") for i in range(3000)], "doc_id long, text string")
+    assert secrets.secrets(rows).where("n_assign = 1").count() == 3000
 
 
 def test_empty_repeated_and_null_ids(spark, table):
