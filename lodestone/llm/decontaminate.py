@@ -5,8 +5,8 @@ span of ``SPAN`` = GRAM + WINDOW - 1 words has a fingerprint in common. Seeds, w
 the benchmark's, are extended to all spans that contain them, and each span is verified. Items of fewer words than a
 span are one window of their own length; for those lengths every gram is kept.
 
-A benchmark of up to ``INDEX_WORDS`` words is indexed in memory and sent to the tasks, and texts don't move. A larger one
-is joined by fingerprints and by spans.
+A benchmark of up to ``INDEX_BYTES`` bytes in ``INDEX_ITEMS`` rows is indexed in memory and sent to the tasks, and texts
+don't move. A larger one is joined by fingerprints and by spans; the results are the same.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from lodestone.llm.textarrays import ALNUM, gram_hashes, groups, mix, words_of
 SPAN = 13
 GRAM = 8
 WINDOW = SPAN - GRAM + 1
-#: Bound of the benchmark that is held in memory: about 100 bytes for each word.
-INDEX_WORDS = 1_000_000
+#: Bounds of the benchmark that is held in memory, texts and ids together; a word has a byte at least and takes about 100 in the index.
+INDEX_BYTES, INDEX_ITEMS = 8_000_000, 200_000
 #: contaminated: at least one hit word, and SHARE * hit words >= words.
 SHARE = 20
 
@@ -126,7 +126,8 @@ def _digest(names: list[str]) -> str:
 
 
 def _fits(benchmark: DataFrame) -> bool:
-    return (benchmark.agg(F.sum(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0) <= INDEX_WORDS
+    held = benchmark.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.octet_length("item_id"))).first()
+    return held[0] <= INDEX_ITEMS and (held[1] or 0) <= INDEX_BYTES
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, in_memory: bool | None
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of (doc_id, text, ...).
 
     Null and wordless texts have no words and no hits. Items without words or without an id match nothing; several rows
-    of one item_id count as one item. Repeated documents each get a row.
+    of one item_id count as one item, and items of equal texts all count. Repeated documents and null ids each get a row.
+    Texts are read whole, in groups of bounded size or one at a time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = _items(benchmark)
@@ -212,7 +214,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows, all columns kept."""
+    """``docs`` without contaminated rows, all columns kept. Null texts stay; rows that repeat a text share its verdict, whatever their ids."""
     items = _items(benchmark)
     if not _fits(items):
         digest = F.xxhash64(F.coalesce("text", F.lit("")))

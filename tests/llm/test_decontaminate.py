@@ -53,9 +53,10 @@ def test_matches_brute_force(table, benchmark_table, in_memory):
     assert sorted(tuple(r) for r in got.collect()) == expected(docs.collect(), benchmark_table.collect())
 
 
-@pytest.mark.parametrize("words", [10**6, 1])
-def test_dropping(table, benchmark_table, monkeypatch, words):
-    monkeypatch.setattr(decontaminate, "INDEX_WORDS", words)
+@pytest.mark.parametrize("limit", ["INDEX_BYTES", "INDEX_ITEMS", None])
+def test_dropping(table, benchmark_table, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(decontaminate, limit, 3)
     bad = next(r.text for r in benchmark_table.collect() if r.item_id == 4)
     docs = table(["fine words only", bad, None, "x " * 2000 + bad])
     kept = decontaminate.drop_contaminated(docs, benchmark_table)
