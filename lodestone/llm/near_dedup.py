@@ -1,12 +1,16 @@
 """Near-duplicate groups of documents by SetSketch registers.
 
-1. Each text becomes its set of distinct 5-word shingles and a sketch of it; texts of equal sets are one class from then
-   on, however many copies there are, so copies cost one row each.
+1. Each text becomes its set of distinct 5-word shingles, a 128-bit digest of the sorted set, and a sketch of it; texts of
+   equal sets are one class from then on, however many copies there are, so copies cost one row each.
 2. Runs of registers are keys of bands. A band's bucket links every member to the bucket's smallest document: as many
    pairs as members. Pairs that pass exact size bounds and the likelihood estimate are verified on full sets.
-3. Buckets that still hold several components compare all members outside their leader's component with all others, in
-   blocks and on full sets, so that no candidate pair between components stays unverified; pairs inside a component
-   can't change the result, and pairs are never rows.
+3. Buckets that still hold several components compare all members outside their leader's component with all others, on
+   full sets, so that no candidate pair between components stays unverified; pairs inside a component can't change the
+   result, and pairs are never rows.
+4. A bucket that one block can't hold isn't compared whole, as pages of one template that fall short of the threshold may
+   fill it. Its members meet again under their rarest shingles: sets at the threshold must share one of the first
+   n - ceil(threshold * n) + 1 in any common order, and in the order of rarity a template's shingles come last. Rarity is
+   estimated from a table of counts of fixed size; a wrong estimate costs time, not links.
 
 With 5 registers a band and 30 bands, a pair at similarity 0.85 shares no band with probability
 (1 - 0.85 ** 5) ** 30 < 3e-8, one at 0.8 with (1 - 0.8 ** 5) ** 30 < 7e-6. The estimate drops pairs only five standard
@@ -15,6 +19,7 @@ deviations below the threshold.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.scratch import materialize
+from lodestone.llm.scratch import materialize, release
 from lodestone.llm.setsketch import band_keys, estimate_jaccard, sketch
-from lodestone.llm.textarrays import SPACED, groups, mix, shingle_sets, words_of
+from lodestone.llm.textarrays import SPACED, groups, shingle_sets, words_of
 
 SHINGLE_WORDS = 5
 #: Two sets are linked when 100 * intersection >= percent * union; this is the default.
@@ -34,6 +39,8 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Bounds of the blocks in which a bucket's members are compared.
 BLOCK_ELEMENTS, BLOCK_ROWS = 500_000, 2048
+#: Counters that the rarity of shingles is estimated with, 8 MB; it does not grow with the corpus.
+COUNTERS = 1 << 20
 _KEYS = "doc_id long, n long, key_a long, key_b long, registers binary"
 
 
@@ -50,8 +57,9 @@ def _sketches(least: int):
                 n, a, b, registers = [], [], [], []
                 for elements in shingle_sets(words_of(texts, SPACED), SHINGLE_WORDS):
                     n.append(len(elements))
-                    a.append(int(mix(elements).sum(dtype=np.uint64).view(np.int64)))
-                    b.append(int(mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                    one, two = np.frombuffer(hashlib.blake2b(elements.tobytes(), digest_size=16).digest(), dtype=np.int64)
+                    a.append(int(one))
+                    b.append(int(two))
                     registers.append(sketch(elements, REGISTERS).tobytes() if len(elements) >= least else b"")
                 yield pa.record_batch([ids[part].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(registers, pa.binary())], names=["doc_id", "n", "key_a", "key_b", "registers"])
 
@@ -113,15 +121,57 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     return with_sets.mapInArrow(_verified(percent), "a long, b long")
 
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """(band, blocks) of the buckets that hold several components, with the number of blocks that hold their members."""
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    return named.groupBy("band").agg(F.count_if("stray").alias("strays"), F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")).where("strays > 0 and low <> high").select("band", "blocks")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's count of elements by counter."""
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for value in batch.column("elements"):
+            np.add.at(total, (np.frombuffer(value.as_buffer(), dtype=np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+    held = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(held), pa.array(total[held])], names=["counter", "n"])
+
+
+def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, doc_id, n, component, stray): members (doc_id, n, component) under each of the rarest shingles of their sets."""
+    spark = members.sparkSession
+    own = materialize(members.join(sets, "doc_id"), "members")
+    counts = own.select("elements").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(COUNTERS, dtype=np.int64)
+    common[counts.column("counter").to_numpy()] = counts.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(common)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, chosen = whole.slice(at, 256), []
+                for value in batch.column("elements"):
+                    elements = np.frombuffer(value.as_buffer(), dtype=np.uint64)
+                    first = len(elements) - -(-percent * len(elements) // 100) + 1
+                    often = shared.value[(elements & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    chosen.append(elements[np.lexsort((elements, often))[:first]])
+                rows = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
+                own = batch.select(["doc_id", "n", "component"]).take(pa.array(rows))
+                yield pa.record_batch([pa.array(np.concatenate(chosen).view(np.int64)), *own.columns], names=["band", "doc_id", "n", "component"])
+
+    rows = materialize(own.mapInArrow(keyed, "band long, doc_id long, n long, component long"), "rarest")
+    release(own)
+    lead = rows.groupBy("band").agg(F.min("component").alias("leads"), F.max("component").alias("high")).where("leads <> high").select("band", "leads")
+    return rows.join(lead, "band").select("band", "doc_id", "n", "component", F.expr("component <> leads").alias("stray"))
+
+
 def _across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside buckets: of each bucket, the members outside the leader's component against all.
 
     Both sides are dealt into blocks of bounded size, every pair of blocks is compared at once on full sets, and a pair of
     blocks returns no more links than join its components to each other.
     """
-    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
-    mixed = named.groupBy("band").agg(F.count_if("stray").alias("strays"), F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")).where("strays > 0 and low <> high").select("band", "blocks")
-    rows = named.join(mixed, "band").withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
+    rows = named.join(_mixed(named), "band").withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     members = rows.select("band", F.col("own").alias("right"), F.lit(False).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "left")
     asking = rows.where("stray").select("band", F.col("own").alias("left"), F.lit(True).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "right")
@@ -177,12 +227,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Null and wordless texts have no shingles and stay alone. Rows that repeat a doc_id share its component when their
     texts are linked, and each gets a row; ``kept`` is whether doc_id is the component's smallest. A null doc_id
-    belongs to the class of equal sets, links nothing else and is never kept.
+    belongs to the class of equal sets, links nothing else and is never kept. Very long texts are read whole, one at a
+    time; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(docs.mapInArrow(_sketches(_least(percent)), _KEYS), "sketches")
     keys = ["n", "key_a", "key_b"]
-    classes = found.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    # written, so that the join below deals both sides anew and a class of many copies can be split over tasks
+    classes = materialize(found.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     members = found.select("doc_id", *keys).join(classes, keys, "left")
 
     many = classes.where(F.col("n") >= _least(percent))
@@ -193,6 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = buckets.select("doc_id").distinct()
     sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, elements binary"), "sets")
 
+    # every member of a bucket goes to its leader; pairs of several bands are one pair
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = materialize(components(_links(stars, reps, sets, percent)), "components")
 
@@ -200,9 +253,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = named.join(first.select(F.col("id").alias("leader"), F.col("component").alias("leads")), "leader", "left").withColumn("leads", F.coalesce("leads", "leader"))
     # the leader itself was compared with every member already
     named = materialize(named.where("doc_id <> leader").join(reps.select("doc_id", "n"), "doc_id").select("band", "doc_id", "n", "component", F.expr("component <> leads").alias("stray")), "named")
-    more = _across(named, sets, percent)
+    mixed = materialize(_mixed(named), "mixed")
+    more = _across(named.join(mixed.where("blocks = 1").select("band"), "band", "left_semi"), sets, percent)
+    large = named.join(mixed.where("blocks > 1").select("band"), "band", "left_semi").select("doc_id", "n", "component").distinct()
+    if mixed.where("blocks > 1").limit(1).collect():
+        # the leader was compared with each member already, so members alone meet again
+        more = more.unionByName(_across(materialize(_rarest(large, sets, percent), "rare"), sets, percent))
     edges = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
     final = materialize(components(edges), "components")
+    release(buckets, sets, reps, first, named, mixed)
 
     labelled = members.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")

@@ -60,6 +60,16 @@ def test_large_near_group_without_a_centre(table, monkeypatch, rows):
     check(table([edited(rng, base, rng.choice([0.005, 0.015, 0.02, 0.03])) for _ in range(250)]))
 
 
+def test_pages_of_one_template(table, monkeypatch):
+    """Pages that share a template but fall short of the threshold fill buckets; among them are a few that are linked."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 20)
+    rng = random.Random(12)
+    template = prose(rng, 140)
+    texts = [template + " " + prose(rng, 45, 10**6) for _ in range(150)]
+    texts += [edited(rng, t, 0.008) for t in texts[:20]]
+    check(table(texts))
+
+
 def test_odd_texts(table):
     check(table(ODD))
 
