@@ -6,15 +6,18 @@ sorts beside its twins, with equal bytes in front of it.
 
 1. Of equal texts only the first goes on; the others are wholly repeats.
 2. Suffixes whose first ``GRAM`` bytes stand at one place only need nothing more. The rest get their bytes on both sides.
-3. Splitters, sampled from a bounded number of texts, range-partition them by their leading 8-byte token. All suffixes of
-   one leading token come to one bucket, and equal stretches share it, so comparing across a boundary never finds more.
-   Each bucket is sorted by multikey quicksort on such tokens; common lengths of neighbours cut it into runs of equal
+3. Splitters, sampled with the number of buckets, range-partition them by their leading ``GRAM`` bytes. Suffixes that lead
+   alike come to one bucket, and equal stretches lead alike, so comparing across such a boundary never finds more. Each
+   bucket is sorted by multikey quicksort on 8-byte tokens; common lengths of neighbours cut it into runs of equal
    stretches at every offset.
-4. Of a run all but the first, by id and position, are removed; spans are joined back to their texts.
-
-Groups of more than ``HOT`` suffixes with equal leading tokens don't go to a bucket: each of their stretches becomes a row,
-and the first of equal ones is a minimum that tasks take in advance. Texts are dealt by id once: the join with their wanted
-suffixes and the join with their spans are parts of one plan and share that exchange.
+4. Suffixes that lead alike more than ``ALIKE`` times, as those of boilerplate, would make a bucket of any size. Every one of
+   their stretches is sorted as a suffix of its own, whole, then by id and position, so splitters can stand anywhere, also
+   between equal ones; a bucket then compares its first stretch with the last one before it, across the boundary.
+   Stretches that repeat inside a task's batch are settled there.
+5. Of a run all but the first, by id and position, are removed; spans are joined back to their texts.
+
+Texts are dealt by id once: the join with their wanted suffixes and the join with their spans are parts of one plan and
+share that exchange.
 """
 
 from __future__ import annotations
@@ -24,22 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import materialize
-from lodestone.llm.textarrays import groups, mix, prefix_hash, span_hash
+from lodestone.llm.textarrays import groups, mix
 
 LENGTH = 100
 GRAM = 24
 #: Positions among which a stretch picks, and bytes in front of its pick at most.
 PICKS = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
-HOT = 150_000
-#: Texts that splitters are sampled from, and records that a bucket holds on average. Neither changes results.
-SPLITTER_TEXTS, BUCKET_RECORDS = 2000, 40_000
-#: Records that are sorted at once; more only where their leading tokens are equal.
-SORTED_RECORDS = 16_384
+#: Suffixes that may lead alike in one bucket, records that a bucket holds on average, stretches that one of whole stretches
+#: holds, and records that are sorted at once, more only where they lead alike. None of them changes results.
+ALIKE, BUCKET_RECORDS, BUCKET_STRETCHES, SORTED_RECORDS = 100_000, 40_000, 200_000, 16_384
+#: Leading bytes sampled for each bucket, and from one group of texts at most: what comes to the driver grows with the buckets alone.
+SAMPLED_LEADS, GROUP_LEADS = 8, 64
+#: Rows that multikey quicksort hands over to a plain sort.
+FEW = 96
 _WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -71,7 +77,8 @@ class Picked:
         empty = np.zeros(0, dtype=np.int64)
         if len(raw) < LENGTH:
             self.at = self.text = self.least = self.most = empty
-            self.key = self.lead = empty.astype(np.uint64)
+            self.key = empty.astype(np.uint64)
+            self.lead = np.zeros(0, dtype=f"S{GRAM}")
             return
         token = _tokens(raw)
         n = len(raw) - GRAM + 1
@@ -91,7 +98,9 @@ class Picked:
         inside = low <= high
         self.at, self.text = at[inside], text[inside]
         self.most, self.least = self.at - low[inside], self.at - high[inside]
-        self.key, self.lead = order[self.at], token[self.at]
+        self.key = order[self.at]
+        # bytes that end in zeros compare as if they were cut there, alike on all sides
+        self.lead = np.ascontiguousarray(np.stack([token[self.at + 8 * j] for j in range(GRAM // 8)], axis=1).astype(">u8")).view(f"S{GRAM}").ravel()
 
     @property
     def position(self) -> np.ndarray:
@@ -119,15 +128,17 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in groups(batch):
-            yield pa.record_batch([pa.array((Picked(texts).lead >> np.uint64(1)).astype(np.int64))], names=["lead"])
+            lead = Picked(texts).lead
+            thinned = lead[np.linspace(0, len(lead) - 1, min(GROUP_LEADS, len(lead))).astype(int)] if len(lead) else lead
+            yield pa.record_batch([pa.array(thinned.tolist(), pa.binary())], names=["lead"])
 
 
 def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Leading tokens, halved, at which buckets end, from a sample of texts."""
-    total = docs.count()
-    sample = docs.sample(min(1.0, SPLITTER_TEXTS / max(1, total)), seed=7).limit(2 * SPLITTER_TEXTS)
-    leads = np.sort(sample.mapInArrow(_leads, "lead long").toArrow().column("lead").to_numpy())
-    return leads[np.linspace(0, len(leads) - 1, buckets + 1).astype(int)[1:-1]] if len(leads) else leads
+    """Leading bytes at which buckets end, from a sample of texts that grows with the number of buckets alone."""
+    total, wanted = docs.count(), SAMPLED_LEADS * buckets
+    sample = docs.sample(min(1.0, wanted / max(1, total)), seed=7).mapInArrow(_leads, "lead binary").limit(2 * GROUP_LEADS * wanted)
+    leads = np.sort(np.array(sample.toArrow().column("lead").to_pylist(), dtype=f"S{GRAM}"))
+    return np.unique(leads[np.linspace(0, len(leads) - 1, buckets + 1).astype(int)[1:-1]]) if len(leads) else leads
 
 
 def _record_rows(ends: np.ndarray):
@@ -145,7 +156,7 @@ def _record_rows(ends: np.ndarray):
                     keep[own] = np.isin(position[own], wanted.values.to_numpy())
                 at, least, most, text = p.at[keep], p.least[keep], p.most[keep], p.text[keep]
                 body = [p.raw[a:b] for a, b in zip((at - most).tolist(), (at + LENGTH - least).tolist(), strict=True)]
-                bucket = np.searchsorted(ends, (p.lead[keep] >> np.uint64(1)).astype(np.int64), "right").astype(np.int32)
+                bucket = np.searchsorted(ends, p.lead[keep], "right").astype(np.int32)
                 yield pa.record_batch([pa.array(bucket), pa.array(ids[part][text]), pa.array(digest[part][text]), pa.array(position[keep]), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(body, pa.binary())], names=["bucket", "id", "d", "position", "least", "most", "body"])
 
     return rows
@@ -165,22 +176,28 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int,
 
 
 def multikey_order(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lexicographic order of rows of tokens: rows that still tie are parted by their next token, depth by depth."""
+    """Lexicographic order of rows of tokens, then by size, by multikey quicksort.
+
+    A stretch of rows that agree so far is parted in three at its median token: smaller and larger ones go on at the same
+    depth, equal ones at the next token. Stretches of up to ``FEW`` rows are sorted by what is left of them at once.
+    """
     order = np.arange(len(tokens))
-    run = np.zeros(len(tokens), dtype=np.int64)
-    tied = np.arange(len(tokens))
-    for depth in range(tokens.shape[1] + 1):
-        if not len(tied):
-            break
-        rows = order[tied]
-        token = tokens[rows, depth] if depth < tokens.shape[1] else size[rows].astype(np.uint64)
-        by = np.lexsort((token, run[tied]))
-        order[tied], token = rows[by], token[by]
-        new = np.ones(len(tied), dtype=bool)
-        new[1:] = (run[tied][1:] != run[tied][:-1]) | (token[1:] != token[:-1])
-        run[tied] = tied[np.flatnonzero(new)][np.cumsum(new) - 1]
-        alone = new & np.append(new[1:], True)
-        tied = tied[~alone]
+    depths = tokens.shape[1]
+    todo = [(0, len(order), 0)]
+    while todo:
+        low, high, depth = todo.pop()
+        if high - low < 2:
+            continue
+        rows = order[low:high]
+        if high - low <= FEW or depth == depths:
+            order[low:high] = rows[np.lexsort((size[rows], *tokens[rows, depth:].T[::-1]))]
+            continue
+        token = tokens[rows, depth]
+        pivot = np.partition(token, len(token) // 2)[len(token) // 2]
+        less, more = token < pivot, token > pivot
+        a, b = int(less.sum()), int(more.sum())
+        order[low:high] = np.concatenate([rows[less], rows[~less & ~more], rows[more]])
+        todo += [(low, low + a, depth), (low + a, high - b, depth + 1), (high - b, high, depth)]
     return order
 
 
@@ -237,8 +254,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank = np.zeros(len(by), dtype=np.int64)
     rank[by] = np.cumsum(new)
     start, size = offsets[:-1] + most, (LENGTH - least).astype(np.int64)
-    lead = np.ascontiguousarray(_gathered(flat, start, np.full(len(start), 16), 16)).view(">u8").astype(np.uint64)
-    order = np.lexsort((lead[:, 1], lead[:, 0]))
+    lead = np.ascontiguousarray(_gathered(flat, start, np.full(len(start), GRAM), GRAM)).view(">u8").astype(np.uint64)
+    order = multikey_order(lead, np.zeros(len(lead), dtype=np.int64))
     lead = lead[order]
     cuts = np.append(np.flatnonzero((lead[1:] != lead[:-1]).any(axis=1)) + 1, len(order))
     del lead, by, new
@@ -258,23 +275,80 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
+def _order_of(body: np.ndarray, ids: np.ndarray, digest: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of stretches (rows of LENGTH bytes) by their bytes, then by id and position, and which of them open a run of equal ones."""
+    by_place = np.lexsort((start, digest, ids))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[by_place] = np.arange(len(ids))
+    tokens = np.zeros((len(body), 8 * -(-LENGTH // 8)), dtype=np.uint8)
+    tokens[:, :LENGTH] = body
+    order = multikey_order(tokens.view(">u8").astype(np.uint64), place)
+    opens = np.ones(len(order), dtype=bool)
+    opens[1:] = (body[order][1:] != body[order][:-1]).any(axis=1)
+    return order, opens
+
+
+_STRETCH = "body binary, id long, d long, from long, again boolean"
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every stretch of hot records as a row, by two hashes."""
+    """Every stretch of records as a row; those that a batch holds before are known to repeat, and go on without their bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            body = part.column("body").to_pylist()
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
             least, most, position = (part.column(c).to_numpy().astype(np.int64) for c in ("least", "most", "position"))
-            data = np.frombuffer(b"".join(body), dtype=np.uint8)
-            size = np.fromiter(map(len, body), dtype=np.int64, count=len(body))
+            raw = part.column("body").to_pylist()
+            size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
             origin = np.cumsum(size) - size
             n = most - least + 1
             row = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            start = origin[row] + step
-            one = span_hash(prefix_hash(data), start, start + LENGTH)
-            two = span_hash(prefix_hash(data ^ np.uint8(0x5A)), start, start + LENGTH)
-            yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("id").take(pa.array(row)), part.column("d").take(pa.array(row)), pa.array(position[row] - most[row] + step)], names=["h", "g", "id", "d", "from"])
+            body = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(raw), dtype=np.uint8), LENGTH)[origin[row] + step]
+            ids, digest = (part.column(c).to_numpy()[row] for c in ("id", "d"))
+            start = position[row] - most[row] + step
+            order, opens = _order_of(body, ids, digest, start)
+            held = body[order][opens].tobytes()
+            bodies = np.full(len(order), None, dtype=object)
+            bodies[opens] = [held[i : i + LENGTH] for i in range(0, len(held), LENGTH)]
+            yield pa.record_batch([pa.array(bodies, pa.binary()), pa.array(ids[order]), pa.array(digest[order]), pa.array(start[order]), pa.array(~opens)], names=["body", "id", "d", "from", "again"])
+
+
+_RUN = "part int, edge boolean, first binary, last binary, id long, d long, from long, again boolean"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket of whole stretches: each with whether it repeats one before it in the bucket, and the bucket's own first and last bytes.
+
+    The rows that equal the bucket's first are marked as its edge: they may repeat one of the bucket before.
+    """
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    part = TaskContext.get().partitionId()
+    body = np.frombuffer(b"".join(table.column("body").to_pylist()), dtype=np.uint8).reshape(-1, LENGTH)
+    ids, digest, start = (table.column(c).to_numpy() for c in ("id", "d", "from"))
+    order, opens = _order_of(body, ids, digest, start)
+    edge = np.cumsum(opens) == 1
+    first, last = body[order[0]].tobytes(), body[order[-1]].tobytes()
+    for at in range(0, len(order), 65_536):
+        cut, n = order[at : at + 65_536], min(65_536, len(order) - at)
+        ends = [pa.array([x if at == 0 else None] + [None] * (n - 1), pa.binary()) for x in (first, last)]
+        yield pa.record_batch([pa.array(np.full(n, part, dtype=np.int32)), pa.array(edge[at : at + n]), *ends, pa.array(ids[cut]), pa.array(digest[cut]), pa.array(start[cut]), pa.array(~opens[at : at + n])], names=["part", "edge", "first", "last", "id", "d", "from", "again"])
+
+
+def _repeated_stretches(records: DataFrame, count: int) -> DataFrame:
+    """(id, d, from) of the stretches of records that stand before, from whole stretches in sorted buckets."""
+    stretches = materialize(records.mapInArrow(_stretches, _STRETCH), "stretches")
+    buckets = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * PICKS // BUCKET_STRETCHES))
+    sorted_ = stretches.where("not again").select("body", "id", "d", "from").repartitionByRange(buckets, "body", "id", "d", "from")
+    found = materialize(sorted_.mapInArrow(_runs, _RUN), "runs")
+    # a row for each bucket: the run at its edge goes on from the last bucket before it whose last stretch is the same
+    ends = found.where("first is not null").select("part", "first", "last")
+    before = F.lag("last").over(Window.orderBy("part"))
+    goes_on = ends.withColumn("goes_on", F.col("first").eqNullSafe(before)).where("goes_on").select("part", "goes_on")
+    settled = found.join(goes_on, "part", "left").where("again or (edge and coalesce(goes_on, false))").select("id", "d", "from")
+    return stretches.where("again").select("id", "d", "from").unionByName(settled)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,30 +391,31 @@ def _cut(keep: bool):
 def _removals(docs: DataFrame) -> DataFrame:
     """(id, d, spans) of the texts with spans to remove; docs has doc_id, id, d (a hash of the text) and text."""
     rows = docs.select("id", "d", F.md5("text").alias("content"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= LENGTH)
-    firsts = rows.groupBy("content").agg(F.min("id").alias("first"))
+    # of texts that stand in several rows alone, and written, so that the join deals both sides anew and can split a text of many copies
+    firsts = materialize(rows.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("content", "first"), "firsts")
     copies = materialize(rows.join(firsts, "content").where("id > first").select("id", "d", "size").distinct(), "copies")
 
-    repeated = docs.mapInArrow(_places, "key long, place long").groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", (F.col("n") > HOT).alias("hot"))
+    # written, so that the join below deals both sides anew and a key of many suffixes can be split over tasks
+    places = docs.mapInArrow(_places, "key long, place long").groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n"))
+    repeated = materialize(places.where("low <> high").select("key", (F.col("n") > ALIKE).alias("alike")), "repeated")
     seeds = docs.mapInArrow(_seeds, "key long, id long, d long, position int").join(repeated, "key").join(copies, ["id", "d"], "left_anti")
-    wanted = materialize(seeds.groupBy("id", "d", "hot").agg(F.sort_array(F.collect_set("position")).alias("wanted")), "seeds")
+    wanted = materialize(seeds.groupBy("id", "d", "alike").agg(F.sort_array(F.collect_set("position")).alias("wanted")), "seeds")
 
-    sizes = {r.hot: r.n for r in wanted.groupBy("hot").agg(F.sum(F.size("wanted")).alias("n")).collect()}
+    sizes = {r.alike: r.n for r in wanted.groupBy("alike").agg(F.sum(F.size("wanted")).alias("n")).collect()}
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes.get(False, 0) // BUCKET_RECORDS))
     ends = splitters(docs, buckets)
 
-    def records(hot: bool) -> DataFrame:
-        if hot not in sizes:
-            return spark.createDataFrame([], _RECORD)
-        side = wanted.where(F.col("hot") == hot).select("id", "d", "wanted")
+    def records(alike: bool) -> DataFrame:
+        side = wanted.where(F.col("alike") == alike).select("id", "d", "wanted")
         # all columns of docs, so that the exchange is the one that the last join reads
         return docs.join(side, ["id", "d"]).select("doc_id", "id", "d", "text", "wanted").mapInArrow(_record_rows(ends), _RECORD)
 
     spans = records(False).repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket, "id long, d long, from long, to long")
-    stretches = records(True).mapInArrow(_stretches, "h long, g long, id long, d long, from long")
-    first = stretches.groupBy("h", "g").agg(F.min(F.struct("id", "d", "from")).alias("first"))
-    again = stretches.join(first, ["h", "g"]).where(F.struct("id", "d", "from") != F.col("first")).select("id", "d", "from", (F.col("from") + LENGTH).alias("to"))
-    found = spans.unionByName(again).groupBy("id", "d").agg(F.collect_list(F.struct("from", "to")).alias("spans")).mapInArrow(_merged, "id long, d long, spans array<struct<from:bigint,to:bigint>>")
+    if True in sizes:
+        again = _repeated_stretches(records(True), sizes[True])
+        spans = spans.unionByName(again.select("id", "d", "from", (F.col("from") + LENGTH).alias("to")))
+    found = spans.groupBy("id", "d").agg(F.collect_list(F.struct("from", "to")).alias("spans")).mapInArrow(_merged, "id long, d long, spans array<struct<from:bigint,to:bigint>>")
     whole = copies.select("id", "d", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))).alias("spans"))
     return found.unionByName(whole)
 
@@ -350,7 +425,8 @@ def deduplicated(docs: DataFrame, keep: bool = True) -> DataFrame:
 
     Removed is every byte in a stretch of LENGTH bytes that also starts earlier: at a smaller doc_id, or earlier in the
     text. Null texts are empty; texts below LENGTH bytes lose nothing. A null doc_id comes after all others; rows that
-    repeat a doc_id and text are one document, and different texts of one doc_id follow one another by a hash.
+    repeat a doc_id and text are one document, and different texts of one doc_id follow one another by a hash. Very long
+    texts are read whole, one at a time; no rows give no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("d"), "text")

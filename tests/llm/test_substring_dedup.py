@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from llm.conftest import ODD, prose
 
@@ -30,9 +31,10 @@ def check(docs):
     assert got == expected(docs.collect())
 
 
-@pytest.mark.parametrize("hot", [150_000, 3])
-def test_matches_brute_force(table, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize(("alike", "stretches"), [(100_000, 200_000), (3, 200_000), (3, 150)])
+def test_matches_brute_force(table, monkeypatch, alike, stretches):
+    monkeypatch.setattr(substring_dedup, "ALIKE", alike)
+    monkeypatch.setattr(substring_dedup, "BUCKET_STRETCHES", stretches)
     rng = random.Random(5)
     shared = [prose(rng, n) for n in (12, 20, 25, 30, 60, 200)]
     texts = []
@@ -53,6 +55,31 @@ def test_small_buckets_give_the_same(table, monkeypatch):
     check(table([one, prose(rng, 30) + one, one + prose(rng, 30), "short"]))
 
 
+def test_equal_stretches_over_several_buckets(table, monkeypatch):
+    """More copies of one passage than a bucket holds: the run of equal stretches crosses boundaries."""
+    monkeypatch.setattr(substring_dedup, "ALIKE", 2)
+    monkeypatch.setattr(substring_dedup, "BUCKET_STRETCHES", 20)
+    rng = random.Random(8)
+    passage = prose(rng, 30)
+    check(table([f"{prose(rng, 6)} {passage} {prose(rng, 5)}" for _ in range(60)]))
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(4)
+    for rows, values in ((0, 3), (1, 3), (5000, 2), (3000, 50), (400, 1)):
+        tokens, size = rng.integers(0, values, (rows, 6), dtype=np.uint64), rng.integers(0, 9, rows)
+        order = substring_dedup.multikey_order(tokens, size)
+        got = [(*tokens[i].tolist(), int(size[i])) for i in order]
+        assert sorted(order.tolist()) == list(range(rows)) and got == sorted(got)
+
+
+def test_very_long_text(table):
+    rng = random.Random(9)
+    long = prose(rng, 200_000, 10**6)
+    rows = substring_dedup.deduplicated(table([long, "short", long[600_000:700_000], None])).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {0: 0, 1: 0, 2: 100_000, 3: 0}
+
+
 def test_odd_texts_and_empty_table(table):
     check(table(ODD))
     assert substring_dedup.deduplicated(table([])).count() == 0
