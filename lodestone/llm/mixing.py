@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.rows import packed, unpacked
-from lodestone.llm.scratch import materialize
+from lodestone.llm.scratch import materialize, release
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SETTLED = 4096
 ITERATIONS = 60
+#: Newton steps end when a source's total is this close to its target, relatively; far below what a copy more or less does.
+TOLERANCE = 1e-10
 
 
 def _key(source: Column) -> Column:
@@ -38,23 +40,33 @@ def _own() -> dict[str, Column]:
     return {"doc_id": F.col("doc_id").cast("long"), "key_": _key(F.col("source")), "size_": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")}
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """sources with ``rank``, their place from 0 in order of key_: a sort over all tasks, then counts of its partitions."""
+    placed = materialize(sources.orderBy("key_").withColumn("place", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("place", 33)
+    # a row for each partition of the sort
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("part", before.alias("before"))
+    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "place", "before")
+
+
 def targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(key_, source_size, n, target) of each source.
 
     Shares are by weight, but no more than ``most`` times a source's size; what exceeds that is shared again. With level
-    m the target is min(most * size, m * weight), and m follows from sorted ratios of bound to weight. One row for each
-    source takes part.
+    m the target is min(most * size, m * weight); m rises until no more sources reach their bound, each step one sum over
+    the sources.
     """
-    order = F.row_number().over(Window.orderBy("key_")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
-    s = histogram.groupBy("key_").agg(F.sum(F.col("size_") * F.col("n")).alias("source_size"), F.sum("n").alias("n")).withColumn("w", weight)
-    s = s.withColumn("bound", F.col("source_size") * float(most)).withColumn("ratio", F.col("bound") / F.col("w"))
-    everything = Window.partitionBy(F.lit(1))
-    before = Window.partitionBy(F.lit(1)).orderBy("ratio", "key_").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("budget", F.sum("source_size").over(everything) * float(share) - F.coalesce(F.sum("bound").over(before), F.lit(0.0)))
-    s = s.withColumn("open", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", F.col("budget") / F.col("open")).withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "key_", "level"))).over(everything)["level"])
-    return s.select("key_", "source_size", "n", F.least("bound", F.coalesce(F.col("level") * F.col("w"), F.col("bound"))).alias("target"))
+    sizes = histogram.groupBy("key_").agg(F.sum(F.col("size_") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = materialize(_ranked(sizes).withColumn("w", weight).withColumn("bound", F.col("source_size") * float(most)).drop("rank"), "shares")
+    level, before = 0.0, None
+    while level != before:
+        full = F.col("bound") < level * F.col("w")
+        total, bounds, free = s.agg(F.sum("source_size"), F.sum(F.when(full, F.col("bound"))), F.sum(F.when(~full, F.col("w")))).first()
+        before, level = level, ((total or 0) * share - (bounds or 0.0)) / free if free else level
+    return s.select("key_", "source_size", "n", F.least("bound", level * F.col("w")).alias("target"))
 
 
 def rates(histogram: DataFrame, goals: DataFrame, most: float = MOST, iterations: int = ITERATIONS) -> DataFrame:
@@ -74,17 +86,19 @@ def rates(histogram: DataFrame, goals: DataFrame, most: float = MOST, iterations
         inside = F.col("step").isNotNull() & (F.col("low").isNull() | (F.col("step") > F.col("low"))) & (F.col("high").isNull() | (F.col("step") < F.col("high")))
         outside = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2).when(F.col("high").isNull(), F.greatest(2 * F.col("tilt"), F.col("tilt") + 1)).otherwise(F.least(2 * F.col("tilt"), F.col("tilt") - 1))
         error = F.abs(F.col("g") - F.col("target"))
-        done = F.col("g").isNull() | (error <= F.greatest(F.lit(0.5), F.col("target") * 1e-6))
+        done = F.col("g").isNull() | (error <= F.greatest(F.lit(1e-6), F.col("target") * TOLERANCE))
         s = s.withColumn("error", F.when(~done, error)).withColumn("tilt", F.when(done, F.col("tilt")).when(inside, F.col("step")).otherwise(outside))
-        state = materialize(s.select(*state.columns), "tilts")
+        before, state = state, materialize(s.select(*state.columns), "tilts")
+        release(before)
         if not state.where("error is not null").limit(1).collect():
             break
     return state.select("key_", "tilt", "mean")
 
 
-def _unit(salt: int, *columns: str) -> Column:
-    """A figure from 0 up to 1 that the columns decide."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), *columns), 11) * 2.0**-53
+def _unit(salt: int) -> Column:
+    """A figure from 0 up to 1 that a row's id and size decide: the first 48 bits of a digest."""
+    text = F.concat_ws(":", F.lit(str(salt)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size_").cast("string"))
+    return F.conv(F.left(F.md5(text), F.lit(12)), 16, 10).cast("double") * 2.0**-48
 
 
 def _settle(group: pd.DataFrame) -> Iterator[int]:
@@ -103,17 +117,18 @@ def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
     """(doc_id, key_, size, source_size, target, copies, taken) for each row of (doc_id, text, source, ...).
 
     Reruns agree: copies depend on the rows alone. Null and wordless texts have size 0 and take nothing; a null source is
-    the last of the sources. Repeated rows are separate documents of equal rates. No rows give no rows.
+    the last of the sources. Repeated rows are separate documents of equal rates, also those without an id. Very long
+    texts count whole. No rows give no rows.
     """
     rows = materialize(docs.select(*[c.alias(name) for name, c in _own().items()]), "sizes")
     histogram = materialize(rows.groupBy("key_", "size_").agg(F.count("*").alias("n")), "histogram")
     goals = materialize(targets(histogram), "targets")
     tilts = rates(histogram, goals)
     rate = F.when(F.col("size_") == 0, 0.0).when(F.col("tilt").isNull(), float(MOST)).otherwise(F.exp(F.least(F.col("tilt") * F.col("size_") / F.col("mean"), F.lit(math.log(MOST)))))
-    rated = rows.join(goals.join(tilts, "key_"), "key_").withColumn("rate", rate).withColumn("settles", _unit(2, "doc_id", "size_") * F.col("n") < settled)
+    rated = rows.join(goals.join(tilts, "key_"), "key_").withColumn("rate", rate).withColumn("settles", _unit(2) * F.col("n") < settled)
     # written here, so that only the settled documents, few of any source, are dealt by source below
     rated = materialize(rated.select("doc_id", "key_", "size_", "source_size", "target", "rate", "settles"), "rated")
-    plain = F.floor("rate") + (_unit(1, "doc_id", "size_") < F.col("rate") - F.floor("rate")).cast("long")
+    plain = F.floor("rate") + (_unit(1) < F.col("rate") - F.floor("rate")).cast("long")
     most = rated.where("not settles").withColumn("copies", F.when(F.col("size_") == 0, F.lit(0)).otherwise(plain).cast("long"))
     used = most.groupBy("key_").agg(F.sum(F.col("copies") * F.col("size_")).alias("used"))
     rest = rated.where("settles").join(used, "key_", "left").withColumn("due", F.col("target") - F.coalesce("used", F.lit(0)))
@@ -123,13 +138,13 @@ def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
         return group.assign(copies=list(_settle(group)))[["doc_id", "key_", "size_", "source_size", "target", "copies"]]
 
     columns = ["doc_id", "key_", "size_", "source_size", "target", "copies"]
-    few = rest.withColumn("unit", _unit(3, "doc_id", "size_")).select("doc_id", "key_", "size_", "source_size", "target", "rate", "due", "unit").groupBy("key_").applyInPandas(settle, "doc_id long, key_ string, size_ long, source_size long, target double, copies long")
+    few = rest.withColumn("unit", _unit(3)).select("doc_id", "key_", "size_", "source_size", "target", "rate", "due", "unit").groupBy("key_").applyInPandas(settle, "doc_id long, key_ string, size_ long, source_size long, target double, copies long")
     mixed = most.select(*columns).unionByName(few)
     return mixed.select("doc_id", "key_", F.col("size_").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("size_")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows alike in doc_id, source and size are taken alike."""
+    """``docs`` with each row as often as the mix takes it; rows alike in doc_id, source and size are taken alike. Null and wordless texts aren't taken."""
     taken = mix(docs, settled).groupBy("doc_id", "key_", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
     taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("key_").alias("taken_key"), F.col("size").alias("taken_size"), "copies")
     match = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("key_") == F.col("taken_key")) & (F.col("size_") == F.col("taken_size"))

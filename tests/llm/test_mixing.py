@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from llm.conftest import ODD, prose, spaced
 
 from lodestone.llm import mixing
@@ -50,6 +52,37 @@ def test_targets_and_totals(table):
     assert sorted(map(tuple, first)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
 
 
+def test_rates_are_the_balanced_ones(spark):
+    """Rates of a source are exponential in size, cut at the bound, and meet the target; bisection finds the same tilt."""
+    rng = random.Random(3)
+    sizes = {k: [rng.choice([1, 3, 10, 80, 500]) for _ in range(60)] for k in "abcd"}
+    histogram = spark.createDataFrame([(k, s, n) for k, own in sizes.items() for s, n in Counter(own).items()], "key_ string, size_ long, n long")
+    goals = mixing.targets(histogram)
+    target = {r.key_: r.target for r in goals.collect()}
+    assert target == pytest.approx(expected_targets({k: sum(v) for k, v in sizes.items()}))
+    for r in mixing.rates(histogram, goals).collect():
+        own = sizes[r.key_]
+        if r.tilt is None:
+            assert target[r.key_] == pytest.approx(2 * sum(own))
+            continue
+        mean = sum(own) / len(own)
+        low, high = -500.0, 500.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if sum(s * min(2.0, math.exp(min(50.0, tilt * s / mean))) for s in own) <= target[r.key_] else (low, tilt)
+        assert r.mean == pytest.approx(mean) and r.tilt == pytest.approx(low, abs=1e-6)
+
+
+def test_many_sources_null_ids_and_repeats(spark):
+    rows = [(i if i % 5 else None, "w " * (1 + i % 7), f"s{i % 300:03d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    want = expected_targets({s: sum(len(t.split()) for _, t, k in rows if k == s) for _, _, s in rows})
+    assert len(got) == 900 and {r.key_[1:]: r.target for r in got} == pytest.approx(want)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 def test_mostly_hashed_rounding(table):
     rng = random.Random(2)
     check(table([(prose(rng, rng.randrange(1, 40)), rng.choice("abc")) for _ in range(3000)]), 0.03, 300)
