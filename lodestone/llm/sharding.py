@@ -8,6 +8,7 @@ the runs of ring order that each shard takes. A document's rank in ring order th
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -16,20 +17,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.rows import packed, unpacked
-from lodestone.llm.textarrays import mix
 
 SHARDS = 8
 VIRTUAL_NODES = 128
 #: Rows of one sorting unit; their number grows with the input, not their size.
 CELL_ROWS = 5_000
 LAW = "rows"
+RING_BITS = 60
 
 
 def ring(shards: int, virtual_nodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the virtual nodes in ascending order, and their shards. A shard's positions don't depend on how many others there are."""
     shard = np.repeat(np.arange(shards), virtual_nodes)
-    seed = shard.astype(np.uint64) * np.uint64(1 << 32) + np.tile(np.arange(1, virtual_nodes + 1, dtype=np.uint64), shards)
-    at = mix(mix(seed)).view(np.int64)
+    at = np.array([int(hashlib.md5(f"{s}/{v}".encode()).hexdigest()[:15], 16) for s in range(shards) for v in range(virtual_nodes)], dtype=np.int64)
     order = np.lexsort((shard, at))
     return at[order], shard[order]
 
@@ -53,6 +53,12 @@ def runs(counts: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> tuple[np.
     return np.array(first, dtype=np.int64), np.array(shards, dtype=np.int32), np.array(slots, dtype=np.int64)
 
 
+def position_of(doc_id: str, text: str) -> Column:
+    """A document's place on the ring, RING_BITS bits of a digest of its id; texts place documents without one, so that these spread too."""
+    digest = F.coalesce(F.md5(F.col(doc_id).cast("string")), F.md5(F.concat(F.lit("text:"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    return F.conv(F.left(digest, F.lit(RING_BITS // 4)), 16, 10).cast("long")
+
+
 def equal_bounds(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (s < rows % shards) for s in range(shards)], dtype=np.int64)
 
@@ -61,16 +67,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_N
     """``docs`` with shard_ and slot_, size_ (UTF-8 bytes plus 1) and crc_ added, or replaced; needs doc_id and text.
 
     Of the input's columns only ``columns`` go along, if given. With ``slack`` each shard may hold that share above the equal one, and fewer documents move when shards are added;
-    counts may then differ by more than one. A null text has size 1; null ids share a place on the ring. Repeated rows
-    are separate documents. No rows give no rows.
+    counts may then differ by more than one. A null text has size 1; rows without an id are placed by their text. Repeated
+    rows are separate documents at one place, in any order. Very long texts stay whole. No rows give no rows.
     """
+    place_of = position_of("doc_id", "text")
     position, owner = ring(shards, virtual_nodes)
 
     @F.pandas_udf("int")
     def arc(at: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(position, at.to_numpy(), "left").astype(np.int32))
 
-    held = {x.arc: x.n for x in docs.select(arc(F.xxhash64("doc_id")).alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    held = {x.arc: x.n for x in docs.select(arc(place_of).alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
     counts = np.array([held.get(i, 0) for i in range(len(position) + 1)], dtype=np.int64)
     rows = int(counts.sum())
     bounds = equal_bounds(rows, shards) if not slack else np.full(shards, math.ceil((1 + slack) * rows / shards), dtype=np.int64)
@@ -85,14 +92,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_N
     coarse = min(fine, 10)
 
     def top(bits: int) -> Column:
-        return F.shiftright("at", 64 - bits) if bits else F.lit(0).cast("long")
+        return F.shiftright("at", RING_BITS - bits) if bits else F.lit(0).cast("long")
 
-    cells = docs.select(F.xxhash64("doc_id").alias("at")).groupBy(top(coarse).alias("part"), top(fine).alias("cell")).agg(F.count("*").alias("n"))
+    cells = docs.select(place_of.alias("at")).groupBy(top(coarse).alias("part"), top(fine).alias("cell")).agg(F.count("*").alias("n"))
     parts = cells.groupBy("part").agg(F.sum("n").alias("n")).withColumn("parts_before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     cells = cells.withColumn("cells_before", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     offsets = cells.join(parts, "part").select("cell", (F.col("parts_before") + F.col("cells_before")).alias("offset"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = packed(docs, columns, at=F.xxhash64("doc_id"), id=F.col("doc_id"), size=F.octet_length(text).cast("long") + F.lit(1).cast("long"), crc=F.crc32(text.cast("binary"))).withColumn("cell", top(fine))
+    sized = packed(docs, columns, at=place_of, id=F.col("doc_id"), size=F.octet_length(text).cast("long") + F.lit(1).cast("long"), crc=F.crc32(text.cast("binary"))).withColumn("cell", top(fine))
     ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("at", "id", "crc", "size"))).join(offsets, "cell")
     placed = ranked.withColumn("to", place(F.col("offset") + F.col("rank") - 1))
     return unpacked(placed, columns or docs.columns, size_=F.col("size"), crc_=F.col("crc"), shard_=F.col("to.shard"), slot_=F.col("to.slot"))

@@ -29,7 +29,7 @@ def brute(ids, keys, shards, virtual_nodes):
 def test_matches_brute_force(spark, table, monkeypatch, cell_rows):
     monkeypatch.setattr(sharding, "CELL_ROWS", cell_rows)
     docs = table(["t"] * 203)
-    keys = docs.selectExpr("doc_id", "xxhash64(doc_id) as k").collect()
+    keys = docs.select("doc_id", sharding.position_of("doc_id", "text").alias("k")).collect()
     rows = sharding.assign(docs).collect()
     assert {r.doc_id: r.shard_ for r in rows} == brute([k.doc_id for k in keys], [k.k for k in keys], 8, 128)
     for shard, n in Counter(r.shard_ for r in rows).items():
@@ -47,6 +47,8 @@ def test_sizes_checksums_and_odd_rows(table):
 
 def test_empty_repeated_and_null(spark, table):
     assert sharding.assign(table([])).count() == 0
+    several = spark.createDataFrame([(None, f"text {i}") for i in range(40)], "doc_id long, text string")
+    assert several.select(sharding.position_of("doc_id", "text")).distinct().count() == 40
     rows = spark.createDataFrame([(1, "a")] * 20 + [(None, "b")] * 4, "doc_id long, text string")
     assert sorted(Counter(r.shard_ for r in sharding.assign(rows).collect()).values()) == [3] * 8
 
