@@ -66,16 +66,22 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarra
 
     The penalty leaves a weight at 0 unless its word moves the likelihood of enough documents, so the many words that
     tell nothing don't add up over long texts. Rows are in ascending order.
+
+    The slope of a weight is at most the mean of its feature's values, so features whose mean is below the penalty can
+    never leave 0 and are left out at the start; the second half goes on with the weights that the first one found.
     """
+    n = len(grade)
+    able = np.bincount(bucket, weights=np.abs(value), minlength=BUCKETS) > penalty * n
+    row, bucket, value = (x[able[bucket]] for x in (row, bucket, value))
     w, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     share = np.clip(np.array([(grade <= k).mean() for k in range(GRADES - 1)]), 0.01, 0.99)
     cut = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
     cut_squares = np.full(GRADES - 1, 1e-8)
-    n = len(grade)
     for step in range(2 * passes):
         if step == passes:
             # what the penalty left goes on with a tenth of it, so that it isn't kept small
             kept, penalty = w != 0, penalty / 10
+            row, bucket, value = (x[kept[bucket]] for x in (row, bucket, value))
             squares, cut_squares = np.full(BUCKETS, 1e-8), np.full(GRADES - 1, 1e-8)
         score = np.bincount(row, weights=w[bucket] * value, minlength=n)
         edges = np.concatenate([[-np.inf], cut, [np.inf]])
@@ -86,8 +92,6 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarra
         g_cut = np.array([(np.where(grade == k, -up * (1 - up) / p, 0) + np.where(grade == k + 1, down * (1 - down) / p, 0)).mean() for k in range(GRADES - 1)])
         squares += g * g
         cut_squares += g_cut * g_cut
-        if step >= passes:
-            g = np.where(kept, g, 0)
         pace = rate / np.sqrt(squares)
         w -= pace * g
         w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
@@ -126,7 +130,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, expected_grade, tail_1, tail_2, kept) for each row of (doc_id, text, ...): tail_k is P(grade >= k).
 
-    Null and empty texts have no features and get the grades of a sum of 0.
+    Null and empty texts have no features and get the grades of a sum of 0. Equal texts get equal scores, and repeated
+    rows and null ids a row each. Very long texts are read whole. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

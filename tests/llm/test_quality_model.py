@@ -39,7 +39,33 @@ def test_held_out_accuracy_and_order_of_grades(rated):
     assert means == sorted(means)
 
 
-def test_gradient_is_that_of_the_likelihood():
+def test_fitted_thresholds_and_weights_are_a_maximum():
+    """Moving a threshold or a weight away from the fit lowers the likelihood, and features below the penalty stay out."""
+    rng = np.random.default_rng(5)
+    n = 400
+    row, bucket = np.repeat(np.arange(n), 2), np.stack([rng.integers(10, 13, n), np.full(n, 20)], axis=1).ravel()
+    score = np.array([-1.5, 0.0, 1.5])[bucket[::2] - 10]
+    grade = (score + rng.logistic(size=n) > -1).astype(int) + (score + rng.logistic(size=n) > 1).astype(int)
+    value = np.ones(2 * n, dtype=np.float32)
+    model = M.fit(row, bucket, value, grade, passes=1500, penalty=0.0)
+
+    def likelihood(weights, cut):
+        edges = np.concatenate([[-np.inf], cut, [np.inf]])
+        total = np.bincount(row, weights=weights[bucket], minlength=n)
+        return np.log(M._sigmoid(edges[grade + 1] - total) - M._sigmoid(edges[grade] - total)).sum()
+
+    best = likelihood(model.weights.astype(float), model.thresholds)
+    for k in (10, 11, 12):
+        for step in (-0.3, 0.3):
+            moved = model.weights.astype(float)
+            moved[k] += step
+            assert likelihood(moved, model.thresholds) < best
+    for step in (-0.3, 0.3):
+        assert likelihood(model.weights.astype(float), model.thresholds + np.array([0, step])) < best
+    assert not M.fit(row, bucket, value, grade, passes=5, penalty=2.0).weights.any()
+
+
+def test_grades_that_one_word_tells():
     """Without a penalty, fitting raises the likelihood to that of the grades' shares at least."""
     grade = np.array([0, 0, 1, 2, 2, 2, 1, 0] * 10)
     row = np.arange(80)
@@ -54,5 +80,7 @@ def test_odd_texts_no_labels_and_empty_tables(spark, table):
     model = M.trained(table(ODD), none)
     assert M.scored(table(ODD), model).count() == len(ODD)
     assert M.scored(table([]), model).count() == 0
+    rows = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one two"), (2, "z " * 300_000)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in M.scored(rows, model).collect()) == [0, 1, 1, 2]
     nulls = spark.createDataFrame([(None, 1, 0), (1, None, 0), (5, 1, 0), (5, 0, 1), (99, 1, 0)], "doc_id long, quality long, toxic long")
     assert M.scored(table(ODD), M.trained(table(ODD), nulls)).count() == len(ODD)
