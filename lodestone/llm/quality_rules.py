@@ -87,13 +87,15 @@ def frequent_lines(measures: DataFrame, limits: Limits) -> DataFrame:
 
 def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each row of (doc_id, text, source, ...): counters, base_failed, n_removed_words, removed (hashes of the lines to
-    remove), kept, and host and content as keys. Null texts count as empty and fail; a null source is a host of its own."""
+    remove), kept, and host and content as keys. Null texts count as empty and fail; a null source is a host of its own.
+    Repeated rows and null ids get a row each; very long texts are measured whole, one row at a time; no rows give no rows."""
     measures = materialize(measured(docs), "measures")
     frequent = frequent_lines(measures, limits)
     distinct = measures.select("host", "content", "lines").dropDuplicates(["host", "content"]).select("host", "content", F.explode("lines").alias("line"))
-    removed = (
+    # written, so that the join deals both sides anew and a content of many copies can be split over tasks
+    removed = materialize(
         distinct.select("host", "content", F.col("line.h").alias("h"), F.col("line.n").alias("n")).join(frequent, ["host", "h"])
-        .groupBy("host", "content").agg(F.sum("n").alias("n_removed_words"), F.sort_array(F.collect_set("h")).alias("removed"))
+        .groupBy("host", "content").agg(F.sum("n").alias("n_removed_words"), F.sort_array(F.collect_set("h")).alias("removed")), "removed"
     )
     base = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     rows = measures.drop("lines").join(removed, ["host", "content"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long"))).withColumn("base_failed", base)
@@ -101,8 +103,11 @@ def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The documents that pass, without their frequent lines; ``n_chars``, where present, follows the new text."""
-    verdicts = judged(docs, limits).where("kept").groupBy("host", "content").agg(F.first("removed").alias("removed"))
+    """The documents that pass, without their frequent lines; ``n_chars``, where present, follows the new text.
+
+    Null and empty texts fail. Rows that repeat a host and text share the verdict, whatever their ids.
+    """
+    verdicts = materialize(judged(docs, limits).where("kept").groupBy("host", "content").agg(F.first("removed").alias("removed")), "verdicts")
     keyed = packed(docs, host=F.coalesce(F.col("source").cast("string"), F.lit("\x00")), content=F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     found = keyed.join(verdicts, ["host", "content"])
     stays = F.array_join(F.filter(F.split(cell("text"), "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x)))), "\n")
