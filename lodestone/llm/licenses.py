@@ -105,7 +105,8 @@ def license_spans(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICE
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row of (doc_id, text, ...).
 
     ``spans`` lists (start, stop, label, edits) in code points. ``score`` is 1 where a base phrase or a notice stands
-    unchanged, less by edits, 0 where there is none. Null, empty and wordless texts have no words, places or labels.
+    unchanged, less by edits, 0 where there is none. Null, empty and wordless texts have no words, places or labels. Repeated
+    rows and null ids get a row each; very long texts are searched whole, one at a time; no rows give no rows.
     """
     chosen = [notice(lowered, label) for lowered, label in notices]
 

@@ -242,7 +242,8 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
 def private_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row of (doc_id, text, ...): (start, stop, kind) in code points, the identifiers and the terms that disclose any.
 
-    Null and empty texts have no spans. Spans depend on a text and the corpus alone, so repeated rows have equal spans.
+    Null and empty texts have no spans. Spans depend on a text and the corpus alone, so repeated rows have equal spans, and
+    rows without an id have theirs. Very long texts are read whole, one at a time; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("content", F.md5("text"))
     found = materialize(docs.select("content", "text").mapInArrow(_identified, _FOUND).dropDuplicates(["content"]), "identified")
@@ -260,7 +261,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """Counts of the base kinds, their digest and all spans as text."""
+    """Counts of the base kinds, of all base spans and of all spans, the digest of the base ones and all spans as text."""
     order = F.array(*[F.lit(k) for k in (*BASE, TERM)])
     ranked = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("rank"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     rows = spans.select("doc_id", F.sort_array(ranked).alias("spans"))
@@ -271,11 +272,12 @@ def digest(spans: DataFrame) -> DataFrame:
     def n(kind):
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return rows.select("doc_id", *[n(k) for k in BASE], F.sha2(joined(BASE), 256).alias("base_sha256"), joined((*BASE, TERM)).alias("spans"))
+    of_base = F.size(F.filter("spans", lambda x: x["kind"].isin(*BASE))).cast("long")
+    return rows.select("doc_id", *[n(k) for k in BASE], of_base.alias("n_base"), F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(BASE), 256).alias("base_sha256"), joined((*BASE, TERM)).alias("spans"))
 
 
 def sanitised(docs: DataFrame, generalise: bool = True) -> DataFrame:
-    """``docs`` with private spans replaced by their kind in brackets, or removed; of overlapping spans the first stands."""
+    """``docs`` with private spans replaced by their kind in brackets, or removed; of overlapping spans the first stands, of those that start together the longest. Null texts stay null."""
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     spans = private_spans(docs.select(digest.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("digest")).agg(F.first("spans").alias("spans")).where(F.size("spans") > 0)
 

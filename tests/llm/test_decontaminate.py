@@ -64,6 +64,14 @@ def test_dropping(table, benchmark_table, monkeypatch, limit):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
 
 
+@pytest.mark.parametrize("in_memory", [True, False])
+def test_null_and_repeated_ids_and_a_very_long_text(spark, benchmark_table, in_memory):
+    bad = next(r.text for r in benchmark_table.collect() if r.item_id == 4)
+    rows = spark.createDataFrame([(None, bad), (None, bad), (3, "y " * 300_000 + bad), (3, None), (3, bad)], "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(rows, benchmark_table, in_memory).collect()]
+    assert sorted(got, key=str) == sorted([(None, 40, 40, True), (None, 40, 40, True), (3, 300_040, 40, False), (3, 0, 0, False), (3, 40, 40, True)], key=str)
+
+
 def test_empty_tables(spark, table, benchmark_table):
     none = spark.createDataFrame([], benchmark_table.schema)
     assert decontaminate.contamination(table([]), benchmark_table).count() == 0

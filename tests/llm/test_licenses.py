@@ -42,6 +42,31 @@ def test_edited_notices_are_found_where_a_full_search_finds_them():
         assert all(s[3] <= chosen[i].edits and sum(full.fuzzy_counts) <= s[3] for s in mine)
 
 
+def test_spans_hold_the_notices_and_no_others():
+    """Notices with known edits between clean words: a span for each, within a character or two of an edit at its ends."""
+    rng = random.Random(17)
+    chosen = [L.notice(*n) for n in L.NOTICES]
+    searcher = L.Searcher(chosen)
+    for _ in range(60):
+        body, planted = prose(rng, 6), []
+        for i in rng.sample(range(len(chosen)), 3):
+            text = list(chosen[i].text)
+            for at in rng.sample(range(4, len(text) - 4), rng.randrange(chosen[i].edits + 1)):
+                text[at] = rng.choice(["", "z", text[at] + "z"])
+            planted.append((len(body) + 1, len(body) + 1 + len("".join(text)), i))
+            body += " " + "".join(text) + " " + prose(rng, 6)
+        got = searcher.spans(body)
+        for a, b, i in planted:
+            assert any(j == i and abs(x - a) <= 2 and abs(y - b) <= 2 and e <= chosen[i].edits for x, y, j, e in got), (body, planted, got)
+        assert all(any(x < b and a < y for a, b, _ in planted) for x, y, _, _ in got)
+
+
+def test_null_ids_repeats_and_a_very_long_text(spark):
+    rows = spark.createDataFrame([(None, "mit license"), (None, "mit license"), (1, "x " * 400_000 + "apache license"), (1, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_base, r.labels, r.n_words) for r in L.license_spans(rows).collect()), key=str)
+    assert got == sorted([(None, 1, "mit", 2), (None, 1, "mit", 2), (1, 1, "apache", 400_002), (1, 0, "", 0)], key=str)
+
+
 def test_clean_prose_has_no_notices_and_empty_tables_work(table):
     rng = random.Random(8)
     assert all(r.labels == "" and r.score == 0 for r in L.license_spans(table([prose(rng, 300) for _ in range(20)])).collect())

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
+import pytest
 from llm.conftest import ODD, prose
 
 from lodestone.llm import personal_data as P
@@ -65,6 +67,50 @@ def test_terms_that_give_an_identifier_away(table):
     assert "[TERM] keeper [EMAIL]" in got[0] and got[10] == texts[10]
 
 
+def brute_terms(texts: list[str]) -> set[str]:
+    """Disclosing words by the definition: counts over distinct texts, all pairs tried."""
+    distinct = sorted(set(texts))
+    base = [brute(t) for t in distinct]
+    words = [[(m.start(), m.end(), m[0].translate(P._LOWER)) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)] for t in distinct]
+    free = [{w for a, b, w in own if not any(x < b and a < y for x, y, _ in spans)} for own, spans in zip(words, base, strict=True)]
+    ids = [{f"{k}:{t[a:b].translate(P._LOWER)}" for a, b, k in spans} for t, spans in zip(distinct, base, strict=True)]
+    n, found = len(distinct), set()
+    for identifier in set().union(*ids):
+        held = [i for i in range(n) if identifier in ids[i]]
+        tried = sum(len(free[i]) for i in held)
+        for word in set().union(*(free[i] for i in held)):
+            e, t, c = len(held), sum(any(word == w for _, _, w in own) for own in words), sum(word in free[i] for i in held)
+
+            def entropy(share, by):
+                return sum(a * math.log(a / b) for a, b in ((share, by), (1 - share, 1 - by)) if a > 0)
+
+            if n > e and math.log2(c * n / (e * t)) >= P.DISCLOSES * math.log2(n / e) and max(e * entropy(c / e, t / n), t * entropy(c / t, e / n)) >= math.log(tried / P.CHANCE):
+                found.add(word)
+    return found
+
+
+@pytest.mark.parametrize("copies", [0, 60])
+def test_terms_match_brute_force(table, copies):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(3, 30), 80) for _ in range(150)]
+    for i, name in enumerate(["jo@x.org", "10.1.2.3", "+49 30 1234567", "4111 1111 1111 1111", "a@b.io"]):
+        for j in range(i, 150, 40 + 30 * i):
+            texts[j] += f" Ort{i} keeper{i % 2} {name} ende{i}"
+    texts += [texts[0]] * copies
+    want = brute_terms(texts)
+    got = {texts[r.doc_id][s.start : s.stop].translate(P._LOWER) for r in P.private_spans(table(texts)).collect() for s in r.spans if s.kind == P.TERM}
+    assert got == want and want
+
+
+def test_null_and_repeated_ids_and_a_very_long_text(spark):
+    long = "x " * 400_000 + "me@x.org"
+    rows = spark.createDataFrame([(None, "a@b.co"), (None, "a@b.co"), (4, None), (4, long)], "doc_id long, text string")
+    got = [(r.doc_id, r.n_email, r.n_base) for r in P.digest(P.private_spans(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 1), (None, 1, 1), (4, 0, 0), (4, 1, 1)], key=str)
+    clean = P.sanitised(rows.where("doc_id = 4")).collect()
+    assert sorted(str(r.text)[-7:] for r in clean) == ["None"[-7:], "[EMAIL]"]
+
+
 def test_joined_counts_agree_with_sent_ones(table, monkeypatch):
     rng = random.Random(6)
     docs = table([f"{prose(rng, 20, 60)} me@x.org {prose(rng, 20, 60)}" for _ in range(30)] + [prose(rng, 30, 60) for _ in range(30)])

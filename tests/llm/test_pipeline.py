@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from llm import test_decontaminate, test_near_dedup, test_quality_rules
-from llm.conftest import prose, spaced
+from llm.conftest import ODD, prose, spaced
 from llm.test_mixing import expected_targets
 
 import corpus_pipeline
@@ -75,6 +76,33 @@ def test_run_gives_the_last_stage(spark, folder):
     assert first == sorted((r.doc_id, r.shard) for r in corpus_pipeline.run(spark, folder).collect()) and first
 
 
+def test_every_stage_bears_empty_tables_nulls_and_clashing_columns(spark, tmp_path, table):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = table([*ODD, "fine words " * 40, ("another text of words " * 30, None)])
+    nulls = odd.withColumn("doc_id", F.lit(None).cast("long")).withColumn("n_chars", F.lit(None).cast("long"))
+    for docs in (table([]), odd, nulls, odd.unionByName(odd)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns[: len(docs.columns)] == docs.columns, name
+            assert got.count() <= 2 * docs.count()
+
+
+def test_run_on_an_empty_corpus(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_frequent_lines_go_in_the_pipeline(spark):
+    """A banner on more pages of a host than the limit goes, its pages stay; a page of banners alone goes."""
+    rng = random.Random(21)
+    rows = [(i, f"{prose(rng, 80)}\nOur banner number {i} of today", "en", "h", 0) for i in range(30)]
+    rows.append((99, "\n".join(f"Our banner number {i} of today" for i in range(20)), "en", "h", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert sorted(got) == list(range(30)) and not any("banner" in t for t in got.values())
+
+
 def test_registered_names():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
