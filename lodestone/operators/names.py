@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
@@ -11,11 +11,11 @@ from lodestone.functions.names import NameRules, looks_like_name
 from lodestone.functions.sizes import sent_if_few
 
 
-def _tokens(chunks: DataFrame) -> DataFrame:
-    """(chunk_ord, word, next) for each token and its neighbour; ``word`` may be empty."""
+def _tokens(chunks: DataFrame, distinct: bool = False) -> DataFrame:
+    """(chunk_ord, word, next) for each token and its neighbour, or for each two that are neighbours anywhere; ``word`` may be empty."""
     split = chunks.select("chunk_ord", T.name_tokens(F.col("text")).alias("words"))
     pairs = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get("words", i + 1).alias("next")))
-    return split.select("chunk_ord", F.explode(pairs).alias("t")).select("chunk_ord", "t.word", "t.next")
+    return split.select("chunk_ord", F.explode(F.array_distinct(pairs) if distinct else pairs).alias("t")).select("chunk_ord", "t.word", "t.next")
 
 
 def lexical_names(chunks: DataFrame, rules: NameRules = NameRules()) -> DataFrame:
@@ -46,11 +46,28 @@ def acid_names(chunks: DataFrame) -> DataFrame:
 
 
 def candidate_names(chunks: DataFrame, vocabulary: DataFrame | None = None, rules: NameRules = NameRules()) -> DataFrame:
-    """Distinct (chunk_ord, name) of all four rules; without a vocabulary (name) the two closed ones find nothing."""
-    found = lexical_names(chunks, rules).unionByName(acid_names(chunks))
-    if vocabulary is not None:
-        found = found.unionByName(hyphen_part_names(chunks, vocabulary)).unionByName(joined_names(chunks, vocabulary))
-    return found.distinct()
+    """Distinct (chunk_ord, name) of all four rules; without a vocabulary (name) the two closed ones find nothing.
+
+    Tokens are made once: each pair of neighbours gives what the rules see in it, with whether the vocabulary must know
+    the name, and the whole word that it must not know.
+    """
+    word, following = F.col("word"), F.col("next")
+    closed = vocabulary is not None
+
+    def seen(name: Column, asks: bool, whole: Column | None = None) -> Column:
+        return F.struct(name.alias("name"), F.lit(asks).alias("asks"), (F.lit(None).cast("string") if whole is None else whole).alias("whole"))
+
+    rows = [F.when(looks_like_name(word, rules), seen(word, False)), F.when((following == "acid") & (F.length(word) > C.MIN_ACID_STEM) & word.endswith("ic"), seen(F.concat(word, F.lit(" acid")), False))]
+    found = F.array_compact(F.array(*rows, *([F.when((word != "") & (following != ""), seen(F.concat(word, following), True))] if closed else [])))
+    if closed:
+        parts = F.transform(F.split(word, "-"), lambda p: seen(T.clean_token(p), True, word))
+        found = F.when(word.contains("-"), F.concat(found, parts)).otherwise(found)
+    given = _tokens(chunks, distinct=True).select("chunk_ord", F.explode(found).alias("x")).select("chunk_ord", "x.*")
+    if closed:
+        known = sent_if_few(vocabulary.select(F.col("name").alias("known")).distinct())
+        given = given.join(known, F.col("name") == F.col("known"), "left").where("not asks or known is not null").drop("known")
+        given = given.join(known, F.col("whole") == F.col("known"), "left").where("known is null")
+    return given.select("chunk_ord", "name").distinct()
 
 
 def frequent_names(candidates: DataFrame, most: int = C.MAX_CANDIDATES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.keys import heavy_atoms, surrogate_key
+from lodestone.functions.keys import heavy_atoms, largest_fragment, parseable, surrogate_key
 
 
 def resolve(names: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -59,7 +59,11 @@ def spellings(known: DataFrame, block: str | Column) -> DataFrame:
     return known.where(F.col("block") == block).select("name").distinct()
 
 
-def verified_lexicon(seed: DataFrame, keyer=surrogate_key) -> DataFrame:
-    """(name, smiles, block, heavy_atoms, accepted) of a seed (name, smiles): rows without a structure are kept as rejected."""
-    keyed = seed.withColumn("k", keyer(F.col("smiles")))
-    return keyed.select("name", "smiles", F.col("k.block").alias("block"), heavy_atoms(F.col("smiles")).alias("heavy_atoms"), (F.coalesce(F.col("smiles"), F.lit("")) != "").alias("accepted"))
+def verified_lexicon(seed: DataFrame, keyer=surrogate_key, parses=parseable) -> DataFrame:
+    """(name, smiles, canonical, block, heavy_atoms, accepted) of a seed (name, smiles).
+
+    ``canonical`` is the string that the key is of, the largest part; rows that don't parse are kept as rejected, without one.
+    """
+    good = F.coalesce(parses(F.col("smiles")), F.lit(False))
+    keyed = seed.withColumn("accepted", good).withColumn("k", keyer(F.when(good, F.col("smiles"))))
+    return keyed.select("name", "smiles", F.when(good, largest_fragment(F.col("smiles"))).alias("canonical"), F.col("k.block").alias("block"), F.when(good, heavy_atoms(F.col("smiles"))).alias("heavy_atoms"), "accepted")

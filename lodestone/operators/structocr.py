@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.functions.keys import largest_fragment, surrogate_key
+from lodestone.functions.keys import largest_fragment, parseable, surrogate_key
 from lodestone.operators.images import is_thin_rule
 
 
@@ -15,12 +15,6 @@ def candidates(inventory: DataFrame) -> DataFrame:
     return inventory.where(F.col("label").isin(*C.STRUCTURE_LABELS) & ~is_thin_rule(F.col("width"), F.col("height")))
 
 
-def parseable(smiles: Column) -> Column:
-    """Whether a string is made of SMILES symbols only, with closed brackets; stands in for a toolkit's parser."""
-    symbols = smiles.rlike(r"^(\[[^\[\]]+\]|Br|Cl|[BCNOSPFIbcnosp]|[0-9]|%[0-9]{2}|[-=#$:/\\.~()*])+$")
-    return symbols & (F.regexp_count(smiles, F.lit(r"\(")) == F.regexp_count(smiles, F.lit(r"\)")))
-
-
 def validate(predictions: DataFrame, keyer=surrogate_key, parses=parseable) -> DataFrame:
     """predictions (predicted_smiles, error, ...) with status and reason, and smiles, inchikey, block and heavy_atoms of accepted ones."""
     text = F.trim(F.coalesce("predicted_smiles", F.lit("")))

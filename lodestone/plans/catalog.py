@@ -40,6 +40,16 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_pages(pages(spark, sf_dir))
 
 
+def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_if_few(table(spark, sf_dir, "documents"))
+
+
+def name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' passages, and chosen ones with ids below 0."""
+    chosen = document_pages(X.frame(spark, [(-i, text, "chosen") for i, text in X.NAME_TEXTS], "doc_id long, text string, source string"))
+    return chunk_pages(chosen, repair=False).unionByName(chunks_of(spark, sf_dir))
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index over the documents: built and written by the first query of a session that needs it, read by the others."""
     made_of = "|".join((sf_dir, state_of(spark, f"{sf_dir}/documents.parquet"), repr((X.LEXICON, X.CACHE, X.RULES, X.MAX_CANDIDATES))))
@@ -104,7 +114,8 @@ def chunk_token_stats(spark, sf_dir):
 
 @query
 def repair_hyphen_literal(spark, sf_dir):
-    return X.frame(spark, X.HYPHEN_TEXTS, "id int, text string").select("id", T.repair_page_text(F.col("text")).alias("repaired"))
+    texts = X.frame(spark, X.HYPHEN_TEXTS, "id long, text string").unionByName(X.spark_rows(X.PARTED_TEXTS, documents=documents_of(spark, sf_dir)))
+    return texts.select("id", T.repair_page_text(F.col("text")).alias("repaired"))
 
 
 @query
@@ -126,15 +137,15 @@ def candidate_suffix(spark, sf_dir):
 
 @query
 def candidate_literal(spark, sf_dir):
-    chunks = X.frame(spark, X.NAME_TEXTS, "chunk_ord long, text string")
     vocabulary = X.frame(spark, [(v,) for v in X.VOCABULARY], "name string")
-    return N.candidate_names(chunks, vocabulary)
+    return N.candidate_names(name_texts(spark, sf_dir), vocabulary).select(*place(), "name")
 
 
 @query
 def morpheme_count_literal(spark, sf_dir):
-    words = sorted({w for _, t in X.NAME_TEXTS for w in t.lower().split()} | {"acetaminophen", "phenacetin", "paper"})
-    return X.frame(spark, [(w,) for w in words], "word string").select("word", FN.morpheme_count(F.col("word")).alias("n_morphemes"))
+    words = name_texts(spark, sf_dir).select(F.explode(T.name_tokens(F.col("text"))).alias("word"))
+    chosen = X.frame(spark, [("acetaminophen",), ("phenacetin",), ("hydrochlorothiazide",), ("paper",)], "word string")
+    return words.unionByName(chosen).distinct().select("word", FN.morpheme_count(F.col("word")).alias("n_morphemes"))
 
 
 @query
@@ -144,12 +155,13 @@ def candidate_bigram_join(spark, sf_dir):
 
 @query
 def candidate_hyphen_part(spark, sf_dir):
-    return N.hyphen_part_names(chunks_of(spark, sf_dir), X.lexicon(spark).unionByName(X.frame(spark, [("the", "C"), ("er", "C"), ("de", "C")], "name string, smiles string"))).select(*place(), "name")
+    chunks = chunk_pages(document_pages(X.spark_rows(X.HYPHENATED, documents=documents_of(spark, sf_dir))))
+    return N.hyphen_part_names(chunks, X.lexicon(spark).unionByName(X.frame(spark, [("the", "C"), ("er", "C"), ("de", "C")], "name string, smiles string"))).select(*place(), "name")
 
 
 @query
 def candidate_acid_literal(spark, sf_dir):
-    return N.acid_names(X.frame(spark, X.NAME_TEXTS, "chunk_ord long, text string"))
+    return N.acid_names(name_texts(spark, sf_dir)).select(*place(), "name")
 
 
 @query
@@ -159,8 +171,9 @@ def name_frequency_topn(spark, sf_dir):
 
 @query
 def resolve_tiers(spark, sf_dir):
-    names = X.frame(spark, [(n,) for n in ("THBLE ", "ontion", "retion", "thing", "nothing known", "erble")], "name string")
-    return R.resolve(names, X.lexicon(spark), X.cache(spark))
+    chosen = X.frame(spark, [(n,) for n in ("THBLE ", "ontion", "retion", "thing", "nothing known", "erble")], "name string")
+    words = documents_of(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("name")).select(F.concat("name", F.lit(" ")).alias("name"))
+    return R.resolve(chosen.unionByName(words.distinct()), X.lexicon(spark), X.cache(spark))
 
 
 @query
@@ -169,14 +182,18 @@ def unresolved_names(spark, sf_dir):
     return R.unresolved(names, X.lexicon(spark), X.cache(spark)).select("name")
 
 
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.lexicon(spark).unionByName(X.spark_rows(X.LEXICON_OF_DOCUMENTS, documents=documents_of(spark, sf_dir)))
+
+
 @query
 def surrogate_key(spark, sf_dir):
-    return X.lexicon(spark).withColumn("k", K.surrogate_key(F.col("smiles"))).select("name", F.col("k.block").alias("block"), F.col("k.heavy_atoms").cast("int").alias("heavy_atoms"))
+    return large_lexicon(spark, sf_dir).withColumn("k", K.surrogate_key(F.col("smiles"))).select("name", F.col("k.block").alias("block"), F.col("k.heavy_atoms").cast("int").alias("heavy_atoms"))
 
 
 @query
 def verified_lexicon(spark, sf_dir):
-    return R.verified_lexicon(X.lexicon(spark).unionByName(X.frame(spark, [("nothing", None)], "name string, smiles string")))
+    return R.verified_lexicon(large_lexicon(spark, sf_dir).unionByName(X.frame(spark, [("nothing", None)], "name string, smiles string")))
 
 
 @query
@@ -248,6 +265,14 @@ def retrieval_query(spark, sf_dir):
 
 @query
 def conversation_search(spark, sf_dir):
+    questions, history = conversation_turns(spark, sf_dir)
+    built = index_of(spark, sf_dir)
+    found = search.conversation_search(built.chunks, questions, history, BLOCK, stored=built.postings)
+    return found.select("question_id", "rank", "score", "source_doc", "page_number", "text", "anchor_text", "context_scope", "context_chunks")
+
+
+@query
+def conversation_hits(spark, sf_dir):
     questions, history = conversation_turns(spark, sf_dir)
     built = index_of(spark, sf_dir)
     return search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings).select(*hit())
@@ -309,13 +334,15 @@ def build_context(spark, sf_dir):
 
 @query
 def split_follow_ups(spark, sf_dir):
-    return chat.split_follow_ups(X.frame(spark, X.ANSWERS, "answer_id int, raw string")).select("answer_id", "body", "followups")
+    answers = X.frame(spark, X.ANSWERS, "answer_id long, raw string").unionByName(X.spark_rows(X.ANSWERS_OF_TURNS, conversations=table(spark, sf_dir, "conversations")))
+    return chat.split_follow_ups(answers).select("answer_id", "body", "followups")
 
 
 @query
 def chat_messages(spark, sf_dir):
     questions, history = conversation_turns(spark, sf_dir)
-    contexts = questions.where("question_id % 2 = 0").select("question_id", F.lit("[Source 1] text").alias("context"))
+    built = index_of(spark, sf_dir)
+    contexts = chat.build_context(search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings))
     sent = chat.messages(questions, contexts, history, "system text")
     return sent.select("question_id", F.transform("messages", lambda m: m["role"]).alias("roles"), F.transform("messages", lambda m: m["content"]).alias("contents"))
 
@@ -340,167 +367,199 @@ def previews(spark, sf_dir):
 
 @query
 def paper_ids(spark, sf_dir):
-    names = [("A_paracetamol_cocrystals.pdf",), ("notes.pdf",), ("_x.pdf",), ("dir/B_c_d.pdf",), ("plain",)]
-    return X.frame(spark, names, "filename string").select("filename", T.paper_id(F.col("filename")).alias("paper_id"))
+    chosen = X.frame(spark, [(f,) for f in X.FILES], "filename string")
+    names = chosen.unionByName(X.spark_rows(X.FILENAMES, documents=documents_of(spark, sf_dir)))
+    return names.select("filename", T.paper_id(F.col("filename")).alias("paper_id"))
+
+
+def all_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.image_frame(spark, documents_of(spark, sf_dir))
 
 
 @query
 def thin_rule(spark, sf_dir):
-    return X.image_frame(spark).select("filename", "page", "image_index", images.is_thin_rule(F.col("width"), F.col("height")).alias("thin"), images.needs_pixels(F.col("width"), F.col("height")).alias("needs_pixels"))
+    return all_images(spark, sf_dir).select("filename", "page", "image_index", images.is_thin_rule(F.col("width"), F.col("height")).alias("thin"), images.needs_pixels(F.col("width"), F.col("height")).alias("needs_pixels"))
+
+
+def all_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = {f"{c}s": spark.range(n).select(F.col("id").cast("int").alias(c)) for c, n in (("y", 12), ("x", 8))}
+    return X.frame(spark, X.pixels(), "image string, y int, x int, v int").unionByName(X.spark_rows(X.PIXELS_OF_DOCUMENTS, documents=documents_of(spark, sf_dir), **sides))
 
 
 @query
 def pixel_rows(spark, sf_dir):
-    return images.pixel_rows(X.frame(spark, X.pixels(), "image string, y int, x int, v int")).select("image", "y", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "is_line")
+    return images.pixel_rows(all_pixels(spark, sf_dir)).select("image", "y", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "is_line")
 
 
 @query
 def pixel_features(spark, sf_dir):
-    found = images.pixel_features(X.frame(spark, X.pixels(), "image string, y int, x int, v int"))
+    found = images.pixel_features(all_pixels(spark, sf_dir))
     return found.select("image", *[F.round(c, 6).alias(c) for c in ("ink_frac", "white_frac", "entropy", "hline_frac")], "n_hlines", "grid")
 
 
 @query
 def image_classify(spark, sf_dir):
-    return images.classify(X.image_frame(spark)).select("filename", "page", "image_index", "label", "reasons")
+    return images.classify(all_images(spark, sf_dir)).select("filename", "page", "image_index", "label", "reasons")
 
 
 @query
 def inventory_pivot(spark, sf_dir):
-    return images.counts_by_document(images.classify(X.image_frame(spark)))
+    return images.counts_by_document(images.classify(all_images(spark, sf_dir)))
 
 
 @query
 def inventory_rollup(spark, sf_dir):
-    return images.counts_by_class(images.classify(X.image_frame(spark)))
+    return images.counts_by_class(images.classify(all_images(spark, sf_dir)))
 
 
 @query
 def ocr_skip_reason(spark, sf_dir):
-    rows = X.frame(spark, [(i, *r) for i, r in enumerate(X.TABLE_IMAGES)], "id int, label string, width int, height int")
-    return rows.select("id", tableocr.skip_reason(F.col("label"), F.col("width"), F.col("height")).alias("skip_reason"))
+    chosen = X.frame(spark, [(f"chosen {i}", 0, 0, *r) for i, r in enumerate(X.TABLE_IMAGES)], "filename string, page int, image_index int, label string, width int, height int")
+    rows = chosen.unionByName(images.classify(all_images(spark, sf_dir)).select(*chosen.columns))
+    return rows.select("filename", "page", "image_index", tableocr.skip_reason(F.col("label"), F.col("width"), F.col("height")).alias("skip_reason"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.box_frame(spark, documents_of(spark, sf_dir))
 
 
-def boxes(spark: SparkSession) -> DataFrame:
-    return X.frame(spark, X.word_boxes(), "table_id string, word_ord int, text string, conf double, left int, top int, width int, height int")
+def all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each raster that was read, also for those without any word."""
+    own = documents_of(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("table_id"))
+    return X.frame(spark, [(t,) for t in sorted({b[0] for b in X.word_boxes()}) + ["empty"]], "table_id string").unionByName(own)
 
 
 @query
 def ocr_words(spark, sf_dir):
     data = [("t", ["5", "5", "4", "5", "x", "5"], ["90", "-1", "95", "88.5", "90", "91"], ["a ", "b", "c", " ", "d", "e"], *[["1", "2", "3", "4", "5", "6"]] * 4)]
-    return tableocr.words_from_columns(X.frame(spark, data, "table_id string, " + ", ".join(f"{n} array<string>" for n in ("level", "conf", "text", "left", "top", "width", "height"))))
+    names = ("level", "conf", "text", "left", "top", "width", "height")
+    chosen = X.frame(spark, data, "table_id string, " + ", ".join(f"{n} array<string>" for n in names))
+    kinds = {
+        "level": lambda w, i: F.when(i % 5 == 0, "4").otherwise("5"), "conf": lambda w, i: (i % 97 - 1).cast("string"), "text": lambda w, i: F.when(i % 11 == 0, " ").when(i % 23 == 0, F.concat(w, F.lit("\n"))).otherwise(w),
+        "left": lambda w, i: F.when(i % 29 == 0, "?").otherwise(i.cast("string")), "top": lambda w, i: (2 * i).cast("string"), "width": lambda w, i: F.length(w).cast("string"), "height": lambda w, i: F.lit("12"),
+    }
+    read = documents_of(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("ws"))
+    read = read.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("table_id"), *[F.transform("ws", kinds[n]).alias(n) for n in names])
+    return tableocr.words_from_columns(chosen.unionByName(read))
 
 
 @query
 def ocr_rows(spark, sf_dir):
-    return tableocr.text_rows(boxes(spark)).select("table_id", "word_ord", "row")
+    return tableocr.text_rows(boxes(spark, sf_dir)).select("table_id", "word_ord", "row")
 
 
 @query
 def ocr_raw_text(spark, sf_dir):
-    return tableocr.raw_text(boxes(spark))
+    return tableocr.raw_text(boxes(spark, sf_dir))
 
 
 @query
 def ocr_gutters(spark, sf_dir):
-    return tableocr.gutters(tableocr.text_rows(boxes(spark))).select("table_id", "row", "x")
+    return tableocr.gutters(tableocr.text_rows(boxes(spark, sf_dir))).select("table_id", "row", "x")
 
 
 @query
 def ocr_boundaries(spark, sf_dir):
-    return tableocr.column_edges(tableocr.text_rows(boxes(spark)))
+    return tableocr.column_edges(tableocr.text_rows(boxes(spark, sf_dir)))
 
 
 @query
 def ocr_grid(spark, sf_dir):
-    grids = tableocr.recover_grids(boxes(spark))
+    grids = tableocr.recover_grids(boxes(spark, sf_dir))
     return grids.select("table_id", "n_rows", "n_cols", tableocr.table_text(F.col("cells"), F.lit(None).cast("array<int>")).alias("text"), "spanning_rows", "fill_fraction", "spanning_fraction", "column_boundaries")
 
 
 @query
 def ocr_decision(spark, sf_dir):
-    tables = boxes(spark).select("table_id").distinct().unionByName(X.frame(spark, [("empty",)], "table_id string"))
-    return tableocr.decide(tables, boxes(spark)).select("table_id", "status", "reason", F.round("mean_confidence", 6).alias("mean_confidence"), "n_rows", "n_cols")
+    return tableocr.decide(all_tables(spark, sf_dir), boxes(spark, sf_dir)).select("table_id", "status", "reason", F.round("mean_confidence", 6).alias("mean_confidence"), "n_rows", "n_cols")
 
 
-REPORT = "ord int, id string, filename string, page int, status string, reason string, mean_confidence double, cells array<array<string>>, spanning_rows array<int>"
+REPORT = "ord long, id string, filename string, page int, status string, reason string, mean_confidence double, cells array<array<string>>, spanning_rows array<int>"
 
 
-def report(spark: SparkSession) -> DataFrame:
-    return X.frame(spark, X.TABLE_REPORT, REPORT)
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen records, and those that the documents' table images give."""
+    chosen = X.frame(spark, X.TABLE_REPORT, REPORT)
+    docs = documents_of(spark, sf_dir)
+    own = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("table_id"), (F.col("doc_id") + 100).alias("ord"), F.coalesce("source", F.lit("none")).alias("filename"), (F.col("doc_id") % 1000).cast("int").alias("page"))
+    decided = tableocr.decide(own, X.box_frame(spark, docs)).withColumn("id", F.concat(F.lit("tbl_"), F.col("table_id")))
+    return chosen.unionByName(decided.select(*chosen.columns))
 
 
 @query
 def ocr_summary(spark, sf_dir):
-    return tableocr.table_summary(report(spark))
+    return tableocr.table_summary(report(spark, sf_dir))
 
 
 @query
 def table_text(spark, sf_dir):
-    return report(spark).where("cells is not null").select("id", tableocr.table_text(F.col("cells"), F.col("spanning_rows")).alias("text"))
+    return report(spark, sf_dir).where("cells is not null").select("id", tableocr.table_text(F.col("cells"), F.col("spanning_rows")).alias("text"))
 
 
 @query
 def attach_tables(spark, sf_dir):
     lexicon = X.lexicon(spark).unionByName(X.frame(spark, [("acetaminophen", X.SUBJECT)], "name string, smiles string"))
     built = index_of(spark, sf_dir)
-    once, known = index.attach_tables(built.chunks, built.compounds, report(spark), lexicon)
-    twice, _ = index.attach_tables(once, known, report(spark), lexicon)
+    once, known = index.attach_tables(built.chunks, built.compounds, report(spark, sf_dir), lexicon)
+    twice, _ = index.attach_tables(once, known, report(spark, sf_dir), lexicon)
     return twice.where("extraction_method = 'table_ocr'").select("source_doc", "page_number", "text", "compounds", "blocks", "table_ocr_id")
 
 
-def recognised(spark: SparkSession) -> DataFrame:
-    rows = X.frame(spark, X.STRUCTURES, "ord int, id string, source_doc string, page_number int, predicted_smiles string, error string, confidence double")
-    return structocr.validate(rows)
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structocr.validate(X.prediction_frame(spark, documents_of(spark, sf_dir)))
 
 
 @query
 def ocsr_candidates(spark, sf_dir):
-    return structocr.candidates(images.classify(X.image_frame(spark))).select("filename", "page", "image_index")
+    return structocr.candidates(images.classify(all_images(spark, sf_dir))).select("filename", "page", "image_index")
 
 
 @query
 def ocsr_validate(spark, sf_dir):
-    return recognised(spark).select("id", "status", "reason", "predicted_smiles", "smiles", "block", F.col("heavy_atoms").cast("int").alias("heavy_atoms"), "confidence")
+    return recognised(spark, sf_dir).select("id", "status", "reason", "predicted_smiles", "smiles", "block", F.col("heavy_atoms").cast("int").alias("heavy_atoms"), "confidence")
 
 
 @query
 def ocsr_dedupe(spark, sf_dir):
-    return structocr.deduplicate(recognised(spark)).select("id", "status")
+    return structocr.deduplicate(recognised(spark, sf_dir)).select("id", "status")
 
 
 @query
 def ocsr_summary(spark, sf_dir):
-    return structocr.summary(structocr.deduplicate(recognised(spark))).select("crops", "accepted", "refused", F.to_json("refused_by_reason").alias("refused_by_reason"))
+    return structocr.summary(structocr.deduplicate(recognised(spark, sf_dir))).select("crops", "accepted", "refused", F.to_json("refused_by_reason").alias("refused_by_reason"))
 
 
 @query
 def structures_for_block(spark, sf_dir):
-    return structocr.for_block(recognised(spark), BLOCK).select("id", "source_doc", "page_number")
+    return structocr.for_block(recognised(spark, sf_dir), BLOCK).select("id", "source_doc", "page_number")
 
 
 @query
 def attach_structures(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    once = index.attach_structures(built.chunks, recognised(spark))
-    twice = index.attach_structures(once, structocr.deduplicate(recognised(spark)))
+    once = index.attach_structures(built.chunks, recognised(spark, sf_dir))
+    twice = index.attach_structures(once, structocr.deduplicate(recognised(spark, sf_dir)))
     return twice.groupBy(F.coalesce("extraction_method", F.lit("page")).alias("method")).agg(F.count("*").alias("n_chunks"), F.countDistinct("source_doc").alias("n_documents"))
 
 
-def fact_rows(spark: SparkSession) -> DataFrame:
+def fact_rows(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """Facts from the chosen pages, and with a folder from those that stand in documents too; of these the first goes last."""
     rows = [(1, "other.pdf", 10, [X.FACT_SUBJECT], X.fact_page()), (2, C.FACT_DOCUMENT, C.FACT_PAGE, [X.FACT_SUBJECT], X.fact_page()), (3, C.FACT_DOCUMENT, C.FACT_PAGE, [X.FACT_SUBJECT], X.fact_page())]
     sources = X.frame(spark, rows, "rank int, source_doc string, page_number long, blocks array<string>, text string")
+    if sf_dir is not None:
+        more = X.spark_rows(X.facts_in_documents(), documents=documents_of(spark, sf_dir)).withColumn("blocks", F.array(F.lit(X.FACT_SUBJECT)))
+        sources = sources.withColumn("rank", F.col("rank") + 1_000_000_000).unionByName(more)
     return facts.solubility_rows(sources, X.FACT_SUBJECT, {X.FACT_SUBJECT: ("A", "Paracetamol")})
 
 
 @query
 def solubility_rows(spark, sf_dir):
-    return fact_rows(spark)
+    return fact_rows(spark, sf_dir)
 
 
 @query
 def chart_series(spark, sf_dir):
-    return facts.chart_series(fact_rows(spark)).select("solvent", "series", F.transform("points", lambda p: p["y"]).alias("figures"))
+    return facts.chart_series(fact_rows(spark, sf_dir)).select("solvent", "series", F.transform("points", lambda p: p["y"]).alias("figures"))
 
 
 @query

@@ -1,11 +1,18 @@
-"""Small tables for queries that no corpus table fits, each given once and turned into a DataFrame or into SQL."""
+"""Input tables for queries that no corpus table fits.
+
+Small tables of chosen cases are given once and turned into a DataFrame or into SQL. Beside them stand tables that follow
+the corpus in size: one row or more for each document or turn, made by arithmetic on ids and from the texts. Their
+statements are the same for both engines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import constants as C
 from lodestone.functions.names import NameRules
+from lodestone.functions.text import words
 
 #: Frequent words of the corpus as spellings of a few structures; one name is in no text, one has too few atoms, two
 #: differ in stereochemistry only, and four are words that a blank may part.
@@ -34,7 +41,7 @@ REFERENCE_TEXTS = [
     (4, "1. Adams, B. 2. Clark, D. 3. Evans, F. and others"), (5, "A.; B.; C.; D.; E.; F.; G.; without a marker"),
 ]
 ANSWERS = [
-    (1, 'Answer <followups>["Next?", "Next?"]</followups>'), (2, "Answer <followups>invalid</followups>"), (3, "  No tag here  "), (4, 'Body\n<followups>["a", 3, "", " b ", "c", "d"]</followups> rest'),
+    (1, 'It dissolves. <followups>["In what?", "In what?"]</followups>'), (2, "It melts. <followups>at once</followups>"), (3, "  No tag here  "), (4, 'Body\n<followups>["a", 3, "", " b ", "c", "d"]</followups> rest'),
     (5, 'Text <followups>["' + "x" * 181 + '", "ok"]</followups>'), (6, 'Text <followups>{"a": "b"}</followups>'), (7, "Text <followups>[]</followups>"), (8, 'Open <followups>["one"]'),
 ]
 IMAGES = [
@@ -46,6 +53,7 @@ FEATURES = {
     ("A_first.pdf", 2, 0): (0.8, 0.1, 3.0, 8, True), ("A_first.pdf", 3, 0): (0.9, 0.05, 1.0, 0, False), ("B_second.pdf", 1, 0): (0.5, 0.2, 40.0, 1, False), ("B_second.pdf", 1, 1): (0.7, 0.3, 2.0, 2, True),
     ("notes.pdf", 1, 1): (0.1, 0.8, 60.0, 0, False),
 }
+FILES = ["A_melting_points.pdf", "remarks.pdf", "_x.pdf", "dir/B_c_d.pdf", "plain"]
 TABLE_IMAGES = [("table_image", 1601, 5), ("structure_drawing", 800, 800), ("table_image", 1588, 677), ("table_image", 80, 20), ("table_image", None, 100)]
 
 
@@ -58,18 +66,73 @@ def pixels() -> list[tuple[str, int, int, int]]:
 
 def word_boxes() -> list[tuple[str, int, str, float, int, int, int, int]]:
     """OCR words of seven cases: (table, ord, text, conf, left, top, width, height)."""
+    grid = [(f"r{r}c{c}", 93, 10 + 130 * c, 90 + 36 * r) for r in range(4) for c in range(3)]
     cases: dict[str, list[tuple]] = {
-        "low": [("1.23", 20, 10, 10), ("4.56", 25, 80, 10), ("7.89", 18, 10, 40), ("0.12", 22, 80, 40)],
-        "one_col": [("alpha", 90, 10, 10), ("beta", 91, 12, 40), ("gamma", 88, 11, 70)],
-        "good": [("A", 90, 10, 10), ("B", 92, 120, 10), ("1.0", 88, 10, 50), ("2.0", 91, 120, 50)],
-        "plot": [(f"C{i}", 92, 10 + 90 * i, 10) for i in range(8)] + [("x", 91, 10, y) for y in (50, 90, 130)],
-        "caption": [(w, 92, 10 + 45 * i, 10) for i, w in enumerate("Table 1: Current layout models in the".split())] + [("Dataset", 92, 10, 50), ("Base Model", 92, 150, 50), ("Notes", 92, 300, 50)]
-        + [v for r in range(3) for v in ((f"Set{r}", 92, 10, 90 + 40 * r), ("F/M", 92, 150, 90 + 40 * r), (f"Layouts {r}", 92, 300, 90 + 40 * r))],
-        "sparse": [(f"v{c}", 92, 100 * c, 40 * r) for r in range(10) for c in range(20)] + [("y", 92, 0, 400 + 40 * r) for r in range(20)],
+        "faint": [(str(n), 31 + n, 15 + 90 * (n % 2), 12 + 30 * (n // 2)) for n in range(6)],
+        "list": [(w, 89, 12 + n % 2, 15 + 32 * n) for n, w in enumerate(("iron", "zinc", "lead", "gold"))],
+        "two_by_two": [("salt", 90, 12, 12), ("mass", 94, 125, 12), ("NaCl", 87, 12, 52), ("58.4", 92, 125, 52)],
+        "ticks": [(str(5 * i), 91, 20 + 85 * i, 10) for i in range(9)] + [("y", 90, 20, y) for y in (55, 95, 140)],
+        "titled": [(w, 92, 10 + 43 * i, 14) for i, w in enumerate("Melting points of all salts seen here".split())] + [("Salt", 92, 10, 52), ("Point", 92, 140, 52), ("Note", 92, 270, 52)] + grid,
+        "gaps": [(f"g{c}", 92, 95 * c, 38 * r) for r in range(9) for c in range(18)] + [("z", 92, 0, 342 + 38 * r) for r in range(19)],
     }
     return [(case, i, text, float(conf), left, top, 40, 16) for case, words in cases.items() for i, (text, conf, left, top) in enumerate(words)]
 
 
+#: A number below a million that goes with a document.
+D = "(doc_id % 1000003)"
+
+#: Two images for each document: every size and class, some without dimensions or pixels.
+IMAGES_OF_DOCUMENTS = f"""
+select coalesce(source, 'none') || '_' || cast({D} % 5 as string) || '.pdf' as filename, cast(doc_id % 1000 as int) as page, cast(floor({D} / 1000) as int) as image_index,
+  case when {D} % 17 = 0 then null else cast(4 + ({D} * 7919) % 1600 as int) end as width, case when {D} % 19 = 0 then 0 else cast(3 + ({D} * 104729) % 900 as int) end as height,
+  {D} % 3 <> 0 as decoded, cast(({D} * 31) % 101 as double) / 100 as white_frac, cast(({D} * 17) % 71 as double) / 100 as ink_frac, cast(({D} * 7) % 60 as double) as chroma, cast({D} % 11 as int) as n_hlines, {D} % 4 = 0 as grid
+from {{documents}}"""
+
+#: A table image for each document: all its words in rows, every seventh row a line of running text, some faint.
+BOXES_OF_WORDS = f"""
+select 'doc' || cast(doc_id as string) as table_id, word_ord, text, cast(45 + {D} % 52 + (word_ord * 7) % 4 as double) as conf,
+  cast(10 + (word_ord % (2 + {D} % 5)) * (case when floor(word_ord / (2 + {D} % 5)) % 7 = 0 then 100 else 140 end) + ({D} + word_ord) % 5 as int) as `left`,
+  cast(10 + floor(word_ord / (2 + {D} % 5)) * 40 + ({D} * word_ord) % 5 as int) as top, cast(case when floor(word_ord / (2 + {D} % 5)) % 7 = 0 then 92 else 8 * least(length(text), 12) end as int) as width, cast(12 + word_ord % 4 as int) as height
+from {{words}}"""
+
+#: What a recogniser might say of a crop for each document: structures, too small ones, other text, nothing, errors.
+PREDICTIONS_OF_DOCUMENTS = f"""
+select doc_id + 100 as ord, 'ocsr_d' || cast(doc_id as string) as id, coalesce(source, 'none') as source_doc, cast({D} % 50 as int) as page_number,
+  case {D} % 8 when 0 then 'CC(=O)Nc1ccc(O)cc1' when 1 then 'no structure' when 2 then ' ' when 3 then null when 4 then 'O' when 5 then 'CCOc1ccc(NC(C)=O)cc1' when 6 then 'Cn1c(=O)c2c(ncn2C)n(C)c1=O' else 'O=C(O)/C=C/C(=O)O' end as smiles,
+  case when {D} % 13 = 0 then 'RuntimeError' end as error, cast({D} % 100 as double) / 100 as confidence
+from {{documents}}"""
+
+#: A name with a structure for each document; some structures are too small, some have two parts or brackets, some are no structures.
+LEXICON_OF_DOCUMENTS = f"""
+select 'n' || cast(doc_id as string) as name, repeat('C', cast({D} % 7 as int)) || case {D} % 5 when 0 then 'N.Cl' when 1 then '/C=C/' when 2 then 'c1ccccc1' when 3 then '[OH]' else ' (' end as smiles
+from {{documents}}"""
+
+#: Answers from the turns of conversations, with suggestions of every form.
+ANSWERS_OF_TURNS = """
+select cast(100 + conv_id * 1000 + turn as bigint) as answer_id, text || case (conv_id + turn) % 6 when 0 then '' when 1 then ' <followups>["Why ' || cast(turn as string) || '?", " How? ", "How?"]</followups>'
+  when 2 then ' <followups>["a", "b", "c", "d"] ' when 3 then ' <followups>[1, "x", null]</followups> more' when 4 then ' <followups>none</followups>' else ' <followups>{{"a": "b"}}</followups>' end as raw
+from {conversations}"""
+
+#: Texts with words that line breaks part, and with other hyphens.
+PARTED_TEXTS = "select doc_id + 100 as id, replace(replace(text, 'ion ', 'i-' || chr(10) || ' on '), ' de ', ' d‑e ') as text from {documents}"
+
+#: Pages whose words a hyphen joins.
+HYPHENATED = "select doc_id, replace(replace(text, ' the ', '-the '), ' der ', ' der-') as text, source from {documents}"
+
+FILENAMES = f"select case {D} % 4 when 0 then coalesce(source, '') || '_' || cast(doc_id as string) || '.pdf' when 1 then 'dir/' || cast(doc_id as string) || '.tar.gz' when 2 then '_' || cast(doc_id as string) else coalesce(source, '') || '.' end as filename from {{documents}}"
+
+#: A raster of 12 rows of 8 for each document: ruled, speckled, or of one tone.
+PIXELS_OF_DOCUMENTS = f"""
+select 'doc' || cast(doc_id as string) as image, y, x, cast(case {D} % 3 when 0 then case when y % 4 = 0 then 10 else 250 end when 1 then ({D} * 37 + x * 29 + y * 53) % 256 else {D} % 200 + 20 end as int) as v
+from {{documents}} cross join {{ys}} cross join {{xs}}"""
+
+def facts_in_documents() -> str:
+    """The page of facts in some documents, with other figures in each."""
+    return f"""
+select cast(doc_id + 10 as int) as rank, case when {D} % 3 = 0 then 'other.pdf' else '{C.FACT_DOCUMENT}' end as source_doc, cast({C.FACT_PAGE} as bigint) as page_number, text || case when {D} % 7 = 2 then ' ' || replace({sql_value(fact_page())}, '± 0.01', '± 0.0' || cast({D} % 9 as string)) else '' end as text
+from {{documents}}"""
+
+
 STRUCTURES = [
     (0, "ocsr_1", "A.pdf", 1, "CC(=O)Nc1ccc(O)cc1", None, 0.91), (1, "ocsr_2", "A.pdf", 1, "CC(=O)Nc1ccc(O)cc1", None, 0.8), (2, "ocsr_3", "A.pdf", 1, "not-smiles", None, None), (3, "ocsr_4", "A.pdf", 2, "", None, None),
     (4, "ocsr_5", "B.pdf", 1, "CC(=O)Nc1ccc(O)cc1", None, 0.7), (5, "ocsr_6", "B.pdf", 1, "O", None, None), (6, "ocsr_7", "B.pdf", 2, None, "RuntimeError", None),
@@ -121,9 +184,37 @@ def sql_rows(rows: list, columns: str) -> str:
     return f"(SELECT * FROM (VALUES {body}) AS v({columns}))"
 
 
-def image_frame(spark: SparkSession) -> DataFrame:
-    rows = [(*i, FEATURES.get(i[:3])) for i in IMAGES]
-    features = "struct<white_frac:double,ink_frac:double,chroma:double,n_hlines:int,grid:boolean>"
-    return frame(spark, rows, f"filename string, page int, image_index int, width int, height int, features {features}").withColumn("byte_size", F.lit(100)).withColumn("confidence", F.lit("heuristic"))
+def spark_rows(statement: str, **tables: DataFrame) -> DataFrame:
+    """A statement of this module over DataFrames."""
+    return next(iter(tables.values())).sparkSession.sql(statement, **tables)
+
 
+def duck_rows(statement: str, **tables: str) -> str:
+    """The same as a table expression of SQL, over tables of the given names."""
+    return "(" + statement.format(**tables).replace("`left`", '"left"') + ")"
 
+
+def image_frame(spark: SparkSession, documents: DataFrame | None = None) -> DataFrame:
+    """The chosen images, and with documents theirs too."""
+    features = "struct<white_frac:double,ink_frac:double,chroma:double,n_hlines:int,grid:boolean>"
+    rows = frame(spark, [(*i, FEATURES.get(i[:3])) for i in IMAGES], f"filename string, page int, image_index int, width int, height int, features {features}")
+    if documents is not None:
+        own = F.when(F.col("decoded"), F.struct("white_frac", "ink_frac", "chroma", "n_hlines", "grid")).cast(features)
+        rows = rows.unionByName(spark_rows(IMAGES_OF_DOCUMENTS, documents=documents).select("filename", "page", "image_index", "width", "height", own.alias("features")))
+    return rows.withColumn("byte_size", F.lit(100)).withColumn("confidence", F.lit("heuristic"))
+
+
+def box_frame(spark: SparkSession, documents: DataFrame | None = None) -> DataFrame:
+    """The chosen word boxes, and with documents one table image for each."""
+    rows = frame(spark, word_boxes(), "table_id string, word_ord int, text string, conf double, left int, top int, width int, height int")
+    if documents is None:
+        return rows
+    parted = documents.select("doc_id", F.posexplode(words(F.col("text"))).alias("word_ord", "text"))
+    return rows.unionByName(spark_rows(BOXES_OF_WORDS, words=parted))
+
+
+def prediction_frame(spark: SparkSession, documents: DataFrame | None = None) -> DataFrame:
+    rows = frame(spark, STRUCTURES, "ord long, id string, source_doc string, page_number int, smiles string, error string, confidence double")
+    if documents is not None:
+        rows = rows.unionByName(spark_rows(PREDICTIONS_OF_DOCUMENTS, documents=documents))
+    return rows.withColumnRenamed("smiles", "predicted_smiles")

@@ -40,13 +40,18 @@ STEP = C.CHUNK_WORDS - C.OVERLAP_WORDS
 #: More chunks than a page can have; a passage's key here is one number, and two columns in results.
 PAGE_STEP = 1 << 32
 PLACE = f"cast(chunk_ord // {PAGE_STEP} as bigint) as page_ord, cast(chunk_ord % {PAGE_STEP} as integer) as chunk_idx"
-CHUNKS = f"""
-page_words as (select doc_id, source, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as ws from documents),
-chunks as (
+def chunks_of(pages: str = "documents", p: str = "") -> str:
+    """CTEs that end in ``chunks`` over a table of documents."""
+    return f"""
+{p}page_words as (select doc_id, source, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as ws from {pages}),
+{p}chunks as (
   select cast(doc_id as hugeint) * {PAGE_STEP} + i as chunk_ord, source as source_doc, doc_id as page_number, cast(i as integer) as chunk_idx,
     array_to_string(ws[i * {STEP} + 1 : i * {STEP} + {C.CHUNK_WORDS}], ' ') as text
-  from (select *, unnest(range(0, case when len(ws) <= {C.CHUNK_WORDS} then 1 else 1 + cast(ceil((len(ws) - {C.CHUNK_WORDS}) / {STEP}.0) as bigint) end)) as i from page_words where len(ws) > 0)
+  from (select *, unnest(range(0, case when len(ws) <= {C.CHUNK_WORDS} then 1 else 1 + cast(ceil((len(ws) - {C.CHUNK_WORDS}) / {STEP}.0) as bigint) end)) as i from {p}page_words where len(ws) > 0)
 )"""
+
+
+CHUNKS = chunks_of()
 PROSE = f"prose as (select * from chunks where not {bibliography('text')})"
 
 
@@ -71,29 +76,38 @@ def looks(word: str, suffixes: tuple[str, ...]) -> str:
     )
 
 
-def candidates(suffixes: tuple[str, ...], vocabulary: str, source: str = "chunks") -> str:
+def candidates(suffixes: tuple[str, ...], vocabulary: str, source: str = "chunks", p: str = "") -> str:
     """CTEs up to ``candidates`` (chunk_ord, name); vocabulary is a table with a name."""
     return f"""
-vocab as (select distinct name from {vocabulary}),
-split as (select chunk_ord, {names_of('text')} as ws from {source}),
-toks as (select chunk_ord, ws[i] as w, ws[i + 1] as nxt from (select *, unnest(range(1, len(ws) + 1)) as i from split)),
-lexical as (select distinct chunk_ord, w as name from toks where w in (select w from (select distinct w from toks) where {looks('w', suffixes)})),
-hyphen as (select distinct chunk_ord, lower(trim(part, {NAME_STRIP})) as name from (select chunk_ord, unnest(string_split(w, '-')) as part from toks where contains(w, '-') and w not in (select name from vocab)) where lower(trim(part, {NAME_STRIP})) in (select name from vocab)),
-joined as (select distinct chunk_ord, w || nxt as name from toks where w <> '' and nxt <> '' and w || nxt in (select name from vocab)),
-acid as (select distinct chunk_ord, w || ' acid' as name from toks where nxt = 'acid' and length(w) > {C.MIN_ACID_STEM} and w like '%ic'),
-candidates as (select * from lexical union select * from hyphen union select * from joined union select * from acid)"""
+{p}vocab as (select distinct name from {vocabulary}),
+{p}split as (select chunk_ord, {names_of('text')} as ws from {source}),
+{p}toks as (select chunk_ord, ws[i] as w, ws[i + 1] as nxt from (select *, unnest(range(1, len(ws) + 1)) as i from {p}split)),
+{p}lexical as (select distinct chunk_ord, w as name from {p}toks where w in (select w from (select distinct w from {p}toks) where {looks('w', suffixes)})),
+{p}hyphen as (select distinct chunk_ord, lower(trim(part, {NAME_STRIP})) as name from (select chunk_ord, unnest(string_split(w, '-')) as part from {p}toks where contains(w, '-') and w not in (select name from {p}vocab)) where lower(trim(part, {NAME_STRIP})) in (select name from {p}vocab)),
+{p}joined as (select distinct chunk_ord, w || nxt as name from {p}toks where w <> '' and nxt <> '' and w || nxt in (select name from {p}vocab)),
+{p}acid as (select distinct chunk_ord, w || ' acid' as name from {p}toks where nxt = 'acid' and length(w) > {C.MIN_ACID_STEM} and w like '%ic'),
+{p}candidates as (select * from {p}lexical union select * from {p}hyphen union select * from {p}joined union select * from {p}acid)"""
 
 
 LEXICON = X.sql_rows(X.LEXICON, "name, smiles")
 CACHE = X.sql_rows(X.CACHE, "name, smiles")
-KEYED = f"""
-frags as (select name, smiles, f, j, len(regexp_extract_all(f, {ATOM})) as atoms from (select name, smiles, string_split(smiles, '.') as fs, unnest(range(1, len(string_split(smiles, '.')) + 1)) as j, fs[j] as f from resolved where smiles is not null)),
-largest as (select name, smiles, arg_max(f, atoms * 1000 - j) as f, max(atoms) as atoms from frags group by name, smiles),
-keyed as (select name, smiles, case when atoms >= {C.MIN_HEAVY_ATOMS} then upper(left(sha256(regexp_replace(f, '[/\\\\@]', '', 'g')), 14)) end as block, atoms from largest)"""
-RESOLVE = f"""
-resolved as (select n.name, case when l.name is not null then l.smiles when c.name is not null then c.smiles end as smiles,
+
+
+def keyed(source: str = "resolved", p: str = "") -> str:
+    return f"""
+{p}frags as (select name, smiles, f, j, len(regexp_extract_all(f, {ATOM})) as atoms from (select name, smiles, string_split(smiles, '.') as fs, unnest(range(1, len(string_split(smiles, '.')) + 1)) as j, fs[j] as f from {source} where smiles is not null)),
+{p}largest as (select name, smiles, arg_max(f, atoms * 1000 - j) as f, max(atoms) as atoms from {p}frags group by name, smiles),
+{p}keyed as (select name, smiles, f, case when atoms >= {C.MIN_HEAVY_ATOMS} then upper(left(sha256(regexp_replace(f, '[/\\\\@]', '', 'g')), 14)) end as block, atoms from {p}largest)"""
+
+
+def resolve(wanted: str = "wanted", lexicon: str = LEXICON, p: str = "") -> str:
+    return f"""
+{p}resolved as (select n.name, case when l.name is not null then l.smiles when c.name is not null then c.smiles end as smiles,
   case when l.name is not null then 'lexicon' when c.name is not null then 'cache' else 'unresolved' end as tier
-  from wanted n left join {LEXICON} l using (name) left join {CACHE} c on c.name = n.name)"""
+  from {wanted} n left join {lexicon} l using (name) left join {CACHE} c on c.name = n.name)"""
+
+
+KEYED, RESOLVE = keyed(), resolve()
 INDEX = f"""{CHUNKS},{candidates(X.RULES.suffixes, LEXICON)},
 frequency as (select name, count(*) as frequency from candidates group by name),
 wanted as (select name from frequency order by frequency desc, name limit {X.MAX_CANDIDATES}),{RESOLVE},{KEYED},
@@ -160,7 +174,11 @@ names as (select name from own union select '{X.EXTRA_NAME}' where lower('{X.EXT
 EDGE_L, EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 NAME_HITS = f"hits as (select name, chunk_ord from names join chunks on regexp_matches(text, '(?i){EDGE_L}' || name || '{EDGE_R}'))"
 
-IMAGES = X.sql_rows([(*i, *(X.FEATURES.get(i[:3]) or (None,) * 5)) for i in X.IMAGES], "filename, page, image_index, width, height, white_frac, ink_frac, chroma, n_hlines, grid")
+_IMAGE = "filename, page, image_index, width, height, white_frac, ink_frac, chroma, n_hlines, grid"
+IMAGES = (
+    f"(select * from {X.sql_rows([(*i, *(X.FEATURES.get(i[:3]) or (None,) * 5)) for i in X.IMAGES], _IMAGE)} union all "
+    f"select filename, page, image_index, width, height, {', '.join(f'case when decoded then {c} end' for c in ('white_frac', 'ink_frac', 'chroma', 'n_hlines', 'grid'))} from {X.duck_rows(X.IMAGES_OF_DOCUMENTS, documents='documents')})"
+)
 THIN = f"coalesce(width <> 0 and height <> 0 and ((height <= {C.STRIP_THICKNESS} and width / cast(height as double) >= {C.STRIP_ASPECT}) or (width <= {C.STRIP_THICKNESS} and width / cast(height as double) <= {1 / C.STRIP_ASPECT})), false)"
 TABLE_LIKE = "((aspect >= 1.7 and n_hlines >= 4 and white_frac >= 0.45 and ink_frac <= 0.5) or (grid and aspect >= 1.35 and white_frac >= 0.4 and ink_frac <= 0.5))"
 LINE_ART = "(white_frac >= 0.45 and ink_frac <= 0.35 and chroma < 20)"
@@ -176,7 +194,10 @@ CLASSIFIED = (
     f"case {' '.join(f'when {c} then {r}' for c, _, r in _CASES)} else ['dense_or_photo'] end as reasons from images)"
 )
 
-BOXES = X.sql_rows(X.word_boxes(), 'table_id, word_ord, text, conf, "left", top, width, height')
+_WORDS = "(select doc_id, i - 1 as word_ord, ws[i] as text from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as ws from documents)))"
+_BOX = 'table_id, word_ord, text, conf, "left", top, width, height'
+BOXES = f"(select * from {X.sql_rows(X.word_boxes(), _BOX)} union all select {_BOX} from {X.duck_rows(X.BOXES_OF_WORDS, words=_WORDS)})"
+TABLES = f"(select distinct table_id from {X.sql_rows(X.word_boxes(), _BOX)} union all select 'empty' union all select 'doc' || doc_id from documents)"
 ROWS = f"""
 boxes as (select * from {BOXES}),
 measured as (select b.*, line_height, top + height / 2.0 as centre from boxes b join (select table_id, median(height) as line_height from boxes group by table_id) using (table_id)),
@@ -190,7 +211,7 @@ voted as (select *, case when x - lag(x) over (partition by table_id order by x)
 voting as (select *, sum(opens) over (partition by table_id order by x range between unbounded preceding and current row) as edge from voted),
 sizes as (select table_id, max("row") + 1 as n_rows from text_rows group by table_id),
 counted as (select table_id, edge, count(distinct "row") as support, median(x) as x from voting group by all),
-column_edges as (select table_id, list(x order by x) as edges from counted join sizes using (table_id) where support >= greatest({C.SUPPORT_FLOOR}, ceil(n_rows * {C.SUPPORT_SHARE})) group by table_id)"""
+column_edges as (select table_id, list(x order by x) as edges from counted join sizes using (table_id) where support >= greatest({C.SUPPORT_FLOOR}, ceil(n_rows * {C.SUPPORT_SHARE}::double)) group by table_id)"""
 GRID = f"""
 sized as (select table_id, n_rows, edges, len(edges) + 1 as n_cols from sizes join column_edges using (table_id) where n_rows >= {C.OCR_MIN_ROWS} and len(edges) + 1 >= {C.OCR_MIN_COLS}),
 extents as (select table_id, "row", min("left") as low, max("left" + width) as high from text_rows group by all),
@@ -198,27 +219,85 @@ lines as (select e.table_id, e."row", n_rows, n_cols, edges, (e.table_id, e."row
 placed as (select r.table_id, r."row", case when spans then 0 else len(list_filter(edges, lambda x: x < r."left" + r.width / 2.0)) end as col, r.text, r."left" as l, r.word_ord from text_rows r join lines using (table_id, "row")),
 cells as (select table_id, "row", col, string_agg(text, ' ' order by l, word_ord) as cell from placed group by all),
 dense as (select l.*, c.col, coalesce(x.cell, '') as cell from (select *, unnest(range(0, n_cols)) as col from lines) c join lines l using (table_id, "row") left join cells x on x.table_id = c.table_id and x."row" = c."row" and x.col = c.col),
-by_row as (select table_id, "row", n_rows, n_cols, edges, spans, string_agg(cell, ' | ' order by col) as line, sum(case when not spans and trim(cell) <> '' then 1 else 0 end) as used from dense group by all),
-grids as (select table_id, n_rows, cast(n_cols as integer) as n_cols, trim(string_agg(line, chr(10) order by "row"), ' ' || chr(10)) as text, coalesce(list("row" order by "row") filter (spans), cast([] as integer[])) as spanning_rows,
+by_row as (select table_id, "row", n_rows, n_cols, edges, spans, string_agg(cell, ' | ' order by col) as line, max(case when col = 0 then cell end) as first_cell, sum(case when not spans and trim(cell) <> '' then 1 else 0 end) as used from dense group by all),
+grids as (select table_id, n_rows, cast(n_cols as integer) as n_cols, trim(string_agg(line, chr(10) order by "row"), ' ' || chr(10)) as text, trim(string_agg(case when spans then first_cell else line end, chr(10) order by "row"), ' ' || chr(9) || chr(10) || chr(13)) as body, coalesce(list("row" order by "row") filter (spans), cast([] as integer[])) as spanning_rows,
   case when count(*) filter (not spans) > 0 then sum(used) / (count(*) filter (not spans) * n_cols) else 0.0 end as fill_fraction, count(*) filter (spans) / n_rows as spanning_fraction, list_transform(edges, lambda e: round(e, 1)) as column_boundaries
   from by_row group by table_id, n_rows, n_cols, edges)"""
 RAW = """raw_lines as (select table_id, "row", string_agg(text, ' ' order by "left", word_ord) as line from text_rows group by all), raw as (select table_id, string_agg(line, chr(10) order by "row") as raw_text from raw_lines group by table_id)"""
-PIXELS = X.sql_rows(X.pixels(), "image, y, x, v")
+_AXES = {"ys": "(select cast(unnest(range(12)) as integer) as y)", "xs": "(select cast(unnest(range(8)) as integer) as x)"}
+PIXELS = f"(select * from {X.sql_rows(X.pixels(), 'image, y, x, v')} union all select * from {X.duck_rows(X.PIXELS_OF_DOCUMENTS, documents='documents', **_AXES)})"
 PIXEL_ROWS = f"""
 px as (select * from {PIXELS}),
 px_rows as (select image, y, avg(v) as mean, stddev_pop(v) as deviation from px group by all),
 px_lines as (select *, deviation < 25 and coalesce(abs(mean - lag(mean) over (partition by image order by y)), 0) > 8 as is_line from px_rows)"""
-REPORT = X.sql_rows([r[:7] for r in X.TABLE_REPORT], "ord, id, filename, page, status, reason, mean_confidence")
+DECIDED = f"""{ROWS},{GUTTERS},{EDGES},{GRID},
+means as (select table_id, avg(conf) as mean from boxes group by table_id),
+decided as (select *, case when reason is null then 'accepted' else 'refused' end as status from (select table_id, mean, n_rows, n_cols, body, case when mean is null then 'no_text' when mean < {C.OCR_CONFIDENCE} then 'low_confidence' when text is null then 'grid_not_recovered' when fill_fraction < {C.OCR_MIN_FILL} then 'sparse_grid' end as reason
+  from {TABLES} t left join means using (table_id) left join grids using (table_id)))"""
+#: Bodies of the chosen records' tables, as they must come out.
+_BODIES = {"tbl_1": "Compound | %\nacetaminophen | 50", "tbl_4": "caption\nacetaminophen |  | HPLC"}
+REPORT = f"""{DECIDED},
+report as (
+  select id, filename, page, status, reason, body from {X.sql_rows([(r[1], r[2], r[3], r[4], r[5], _BODIES.get(r[1])) for r in X.TABLE_REPORT], 'id, filename, page, status, reason, body')}
+  union all select 'tbl_' || table_id, coalesce(source, 'none'), cast(doc_id % 1000 as integer), status, reason, case when status = 'accepted' then body end from decided join documents on table_id = 'doc' || doc_id)"""
 
 PARSE = r"^(\[[^\[\]]+\]|Br|Cl|[BCNOSPFIbcnosp]|[0-9]|%[0-9]{2}|[-=#$:/\\.~()*])+$"
+PARSES = f"(regexp_matches(smiles, {V(PARSE)}) and length(smiles) - length(replace(smiles, '(', '')) = length(smiles) - length(replace(smiles, ')', '')))"
 STRUCTURES = f"""
-predictions as (select ord, id, source_doc, page_number, nullif(trim(coalesce(smiles, '')), '') as predicted_smiles, error, confidence from {X.sql_rows(X.STRUCTURES, 'ord, id, source_doc, page_number, smiles, error, confidence')}),
-parsed as (select *, case when regexp_matches(predicted_smiles, {V(PARSE)}) then predicted_smiles end as part from predictions),
+predictions as (select ord, id, source_doc, page_number, nullif(trim(coalesce(smiles, '')), '') as predicted_smiles, error, confidence from (select * from {X.sql_rows(X.STRUCTURES, 'ord, id, source_doc, page_number, smiles, error, confidence')} union all select * from {X.duck_rows(X.PREDICTIONS_OF_DOCUMENTS, documents='documents')})),
+parsed as (select *, case when {PARSES.replace('smiles', 'predicted_smiles')} then predicted_smiles end as part from predictions),
 reasoned as (select *, len(regexp_extract_all(part, {ATOM})) as atoms, case when error is not null then 'recognizer_error:' || error when predicted_smiles is null then 'empty_prediction' when part is null then 'invalid_smiles' when len(regexp_extract_all(part, {ATOM})) < {C.MIN_HEAVY_ATOMS} then 'too_small' end as reason from parsed),
 structures as (select *, case when reason is null then 'accepted' else 'refused' end as status, case when reason is null then upper(left(sha256(regexp_replace(part, '[/\\\\@]', '', 'g')), 14)) end as block from reasoned),
 deduped as (select * from (select *, row_number() over (partition by source_doc, page_number, block, status order by ord) as copy from structures) where status <> 'accepted' or copy = 1)"""
 
+#: The corpus' passages, and chosen ones with ids below 0.
+NAME_TEXTS = f"texts as (select chunk_ord, text from chunks union all select cast(-id as hugeint) * {PAGE_STEP}, text from {X.sql_rows(X.NAME_TEXTS, 'id, text')})"
+LARGE_LEXICON = f"(select * from {LEXICON} union all select * from {X.duck_rows(X.LEXICON_OF_DOCUMENTS, documents='documents')})"
+CONVERSATION = (
+    f"{INDEX},{SCOPE},{TURNS},{CONTEXTUAL}, follow_ups as (select question_id, contextual as question from contextual where {follow_up('question')} and question_id in (select question_id from history)),{structure('current', 'questions', C.CHAT_TOP_K)},{bm25('context', 'scope', 'follow_ups', C.CHAT_TOP_K)},"
+    f"{interleaved('mixed', ['current_text', 'context'], 'source_doc, page_number, text', C.CHAT_TOP_K)}, turned as (select question_id, chunk_ord, score, rank from mixed union all select question_id, chunk_ord, score, rank from current where question_id not in (select question_id from mixed))"
+)
+
+
+def expanded(hits: str) -> str:
+    """CTEs that end in ``expanded``: the first hit of each page, with the page's prose, where a chunk goes on behind the longest end of what stands before it."""
+    shared = "list_max(list_concat([0], list_filter(range(1, least(len(a), len(x)) + 1), lambda k: a[len(a) - k + 1 : len(a)] = x[1 : k])))"
+    return f"""
+placed as (select h.*, c.source_doc, c.page_number, c.text as anchor_text, row_number() over (partition by h.question_id, source_doc, page_number order by h.rank) as copy from {hits} h join chunks c using (chunk_ord)),
+firsts as (select * from placed where copy = 1),
+parts as (select source_doc, page_number, list(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') order by chunk_ord) as lists, cast(count(*) as integer) as n from chunks semi join firsts using (source_doc, page_number) where not {bibliography('text')} group by all),
+merged as (select source_doc, page_number, n, list_reduce(lists, lambda a, x: list_concat(a, x[{shared} + 1 : len(x)])) as ws from parts),
+expanded as (select f.* exclude (copy), case when len(ws) > 0 then array_to_string(ws, ' ') else anchor_text end as text, 'same-page expansion' as context_scope, coalesce(n, 0) as context_chunks from firsts f left join merged using (source_doc, page_number))"""
+
+
+def source_blocks(hits: str, subject: bool) -> str:
+    """(question_id, context) of hits, without page expansion."""
+    flag = f"case when list_contains(blocks, '{BLOCK}') then ' | SUBJECT: yes' else ' | SUBJECT: NO - different molecule' end" if subject else "''"
+    return (
+        "select question_id, string_agg('[Source ' || rank || '] ' || source_doc || ' | page ' || page_number || ' | route: structure | compounds: ' || case when len(compounds) > 0 then array_to_string(compounds, ', ') else 'none' end || "
+        f"{flag} || ' | context: matched chunk' || chr(10) || text, chr(10) || chr(10) order by rank) as context from {hits} join annotated using (chunk_ord) group by question_id"
+    )
+
+
+TABLE_LEXICON = f"(select * from {LEXICON} union all select 'acetaminophen', {V(X.SUBJECT)})"
+#: Facts by RE2, which can't look around: blanks are doubled, so that what parts two rows is there for both.
+_PAIRED = r"[0-9]+\.[0-9]+" + r"(?:\s+[0-9]+\.[0-9]+\s*±\s*[0-9]+\.[0-9]+)" * 4
+FACTS = f"""
+fact_pages as (select * from (select cast(rank + 1000000000 as bigint) as rank, source_doc, page_number, text from {X.sql_rows([(1, 'other.pdf', C.FACT_PAGE, X.fact_page()), (2, C.FACT_DOCUMENT, C.FACT_PAGE, X.fact_page()), (3, C.FACT_DOCUMENT, C.FACT_PAGE, X.fact_page())], 'rank, source_doc, page_number, text')}
+  union all select * from {X.duck_rows(X.facts_in_documents(), documents='documents')})
+  where source_doc = {V(C.FACT_DOCUMENT)} and page_number = {C.FACT_PAGE} and {' and '.join(f'contains(text, {V(t)})' for t in C.FACT_TOKENS)} and regexp_matches(text, {V(C.FACT_TEMPERATURES)})),
+headed as (select rank, source_doc, page_number, regexp_extract_all(text, {V(C.FACT_HEADER)}) as heads, string_split_regex(text, {V(C.FACT_HEADER)}) as cuts from fact_pages),
+sections as (select rank, source_doc, page_number, i, regexp_extract(heads[i], {V(C.FACT_HEADER)}, 1) as symbol, regexp_extract(heads[i], {V(C.FACT_HEADER)}, 2) as solvent,
+  list_transform(regexp_extract_all(regexp_replace(cuts[i + 1], '(\\s)', '\\1\\1', 'g'), '(?:^|[^0-9.])({_PAIRED})(?:$|[^0-9.])', 1), lambda l: list_transform(regexp_extract_all(l, '[0-9]+\\.[0-9]+'), lambda v: cast(v as double))) as figures
+  from (select *, unnest(range(1, len(heads) + 1)) as i from headed)),
+whole as (select * from sections where symbol = 'A' and list_transform(figures, lambda f: f[1]) = case when solvent = 'DMSO' then {list(map(float, C.FACT_STEPS))} else {list(map(float, C.FACT_STEPS[1:]))} end),
+chosen as (select * from (select *, row_number() over (partition by solvent order by rank, i) as copy from whole) where copy = 1),
+facts as (select solvent, 'Paracetamol · ' || solvent || ' + water' as title, cast(rank as integer) as source, source_doc, cast(page_number as bigint) as page, cast(r - 1 as integer) as row_ord, figures[r][1] as organic_fraction,
+  cast(25 + 5 * t as integer) as "temperature_C", figures[r][2 + 2 * t] as solubility_x100, figures[r][3 + 2 * t] as uncertainty_x100, figures[r][2 + 2 * t] - figures[r][3 + 2 * t] as lower, figures[r][2 + 2 * t] + figures[r][3 + 2 * t] as upper
+  from (select *, unnest(range(1, len(figures) + 1)) as r from chosen) cross join (select unnest(range(4)) as t))"""
 HIT_COLUMNS = f"question_id, rank, {PLACE}, score"
+_FILES = f"(select * from {X.sql_rows([(f,) for f in X.FILES], 'filename')} union all select * from {X.duck_rows(X.FILENAMES, documents='documents')})"
+_ANSWERS = f"(select cast(answer_id as bigint) as answer_id, raw from {X.sql_rows(X.ANSWERS, 'answer_id, raw')} union all select * from {X.duck_rows(X.ANSWERS_OF_TURNS, conversations='conversations')})"
 _FOLLOWUP_TAIL = "trim(split_part(substr(raw, instr(raw, '<followups>') + 11), '</followups>', 1), ' ' || chr(10))"
 
 ORACLE: dict[str, str] = {
@@ -228,20 +307,20 @@ ORACLE: dict[str, str] = {
     "bm25_batch": f"with {CHUNKS},{bm25('best', 'chunks', '(select item_id as question_id, text as question from benchmark)', C.TOP_K)} select {HIT_COLUMNS} from best",
     "chunk_windows": f"with {CHUNKS} select source_doc, page_number, chunk_idx, text from chunks",
     "chunk_token_stats": f"with {CHUNKS} select {PLACE}, cast(len(ts) as integer) as n_tokens, cast(len(list_distinct(ts)) as integer) as n_distinct from (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from chunks)",
-    "repair_hyphen_literal": f"select id, regexp_replace(translate(text, '‐‑‒–', '----'), '(\\w)-[ \\t\\x{{a0}}]*\\n[ \\t\\x{{a0}}]*(\\w)', '\\1\\2', 'g') as repaired from {X.sql_rows(X.HYPHEN_TEXTS, 'id, text')}",
+    "repair_hyphen_literal": f"select cast(id as bigint) as id, regexp_replace(translate(text, '‐‑‒–', '----'), '([\\p{{L}}\\p{{N}}_])-[ \\t\\x{{a0}}]*\\n[ \\t\\x{{a0}}]*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') as repaired from (select * from {X.sql_rows(X.HYPHEN_TEXTS, 'id, text')} union all select * from {X.duck_rows(X.PARTED_TEXTS, documents='documents')})",
     "query_terms_benchmark": f"select item_id as question_id, {terms('text')} as terms from benchmark",
     "bibliography_flag": f"with {CHUNKS} select page_ord, chunk_idx, {bibliography('text')} as is_bibliography from (select cast(-id as bigint) as page_ord, 0 as chunk_idx, text from {X.sql_rows(X.REFERENCE_TEXTS, 'id, text')} union all select {PLACE}, text from chunks)",
     "candidate_suffix": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from lexical",
-    "candidate_literal": f"with texts as (select cast(chunk_ord as bigint) as chunk_ord, text from {X.sql_rows(X.NAME_TEXTS, 'chunk_ord, text')}),{candidates(C.SUFFIXES, X.sql_rows([(v,) for v in X.VOCABULARY], 'name'), 'texts')} select * from candidates",
-    "morpheme_count_literal": f"select word, {morphemes('word')} as n_morphemes from {X.sql_rows([(w,) for w in sorted({w for _, t in X.NAME_TEXTS for w in t.lower().split()} | {'acetaminophen', 'phenacetin', 'paper'})], 'word')}",
+    "candidate_literal": f"with {CHUNKS},{NAME_TEXTS},{candidates(C.SUFFIXES, X.sql_rows([(v,) for v in X.VOCABULARY], 'name'), 'texts')} select {PLACE}, name from candidates",
+    "morpheme_count_literal": f"with {CHUNKS},{NAME_TEXTS}, words as (select distinct unnest({names_of('text')}) as word from texts union select unnest(['acetaminophen', 'phenacetin', 'hydrochlorothiazide', 'paper'])) select word, {morphemes('word')} as n_morphemes from words",
     "candidate_bigram_join": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from joined",
-    "candidate_hyphen_part": f"with {CHUNKS},{candidates(X.RULES.suffixes, X.sql_rows([*[(n,) for n, _ in X.LEXICON], ('the',), ('er',), ('de',)], 'name'))} select {PLACE}, name from hyphen",
-    "candidate_acid_literal": f"with texts as (select cast(chunk_ord as bigint) as chunk_ord, text from {X.sql_rows(X.NAME_TEXTS, 'chunk_ord, text')}),{candidates(C.SUFFIXES, LEXICON, 'texts')} select * from acid",
+    "candidate_hyphen_part": f"with {chunks_of(X.duck_rows(X.HYPHENATED, documents='documents'))},{candidates(X.RULES.suffixes, X.sql_rows([*[(n,) for n, _ in X.LEXICON], ('the',), ('er',), ('de',)], 'name'))} select {PLACE}, name from hyphen",
+    "candidate_acid_literal": f"with {CHUNKS},{NAME_TEXTS},{candidates(C.SUFFIXES, LEXICON, 'texts')} select {PLACE}, name from acid",
     "name_frequency_topn": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select name, count(*) as frequency from candidates group by name order by frequency desc, name limit 100",
-    "resolve_tiers": f"with wanted as (select distinct lower(trim(name)) as name from {X.sql_rows([(n,) for n in ('THBLE ', 'ontion', 'retion', 'thing', 'nothing known', 'erble')], 'name')}),{RESOLVE} select name, smiles, tier from resolved",
+    "resolve_tiers": f"with {CHUNKS}, wanted as (select distinct lower(trim(name)) as name from (select * from {X.sql_rows([(n,) for n in ('THBLE ', 'ontion', 'retion', 'thing', 'nothing known', 'erble')], 'name')} union all select unnest(ws) from page_words)),{RESOLVE} select name, smiles, tier from resolved",
     "unresolved_names": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
-    "surrogate_key": f"with resolved as (select * from {LEXICON}),{KEYED} select name, block, cast(atoms as integer) as heavy_atoms from keyed",
-    "verified_lexicon": f"with resolved as (select * from {LEXICON} union all select 'nothing', null),{KEYED} select r.name, r.smiles, k.block, cast(len(regexp_extract_all(r.smiles, {ATOM})) as integer) as heavy_atoms, coalesce(r.smiles, '') <> '' as accepted from resolved r left join keyed k using (name)",
+    "surrogate_key": f"with {keyed(LARGE_LEXICON)} select name, block, cast(atoms as integer) as heavy_atoms from keyed",
+    "verified_lexicon": f"with seed as (select *, coalesce({PARSES}, false) as accepted from (select * from {LARGE_LEXICON} union all select 'nothing', null)), good as (select name, smiles from seed where accepted),{keyed('good')} select r.name, r.smiles, k.f as canonical, k.block, cast(case when accepted then len(regexp_extract_all(r.smiles, {ATOM})) end as integer) as heavy_atoms, accepted from seed r left join keyed k using (name)",
     "chunk_annotation": f"with {INDEX} select {PLACE}, compounds, blocks from annotated",
     "synonym_groups": f"with {INDEX} select block, list_sort(list(name)) as names from compounds group by block having count(*) > 1",
     "spellings_for_block": f"with {INDEX} select name from compounds where block = '{BLOCK}'",
@@ -254,11 +333,9 @@ ORACLE: dict[str, str] = {
     "checked_retrieval": f"with {INDEX},{SCOPE},{structure('found', ONE, 5)} select {HIT_COLUMNS}, true as on_structure from found",
     "follow_up_flag": f"select conv_id, turn, {follow_up('text')} as is_follow_up from conversations where role = 'user'",
     "retrieval_query": f"with {TURNS},{CONTEXTUAL} select question_id, contextual from contextual",
-    "conversation_search": f"with {INDEX},{SCOPE},{TURNS},{CONTEXTUAL}, follow_ups as (select question_id, contextual as question from contextual where {follow_up('question')} and question_id in (select question_id from history)),{structure('current', 'questions', C.CHAT_TOP_K)},{bm25('context', 'scope', 'follow_ups', C.CHAT_TOP_K)},"
-    + interleaved("mixed", ["current_text", "context"], "source_doc, page_number, text", C.CHAT_TOP_K)
-    + f" select {HIT_COLUMNS} from mixed union all select {HIT_COLUMNS} from current where question_id not in (select question_id from mixed)",
-    "page_expansion": f"with {INDEX},{SCOPE},{structure('found', ONE, 8)}, firsts as (select * from (select f.rank, c.source_doc, c.page_number, c.text as anchor_text, row_number() over (partition by source_doc, page_number order by rank) as copy from found f join chunks c using (chunk_ord)) where copy = 1) "
-    "select rank, source_doc, page_number, array_to_string(ws, ' ') as text, anchor_text, 'same-page expansion' as context_scope, (select cast(count(*) as integer) from chunks c where c.page_number = f.page_number and c.source_doc = f.source_doc) as context_chunks from firsts f join page_words p on p.doc_id = f.page_number",
+    "conversation_hits": f"with {CONVERSATION} select {HIT_COLUMNS} from turned",
+    "conversation_search": f"with {CONVERSATION},{expanded('turned')} select question_id, rank, score, source_doc, page_number, text, anchor_text, context_scope, context_chunks from expanded",
+    "page_expansion": f"with {INDEX},{SCOPE},{structure('found', ONE, 8)},{expanded('found')} select rank, source_doc, page_number, text, anchor_text, context_scope, context_chunks from expanded",
     "documents_for_structure": f"with {INDEX},{SCOPE}, found as (select source_doc, list_sort(list_distinct(list(e.name))) as names from scope s join entities e using (chunk_ord) where e.block = '{BLOCK}' group by source_doc) select distinct source_doc, coalesce(names, cast([] as varchar[])) as names from scope left join found using (source_doc)",
     "exact_name_counts": f"with {INDEX},{QUERY_NAMES},{NAME_HITS} select name, count(chunk_ord) as n_chunks, regexp_matches(name, {V(C.REGISTRY_NUMBER)}) as is_registry_number from names left join hits using (name) group by name",
     "reach_report": f"with {INDEX},{QUERY_NAMES},{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated), counts as (select name, count(chunk_ord) as n from names left join hits using (name) group by name), best as (select name, n from counts order by n desc, name limit 1) "
@@ -269,15 +346,16 @@ ORACLE: dict[str, str] = {
     "set_difference": f"with {INDEX}, names as (select 'thble' as name),{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated) select count(*) filter (s and not u) as recovered, count(*) filter (s and u) as shared, count(*) filter (u and not s) as text_only from flags",
     "library_stats": f"with {CHUNKS} select source_doc, count(*) as n_passages, count(distinct page_number) as n_pages from chunks group by source_doc",
     "index_totals": f"with {INDEX} select (select count(*) from annotated) as n_chunks, (select count(*) from annotated where len(blocks) > 0) as n_annotated, (select count(*) from annotated where {bibliography('text')}) as n_bibliography, (select count(*) from compounds) as n_names, (select count(distinct block) from compounds) as n_blocks",
-    "build_context": f"with {INDEX},{SCOPE},{structure('found', ONE, 3)} select question_id, string_agg('[Source ' || rank || '] ' || source_doc || ' | page ' || page_number || ' | route: structure | compounds: ' || case when len(compounds) > 0 then array_to_string(compounds, ', ') else 'none' end || case when list_contains(blocks, '{BLOCK}') then ' | SUBJECT: yes' else ' | SUBJECT: NO - different molecule' end || ' | context: matched chunk' || chr(10) || text, chr(10) || chr(10) order by rank) as context from found join annotated using (chunk_ord) group by question_id",
-    "split_follow_ups": f"with a as (select *, instr(raw, '<followups>') > 0 as tagged from {X.sql_rows(X.ANSWERS, 'answer_id, raw')}), t as (select *, case when tagged then {_FOLLOWUP_TAIL} end as tail from a), lists as (select answer_id, tail from t where json_valid(tail) and json_type(tail) = 'ARRAY'), "
+    "build_context": f"with {INDEX},{SCOPE},{structure('found', ONE, 3)} {source_blocks('found', True)}",
+    "split_follow_ups": f"with a as (select *, instr(raw, '<followups>') > 0 as tagged from {_ANSWERS}), t as (select *, case when tagged then {_FOLLOWUP_TAIL} end as tail from a), lists as (select answer_id, tail from t where json_valid(tail) and json_type(tail) = 'ARRAY'), "
     f"items as (select answer_id, i, json_extract(tail, '$[' || i || ']') as j from (select *, unnest(range(0, cast(json_array_length(tail) as bigint))) as i from lists)), texts as (select answer_id, i, trim(j ->> '$') as q from items where json_type(j) = 'VARCHAR'), kept as (select answer_id, q, min(i) as i from texts where length(q) between 1 and {C.FOLLOW_UP_CHARACTERS} group by all), "
     f"firsts as (select answer_id, list(q order by i)[1:{C.FOLLOW_UPS}] as followups from kept group by answer_id) select answer_id, case when tagged then trim(split_part(raw, '<followups>', 1), ' ' || chr(10)) else raw end as body, coalesce(followups, cast([] as varchar[])) as followups from t left join firsts using (answer_id)",
     "plot_intent": f"select conv_id, turn, regexp_matches(text, {V(C.PLOT_INTENT)}) as is_plot_request from (select conv_id, turn, text from conversations union all select cast(conv_id as bigint), cast(turn as bigint), text from {X.sql_rows([(-1, 0, 'Please plot it'), (-2, 0, 'a Chart, now'), (-3, 0, 'charting'), (-4, 0, 'visualise this')], 'conv_id, turn, text')})",
-    "chat_messages": f"with {TURNS}, recent as (select * from (select *, row_number() over (partition by question_id order by turn desc) as age from history) where age <= {C.HISTORY_TURNS}), past as (select question_id, list(role order by turn) as rs, list(text order by turn) as cs from recent group by question_id) "
-    "select question_id, case when question_id % 2 = 0 then list_concat(['system'], coalesce(rs, []), ['user']) end as roles, case when question_id % 2 = 0 then list_concat(['system text'], coalesce(cs, []), ['Context:' || chr(10) || '[Source 1] text' || chr(10) || chr(10) || 'Question: ' || question || chr(10)]) end as contents from questions left join past using (question_id)",
+    "chat_messages": f"with {CONVERSATION}, past as (select question_id, list(role order by turn) as rs, list(text order by turn) as cs from (select * from (select *, row_number() over (partition by question_id order by turn desc) as age from history) where age <= {C.HISTORY_TURNS}) group by question_id), contexts as ({source_blocks('turned', False)}) "
+    "select question_id, case when context is not null then list_concat(['system'], coalesce(rs, []), ['user']) end as roles, case when context is not null then list_concat(['system text'], coalesce(cs, []), ['Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question || chr(10)]) end as contents from questions left join past using (question_id) left join contexts using (question_id)",
+    "evidence_export": f"with {INDEX},{SCOPE},{structure('found', ONE, 3)} select question_id, to_json({{'query': {V(X.QUESTION)}, 'smiles': {V(X.SUBJECT)}, 'block': '{BLOCK}', 'sources': list({{'source_doc': source_doc, 'page_number': page_number, 'text': text, 'compounds': compounds, 'blocks': blocks, 'score': score, 'route': 'structure'}} order by rank)}})::varchar as json from found join annotated using (chunk_ord) group by question_id",
     "previews": "select doc_id, case when length(text) > 240 then left(text, 240) || '…' else text end as preview from documents",
-    "paper_ids": f"with f as (select filename, regexp_replace(regexp_extract(filename, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') as stem from {X.sql_rows([('A_paracetamol_cocrystals.pdf',), ('notes.pdf',), ('_x.pdf',), ('dir/B_c_d.pdf',), ('plain',)], 'filename')}) select filename, case when contains(stem, '_') and split_part(stem, '_', 1) <> '' then split_part(stem, '_', 1) when stem <> '' then stem else filename end as paper_id from f",
+    "paper_ids": f"with f as (select filename, regexp_replace(regexp_extract(filename, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') as stem from {_FILES}) select filename, case when contains(stem, '_') and split_part(stem, '_', 1) <> '' then split_part(stem, '_', 1) when stem <> '' then stem else filename end as paper_id from f",
     "thin_rule": f"select filename, page, image_index, {THIN} as thin, not {THIN} as needs_pixels from {IMAGES}",
     "pixel_rows": f"with {PIXEL_ROWS} select image, y, round(mean, 6) as mean, round(deviation, 6) as deviation, is_line from px_lines",
     "pixel_features": f"with {PIXEL_ROWS}, fr as (select image, avg(case when v < 200 then 1.0 else 0 end) as ink, avg(case when v > 240 then 1.0 else 0 end) as white, count(*) as n from px group by image), en as (select image, 0 - sum(c / n * log2(c / n)) as entropy from (select image, least(v * 16 // 256, 15) as bin, count(*) as c from px group by all) join fr using (image) group by image), "
@@ -286,23 +364,28 @@ ORACLE: dict[str, str] = {
     "image_classify": f"with {CLASSIFIED} select filename, page, image_index, label, reasons from classified",
     "inventory_pivot": f"with {CLASSIFIED} select filename, {', '.join(f'count(*) filter (label = {V(x)}) as {x}' for x in C.IMAGE_LABELS)}, count(*) as total from classified group by filename",
     "inventory_rollup": f"with {CLASSIFIED} select filename, label, count(*) as n_images from classified group by rollup (filename, label)",
-    "ocr_skip_reason": f"select id, case when label is distinct from 'table_image' then 'not_table_image' when {THIN} then 'thin_table_rule' when width < {C.OCR_MIN_WIDTH} or height < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skip_reason from (select id, label, coalesce(width, 0) as width, coalesce(height, 0) as height from {X.sql_rows([(i, *r) for i, r in enumerate(X.TABLE_IMAGES)], 'id, label, width, height')})",
-    "ocr_words": "select * from (values ('t', 0, 'a', 90.0::double, 1, 1, 1, 1), ('t', 5, 'e', 91.0::double, 6, 6, 6, 6)) v(table_id, word_ord, text, conf, \"left\", top, width, height)",
+    "ocr_skip_reason": f"with {CLASSIFIED} select filename, page, image_index, case when label is distinct from 'table_image' then 'not_table_image' when {THIN} then 'thin_table_rule' when width < {C.OCR_MIN_WIDTH} or height < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skip_reason from (select filename, page, image_index, label, coalesce(width, 0) as width, coalesce(height, 0) as height from (select filename, page, image_index, label, width, height from classified union all select 'chosen ' || id, 0, 0, label, width, height from {X.sql_rows([(i, *r) for i, r in enumerate(X.TABLE_IMAGES)], 'id, label, width, height')}))",
+    "ocr_words": f"select * from (values ('t', 0, 'a', 90.0::double, 1, 1, 1, 1), ('t', 5, 'e', 91.0::double, 6, 6, 6, 6)) v(table_id, word_ord, text, conf, \"left\", top, width, height) union all "
+    f"select 'doc' || doc_id, cast(word_ord as integer), text, cast(word_ord % 97 - 1 as double), case when word_ord % 29 <> 0 then cast(word_ord as integer) end, cast(2 * word_ord as integer), cast(length(text) as integer), 12 from {_WORDS} where word_ord % 5 <> 0 and word_ord % 97 > 0 and word_ord % 11 <> 0",
     "ocr_rows": f"with {ROWS} select table_id, word_ord, \"row\" from text_rows",
     "ocr_raw_text": f"with {ROWS}, {RAW} select table_id, raw_text from raw",
     "ocr_gutters": f"with {ROWS},{GUTTERS} select table_id, \"row\", x from gutters",
     "ocr_boundaries": f"with {ROWS},{GUTTERS},{EDGES} select table_id, edges from column_edges",
-    "ocr_grid": f"with {ROWS},{GUTTERS},{EDGES},{GRID} select * from grids",
-    "ocr_decision": f"with {ROWS},{GUTTERS},{EDGES},{GRID}, t as (select distinct table_id from boxes union all select 'empty'), m as (select table_id, avg(conf) as mean from boxes group by table_id), "
-    f"r as (select table_id, mean, n_rows, n_cols, case when mean is null then 'no_text' when mean < {C.OCR_CONFIDENCE} then 'low_confidence' when text is null then 'grid_not_recovered' when fill_fraction < {C.OCR_MIN_FILL} then 'sparse_grid' end as reason from t left join m using (table_id) left join grids using (table_id)) "
-    "select table_id, case when reason is null then 'accepted' else 'refused' end as status, reason, round(mean, 6) as mean_confidence, case when reason is null then n_rows end as n_rows, case when reason is null then n_cols end as n_cols from r",
-    "ocr_summary": f"select status, reason, cast(grouping(status) + grouping(reason) as integer) as level, count(*) as n_tables from {REPORT} group by grouping sets ((status, reason), (status), ())",
-    "table_text": f"select * from {X.sql_rows([('tbl_1', 'Compound | %' + chr(10) + 'acetaminophen | 50'), ('tbl_4', 'caption' + chr(10) + 'acetaminophen |  | HPLC')], 'id, text')}",
+    "ocr_grid": f"with {ROWS},{GUTTERS},{EDGES},{GRID} select * exclude (body) from grids",
+    "ocr_decision": f"with {DECIDED} select table_id, status, reason, round(mean, 6) as mean_confidence, case when reason is null then n_rows end as n_rows, case when reason is null then n_cols end as n_cols from decided",
+    "ocr_summary": f"with {REPORT} select status, reason, cast(grouping(status) + grouping(reason) as integer) as level, count(*) as n_tables from report group by grouping sets ((status, reason), (status), ())",
+    "table_text": f"with {REPORT} select id, body as text from report where body is not null",
+    "attach_tables": f"with {INDEX},{REPORT}, bodies as (select id as chunk_ord, body as text, filename, page from report where status = 'accepted'),{candidates(C.SUFFIXES, TABLE_LEXICON, 'bodies', 'b_')}, first_names as (select chunk_ord, name from (select *, row_number() over (partition by chunk_ord order by name) as place from b_candidates) where place <= {C.MAX_TABLE_NAMES}), "
+    f"b_wanted as (select distinct name from first_names where name not in (select name from compounds)),{resolve('b_wanted', TABLE_LEXICON, 'b_').replace(CACHE, '(select null::varchar as name, null::varchar as smiles where false)')},{keyed('b_resolved', 'b_')}, every as (select name, block from compounds union all select name, block from b_keyed where block is not null), "
+    "marks as (select chunk_ord, list_sort(list_distinct(list(name))) as compounds, list_sort(list_distinct(list(block))) as blocks from first_names join every using (name) group by chunk_ord) "
+    f"select filename as source_doc, cast(page as bigint) as page_number, {V(C.TABLE_PASSAGE)} || text as text, coalesce(compounds, []) as compounds, coalesce(blocks, []) as blocks, chunk_ord as table_ocr_id from bodies left join marks using (chunk_ord)",
     "ocsr_candidates": f"with {CLASSIFIED} select filename, page, image_index from classified where label in ({', '.join(map(V, C.STRUCTURE_LABELS))}) and not {THIN}",
     "ocsr_validate": f"with {STRUCTURES} select id, status, reason, predicted_smiles, case when reason is null then part end as smiles, block, case when reason is null then cast(atoms as integer) end as heavy_atoms, cast(confidence as double) as confidence from structures",
     "ocsr_dedupe": f"with {STRUCTURES} select id, status from deduped",
     "ocsr_summary": f"with {STRUCTURES} select count(*) as crops, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'refused') as refused, (select '{{' || string_agg('\"' || reason || '\":' || n, ',' order by reason) || '}}' from (select reason, count(*) as n from deduped where status = 'refused' group by reason)) as refused_by_reason from deduped",
     "structures_for_block": f"with {STRUCTURES} select id, source_doc, page_number from structures where status = 'accepted' and block = '{BLOCK}'",
     "attach_structures": f"with {CHUNKS},{STRUCTURES}, both_kinds as (select 'page' as method, source_doc from chunks union all select 'structure_ocr', source_doc from deduped where status = 'accepted') select method, count(*) as n_chunks, count(distinct source_doc) as n_documents from both_kinds group by method",
+    "solubility_rows": f"with {FACTS} select * from facts",
+    "chart_series": f"with {FACTS} select solvent, cast(\"temperature_C\" as double) as series, list(solubility_x100 order by organic_fraction) as figures from facts group by all",
     "stable_ids": "select doc_id, 'tbl_' || left(sha1(concat_ws('|', source, doc_id, 0)), 14) as table_id, 'ocsr_' || left(sha1(concat_ws('|', source, doc_id, 'embedded', 1, 'None')), 14) as structure_id from documents",
 }

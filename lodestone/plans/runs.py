@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import table_id
@@ -20,6 +21,17 @@ def inventory(embedded: DataFrame, features: DataFrame | None = None) -> DataFra
     return adapters.with_paper_ids(images.classify(known)).withColumn("confidence", F.lit("heuristic"))
 
 
+def inventory_at(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The inventory at ``path``; where there is none, what ``build()`` gives, checked and written there first."""
+    try:
+        return images.check_inventory(spark.read.parquet(path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    images.check_inventory(build()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def run_table_ocr(found: DataFrame, read_words: Callable[[bytes], dict[str, list]]) -> DataFrame:
     """Records of all table images of an inventory with ``content``; only those that may be tables are read."""
     known = found.withColumn("table_id", table_id(F.col("filename"), F.col("page"), F.col("image_index")))

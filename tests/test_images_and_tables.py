@@ -12,27 +12,35 @@ from lodestone.streaming.ingest import start_ingest
 
 
 def boxes(spark):
-    return catalog.boxes(spark)
+    return fixtures.box_frame(spark)
+
+
+def recognised(spark):
+    return structocr.validate(fixtures.prediction_frame(spark))
+
+
+def report(spark):
+    return spark.createDataFrame(fixtures.TABLE_REPORT, catalog.REPORT)
 
 
 def test_decisions_on_word_boxes(spark):
-    wanted = spark.createDataFrame([(t,) for t in ("low", "one_col", "empty", "good", "plot", "caption", "sparse")], "table_id string")
+    wanted = spark.createDataFrame([(t,) for t in ("faint", "list", "empty", "two_by_two", "ticks", "titled", "gaps")], "table_id string")
     got = {r.table_id: r for r in tableocr.decide(wanted, boxes(spark)).collect()}
     assert {k: (v.status, v.reason) for k, v in got.items()} == {
-        "low": ("refused", "low_confidence"), "one_col": ("refused", "grid_not_recovered"), "empty": ("refused", "no_text"), "good": ("accepted", None), "plot": ("refused", "grid_not_recovered"),
-        "caption": ("accepted", None), "sparse": ("refused", "sparse_grid"),
+        "faint": ("refused", "low_confidence"), "list": ("refused", "grid_not_recovered"), "empty": ("refused", "no_text"), "two_by_two": ("accepted", None), "ticks": ("refused", "grid_not_recovered"),
+        "titled": ("accepted", None), "gaps": ("refused", "sparse_grid"),
     }
-    assert got["good"].cells == [["A", "B"], ["1.0", "2.0"]] and got["low"].cells is None and got["empty"].raw_text == ""
-    caption = got["caption"]
-    assert (caption.n_rows, caption.n_cols, caption.spanning_rows) == (5, 3, [0])
-    assert caption.cells[0][0] == "Table 1: Current layout models in the" and caption.cells[1] == ["Dataset", "Base Model", "Notes"] and caption.cells[2] == ["Set0", "F/M", "Layouts 0"]
+    assert got["two_by_two"].cells == [["salt", "mass"], ["NaCl", "58.4"]] and got["faint"].cells is None and got["empty"].raw_text == ""
+    titled = got["titled"]
+    assert (titled.n_rows, titled.n_cols, titled.spanning_rows) == (6, 3, [0])
+    assert titled.cells[0][0] == "Melting points of all salts seen here" and titled.cells[1] == ["Salt", "Point", "Note"] and titled.cells[2] == ["r0c0", "r0c1", "r0c2"]
 
 
 def test_skip_reasons_records_and_summary(spark):
     rows = [("A.pdf", 1, 0, "table_image", 1601, 5), ("A.pdf", 1, 1, "structure_drawing", 800, 800), ("A.pdf", 1, 2, "table_image", 1588, 677), ("A.pdf", 1, 3, "table_image", 80, 20), ("A.pdf", 2, 0, "table_image", 300, 200)]
     inventory = spark.createDataFrame(rows, "filename string, page int, image_index int, label string, width int, height int")
     ids = {r.image_index: r.id for r in inventory.where("page = 1").select("image_index", tableocr.table_id(F.col("filename"), F.col("page"), F.col("image_index")).alias("id")).collect()}
-    words = boxes(spark).where("table_id = 'good'").withColumn("table_id", F.lit(ids[2]))
+    words = boxes(spark).where("table_id = 'two_by_two'").withColumn("table_id", F.lit(ids[2]))
     failures = inventory.where("page = 2").select(tableocr.table_id(F.col("filename"), F.col("page"), F.col("image_index")).alias("table_id"), F.lit("ocr_error:OSError").alias("error"))
     records = tableocr.table_records(inventory, words, failures)
     assert sorted((r.page, r.image_index, r.status, r.reason) for r in records.collect()) == [(1, 0, "skipped", "thin_table_rule"), (1, 2, "accepted", None), (1, 3, "skipped", "not_table_like"), (2, 0, "refused", "ocr_error:OSError")]
@@ -76,7 +84,7 @@ def test_pixel_features(spark):
 
 
 def test_structures_are_validated_and_kept_once(spark):
-    rows = catalog.recognised(spark)
+    rows = recognised(spark)
     got = {r.id: (r.status, r.reason, r.confidence) for r in rows.collect()}
     assert got["ocsr_1"] == ("accepted", None, 0.91) and got["ocsr_3"][:2] == ("refused", "invalid_smiles") and got["ocsr_7"][:2] == ("refused", "recognizer_error:RuntimeError")
     assert got["ocsr_4"][:2] == ("refused", "empty_prediction") and got["ocsr_6"][:2] == ("refused", "too_small")
@@ -100,7 +108,7 @@ def test_attaching_is_idempotent(spark):
     pages = spark.createDataFrame([(0, "A.pdf", 1, "plain")], "page_ord long, source_doc string, page_number long, text string")
     empty = F.array().cast("array<string>")
     chunks = chunk_pages(pages).withColumn("compounds", empty).withColumn("blocks", empty)
-    records = structocr.deduplicate(catalog.recognised(spark))
+    records = structocr.deduplicate(recognised(spark))
     once = index.attach_structures(chunks, records)
     twice = index.attach_structures(once, records)
     assert once.count() == twice.count() == 3
@@ -108,17 +116,39 @@ def test_attaching_is_idempotent(spark):
     assert anchor.blocks == [catalog.BLOCK] and anchor.image_structure_ids == ["ocsr_1"] and anchor.text == C.STRUCTURE_PASSAGE
     lexicon = spark.createDataFrame([("acetaminophen", fixtures.SUBJECT)], "name string, smiles string")
     none = spark.createDataFrame([], "name string, smiles string, inchikey string, block string")
-    first, known = index.attach_tables(twice, none, catalog.report(spark), lexicon)
-    again, _ = index.attach_tables(first, known, catalog.report(spark), lexicon)
+    first, known = index.attach_tables(twice, none, report(spark), lexicon)
+    again, _ = index.attach_tables(first, known, report(spark), lexicon)
     tables_ = again.where("extraction_method = 'table_ocr'").orderBy("source_doc").collect()
     assert first.count() == again.count() == 5 and "acetaminophen | 50" in tables_[0].text and tables_[0].compounds == ["acetaminophen"] and tables_[0].blocks == [catalog.BLOCK]
-    assert index.ocr_candidates(catalog.report(spark)).count() == 3
+    assert index.ocr_candidates(report(spark)).count() == 3
     # records of several pages that are numbered alike still have keys of their own
     alike = index.attach_structures(chunks, records.withColumn("ord", F.lit(1)))
     assert alike.select("chunk_ord").distinct().count() == alike.count() == 3
     assert [r.p for r in first.orderBy("chunk_ord").select(F.col("chunk_ord.part").alias("p")).collect()] == [0, 1, 1, 2, 2]
 
 
+def test_inventory_is_loaded_or_built(spark, tmp_path):
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([("A", "f.pdf", 1, 0, 5, 5, 9, "other", "heuristic")], "paper_id string, filename string, page int, image_index int, width int, height int, byte_size int, label string, confidence string")
+
+    calls = []
+    for _ in range(2):
+        assert runs.inventory_at(spark, str(tmp_path / "inventory"), build).count() == 1
+    assert calls == [1]
+    tables.write_report_json(build(), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().filename == "f.pdf"
+
+
+def test_fixed_values_are_those_of_the_survey():
+    """Limits and patterns that code and SQL share, against the figures as they must be."""
+    assert (C.CHUNK_WORDS, C.OVERLAP_WORDS, C.TOP_K, C.CHAT_TOP_K, C.MAX_CANDIDATES, C.MAX_TABLE_NAMES, C.MIN_HEAVY_ATOMS) == (180, 40, 4, 6, 500, 25, 3)
+    assert (C.BM25_K1, C.BM25_B, C.HISTORY_TURNS, C.FOLLOW_UPS, C.FOLLOW_UP_CHARACTERS) == (1.5, 0.75, 6, 3, 180)
+    assert (C.OCR_CONFIDENCE, C.OCR_MIN_ROWS, C.OCR_MIN_COLS, C.OCR_MIN_FILL, C.OCR_MIN_WIDTH, C.OCR_MIN_HEIGHT, C.OCR_WORD_LEVEL) == (70.0, 2, 2, 0.4, 120, 40, 5)
+    assert (C.STRIP_THICKNESS, C.STRIP_ASPECT, C.GUTTER_SCALE, C.MERGE_SCALE, C.ROW_SCALE, C.SUPPORT_FLOOR) == (16, 8.0, 1.5, 1.0, 0.7, 2)
+    assert (len(C.SUFFIXES), len(C.MORPHEMES), C.MIN_WORD, C.MIN_MORPHEME_WORD, C.MIN_MORPHEMES, C.MIN_ACID_STEM) == (23, 29, 5, 8, 2, 4)
+
+
 def test_solubility_facts(spark, tmp_path):
     rows = catalog.fact_rows(spark)
     assert {r.solvent: r.n for r in rows.groupBy("solvent").agg(F.count("*").alias("n")).collect()} == {"DMSO": 24, "DMF": 20}

@@ -94,15 +94,15 @@ def history(spark, *turns):
     return spark.createDataFrame([(0, i, role, text) for i, (role, text) in enumerate(turns)], "question_id long, turn long, role string, text string")
 
 
-TURNS = [("user", "Which coformers make cocrystals?"), ("assistant", "Trimethylglycine is discussed [Source 1]."), ("user", "What holds the layers together?"), ("assistant", "Hydrogen bonding connects the layers [Source 2].")]
+TURNS = [("user", "Which salts dissolve in ethanol?"), ("assistant", "Two of them do [Source 1]."), ("user", "How fast do crystals grow?"), ("assistant", "Growth slows with cooling [Source 2].")]
 
 
 def test_retrieval_query(spark):
     q = asked(spark, "Tell me more about those.")
     text = search.retrieval_query(q, history(spark, *TURNS)).first().contextual
-    assert text == "Which coformers make cocrystals? What holds the layers together? Hydrogen bonding connects the layers . Tell me more about those."
+    assert text == "Which salts dissolve in ethanol? How fast do crystals grow? Growth slows with cooling . Tell me more about those."
     long = search.retrieval_query(asked(spark, " ".join(TOKENS[:9])), history(spark, *TURNS)).first().contextual
-    assert "Hydrogen" not in long and "layers" in long
+    assert "cooling" not in long and "crystals" in long
     assert search.retrieval_query(q, history(spark, *TURNS), carry=0).first().contextual == "Tell me more about those."
     assert search.retrieval_query(q, history(spark)).first().contextual == "Tell me more about those."
     many = [("user", f"q{i}") for i in range(9)]
@@ -232,9 +232,9 @@ def test_chat_payload(spark, chunks):
 
 
 def test_follow_up_suggestions(spark):
-    raw = ['Answer <followups>["Next?", "Next?"]</followups>', "Answer <followups>invalid</followups>", "no tag ", f'x <followups>["{"y" * 181}", 3, "a", "b", "c", "d"]</followups>']
+    raw = ['It melts. <followups>["When?", "When?"]</followups>', "It melts. <followups>soon</followups>", "no tag ", f'x <followups>["{"y" * 181}", 3, "a", "b", "c", "d"]</followups>']
     rows = chat.split_follow_ups(spark.createDataFrame(list(enumerate(raw)), "answer_id int, raw string")).orderBy("answer_id").collect()
-    assert [(r.body, r.followups) for r in rows] == [("Answer", ["Next?"]), ("Answer", []), ("no tag ", []), ("x", ["a", "b", "c"])]
+    assert [(r.body, r.followups) for r in rows] == [("It melts.", ["When?"]), ("It melts.", []), ("no tag ", []), ("x", ["a", "b", "c"])]
 
 
 def test_stored_postings_give_the_same_ranking(spark, chunks):
