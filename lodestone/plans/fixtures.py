@@ -73,7 +73,7 @@ def word_boxes() -> list[tuple[str, int, str, float, int, int, int, int]]:
         "two_by_two": [("salt", 90, 12, 12), ("mass", 94, 125, 12), ("NaCl", 87, 12, 52), ("58.4", 92, 125, 52)],
         "ticks": [(str(5 * i), 91, 20 + 85 * i, 10) for i in range(9)] + [("y", 90, 20, y) for y in (55, 95, 140)],
         "titled": [(w, 92, 10 + 43 * i, 14) for i, w in enumerate("Melting points of all salts seen here".split())] + [("Salt", 92, 10, 52), ("Point", 92, 140, 52), ("Note", 92, 270, 52)] + grid,
-        "gaps": [(f"g{c}", 92, 95 * c, 38 * r) for r in range(9) for c in range(18)] + [("z", 92, 0, 342 + 38 * r) for r in range(19)],
+        "gaps": [(f"g{c}", 92, 95 * c, 38 * r) for r in range(10) for c in range(18)] + [("z", 92, 0, 380 + 38 * r) for r in range(19)],
     }
     return [(case, i, text, float(conf), left, top, 40, 16) for case, words in cases.items() for i, (text, conf, left, top) in enumerate(words)]
 
