@@ -91,6 +91,16 @@ def counts_by_class(images: DataFrame) -> DataFrame:
     return images.rollup("filename", "label").agg(F.count("*").alias("n_images"))
 
 
+def summary(images: DataFrame) -> DataFrame:
+    """One row (total_images, counts_by_paper, counts_by_class): the counts as maps, with an entry for each paper and each class. The images stay a table of their own."""
+    def counted(column: str, name: str) -> DataFrame:
+        rows = images.groupBy(F.coalesce(column, F.lit("")).alias("k")).agg(F.count("*").alias("n"))
+        return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(name))
+
+    total = images.agg(F.count("*").alias("total_images"))
+    return total.crossJoin(F.broadcast(counted("paper_id", "counts_by_paper"))).crossJoin(F.broadcast(counted("label", "counts_by_class")))
+
+
 REQUIRED = ("paper_id", "filename", "page", "image_index", "width", "height", "byte_size", "label", "confidence")
 
 

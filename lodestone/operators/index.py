@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from lodestone import constants as C
 from lodestone.functions.keys import surrogate_key
 from lodestone.functions.names import NameRules
+from lodestone.functions.sizes import sent_if_few
 from lodestone.functions.text import tokenize
 from lodestone.operators import names as N
 from lodestone.operators import resolve as R
@@ -47,8 +48,8 @@ def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None =
     chunks = staged(chunk_pages(pages).withColumn("n_tokens", F.size(tokenize(F.col("text")))), "staged_chunks")
     candidates = staged(N.candidate_names(chunks, lexicon, rules), "staged_candidates")
     known = staged(R.compounds(R.resolve(N.frequent_names(candidates, max_candidates), lexicon, cache), keyer), "staged_compounds")
-    # compounds are as many as candidates were let through
-    entities = R.chunk_entities(candidates, F.broadcast(known))
+    # compounds are as many as candidates were let through, which is a parameter
+    entities = R.chunk_entities(candidates, sent_if_few(known))
     return Index(R.annotate(chunks, entities), known, entities, postings=postings(chunks))
 
 

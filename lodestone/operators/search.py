@@ -34,6 +34,12 @@ def _by_richness(scope: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(order))
 
 
+def _or_else(ranked: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The ranked rows of each question, and the fallback's where it has none. Both meet once, so that the ranking isn't made a second time to find out."""
+    rows = ranked.withColumn("given", F.lit(True)).unionByName(fallback.withColumn("given", F.lit(False)))
+    return rows.withColumn("any_given", F.max("given").over(Window.partitionBy("question_id"))).where("given = any_given").drop("given", "any_given")
+
+
 def structure_search(chunks: DataFrame, questions: DataFrame, block: str, top_k: int = C.TOP_K, drop_references: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """The best chunks of a structure: ranked by the question, or by number of names where it is empty or finds nothing.
 
@@ -44,15 +50,17 @@ def structure_search(chunks: DataFrame, questions: DataFrame, block: str, top_k:
         scope = scope.where(~F.col("is_bibliography"))
     asked = questions.where(F.coalesce(F.col("question"), F.lit("")) != "")
     ranked = bm25_search(scope, asked, top_k, stored=stored)
-    silent = questions.select("question_id").join(ranked.select("question_id").distinct(), "question_id", "left_anti")
     columns = [*chunks.columns, "question_id", "score", "rank"]
-    return ranked.select(*columns).unionByName(_by_richness(scope, silent, top_k).select(*columns)).withColumn("route", F.lit("structure"))
+    return _or_else(ranked.select(*columns), _by_richness(scope, questions, top_k).select(*columns)).withColumn("route", F.lit("structure"))
 
 
 def _interleaved(routes: list[DataFrame], marker: list[Column], k: int) -> DataFrame:
-    """Rank 1 of each route, then rank 2, ...; of rows with one marker the first stays; k rows at most for each question."""
+    """Rank 1 of each route, then rank 2, and so on; of rows with one marker the first stays; k rows at most for each question."""
     placed = [r.withColumn("place", (F.col("rank") - 1) * len(routes) + i) for i, r in enumerate(routes)]
-    rows = reduce(DataFrame.unionByName, placed)
+    return _once(reduce(DataFrame.unionByName, placed), marker, k)
+
+
+def _once(rows: DataFrame, marker: list[Column], k: int) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("question_id", *marker).orderBy("place"))
     once = rows.withColumn("copy", first).where("copy = 1")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("place"))).where(F.col("rank") <= k).drop("copy", "place")
@@ -113,14 +121,18 @@ def conversation_hits(chunks: DataFrame, questions: DataFrame, history: DataFram
     The question's own ranking, and for follow-ups also that of the question in its context, in turn.
     """
     scope = with_block(chunks, block).where(~F.col("is_bibliography"))
-    current = bm25_search(scope, questions, top_k, stored=stored)
     follow_ups = questions.where(T.is_follow_up(F.col("question"))).join(history.select("question_id").distinct(), "question_id", "left_semi")
-    asked = retrieval_query(follow_ups, history).select("question_id", F.col("contextual").alias("question"))
-    contextual = bm25_search(scope, asked, top_k, stored=stored)
-    hits = _interleaved([current, contextual], [F.col("source_doc"), F.col("page_number"), F.col("text")], top_k).withColumn("route", F.lit("structure"))
-    silent = questions.select("question_id").join(hits.select("question_id").distinct(), "question_id", "left_anti")
-    fallback = _by_richness(scope, silent, min(top_k, C.CHAT_TOP_K)).withColumn("route", F.lit("structure"))
-    return hits.unionByName(fallback.select(*hits.columns))
+    contextual = retrieval_query(follow_ups, history).select("question_id", F.col("contextual").alias("question"))
+
+    def turned(asked: DataFrame, turn: int) -> DataFrame:
+        return asked.select(F.struct("question_id", F.lit(turn).alias("turn")).alias("question_id"), "question")
+
+    # both are asked at once, so that statistics of the scope are made once
+    found = bm25_search(scope, turned(questions, 0).unionByName(turned(contextual, 1)), top_k, stored=stored)
+    placed = found.withColumn("place", (F.col("rank") - 1) * 2 + F.col("question_id.turn")).withColumn("question_id", F.col("question_id.question_id"))
+    hits = _once(placed, [F.col("source_doc"), F.col("page_number"), F.col("text")], top_k)
+    columns = [*chunks.columns, "question_id", "score", "rank"]
+    return _or_else(hits.select(*columns), _by_richness(scope, questions, min(top_k, C.CHAT_TOP_K)).select(*columns)).withColumn("route", F.lit("structure"))
 
 
 def conversation_search(chunks: DataFrame, questions: DataFrame, history: DataFrame, block: str, top_k: int = C.CHAT_TOP_K, stored: DataFrame | None = None) -> DataFrame:

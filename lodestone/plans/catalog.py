@@ -15,7 +15,9 @@ from lodestone.operators import names as N
 from lodestone.operators import resolve as R
 from lodestone.operators.chunking import chunk_pages, token_counts
 from lodestone.plans import fixtures as X
-from lodestone.sources.tables import document_pages, evidence_json
+from lodestone.plans import runs
+from lodestone.sources import adapters
+from lodestone.sources.tables import document_pages, evidence_json, merged_cache
 from lodestone.sources.workspace import built_once, state_of
 
 BLOCK = K.surrogate_block(X.SUBJECT)
@@ -412,6 +414,12 @@ def inventory_rollup(spark, sf_dir):
     return images.counts_by_class(images.classify(all_images(spark, sf_dir)))
 
 
+@query
+def inventory_summary(spark, sf_dir):
+    row = images.summary(images.classify(all_images(spark, sf_dir)).withColumn("paper_id", T.paper_id(F.col("filename"))))
+    return row.select("total_images", F.to_json("counts_by_paper").alias("counts_by_paper"), F.to_json("counts_by_class").alias("counts_by_class"))
+
+
 @query
 def ocr_skip_reason(spark, sf_dir):
     chosen = X.frame(spark, [(f"chosen {i}", 0, 0, *r) for i, r in enumerate(X.TABLE_IMAGES)], "filename string, page int, image_index int, label string, width int, height int")
@@ -562,6 +570,59 @@ def chart_series(spark, sf_dir):
     return facts.chart_series(fact_rows(spark, sf_dir)).select("solvent", "series", F.transform("points", lambda p: p["y"]).alias("figures"))
 
 
+@query
+def file_pages(spark, sf_dir):
+    """Documents as files whose lines are pages, read by an extractor as any PDF library is."""
+    files = documents_of(spark, sf_dir).select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    pages_ = adapters.pdf_pages(files, lambda content: content.decode().split("\n"))
+    return pages_.select(F.col("page_ord.path").alias("path"), "source_doc", "page_number", "text")
+
+
+@query
+def merged_name_cache(spark, sf_dir):
+    """Unresolved names asked for at a service of a simple rule, and the cache with the answers."""
+    asked = R.unresolved(N.frequent_names(N.candidate_names(chunks_of(spark, sf_dir), X.lexicon(spark), X.RULES), X.MAX_CANDIDATES), X.lexicon(spark), X.cache(spark))
+    return merged_cache(X.cache(spark), adapters.look_up(asked, lambda name: "C" * len(name) if len(name) % 3 else None))
+
+
+def said(content: bytes) -> object:
+    """A recogniser that answers in every form, by the size of what it sees."""
+    n = len(content)
+    if n % 6 == 5:
+        raise RuntimeError
+    return [" CCO ", {"smiles": "CC(=O)Nc1ccc(O)cc1", "confidence": "0.5"}, ("no structure", n), None, ["O", "much"]][n % 6]
+
+
+@query
+def recognised_answers(spark, sf_dir):
+    crops = documents_of(spark, sf_dir).select(F.col("doc_id").cast("string").alias("crop_id"), F.encode("text", "utf-8").alias("content"))
+    return adapters.recognised(crops.where("content is not null"), said)
+
+
+def halves(content: bytes) -> list[bytes]:
+    if len(content) % 7 == 0:
+        raise ValueError
+    return [content, content + b"+"][: 1 + len(content) % 2]
+
+
+@query
+def structure_run(spark, sf_dir):
+    """All images through segmenting, recognising, validating and deduplicating; an image's content is its own name."""
+    found = images.classify(all_images(spark, sf_dir)).withColumn("content", F.encode(F.concat_ws("|", "filename", "page", "image_index"), "utf-8"))
+    return runs.run_structure_ocr(found, None, halves, said).select("id", "source_doc", "page_number", "source_index", "crop_index", "status", "reason", "predicted_smiles", "smiles", "block")
+
+
+@query
+def table_run(spark, sf_dir):
+    """All images of the inventory as table candidates; those of documents hold their words."""
+    found = images.classify(all_images(spark, sf_dir))
+    owner = documents_of(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("own"), (F.col("doc_id") % 1000003).alias("d"))
+    held = found.where("filename not in ('A_first.pdf', 'B_second.pdf', 'notes.pdf')").select(K.table_id(F.col("filename"), F.col("page"), F.col("image_index")).alias("image_id"), (F.col("page") + 1000 * F.col("image_index").cast("long")).alias("d"))
+    words = boxes(spark, sf_dir).withColumnRenamed("table_id", "own").join(owner, "own").join(held, "d").drop("own", "d").withColumnRenamed("image_id", "table_id")
+    records = tableocr.table_records(found, words)
+    return records.select("table_id", "filename", "page", "image_index", "status", "reason", F.round("mean_confidence", 6).alias("mean_confidence"), "n_rows", "n_cols")
+
+
 @query
 def stable_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -30,11 +30,11 @@ SUBJECT = "CC(=O)Nc1ccc(O)cc1"
 QUESTION = "queque des mentla pour thon than und der erin thth"
 EXTRA_NAME = "thre"
 NAME_TEXTS = [
-    (1, "Paracetamol-Oxalic Acid was mixed with salicylic acid and benzoic acid"), (2, "Acid-Paracetamol and paracetamol-based tablets"), (3, "caffeine-containing and ca ffeine"),
-    (4, "the registry number 103-90-2 stands for it"), (5, "n-phenylethanamide or 4-hydroxyacetanilide"), (6, "notparacetamol-unknown"), (7, "a well-known ordinary phrase"),
+    (1, "Ibuprofen-Citric Acid was mixed with nicotinic acid and sorbic acid"), (2, "Acid-Ibuprofen and ibuprofen-like tablets"), (3, "menthol-rich and men thol"),
+    (4, "the registry number 58-08-2 stands for it"), (5, "n-butylpropanamide or 3-methoxyaniline"), (6, "pseudoibuprofen-unlisted"), (7, "a long-lived common saying"),
     (8, "acetaminophen, phenacetin, water, determine and hydrochlorothiazide"), (9, "nitrophenols and chlorobenzoates of the membrane"),
 ]
-VOCABULARY = ["paracetamol", "caffeine", "phenacetin", "oxalic acid", "103-90-2", "4-hydroxyacetanilide"]
+VOCABULARY = ["ibuprofen", "menthol", "phenacetin", "citric acid", "58-08-2", "3-methoxyaniline"]
 HYPHEN_TEXTS = [(1, "parace-\ntamol"), (2, "co-crystal"), (3, "caf- \n feine and well-\nknown"), (4, "1‑2–3 ‐x‒y"), (5, "end -\n start")]
 REFERENCE_TEXTS = [
     (1, "12. Smith, A. text [CrossRef] 13. Jones, B. more [PubMed] 14. Brown, C. doi"), (2, "Plain prose with one doi in it."), (3, "Lee, K.; Wu, J.; Kim, S.; Ito, T.; Roy, P.; Das, M.; see https://doi.org for all"),

@@ -295,6 +295,15 @@ chosen as (select * from (select *, row_number() over (partition by solvent orde
 facts as (select solvent, 'Paracetamol · ' || solvent || ' + water' as title, cast(rank as integer) as source, source_doc, cast(page_number as bigint) as page, cast(r - 1 as integer) as row_ord, figures[r][1] as organic_fraction,
   cast(25 + 5 * t as integer) as "temperature_C", figures[r][2 + 2 * t] as solubility_x100, figures[r][3 + 2 * t] as uncertainty_x100, figures[r][2 + 2 * t] - figures[r][3 + 2 * t] as lower, figures[r][2 + 2 * t] + figures[r][3 + 2 * t] as upper
   from (select *, unnest(range(1, len(figures) + 1)) as r from chosen) cross join (select unnest(range(4)) as t))"""
+def said(n: str) -> str:
+    """What the simple recogniser answers for n bytes."""
+    return f"case {n} % 6 when 0 then 'CCO' when 1 then 'CC(=O)Nc1ccc(O)cc1' when 2 then 'no structure' when 3 then '' when 4 then 'O' end"
+
+
+def sure(n: str) -> str:
+    return f"case {n} % 6 when 1 then 0.5::double when 2 then cast({n} as double) end"
+
+
 HIT_COLUMNS = f"question_id, rank, {PLACE}, score"
 _FILES = f"(select * from {X.sql_rows([(f,) for f in X.FILES], 'filename')} union all select * from {X.duck_rows(X.FILENAMES, documents='documents')})"
 _ANSWERS = f"(select cast(answer_id as bigint) as answer_id, raw from {X.sql_rows(X.ANSWERS, 'answer_id, raw')} union all select * from {X.duck_rows(X.ANSWERS_OF_TURNS, conversations='conversations')})"
@@ -364,6 +373,8 @@ ORACLE: dict[str, str] = {
     "image_classify": f"with {CLASSIFIED} select filename, page, image_index, label, reasons from classified",
     "inventory_pivot": f"with {CLASSIFIED} select filename, {', '.join(f'count(*) filter (label = {V(x)}) as {x}' for x in C.IMAGE_LABELS)}, count(*) as total from classified group by filename",
     "inventory_rollup": f"with {CLASSIFIED} select filename, label, count(*) as n_images from classified group by rollup (filename, label)",
+    "inventory_summary": f"with {CLASSIFIED}, papers as (select split_part(filename, '_', 1) as k0, regexp_replace(filename, '\\.pdf$', '') as stem from classified), named as (select case when contains(stem, '_') and k0 <> '' then k0 else stem end as k from papers), by_paper as (select k, count(*) as n from named group by k), by_class as (select label as k, count(*) as n from classified group by label) "
+    "select (select count(*) from classified) as total_images, (select '{' || string_agg('\"' || k || '\":' || n, ',' order by k) || '}' from by_paper) as counts_by_paper, (select '{' || string_agg('\"' || k || '\":' || n, ',' order by k) || '}' from by_class) as counts_by_class",
     "ocr_skip_reason": f"with {CLASSIFIED} select filename, page, image_index, case when label is distinct from 'table_image' then 'not_table_image' when {THIN} then 'thin_table_rule' when width < {C.OCR_MIN_WIDTH} or height < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skip_reason from (select filename, page, image_index, label, coalesce(width, 0) as width, coalesce(height, 0) as height from (select filename, page, image_index, label, width, height from classified union all select 'chosen ' || id, 0, 0, label, width, height from {X.sql_rows([(i, *r) for i, r in enumerate(X.TABLE_IMAGES)], 'id, label, width, height')}))",
     "ocr_words": f"select * from (values ('t', 0, 'a', 90.0::double, 1, 1, 1, 1), ('t', 5, 'e', 91.0::double, 6, 6, 6, 6)) v(table_id, word_ord, text, conf, \"left\", top, width, height) union all "
     f"select 'doc' || doc_id, cast(word_ord as integer), text, cast(word_ord % 97 - 1 as double), case when word_ord % 29 <> 0 then cast(word_ord as integer) end, cast(2 * word_ord as integer), cast(length(text) as integer), 12 from {_WORDS} where word_ord % 5 <> 0 and word_ord % 97 > 0 and word_ord % 11 <> 0",
@@ -387,5 +398,23 @@ ORACLE: dict[str, str] = {
     "attach_structures": f"with {CHUNKS},{STRUCTURES}, both_kinds as (select 'page' as method, source_doc from chunks union all select 'structure_ocr', source_doc from deduped where status = 'accepted') select method, count(*) as n_chunks, count(distinct source_doc) as n_documents from both_kinds group by method",
     "solubility_rows": f"with {FACTS} select * from facts",
     "chart_series": f"with {FACTS} select solvent, cast(\"temperature_C\" as double) as series, list(solubility_x100 order by organic_fraction) as figures from facts group by all",
+    "file_pages": "select '/in/' || doc_id || '.pdf' as path, doc_id || '.pdf' as source_doc, cast(n as integer) as page_number, lines[n] as text from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as n from (select doc_id, string_split(text, chr(10)) as lines from documents))",
+    "merged_name_cache": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name, smiles from {CACHE} union all "
+    f"select name, case when length(name) % 3 <> 0 then repeat('C', length(name)) end as smiles from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
+    "recognised_answers": f"select cast(doc_id as varchar) as crop_id, {said('n')} as predicted_smiles, {sure('n')} as confidence, case when n % 6 = 5 then 'RuntimeError' end as error from (select doc_id, strlen(text) as n from documents)",
+    "structure_run": f"""with {CLASSIFIED},
+tried as (select filename, page, image_index, strlen(filename || '|' || page || '|' || image_index) as n from classified where label in ({', '.join(map(V, C.STRUCTURE_LABELS))}) and not {THIN}),
+crops as (select filename, page, image_index, cast(c as integer) as crop_index, n + c as n, false as failed from (select *, unnest(range(1 + n % 2)) as c from tried where n % 7 <> 0) union all select filename, page, image_index, 0, n, true from tried where n % 7 = 0),
+answers as (select *, 'ocsr_' || left(sha1(concat_ws('|', filename, page, 'embedded', image_index, crop_index)), 14) as id, case when not failed then nullif({said('n')}, '') end as predicted_smiles, case when failed then 'ValueError' when n % 6 = 5 then 'RuntimeError' end as error from crops),
+parsed as (select *, case when {PARSES.replace('smiles', 'predicted_smiles')} then predicted_smiles end as part from answers),
+judged as (select *, case when error is not null then 'recognizer_error:' || error when predicted_smiles is null then 'empty_prediction' when part is null then 'invalid_smiles' when len(regexp_extract_all(part, {ATOM})) < {C.MIN_HEAVY_ATOMS} then 'too_small' end as reason from parsed),
+keys as (select *, case when reason is null then 'accepted' else 'refused' end as status, case when reason is null then upper(left(sha256(regexp_replace(part, '[/\\\\@]', '', 'g')), 14)) end as block from judged)
+select id, filename as source_doc, page as page_number, image_index as source_index, crop_index, status, reason, predicted_smiles, case when reason is null then part end as smiles, block
+from (select *, row_number() over (partition by filename, page, block, status order by image_index, crop_index) as copy from keys) where status <> 'accepted' or copy = 1""",
+    "table_run": f"""with {CLASSIFIED},{DECIDED},
+own as (select c.*, 'tbl_' || left(sha1(concat_ws('|', filename, page, image_index)), 14) as image_id, case when filename not in ('A_first.pdf', 'B_second.pdf', 'notes.pdf') then 'doc' || (page + 1000 * image_index) end as table_id,
+  case when {THIN} then 'thin_table_rule' when coalesce(width, 0) < {C.OCR_MIN_WIDTH} or coalesce(height, 0) < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skipped from classified c where label = 'table_image')
+select image_id as table_id, filename, page, image_index, case when skipped is not null then 'skipped' else coalesce(status, 'refused') end as status, coalesce(skipped, case when status is null then 'no_text' else reason end) as reason, round(mean, 6) as mean_confidence,
+  case when status = 'accepted' then n_rows end as n_rows, case when status = 'accepted' then n_cols end as n_cols from own left join decided using (table_id)""",
     "stable_ids": "select doc_id, 'tbl_' || left(sha1(concat_ws('|', source, doc_id, 0)), 14) as table_id, 'ocsr_' || left(sha1(concat_ws('|', source, doc_id, 'embedded', 1, 'None')), 14) as structure_id from documents",
 }

@@ -80,6 +80,12 @@ def write_facts_csv(facts: DataFrame, path: str) -> None:
     facts.orderBy("solvent", "row_ord", "temperature_C").select("organic_fraction", "temperature_C", "solubility_x100", "uncertainty_x100", "source_doc", "page").write.mode("overwrite").csv(path, header=True)
 
 
+def keep_crops(crops: DataFrame, path: str) -> DataFrame:
+    """crops (id, content, ...) with ``image_path``, after their images were added to the table of crops at ``path``; what has no content has no path."""
+    crops.where("content is not null").select("id", "content").write.mode("append").parquet(path)
+    return crops.withColumn("image_path", F.when(F.col("content").isNotNull(), F.concat(F.lit(f"{path}#"), F.col("id"))))
+
+
 def write_report_json(report: DataFrame, path: str) -> None:
     """An inventory or a recognition report as JSON lines."""
     report.write.mode("overwrite").json(path)

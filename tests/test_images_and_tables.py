@@ -140,6 +140,20 @@ def test_inventory_is_loaded_or_built(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).first().filename == "f.pdf"
 
 
+def test_decoders_in_turn_and_kept_crops(spark, tmp_path):
+    def fails(content):
+        raise ValueError
+
+    images_ = spark.createDataFrame([("a", bytearray(b"\x05\x09"))], "image string, content binary")
+    read = adapters.first_that_reads(fails, lambda content: [(0, i, v) for i, v in enumerate(content)])
+    assert [(r.y, r.x, r.v) for r in adapters.rasters(images_, read).orderBy("x").collect()] == [(0, 0, 5), (0, 1, 9)]
+    with pytest.raises(ValueError, match=""):
+        adapters.first_that_reads(fails, fails)(b"")
+    crops = spark.createDataFrame([("c1", bytearray(b"x")), ("c2", None)], "id string, content binary")
+    kept = {r.id: r.image_path for r in tables.keep_crops(crops, str(tmp_path / "crops")).collect()}
+    assert kept == {"c1": f"{tmp_path}/crops#c1", "c2": None} and spark.read.parquet(str(tmp_path / "crops")).count() == 1
+
+
 def test_fixed_values_are_those_of_the_survey():
     """Limits and patterns that code and SQL share, against the figures as they must be."""
     assert (C.CHUNK_WORDS, C.OVERLAP_WORDS, C.TOP_K, C.CHAT_TOP_K, C.MAX_CANDIDATES, C.MAX_TABLE_NAMES, C.MIN_HEAVY_ATOMS) == (180, 40, 4, 6, 500, 25, 3)
