@@ -100,13 +100,15 @@ def expand_source_pages(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("question_id", *pages).orderBy("rank"))
     anchors = sources.withColumn("copy", first).where("copy = 1").drop("copy")
     wanted = anchors.select(*pages).distinct()
-    parts = chunks.where(~F.col("is_bibliography")).join(wanted, pages, "left_semi").groupBy(*pages).agg(F.sort_array(F.collect_list(F.struct("chunk_ord", "text"))).alias("parts"))
+    parts = chunks.where(~F.col("is_bibliography")).join(wanted, pages, "left_semi").groupBy(*pages).agg(F.sort_array(F.collect_list(F.struct("chunk_ord", T.words(F.col("text")).alias("words")))).alias("parts"))
 
     def append(have: Column, part: Column) -> Column:
-        following = T.words(part["text"])
+        following = part["words"]
         most = F.least(F.size(have), F.size(following))
         sizes = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-        shared = F.coalesce(F.array_max(F.filter(sizes, lambda k: F.slice(have, -k, k) == F.slice(following, 1, k))), F.lit(0))
+        # the last word first, so that few lengths are compared whole
+        ends = F.get(have, F.size(have) - 1)
+        shared = F.coalesce(F.array_max(F.filter(sizes, lambda k: (F.get(following, k - 1) == ends) & (F.slice(have, -k, k) == F.slice(following, 1, k)))), F.lit(0))
         return F.concat(have, F.slice(following, shared + 1, F.size(following)))
 
     merged = parts.select(*pages, F.aggregate("parts", F.array().cast("array<string>"), append).alias("words"), F.size("parts").alias("context_chunks"))
