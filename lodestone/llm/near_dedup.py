@@ -10,7 +10,9 @@
 4. A bucket that one block can't hold isn't compared whole, as pages of one template that fall short of the threshold may
    fill it. Its members meet again under their rarest shingles: sets at the threshold must share one of the first
    n - ceil(threshold * n) + 1 in any common order, and in the order of rarity a template's shingles come last. Rarity is
-   estimated from a table of counts of fixed size; a wrong estimate costs time, not links.
+   estimated from a table of counts of fixed size; a wrong estimate costs time, not links. Where members are so near each
+   other that even their rarest shingles are common, buckets may be the shorter way; both find the same links, and the one
+   with fewer comparisons is taken.
 
 With 5 registers a band and 30 bands, a pair at similarity 0.85 shares no band with probability
 (1 - 0.85 ** 5) ** 30 < 3e-8, one at 0.8 with (1 - 0.8 ** 5) ** 30 < 7e-6. The estimate drops pairs only five standard
@@ -127,6 +129,12 @@ def _mixed(named: DataFrame) -> DataFrame:
     return named.groupBy("band").agg(F.count_if("stray").alias("strays"), F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")).where("strays > 0 and low <> high").select("band", "blocks")
 
 
+def _comparisons(named: DataFrame) -> int:
+    """How many comparisons of two sets ``_across`` would make of these buckets."""
+    sides = named.groupBy("band").agg(F.count_if("stray").alias("strays"), F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return int(sides.agg(F.sum(F.col("strays").cast("double") * F.col("rows"))).first()[0] or 0)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's count of elements by counter."""
     total = np.zeros(COUNTERS, dtype=np.int64)
@@ -255,10 +263,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = materialize(named.where("doc_id <> leader").join(reps.select("doc_id", "n"), "doc_id").select("band", "doc_id", "n", "component", F.expr("component <> leads").alias("stray")), "named")
     mixed = materialize(_mixed(named), "mixed")
     more = _across(named.join(mixed.where("blocks = 1").select("band"), "band", "left_semi"), sets, percent)
-    large = named.join(mixed.where("blocks > 1").select("band"), "band", "left_semi").select("doc_id", "n", "component").distinct()
     if mixed.where("blocks > 1").limit(1).collect():
+        large = named.join(mixed.where("blocks > 1").select("band"), "band", "left_semi")
         # the leader was compared with each member already, so members alone meet again
-        more = more.unionByName(_across(materialize(_rarest(large, sets, percent), "rare"), sets, percent))
+        rare = materialize(_rarest(large.select("doc_id", "n", "component").distinct(), sets, percent), "rare")
+        more = more.unionByName(_across(rare if _comparisons(rare) < _comparisons(large) else large, sets, percent))
     edges = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
     final = materialize(components(edges), "components")
     release(buckets, sets, reps, first, named, mixed)

@@ -51,10 +51,13 @@ def test_groups_match_brute_force(table):
     check(table(base + texts))
 
 
-@pytest.mark.parametrize("rows", [2048, 50])
-def test_large_near_group_without_a_centre(table, monkeypatch, rows):
-    """Members at similarities around the threshold: many components in one bucket, links that the leaders don't see."""
+@pytest.mark.parametrize(("rows", "way"), [(2048, None), (50, "shingles"), (50, "buckets")])
+def test_large_near_group_without_a_centre(table, monkeypatch, rows, way):
+    """Members at similarities around the threshold: many components in one bucket, links that the leaders don't see, either way."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    if way:
+        costs = iter([0, 1] if way == "shingles" else [1, 0])
+        monkeypatch.setattr(near_dedup, "_comparisons", lambda named: next(costs))
     rng = random.Random(2)
     base = prose(rng, 150)
     check(table([edited(rng, base, rng.choice([0.005, 0.015, 0.02, 0.03])) for _ in range(250)]))
