@@ -173,13 +173,13 @@ def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(lead, "band").select("band", "doc_id", "n", "component", F.expr("component <> leads").alias("stray"))
 
 
-def _across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside buckets: of each bucket, the members outside the leader's component against all.
+def _across(named: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside the ``mixed`` buckets: of each bucket, the members outside the leader's component against all.
 
     Both sides are dealt into blocks of bounded size, every pair of blocks is compared at once on full sets, and a pair of
     blocks returns no more links than join its components to each other.
     """
-    rows = named.join(_mixed(named), "band").withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
+    rows = named.join(mixed, "band").withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     members = rows.select("band", F.col("own").alias("right"), F.lit(False).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "left")
     asking = rows.where("stray").select("band", F.col("own").alias("left"), F.lit(True).alias("asks"), "doc_id", "n", "component", every).withColumnRenamed("other", "right")
@@ -262,12 +262,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the leader itself was compared with every member already
     named = materialize(named.where("doc_id <> leader").join(reps.select("doc_id", "n"), "doc_id").select("band", "doc_id", "n", "component", F.expr("component <> leads").alias("stray")), "named")
     mixed = materialize(_mixed(named), "mixed")
-    more = _across(named.join(mixed.where("blocks = 1").select("band"), "band", "left_semi"), sets, percent)
+    # written, so that the joins with it deal both sides anew and a full bucket can be split over tasks
+    more = _across(named, mixed.where("blocks = 1"), sets, percent)
     if mixed.where("blocks > 1").limit(1).collect():
         large = named.join(mixed.where("blocks > 1").select("band"), "band", "left_semi")
         # the leader was compared with each member already, so members alone meet again
         rare = materialize(_rarest(large.select("doc_id", "n", "component").distinct(), sets, percent), "rare")
-        more = more.unionByName(_across(rare if _comparisons(rare) < _comparisons(large) else large, sets, percent))
+        shorter = _comparisons(rare) < _comparisons(large)
+        more = more.unionByName(_across(rare, materialize(_mixed(rare), "mixed"), sets, percent) if shorter else _across(named, mixed.where("blocks > 1"), sets, percent))
     edges = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
     final = materialize(components(edges), "components")
     release(buckets, sets, reps, first, named, mixed)
