@@ -5,7 +5,7 @@ Each statement is a function of the name of its documents table, so that the pip
 
 from __future__ import annotations
 
-from lodestone.llm import licenses, personal_data, secrets
+from lodestone.llm import licenses, manifest, personal_data, prefix_trie, secrets, topk
 from lodestone.llm.decontaminate import SHARE, SPAN
 from lodestone.llm.mixing import MOST, SETTLED, WEIGHTS
 from lodestone.llm.mixing import SHARE as MIXED_SHARE
@@ -113,15 +113,23 @@ select doc_id, n as n_bytes, coalesce(gone, 0) as n_removed, coalesce(c, 0) as n
 from docs join kept using (doc_id) left join (select doc_id, cast(sum(b - a) as bigint) as gone, count(*) as c from spans group by doc_id) using (doc_id)"""
 
 
+#: The table of CRC-32, as a single row.
+_CRCS = "crcs as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as k)"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, beside the row of ``_CRCS``."""
+    return f"xor(list_reduce(regexp_extract_all(hex(encode({text})), '..').list_transform(lambda x: cast('0x' || x as bigint)), lambda c, b: xor(c >> 8, k[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
+
+
 def _shards(documents: str, columns: str) -> str:
     """The ring, the counts between its nodes, and the runs of ring order that shards take, one node after the other."""
-    crc = "list_reduce(regexp_extract_all(hex(encode(coalesce(text, ''))), '..').list_transform(lambda x: cast('0x' || x as bigint)), lambda c, b: xor(c >> 8, k[xor(c, b) % 256 + 1]), 4294967295)"
     return f"""
 with recursive nodes as (select s, {_digits("s || '/' || v", RING_BITS // 4)} as pos from (select unnest(range({SHARDS})) as s) cross join (select unnest(range({VIRTUAL_NODES})) as v)),
 ring as (select list(s order by pos, s) as owner, list(pos order by pos, s) as spots from nodes),
-crcs as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as k),
+{_CRCS},
 held as (select d.*, coalesce({_digits('cast(doc_id as varchar)', RING_BITS // 4)}, {_digits("'text:' || coalesce(text, '')", RING_BITS // 4)}) as pos, strlen(coalesce(text, '')) + 1 as size,
-  xor({crc}, 4294967295) as crc from {documents} d cross join crcs),
+  {_crc32("coalesce(text, '')")} as crc from {documents} d cross join crcs),
 arcs as (select len(list_filter(spots, lambda x: x < pos)) as arc from held cross join ring),
 counts as (select list_transform(range({SHARDS * VIRTUAL_NODES + 1}), lambda a: coalesce(m[a], 0)) as n, (select count(*) from held) as total from (select map_from_entries(list((arc, c))) as m from (select arc, count(*) as c from arcs group by arc))),
 walk as (
@@ -268,7 +276,66 @@ placed as materialized ({placed})
 select * from placed"""
 
 
+def top_k(embeddings: str = "embeddings") -> str:
+    """Inner products of all pairs of a query row and another row."""
+    return f"""
+with rows as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * cast(x as double))) as x from {embeddings} where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score from rows q join rows c on c.r <> q.r where q.vec_id % {topk.EVERY} = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id nulls last) as rank from scores) where rank <= {topk.K}"""
+
+
+def merkle_manifest(documents: str = "documents") -> str:
+    """Every level of every tree from the one below, then a look at each level for each row."""
+
+    def leaf(changed: str) -> str:
+        shown = [changed if f == "n_chars" else f for f in manifest.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen(cast({f} as varchar)) || ':' || cast({f} as varchar), '-')" for f in shown) + ")"
+
+    def above(nodes: str, group: str) -> str:
+        return f"select {group}, level + 1, idx // 2, sha256(string_agg(h, '' order by idx)), (n + 1) // 2 from {nodes} where n > 1 group by {group}, level, idx // 2, n"
+
+    def step(level: str, idx: str, found: str) -> str:
+        return f"struct_pack(o := {level}, s := case when {found} is null then 'N' when ({idx} >> {level.split(' ')[-1]}) % 2 = 1 then 'L' || {found} else 'R' || {found} end)"
+
+    return f"""
+with recursive {_CRCS},
+docs as (select doc_id, coalesce('=' || lang, '') as g, {leaf('n_chars')} as leaf, {leaf('(n_chars + case when hit then 1 else 0 end)')} as tampered from (select *, coalesce({_crc32('cast(doc_id as varchar)')} % 7 = 0, false) as hit from {documents} cross join crcs)),
+leaves as (select *, row_number() over () as r, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by g) as n from docs),
+nodes(g, level, idx, h, n) as (select g, 0, idx, leaf, n from leaves union all {above('nodes', 'g')}),
+groups as (select g, h, row_number() over (order by g) - 1 as idx, count(*) over () as n from nodes where n = 1),
+tops(g, level, idx, h, n) as (select 0, 0, idx, h, n from groups union all {above('tops', 'g')}),
+asked as (
+  select r, {step('l.level', 'leaves.idx', 'x.h')} as step from leaves join (select distinct g, level from nodes where n > 1) l using (g) left join nodes x on x.g = leaves.g and x.level = l.level and x.idx = xor(leaves.idx >> l.level, 1)
+  union all select r, struct_pack(o := 1000 + l.level, s := {step('l.level', 'groups.idx', 'x.h')}.s) from leaves join groups on groups.g = leaves.g cross join (select distinct level from tops where n > 1) l left join tops x on x.level = l.level and x.idx = xor(groups.idx >> l.level, 1)),
+proofs as (select r, list(step.s order by step.o) as steps from asked group by r),
+held as (select leaves.*, coalesce(steps, []) as steps, groups.h as subroot, (select h from tops where n = 1) as root from leaves join groups using (g) left join proofs using (r)),
+folds as (select *, list_reduce(steps, lambda a, s: sha256(case when s[1] = 'L' then s[2:] || a when s[1] = 'R' then a || s[2:] else a end), tampered) as folded_root from held)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from folds"""
+
+
+def prefix_trie_nodes(conversations: str = "conversations") -> str:
+    """Rebuilt conversations, their prefixes, and all pairs of a prefix and one that begins with it."""
+    what = "sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+    return f"""
+with recursive {_CRCS},
+turns as (select conv_id as c, {what} as what, strlen(coalesce(text, '')) as b, row_number() over (partition by conv_id order by turn nulls first, {what}) as i from {conversations} where conv_id is not null),
+convs as (select c, c - c % {prefix_trie.FAMILY} as base, {_crc32('cast(c as varchar)')} % {prefix_trie.HEADS} as h from (select distinct c from turns) cross join crcs),
+rebuilt as (select c, what, b, row_number() over (partition by c order by own, i) as d from (
+  select v.c, what, b, i, 0 as own from convs v join turns t on t.c = v.base and t.i <= v.h union all select v.c, what, b, i, 1 from convs v join turns t on t.c = v.c and t.i > v.h)),
+paths(c, d, p, above, b) as (
+  select c, cast(0 as bigint), '', cast(null as varchar), cast(0 as bigint) from convs union all
+  select r.c, r.d, sha256(p || r.what), p, cast(r.b as bigint) from paths join rebuilt r on r.c = paths.c and r.d = paths.d + 1),
+nodes as (select p, any_value(d) as depth, any_value(above) as above, min(c) as conv_id, count(*) as n, any_value(b) as b from paths group by p),
+children as (select above as p, count(*) as n_children from nodes where above is not null group by above),
+beneath as (select distinct a.p, x.p as below from paths a join paths x on x.c = a.c and x.d >= a.d),
+sums as (select s.p, count(*) filter (n_children is null) as n_leaves, cast(sum((n - 1) * b) as bigint) as saved_tokens from beneath s join nodes x on x.p = s.below left join children y on y.p = s.below group by s.p),
+ends as (select p, sha256(string_agg(cast(c as varchar), ',' order by c)) as ends from (select *, max(d) over (partition by c) as last from paths) where d = last group by p)
+select x.conv_id, depth, u.conv_id as parent_conv_id, x.n as n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from nodes x join sums using (p) left join children using (p) left join ends using (p) left join (select p as above, conv_id from nodes) u on u.above = x.above"""
+
+
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup(), "op3_secret_scan": secrets.oracle_sql(), "op4_consistent_hash_shards": shards(), "op5_decontaminate": decontaminate(), "op6_license_notices": licenses_found(),
     "op7_quality_rules": quality_rules(), "op8_suffix_dedup": suffix_dedup(), "op9_private_terms": private_terms(), "op10_mix_sources": mixed(),
+    "op11_top_k": top_k(), "op12_merkle_manifest": merkle_manifest(), "op13_prefix_trie": prefix_trie_nodes(),
 }

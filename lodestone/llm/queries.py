@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, licenses, mixing, near_dedup, personal_data, quality_model, quality_rules, secrets, sharding, substring_dedup
+from lodestone.llm import decontaminate, licenses, manifest, mixing, near_dedup, personal_data, prefix_trie, quality_model, quality_rules, secrets, sharding, substring_dedup, topk
 from lodestone.llm.oracle import ORACLE_SQL
 
 
@@ -71,6 +71,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_model, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op6_license_notices, op7_quality_rules, op8_suffix_dedup, op9_private_terms, op10_mix_sources)}
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every hundredth vector, against all vectors."""
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, proof and verification of all documents; some are tampered with before they are verified."""
+    return manifest.audited(manifest.document_manifest(_table(spark, sf_dir, "documents")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_model, op3_secret_scan, op4_consistent_hash_shards, op5_decontaminate, op6_license_notices, op7_quality_rules, op8_suffix_dedup, op9_private_terms, op10_mix_sources, op11_top_k, op12_merkle_manifest, op13_prefix_trie)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
