@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone import constants as C
-from lodestone.functions.keys import surrogate_key
 from lodestone.functions.names import NameRules
 from lodestone.functions.sizes import sent_if_few
 from lodestone.functions.text import tokenize
@@ -17,6 +16,7 @@ from lodestone.operators import names as N
 from lodestone.operators import resolve as R
 from lodestone.operators.chunking import STRUCTURE_PART, TABLE_PART, chunk_pages, ordinal
 from lodestone.operators.rank import postings
+from lodestone.operators.structures import Keyer, structure_keys
 from lodestone.operators.tableocr import table_text
 
 
@@ -32,7 +32,7 @@ class Index:
     postings: DataFrame | None = None
 
 
-def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_candidates: int = C.MAX_CANDIDATES, keyer=surrogate_key, folder: str | None = None) -> Index:
+def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_candidates: int = C.MAX_CANDIDATES, keyer: Keyer = structure_keys, folder: str | None = None) -> Index:
     """Chunk, find names, resolve the most frequent once each, and write keys back on the chunks.
 
     With a ``folder`` chunks, candidates and compounds are written there first and read back, so that pages are cut and
@@ -47,7 +47,8 @@ def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None =
 
     chunks = staged(chunk_pages(pages).withColumn("n_tokens", F.size(tokenize(F.col("text")))), "staged_chunks")
     candidates = staged(N.candidate_names(chunks, lexicon, rules), "staged_candidates")
-    known = staged(R.compounds(R.resolve(N.frequent_names(candidates, max_candidates), lexicon, cache), keyer), "staged_compounds")
+    names = staged(R.resolve(N.frequent_names(candidates, max_candidates), lexicon, cache), "staged_names")
+    known = staged(R.compounds(names, keyer), "staged_compounds")
     # compounds are as many as candidates were let through, which is a parameter
     entities = R.chunk_entities(candidates, sent_if_few(known))
     return Index(R.annotate(chunks, entities), known, entities, postings=postings(chunks))
@@ -79,7 +80,7 @@ def attach_structures(chunks: DataFrame, records: DataFrame) -> DataFrame:
     return kept.unionByName(passages.select(*kept.columns))
 
 
-def attach_tables(chunks: DataFrame, known: DataFrame, report: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_names: int = C.MAX_TABLE_NAMES, keyer=surrogate_key) -> tuple[DataFrame, DataFrame]:
+def attach_tables(chunks: DataFrame, known: DataFrame, report: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_names: int = C.MAX_TABLE_NAMES, keyer: Keyer = structure_keys) -> tuple[DataFrame, DataFrame]:
     """(chunks, compounds) with one passage for each accepted grid (id, filename, page, status, cells, spanning_rows, ord), in place of earlier ones.
 
     Of a table's names the first ``max_names`` in order are looked up, unless the index knows them already.

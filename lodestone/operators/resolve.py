@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.keys import heavy_atoms, largest_fragment, parseable, surrogate_key
+from lodestone.functions.keys import heavy_atoms, largest_fragment
+from lodestone.operators.structures import Keyer, structure_keys, with_keys
 
 
 def resolve(names: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -31,9 +32,9 @@ def unresolved(names: DataFrame, lexicon: DataFrame, cache: DataFrame) -> DataFr
     return wanted.join(lexicon.select("name"), "name", "left_anti").join(cache.select("name"), "name", "left_anti")
 
 
-def compounds(resolved: DataFrame, keyer=surrogate_key) -> DataFrame:
+def compounds(resolved: DataFrame, keyer: Keyer = structure_keys) -> DataFrame:
     """(name, smiles, inchikey, block) of resolved names that have a key."""
-    keyed = resolved.where("smiles is not null").withColumn("k", keyer(F.col("smiles")))
+    keyed = with_keys(resolved.where("smiles is not null"), keyer)
     return keyed.where("k.block is not null").select("name", "smiles", F.col("k.key").alias("inchikey"), F.col("k.block").alias("block"))
 
 
@@ -59,11 +60,11 @@ def spellings(known: DataFrame, block: str | Column) -> DataFrame:
     return known.where(F.col("block") == block).select("name").distinct()
 
 
-def verified_lexicon(seed: DataFrame, keyer=surrogate_key, parses=parseable) -> DataFrame:
+def verified_lexicon(seed: DataFrame, keyer: Keyer = structure_keys) -> DataFrame:
     """(name, smiles, canonical, block, heavy_atoms, accepted) of a seed (name, smiles).
 
     ``canonical`` is the string that the key is of, the largest part; rows that don't parse are kept as rejected, without one.
     """
-    good = F.coalesce(parses(F.col("smiles")), F.lit(False))
-    keyed = seed.withColumn("accepted", good).withColumn("k", keyer(F.when(good, F.col("smiles"))))
+    good = F.col("accepted")
+    keyed = with_keys(seed, keyer).withColumn("accepted", F.coalesce("k.valid", F.lit(False)))
     return keyed.select("name", "smiles", F.when(good, largest_fragment(F.col("smiles"))).alias("canonical"), F.col("k.block").alias("block"), F.when(good, heavy_atoms(F.col("smiles"))).alias("heavy_atoms"), "accepted")

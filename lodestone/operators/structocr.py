@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.functions.keys import largest_fragment, parseable, surrogate_key
+from lodestone.functions.keys import largest_fragment
 from lodestone.operators.images import is_thin_rule
+from lodestone.operators.structures import Keyer, structure_keys, with_keys
 
 
 def candidates(inventory: DataFrame) -> DataFrame:
@@ -15,11 +16,11 @@ def candidates(inventory: DataFrame) -> DataFrame:
     return inventory.where(F.col("label").isin(*C.STRUCTURE_LABELS) & ~is_thin_rule(F.col("width"), F.col("height")))
 
 
-def validate(predictions: DataFrame, keyer=surrogate_key, parses=parseable) -> DataFrame:
+def validate(predictions: DataFrame, keyer: Keyer = structure_keys) -> DataFrame:
     """predictions (predicted_smiles, error, ...) with status and reason, and smiles, inchikey, block and heavy_atoms of accepted ones."""
     text = F.trim(F.coalesce("predicted_smiles", F.lit("")))
-    rows = predictions.withColumn("predicted_smiles", F.nullif(text, F.lit(""))).withColumn("part", F.when(parses(F.col("predicted_smiles")), largest_fragment(F.col("predicted_smiles"))))
-    rows = rows.withColumn("k", keyer(F.col("part")))
+    rows = with_keys(predictions.withColumn("predicted_smiles", F.nullif(text, F.lit(""))), keyer, "predicted_smiles")
+    rows = rows.withColumn("part", F.when(F.col("k.valid"), largest_fragment(F.col("predicted_smiles"))))
     reason = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("recognizer_error:"), F.col("error"))).when(F.col("predicted_smiles").isNull(), "empty_prediction")
         .when(F.col("part").isNull(), "invalid_smiles").when(F.col("k.heavy_atoms") < C.MIN_HEAVY_ATOMS, "too_small").when(F.col("k.block").isNull(), "inchikey_failed")

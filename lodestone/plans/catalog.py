@@ -10,7 +10,7 @@ from lodestone.functions import keys as K
 from lodestone.functions import names as FN
 from lodestone.functions import text as T
 from lodestone.functions.sizes import spread_if_few
-from lodestone.operators import chat, coverage, facts, images, index, rank, search, structocr, tableocr
+from lodestone.operators import chat, coverage, facts, images, index, rank, search, structocr, structures, tableocr
 from lodestone.operators import names as N
 from lodestone.operators import resolve as R
 from lodestone.operators.chunking import chunk_pages, token_counts
@@ -20,7 +20,7 @@ from lodestone.sources import adapters
 from lodestone.sources.tables import document_pages, evidence_json, merged_cache
 from lodestone.sources.workspace import built_once, state_of
 
-BLOCK = K.surrogate_block(X.SUBJECT)
+BLOCK = X.SUBJECT_BLOCK
 DOCUMENTS = ["src0", "src3", "src7"]
 QUERIES: dict[str, object] = {}
 
@@ -193,6 +193,25 @@ def surrogate_key(spark, sf_dir):
     return large_lexicon(spark, sf_dir).withColumn("k", K.surrogate_key(F.col("smiles"))).select("name", F.col("k.block").alias("block"), F.col("k.heavy_atoms").cast("int").alias("heavy_atoms"))
 
 
+def spellings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, smiles): the chosen spellings, and those of the short words of all texts."""
+    chosen = X.frame(spark, [(name, smiles) for name, written in X.SPELLINGS for smiles in written], "name string, smiles string")
+    words = documents_of(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).where(F.col("word").rlike("^[a-z]{3,4}$")).distinct()
+    return chosen.unionByName(X.spark_rows(X.STRUCTURES_OF_WORDS, words=words))
+
+
+@query
+def structure_key(spark, sf_dir):
+    keyed = structures.with_keys(spellings_of(spark, sf_dir))
+    return keyed.groupBy("name").agg(F.count("*").alias("n_spellings"), F.count_if("k.valid").alias("n_valid"), F.countDistinct("k.block").alias("n_blocks"), F.min("k.block").alias("block"), F.max("k.heavy_atoms").cast("int").alias("heavy_atoms"))
+
+
+@query
+def structure_bonds(spark, sf_dir):
+    bonds = structures.bond_table(structures.molecules(large_lexicon(spark, sf_dir)))
+    return bonds.where("sound").select("smiles", F.least("a", "b").cast("int").alias("a"), F.greatest("a", "b").cast("int").alias("b"), "bond_order")
+
+
 @query
 def verified_lexicon(spark, sf_dir):
     return R.verified_lexicon(large_lexicon(spark, sf_dir).unionByName(X.frame(spark, [("nothing", None)], "name string, smiles string")))

@@ -27,6 +27,8 @@ CACHE = [("ontion", "CC(C)Cc1ccc(C(C)C(=O)O)cc1"), ("retion", None), ("thble", "
 RULES = NameRules(suffixes=("ion", "ble", "ing", "eit"))
 MAX_CANDIDATES = 500
 SUBJECT = "CC(=O)Nc1ccc(O)cc1"
+#: The block of SUBJECT, as ``structure_keys`` gives it.
+SUBJECT_BLOCK = "21B3B39E25E000"
 QUESTION = "queque des mentla pour thon than und der erin thth"
 EXTRA_NAME = "thre"
 NAME_TEXTS = [
@@ -107,6 +109,22 @@ LEXICON_OF_DOCUMENTS = f"""
 select 'n' || cast(doc_id as string) as name, repeat('C', cast({D} % 7 as int)) || case {D} % 5 when 0 then 'N.Cl' when 1 then '/C=C/' when 2 then 'c1ccccc1' when 3 then '[OH]' else ' (' end as smiles
 from {{documents}}"""
 
+#: Spellings of one structure each: other starts, branches and ring numbers, alternating bonds, brackets, stereochemistry, salts.
+SPELLINGS = [
+    ("ethanol", ["CCO", "OCC", "C(O)C", "[H]OCC", "[CH3][CH2][OH]", "[13CH3]CO"]), ("decalin", ["C1CCC2CCCCC2C1", "C12CCCCC1CCCC2", "C%10CCC%11CCCCC%11C%10"]), ("bicyclopentyl", ["C1CCC(C1)C1CCCC1", "C1CC(CC1)C2CCCC2"]),
+    ("paracetamol", ["CC(=O)Nc1ccc(O)cc1", "Oc1ccc(cc1)NC(C)=O", "CC(=O)NC1=CC=C(O)C=C1", "C1(O)=CC=C(NC(C)=O)C=C1", "[Na+].[O-]c1ccc(NC(C)=O)cc1"]),
+    ("caffeine", ["Cn1c(=O)c2c(ncn2C)n(C)c1=O", "CN1C=NC2=C1C(=O)N(C)C(=O)N2C", "O=C1N(C)C(=O)c2c(ncn2C)N1C"]), ("butenedioic", ["O=C(O)/C=C/C(=O)O", "OC(=O)\\C=C/C(O)=O", "C(=CC(=O)O)C(O)=O"]),
+    ("alanine", ["N[C@@H](C)C(=O)O", "C[C@H](N)C(O)=O", "[O-]C(=O)C(C)[NH3+]"]), ("nitromethane", ["C[N+](=O)[O-]", "CN(=O)=O", "O=N(C)=O"]), ("joined", ["C1.C1CC", "CCCC"]), ("small", ["O", "[OH2]"]),
+    ("unsound", ["C(C", "C1CC", "CX", "C11", "C((C))", "=CC", "CC=", "C..C", "C=1CC-1", "C12CC12", "C(C)(C)(C)(C)C", "[Xx]", "*C", "C)C(C", "[CH3", ""]),
+]
+
+#: Words of the texts as molecules: a letter is an atom, so that a word read backwards, as a branch or as a ring begun elsewhere is the same structure.
+_AS_ATOMS = "translate(word, 'abcdefghijklmnopqrstuvwxyz', 'CCNCOCCSCCNCOCCPNCSOCCCNCO')"
+STRUCTURES_OF_WORDS = f"""
+select word || ':chain' as name, {_AS_ATOMS} as smiles from {{words}} union all select word || ':chain' as name, reverse({_AS_ATOMS}) as smiles from {{words}}
+union all select word || ':ring' as name, 'C1' || {_AS_ATOMS} || 'C=1' as smiles from {{words}} union all select word || ':ring' as name, 'C%12=C(' || {_AS_ATOMS} || '%12)' as smiles from {{words}}
+union all select word || ':branch' as name, 'CC(' || {_AS_ATOMS} || 'c1ccccc1)F' as smiles from {{words}} union all select word || ':branch' as name, 'C1=CC=CC=C1' || reverse({_AS_ATOMS}) || 'C(F)C' as smiles from {{words}}"""
+
 #: Answers from the turns of conversations, with suggestions of every form.
 ANSWERS_OF_TURNS = """
 select cast(100 + conv_id * 1000 + turn as bigint) as answer_id, text || case (conv_id + turn) % 6 when 0 then '' when 1 then ' <followups>["Why ' || cast(turn as string) || '?", " How? ", "How?"]</followups>'

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from lodestone import constants as C
-from lodestone.functions.keys import surrogate_block
 from lodestone.plans import catalog as Q
 from lodestone.plans import fixtures as X
 
-BLOCK = surrogate_block(X.SUBJECT)
+BLOCK = X.SUBJECT_BLOCK
 V = X.sql_value
 
 
@@ -93,11 +92,75 @@ LEXICON = X.sql_rows(X.LEXICON, "name, smiles")
 CACHE = X.sql_rows(X.CACHE, "name, smiles")
 
 
+def graphs(strings: str, p: str = "") -> str:
+    """CTEs that end in ``{p}graph`` (smiles, valid, block, atoms, key): the structure of each of ``strings`` (smiles), whatever way it is written."""
+    near = "list_transform(near, lambda x, i: md5(c[i] || array_to_string(list_sort(list_transform(x, lambda j: c[j + 1])), '')))"
+
+    def together(c: str) -> str:
+        return f"md5(array_to_string(list_sort(list_filter({c}, lambda x, i: mine[i])), ''))"
+
+    room = " ".join(
+        f"when element = '{e}' then case when aromatic then greatest(0, {v[0]} - used - 1) " + " ".join(f"when used <= {x} then {x} - used" for x in v) + " else 0 end" for e, v in C.VALENCES.items()
+    )
+    fits = " ".join(f"when element = '{e}' then aromatic or used <= {v[-1]}" for e, v in C.VALENCES.items())
+    return f"""
+{p}strings as (select distinct smiles from {strings} where smiles is not null),
+{p}cut as (select smiles, array_to_string(s, '') = smiles as whole, unnest(s) as symbol, unnest(range(len(s))) as i from (select smiles, regexp_extract_all(smiles, {V(C.SMILES_SYMBOL)}) as s from {p}strings)),
+{p}kinds as (select *, case when symbol = '(' then 'open' when symbol = ')' then 'close' when symbol = '.' then 'dot' when symbol[1] between '0' and '9' or symbol[1] = '%' then 'ring' when symbol[1] in ('-', '=', '#', '$', ':', '/', '\\') then 'bond' else 'atom' end as kind from {p}cut),
+{p}deep as (select *, sum(case kind when 'open' then 1 when 'close' then -1 else 0 end) over w as depth, case when kind = 'atom' then count(*) filter (kind = 'atom') over w - 1 end as atom,
+  lag(kind) over (partition by smiles order by i) as before, lag(symbol) over (partition by smiles order by i) as symbol_before, lead(kind) over (partition by smiles order by i) is null as final from {p}kinds window w as (partition by smiles order by i rows unbounded preceding)),
+{p}parts as (select *, coalesce(max(case when kind = 'open' then i end) over (partition by smiles, depth order by i rows unbounded preceding), -1) as branch from {p}deep),
+{p}latest as (select *, last_value(atom ignore nulls) over (partition by smiles, depth, branch order by i rows unbounded preceding) as own from {p}parts),
+{p}starts as (select *, coalesce(atom, case when kind = 'open' then lag(own) over (partition by smiles order by i) end) as start from {p}latest),
+{p}placed as (select *, last_value(start ignore nulls) over (partition by smiles, depth, branch order by i rows unbounded preceding) as anchor,
+  case when kind = 'atom' and before is distinct from 'dot' then last_value(start ignore nulls) over (partition by smiles, depth, branch order by i rows between unbounded preceding and 1 preceding) end as parent,
+  case when before = 'bond' then symbol_before end as bond,
+  coalesce(whole and depth >= 0 and (not final or (depth = 0 and kind in ('atom', 'ring', 'close'))) and case kind when 'atom' then true when 'bond' then before in ('atom', 'ring', 'open', 'close') when 'ring' then before in ('atom', 'ring', 'bond', 'close') else before in ('atom', 'ring', 'close') end, false) as sound from {p}starts),
+{p}ends as (select *, row_number() over (partition by smiles, label order by i) - 1 as nth from (select smiles, i, anchor, cast(ltrim(symbol, '%') as integer) as label, case bond when '=' then 2 when '#' then 3 when '$' then 4 else case when bond is not null then 1 end end as given from {p}placed where kind = 'ring')),
+{p}bonds as (
+  select smiles, parent as a, atom as b, case bond when '=' then 2 when '#' then 3 when '$' then 4 else 1 end as o, true as sound from {p}placed where parent is not null
+  union all select smiles, arg_min(anchor, i), arg_max(anchor, i), coalesce(max(given), 1), count(*) = 2 and arg_min(anchor, i) <> arg_max(anchor, i) and coalesce(max(given) = min(given), true) from {p}ends group by smiles, label, nth // 2),
+{p}beside as (select smiles, atom, sum(o) as used, list(other order by other) as others from (select smiles, a as atom, b as other, o from {p}bonds union all select smiles, b, a, o from {p}bonds) group by smiles, atom),
+{p}raw as (select smiles, atom, symbol[1] = '[' as boxed, case when symbol[1] = '[' then regexp_extract(symbol, {V(C.SMILES_BRACKET)}, 2) else symbol end as name, regexp_extract(symbol, {V(C.SMILES_BRACKET)}, 1) as isotope, regexp_extract(symbol, {V(C.SMILES_BRACKET)}, 4) as hs, regexp_extract(symbol, {V(C.SMILES_BRACKET)}, 5) as plus from {p}placed where kind = 'atom'),
+{p}atoms as (select r.*, upper(name[1]) || name[2:] as element, lower(name) = name as aromatic, coalesce(used, 0) as used, coalesce(others, []) as others,
+  case when not boxed or plus = '' then 0 when regexp_matches(plus, '[0-9]') then cast(plus as integer) else len(plus) * case when plus[1] = '-' then -1 else 1 end end as charge from {p}raw r left join {p}beside using (smiles, atom)),
+{p}counted as (select *, case when boxed then case when hs = '' then 0 when hs = 'H' then 1 else cast(hs[2:] as integer) end else case {room} else 0 end end as hydrogens,
+  element in ({', '.join(map(V, C.ELEMENTS))}) and len(list_distinct(others)) = len(others) and (boxed or case {fits} else true end) as sound from {p}atoms),
+{p}mols as (
+  select smiles, a.hs, a.es, a.cs, a.iso, a.others, s.ok and coalesce(a.ok, false) and coalesce(b.ok, true) as valid from (select smiles, bool_and(sound) as ok from {p}placed group by smiles) s
+  left join (select smiles, list(hydrogens order by atom) as hs, list(element order by atom) as es, list(charge order by atom) as cs, list(isotope order by atom) as iso, list(others order by atom) as others, bool_and(sound) as ok from {p}counted group by smiles) a using (smiles)
+  left join (select smiles, bool_and(sound) as ok from {p}bonds group by smiles) b using (smiles)),
+{p}nets as (select *, list_transform(others, lambda x, i: list_filter(x, lambda j: es[i] <> 'H' and es[j + 1] <> 'H')) as near,
+  list_transform(es, lambda e, i: e || ':' || (hs[i] + len(list_filter(others[i], lambda j: es[j + 1] = 'H')) - case when len(list_filter(others[i], lambda j: cs[j + 1] <> 0)) > 0 then 0 else cs[i] end)) as labels from {p}mols where valid),
+{p}joined(smiles, r, c, near) as (select smiles, 0, range(len(es)), near from {p}nets union all select smiles, r + 1, list_transform(near, lambda x, i: list_min(list_concat([c[i]], list_transform(x, lambda j: c[j + 1])))), near from {p}joined where r < len(near)),
+{p}pieces as (select n.*, j.c as piece from {p}nets n join {p}joined j on j.smiles = n.smiles and j.r = len(n.near)),
+{p}sized as (select smiles, arg_max(root, size * 100000 - root) as root, max(size) as size from (select smiles, root, count(*) filter (heavy) as size from (select smiles, unnest(piece) as root, unnest(list_transform(es, lambda e: e <> 'H')) as heavy from {p}pieces) group by smiles, root) group by smiles),
+{p}own as (select p.*, size, cast(size // 2 + 1 as bigint) as times, list_transform(piece, lambda x, i: x = root and es[i] <> 'H') as mine from {p}pieces p join {p}sized using (smiles)),
+{p}around(smiles, r, c, near, times, n, told) as (select smiles, 0, labels, near, times, len(list_distinct(labels)), false from {p}own union all select smiles, r + 1, x, near, times, len(list_distinct(x)), len(list_distinct(x)) = n from (select *, {near} as x from {p}around where r < times and not told)),
+{p}coloured as (select o.*, a.c from {p}own o join (select * from {p}around qualify row_number() over (partition by smiles order by r desc) = 1) a using (smiles)),
+{p}alike as (select smiles, unnest(list_filter(range(1, len(c) + 1), lambda v: mine[v] and len(list_filter(c, lambda x, i: mine[i] and x = c[v])) > 1)) as v from {p}coloured),
+{p}marks as (select *, list_transform(c, lambda x, i: case when i = v then x || '*' else x end) as m from {p}coloured join {p}alike using (smiles)),
+{p}marked(smiles, v, r, c, near, times, n, told) as (select smiles, v, 0, m, near, times, len(list_distinct(m)), false from {p}marks union all select smiles, v, r + 1, x, near, times, len(list_distinct(x)), len(list_distinct(x)) = n from (select *, {near} as x from {p}marked where r < times and not told)),
+{p}told as (select smiles, string_agg(t, '' order by t) as t from (select m.smiles, {together('m.c')} as t from (select * from {p}marked qualify row_number() over (partition by smiles, v order by r desc) = 1) m join {p}own o on o.smiles = m.smiles) group by smiles),
+{p}graph as (select s.smiles, coalesce(valid, false) as valid, size as atoms, case when size >= {C.MIN_HEAVY_ATOMS} then upper(left(sha256({together('c')} || coalesce(t, '')), 14)) end as block,
+  upper(left(sha256(array_to_string(list_sort(list_filter(list_transform(c, lambda x, i: case when mine[i] and (cs[i] <> 0 or iso[i] <> '') then x || ':' || cs[i] || ':' || iso[i] end), lambda x: x is not null)), '')), 10)) as rest
+  from {p}strings s left join {p}coloured using (smiles) left join {p}told using (smiles))"""
+
+
 def keyed(source: str = "resolved", p: str = "") -> str:
+    """CTEs that end in ``{p}keyed`` (name, smiles, f, valid, block, atoms) of a source (name, smiles); f is the largest part as it is written."""
+    return f"""
+{graphs(source, p + 'mol_')},
+{p}frags as (select smiles, f, j, len(regexp_extract_all(f, {ATOM})) as n from (select smiles, string_split(smiles, '.') as fs, unnest(range(1, len(string_split(smiles, '.')) + 1)) as j, fs[j] as f from {p}mol_strings)),
+{p}keyed as (select name, r.smiles, f, valid, block, atoms from {source} r join {p}mol_graph g on g.smiles = r.smiles join (select smiles, arg_max(f, n * 1000 - j) as f from {p}frags group by smiles) w on w.smiles = r.smiles)"""
+
+
+def written(source: str) -> str:
+    """CTEs that end in ``keyed`` (name, block, atoms): digests of the largest part as it is written, for canonical strings."""
     return f"""
-{p}frags as (select name, smiles, f, j, len(regexp_extract_all(f, {ATOM})) as atoms from (select name, smiles, string_split(smiles, '.') as fs, unnest(range(1, len(string_split(smiles, '.')) + 1)) as j, fs[j] as f from {source} where smiles is not null)),
-{p}largest as (select name, smiles, arg_max(f, atoms * 1000 - j) as f, max(atoms) as atoms from {p}frags group by name, smiles),
-{p}keyed as (select name, smiles, f, case when atoms >= {C.MIN_HEAVY_ATOMS} then upper(left(sha256(regexp_replace(f, '[/\\\\@]', '', 'g')), 14)) end as block, atoms from {p}largest)"""
+frags as (select name, smiles, f, j, len(regexp_extract_all(f, {ATOM})) as atoms from (select name, smiles, string_split(smiles, '.') as fs, unnest(range(1, len(string_split(smiles, '.')) + 1)) as j, fs[j] as f from {source} where smiles is not null)),
+largest as (select name, smiles, arg_max(f, atoms * 1000 - j) as f, max(atoms) as atoms from frags group by name, smiles),
+keyed as (select name, smiles, f, case when atoms >= {C.MIN_HEAVY_ATOMS} then upper(left(sha256(regexp_replace(f, '[/\\\\@]', '', 'g')), 14)) end as block, atoms from largest)"""
 
 
 def resolve(wanted: str = "wanted", lexicon: str = LEXICON, p: str = "") -> str:
@@ -241,13 +304,19 @@ report as (
   select id, filename, page, status, reason, body from {X.sql_rows([(r[1], r[2], r[3], r[4], r[5], _BODIES.get(r[1])) for r in X.TABLE_REPORT], 'id, filename, page, status, reason, body')}
   union all select 'tbl_' || table_id, coalesce(source, 'none'), cast(doc_id % 1000 as integer), status, reason, case when status = 'accepted' then body end from decided join documents on table_id = 'doc' || doc_id)"""
 
-PARSE = r"^(\[[^\[\]]+\]|Br|Cl|[BCNOSPFIbcnosp]|[0-9]|%[0-9]{2}|[-=#$:/\\.~()*])+$"
-PARSES = f"(regexp_matches(smiles, {V(PARSE)}) and length(smiles) - length(replace(smiles, '(', '')) = length(smiles) - length(replace(smiles, ')', '')))"
+
+def validated(source: str, name: str) -> str:
+    """CTEs that end in ``name``: a source (predicted_smiles, error, ...) with reason, status, part, block and atoms."""
+    return f"""
+said as (select name, predicted_smiles as smiles from (select distinct predicted_smiles as name, predicted_smiles from {source})),{keyed('said', 'said_')},
+reasoned as (select s.* , case when valid then f end as part, k.block as key_block, atoms, case when error is not null then 'recognizer_error:' || error when predicted_smiles is null then 'empty_prediction' when not valid then 'invalid_smiles' when atoms < {C.MIN_HEAVY_ATOMS} then 'too_small' end as reason
+  from {source} s left join said_keyed k on k.name = s.predicted_smiles),
+{name} as (select *, case when reason is null then 'accepted' else 'refused' end as status, case when reason is null then key_block end as block from reasoned)"""
+
+
 STRUCTURES = f"""
 predictions as (select ord, id, source_doc, page_number, nullif(trim(coalesce(smiles, '')), '') as predicted_smiles, error, confidence from (select * from {X.sql_rows(X.STRUCTURES, 'ord, id, source_doc, page_number, smiles, error, confidence')} union all select * from {X.duck_rows(X.PREDICTIONS_OF_DOCUMENTS, documents='documents')})),
-parsed as (select *, case when {PARSES.replace('smiles', 'predicted_smiles')} then predicted_smiles end as part from predictions),
-reasoned as (select *, len(regexp_extract_all(part, {ATOM})) as atoms, case when error is not null then 'recognizer_error:' || error when predicted_smiles is null then 'empty_prediction' when part is null then 'invalid_smiles' when len(regexp_extract_all(part, {ATOM})) < {C.MIN_HEAVY_ATOMS} then 'too_small' end as reason from parsed),
-structures as (select *, case when reason is null then 'accepted' else 'refused' end as status, case when reason is null then upper(left(sha256(regexp_replace(part, '[/\\\\@]', '', 'g')), 14)) end as block from reasoned),
+{validated('predictions', 'structures')},
 deduped as (select * from (select *, row_number() over (partition by source_doc, page_number, block, status order by ord) as copy from structures) where status <> 'accepted' or copy = 1)"""
 
 #: The corpus' passages, and chosen ones with ids below 0.
@@ -310,108 +379,109 @@ _ANSWERS = f"(select cast(answer_id as bigint) as answer_id, raw from {X.sql_row
 _FOLLOWUP_TAIL = "trim(split_part(substr(raw, instr(raw, '<followups>') + 11), '</followups>', 1), ' ' || chr(10))"
 
 ORACLE: dict[str, str] = {
-    "bm25_topk": f"with {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS}, source_doc, page_number, 'text' as route, text from best join chunks using (chunk_ord)",
-    "bm25_stored": f"with {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS} from best",
-    "stored_postings": f"with {CHUNKS} select term, count(distinct chunk_ord) as n_chunks, count(*) as n_tokens from (select chunk_ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from chunks) group by term",
-    "bm25_batch": f"with {CHUNKS},{bm25('best', 'chunks', '(select item_id as question_id, text as question from benchmark)', C.TOP_K)} select {HIT_COLUMNS} from best",
-    "chunk_windows": f"with {CHUNKS} select source_doc, page_number, chunk_idx, text from chunks",
-    "chunk_token_stats": f"with {CHUNKS} select {PLACE}, cast(len(ts) as integer) as n_tokens, cast(len(list_distinct(ts)) as integer) as n_distinct from (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from chunks)",
+    "bm25_topk": f"with recursive {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS}, source_doc, page_number, 'text' as route, text from best join chunks using (chunk_ord)",
+    "bm25_stored": f"with recursive {CHUNKS},{bm25('best', 'chunks', ONE, 10)} select {HIT_COLUMNS} from best",
+    "stored_postings": f"with recursive {CHUNKS} select term, count(distinct chunk_ord) as n_chunks, count(*) as n_tokens from (select chunk_ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from chunks) group by term",
+    "bm25_batch": f"with recursive {CHUNKS},{bm25('best', 'chunks', '(select item_id as question_id, text as question from benchmark)', C.TOP_K)} select {HIT_COLUMNS} from best",
+    "chunk_windows": f"with recursive {CHUNKS} select source_doc, page_number, chunk_idx, text from chunks",
+    "chunk_token_stats": f"with recursive {CHUNKS} select {PLACE}, cast(len(ts) as integer) as n_tokens, cast(len(list_distinct(ts)) as integer) as n_distinct from (select chunk_ord, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from chunks)",
     "repair_hyphen_literal": f"select cast(id as bigint) as id, regexp_replace(translate(text, '‐‑‒–', '----'), '([\\p{{L}}\\p{{N}}_])-[ \\t\\x{{a0}}]*\\n[ \\t\\x{{a0}}]*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') as repaired from (select * from {X.sql_rows(X.HYPHEN_TEXTS, 'id, text')} union all select * from {X.duck_rows(X.PARTED_TEXTS, documents='documents')})",
     "query_terms_benchmark": f"select item_id as question_id, {terms('text')} as terms from benchmark",
-    "bibliography_flag": f"with {CHUNKS} select page_ord, chunk_idx, {bibliography('text')} as is_bibliography from (select cast(-id as bigint) as page_ord, 0 as chunk_idx, text from {X.sql_rows(X.REFERENCE_TEXTS, 'id, text')} union all select {PLACE}, text from chunks)",
-    "candidate_suffix": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from lexical",
-    "candidate_literal": f"with {CHUNKS},{NAME_TEXTS},{candidates(C.SUFFIXES, X.sql_rows([(v,) for v in X.VOCABULARY], 'name'), 'texts')} select {PLACE}, name from candidates",
-    "morpheme_count_literal": f"with {CHUNKS},{NAME_TEXTS}, words as (select distinct unnest({names_of('text')}) as word from texts union select unnest(['acetaminophen', 'phenacetin', 'hydrochlorothiazide', 'paper'])) select word, {morphemes('word')} as n_morphemes from words",
-    "candidate_bigram_join": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from joined",
-    "candidate_hyphen_part": f"with {chunks_of(X.duck_rows(X.HYPHENATED, documents='documents'))},{candidates(X.RULES.suffixes, X.sql_rows([*[(n,) for n, _ in X.LEXICON], ('the',), ('er',), ('de',)], 'name'))} select {PLACE}, name from hyphen",
-    "candidate_acid_literal": f"with {CHUNKS},{NAME_TEXTS},{candidates(C.SUFFIXES, LEXICON, 'texts')} select {PLACE}, name from acid",
-    "name_frequency_topn": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select name, count(*) as frequency from candidates group by name order by frequency desc, name limit 100",
-    "resolve_tiers": f"with {CHUNKS}, wanted as (select distinct lower(trim(name)) as name from (select * from {X.sql_rows([(n,) for n in ('THBLE ', 'ontion', 'retion', 'thing', 'nothing known', 'erble')], 'name')} union all select unnest(ws) from page_words)),{RESOLVE} select name, smiles, tier from resolved",
-    "unresolved_names": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
-    "surrogate_key": f"with {keyed(LARGE_LEXICON)} select name, block, cast(atoms as integer) as heavy_atoms from keyed",
-    "verified_lexicon": f"with seed as (select *, coalesce({PARSES}, false) as accepted from (select * from {LARGE_LEXICON} union all select 'nothing', null)), good as (select name, smiles from seed where accepted),{keyed('good')} select r.name, r.smiles, k.f as canonical, k.block, cast(case when accepted then len(regexp_extract_all(r.smiles, {ATOM})) end as integer) as heavy_atoms, accepted from seed r left join keyed k using (name)",
-    "chunk_annotation": f"with {INDEX} select {PLACE}, compounds, blocks from annotated",
-    "synonym_groups": f"with {INDEX} select block, list_sort(list(name)) as names from compounds group by block having count(*) > 1",
-    "spellings_for_block": f"with {INDEX} select name from compounds where block = '{BLOCK}'",
-    "structure_filter": f"with {INDEX},{SCOPE} select {PLACE}, source_doc, page_number from scope",
-    "structure_search": f"with {INDEX},{SCOPE},{structure('found', ONE, 6)} select {HIT_COLUMNS}, 'structure' as route from found",
-    "structure_fallback": f"with {INDEX},{SCOPE}, asked as (select cast(question_id as bigint) as question_id, question from {X.sql_rows([(0, ''), (1, 'zzzz qqqq'), (2, None)], 'question_id, question')}),{structure('found', 'asked', 6)} select {HIT_COLUMNS}, 'structure' as route from found",
-    "scoped_documents_search": f"with {INDEX}, scope as (select * from annotated where list_contains(blocks, '{BLOCK}') and source_doc in ({', '.join(map(V, Q.DOCUMENTS))})),{structure('found', ONE, 6)} select {HIT_COLUMNS} from found",
-    "hybrid_interleave": f"with {INDEX},{SCOPE},{structure('found', ONE, 8)},{bm25('best', 'annotated', ONE, 8)},{interleaved('mixed', ['found', 'best'], 'source_doc, page_number, left(text, 60)', 8)} select {HIT_COLUMNS}, case route_no when 0 then 'structure' else 'text' end as route from mixed",
-    "route_comparison": f"with {INDEX},{SCOPE},{structure('found', ONE, 5)},{bm25('best', 'annotated', ONE, 5)} select {HIT_COLUMNS}, 'structure' as route from found union all select {HIT_COLUMNS}, 'text' from best",
-    "checked_retrieval": f"with {INDEX},{SCOPE},{structure('found', ONE, 5)} select {HIT_COLUMNS}, true as on_structure from found",
+    "bibliography_flag": f"with recursive {CHUNKS} select page_ord, chunk_idx, {bibliography('text')} as is_bibliography from (select cast(-id as bigint) as page_ord, 0 as chunk_idx, text from {X.sql_rows(X.REFERENCE_TEXTS, 'id, text')} union all select {PLACE}, text from chunks)",
+    "candidate_suffix": f"with recursive {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from lexical",
+    "candidate_literal": f"with recursive {CHUNKS},{NAME_TEXTS},{candidates(C.SUFFIXES, X.sql_rows([(v,) for v in X.VOCABULARY], 'name'), 'texts')} select {PLACE}, name from candidates",
+    "morpheme_count_literal": f"with recursive {CHUNKS},{NAME_TEXTS}, words as (select distinct unnest({names_of('text')}) as word from texts union select unnest(['acetaminophen', 'phenacetin', 'hydrochlorothiazide', 'paper'])) select word, {morphemes('word')} as n_morphemes from words",
+    "candidate_bigram_join": f"with recursive {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select {PLACE}, name from joined",
+    "candidate_hyphen_part": f"with recursive {chunks_of(X.duck_rows(X.HYPHENATED, documents='documents'))},{candidates(X.RULES.suffixes, X.sql_rows([*[(n,) for n, _ in X.LEXICON], ('the',), ('er',), ('de',)], 'name'))} select {PLACE}, name from hyphen",
+    "candidate_acid_literal": f"with recursive {CHUNKS},{NAME_TEXTS},{candidates(C.SUFFIXES, LEXICON, 'texts')} select {PLACE}, name from acid",
+    "name_frequency_topn": f"with recursive {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)} select name, count(*) as frequency from candidates group by name order by frequency desc, name limit 100",
+    "resolve_tiers": f"with recursive {CHUNKS}, wanted as (select distinct lower(trim(name)) as name from (select * from {X.sql_rows([(n,) for n in ('THBLE ', 'ontion', 'retion', 'thing', 'nothing known', 'erble')], 'name')} union all select unnest(ws) from page_words)),{RESOLVE} select name, smiles, tier from resolved",
+    "unresolved_names": f"with recursive {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
+    "surrogate_key": f"with recursive {written(LARGE_LEXICON)} select name, block, cast(atoms as integer) as heavy_atoms from keyed",
+    "structure_key": f"with recursive words as (select distinct word from (select unnest(regexp_extract_all(text, '[^\\s\u00a0]+')) as word from documents) where regexp_matches(word, '^[a-z]{{3,4}}$')), given as (select * from {X.sql_rows([(n, s) for n, w in X.SPELLINGS for s in w], 'name, smiles')} union all select * from {X.duck_rows(X.STRUCTURES_OF_WORDS, words='words')}), {graphs('given').lstrip()} "
+    "select name, count(*) as n_spellings, count(*) filter (valid) as n_valid, count(distinct block) as n_blocks, min(block) as block, cast(max(atoms) as integer) as heavy_atoms from given join graph using (smiles) group by name",
+    "structure_bonds": f"with recursive {graphs(LARGE_LEXICON).lstrip()} select smiles, cast(least(a, b) as integer) as a, cast(greatest(a, b) as integer) as b, cast(o as integer) as bond_order from bonds where sound",
+    "verified_lexicon": f"with recursive seed as (select * from {LARGE_LEXICON} union all select 'nothing', null), {keyed('seed').lstrip()} select r.name, r.smiles, case when valid then k.f end as canonical, k.block, cast(case when valid then len(regexp_extract_all(r.smiles, {ATOM})) end as integer) as heavy_atoms, coalesce(valid, false) as accepted from seed r left join keyed k using (name)",
+    "chunk_annotation": f"with recursive {INDEX} select {PLACE}, compounds, blocks from annotated",
+    "synonym_groups": f"with recursive {INDEX} select block, list_sort(list(name)) as names from compounds group by block having count(*) > 1",
+    "spellings_for_block": f"with recursive {INDEX} select name from compounds where block = '{BLOCK}'",
+    "structure_filter": f"with recursive {INDEX},{SCOPE} select {PLACE}, source_doc, page_number from scope",
+    "structure_search": f"with recursive {INDEX},{SCOPE},{structure('found', ONE, 6)} select {HIT_COLUMNS}, 'structure' as route from found",
+    "structure_fallback": f"with recursive {INDEX},{SCOPE}, asked as (select cast(question_id as bigint) as question_id, question from {X.sql_rows([(0, ''), (1, 'zzzz qqqq'), (2, None)], 'question_id, question')}),{structure('found', 'asked', 6)} select {HIT_COLUMNS}, 'structure' as route from found",
+    "scoped_documents_search": f"with recursive {INDEX}, scope as (select * from annotated where list_contains(blocks, '{BLOCK}') and source_doc in ({', '.join(map(V, Q.DOCUMENTS))})),{structure('found', ONE, 6)} select {HIT_COLUMNS} from found",
+    "hybrid_interleave": f"with recursive {INDEX},{SCOPE},{structure('found', ONE, 8)},{bm25('best', 'annotated', ONE, 8)},{interleaved('mixed', ['found', 'best'], 'source_doc, page_number, left(text, 60)', 8)} select {HIT_COLUMNS}, case route_no when 0 then 'structure' else 'text' end as route from mixed",
+    "route_comparison": f"with recursive {INDEX},{SCOPE},{structure('found', ONE, 5)},{bm25('best', 'annotated', ONE, 5)} select {HIT_COLUMNS}, 'structure' as route from found union all select {HIT_COLUMNS}, 'text' from best",
+    "checked_retrieval": f"with recursive {INDEX},{SCOPE},{structure('found', ONE, 5)} select {HIT_COLUMNS}, true as on_structure from found",
     "follow_up_flag": f"select conv_id, turn, {follow_up('text')} as is_follow_up from conversations where role = 'user'",
-    "retrieval_query": f"with {TURNS},{CONTEXTUAL} select question_id, contextual from contextual",
-    "conversation_hits": f"with {CONVERSATION} select {HIT_COLUMNS} from turned",
-    "conversation_search": f"with {CONVERSATION},{expanded('turned')} select question_id, rank, score, source_doc, page_number, text, anchor_text, context_scope, context_chunks from expanded",
-    "page_expansion": f"with {INDEX},{SCOPE},{structure('found', ONE, 8)},{expanded('found')} select rank, source_doc, page_number, text, anchor_text, context_scope, context_chunks from expanded",
-    "documents_for_structure": f"with {INDEX},{SCOPE}, found as (select source_doc, list_sort(list_distinct(list(e.name))) as names from scope s join entities e using (chunk_ord) where e.block = '{BLOCK}' group by source_doc) select distinct source_doc, coalesce(names, cast([] as varchar[])) as names from scope left join found using (source_doc)",
-    "exact_name_counts": f"with {INDEX},{QUERY_NAMES},{NAME_HITS} select name, count(chunk_ord) as n_chunks, regexp_matches(name, {V(C.REGISTRY_NUMBER)}) as is_registry_number from names left join hits using (name) group by name",
-    "reach_report": f"with {INDEX},{QUERY_NAMES},{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated), counts as (select name, count(chunk_ord) as n from names left join hits using (name) group by name), best as (select name, n from counts order by n desc, name limit 1) "
+    "retrieval_query": f"with recursive {TURNS},{CONTEXTUAL} select question_id, contextual from contextual",
+    "conversation_hits": f"with recursive {CONVERSATION} select {HIT_COLUMNS} from turned",
+    "conversation_search": f"with recursive {CONVERSATION},{expanded('turned')} select question_id, rank, score, source_doc, page_number, text, anchor_text, context_scope, context_chunks from expanded",
+    "page_expansion": f"with recursive {INDEX},{SCOPE},{structure('found', ONE, 8)},{expanded('found')} select rank, source_doc, page_number, text, anchor_text, context_scope, context_chunks from expanded",
+    "documents_for_structure": f"with recursive {INDEX},{SCOPE}, found as (select source_doc, list_sort(list_distinct(list(e.name))) as names from scope s join entities e using (chunk_ord) where e.block = '{BLOCK}' group by source_doc) select distinct source_doc, coalesce(names, cast([] as varchar[])) as names from scope left join found using (source_doc)",
+    "exact_name_counts": f"with recursive {INDEX},{QUERY_NAMES},{NAME_HITS} select name, count(chunk_ord) as n_chunks, regexp_matches(name, {V(C.REGISTRY_NUMBER)}) as is_registry_number from names left join hits using (name) group by name",
+    "reach_report": f"with recursive {INDEX},{QUERY_NAMES},{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated), counts as (select name, count(chunk_ord) as n from names left join hits using (name) group by name), best as (select name, n from counts order by n desc, name limit 1) "
     "select count(*) filter (s) as n_structure, count(*) filter (u) as n_union, count(*) filter (s and not u) as adds, count(*) filter (u and not s) as misses, (select count(*) from counts) as n_names, (select name from best) as best_name, (select n from best) as best_count from flags",
-    "reach_unreachable": f"with {INDEX}, names as (select distinct name from compounds where block = '{BLOCK}'),{NAME_HITS}, alone as (select chunk_ord, text from annotated where list_contains(blocks, '{BLOCK}') and chunk_ord not in (select chunk_ord from hits)), "
+    "reach_unreachable": f"with recursive {INDEX}, names as (select distinct name from compounds where block = '{BLOCK}'),{NAME_HITS}, alone as (select chunk_ord, text from annotated where list_contains(blocks, '{BLOCK}') and chunk_ord not in (select chunk_ord from hits)), "
     "tried as (select chunk_ord, text, name, regexp_extract(text, '(?i)' || array_to_string(regexp_extract_all(name, '.'), '[\\s\\-]?')) as fragment from alone cross join names), first as (select chunk_ord, text, arg_min(fragment, name) as fragment from tried where fragment <> '' group by all) "
     f"select {PLACE}, fragment, case when fragment is null then left(a.text, 240) else substr(a.text, greatest(1, strpos(a.text, fragment) - 90), strpos(a.text, fragment) + length(fragment) + 90 - greatest(1, strpos(a.text, fragment) - 90)) end as snippet from alone a left join first using (chunk_ord)",
-    "set_difference": f"with {INDEX}, names as (select 'thble' as name),{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated) select count(*) filter (s and not u) as recovered, count(*) filter (s and u) as shared, count(*) filter (u and not s) as text_only from flags",
-    "library_stats": f"with {CHUNKS} select source_doc, count(*) as n_passages, count(distinct page_number) as n_pages from chunks group by source_doc",
-    "index_totals": f"with {INDEX} select (select count(*) from annotated) as n_chunks, (select count(*) from annotated where len(blocks) > 0) as n_annotated, (select count(*) from annotated where {bibliography('text')}) as n_bibliography, (select count(*) from compounds) as n_names, (select count(distinct block) from compounds) as n_blocks",
-    "build_context": f"with {INDEX},{SCOPE},{structure('found', ONE, 3)} {source_blocks('found', True)}",
+    "set_difference": f"with recursive {INDEX}, names as (select 'thble' as name),{NAME_HITS}, flags as (select list_contains(blocks, '{BLOCK}') as s, chunk_ord in (select chunk_ord from hits) as u from annotated) select count(*) filter (s and not u) as recovered, count(*) filter (s and u) as shared, count(*) filter (u and not s) as text_only from flags",
+    "library_stats": f"with recursive {CHUNKS} select source_doc, count(*) as n_passages, count(distinct page_number) as n_pages from chunks group by source_doc",
+    "index_totals": f"with recursive {INDEX} select (select count(*) from annotated) as n_chunks, (select count(*) from annotated where len(blocks) > 0) as n_annotated, (select count(*) from annotated where {bibliography('text')}) as n_bibliography, (select count(*) from compounds) as n_names, (select count(distinct block) from compounds) as n_blocks",
+    "build_context": f"with recursive {INDEX},{SCOPE},{structure('found', ONE, 3)} {source_blocks('found', True)}",
     "split_follow_ups": f"with a as (select *, instr(raw, '<followups>') > 0 as tagged from {_ANSWERS}), t as (select *, case when tagged then {_FOLLOWUP_TAIL} end as tail from a), lists as (select answer_id, tail from t where json_valid(tail) and json_type(tail) = 'ARRAY'), "
     f"items as (select answer_id, i, json_extract(tail, '$[' || i || ']') as j from (select *, unnest(range(0, cast(json_array_length(tail) as bigint))) as i from lists)), texts as (select answer_id, i, trim(j ->> '$') as q from items where json_type(j) = 'VARCHAR'), kept as (select answer_id, q, min(i) as i from texts where length(q) between 1 and {C.FOLLOW_UP_CHARACTERS} group by all), "
     f"firsts as (select answer_id, list(q order by i)[1:{C.FOLLOW_UPS}] as followups from kept group by answer_id) select answer_id, case when tagged then trim(split_part(raw, '<followups>', 1), ' ' || chr(10)) else raw end as body, coalesce(followups, cast([] as varchar[])) as followups from t left join firsts using (answer_id)",
     "plot_intent": f"select conv_id, turn, regexp_matches(text, {V(C.PLOT_INTENT)}) as is_plot_request from (select conv_id, turn, text from conversations union all select cast(conv_id as bigint), cast(turn as bigint), text from {X.sql_rows([(-1, 0, 'Please plot it'), (-2, 0, 'a Chart, now'), (-3, 0, 'charting'), (-4, 0, 'visualise this')], 'conv_id, turn, text')})",
-    "chat_messages": f"with {CONVERSATION}, past as (select question_id, list(role order by turn) as rs, list(text order by turn) as cs from (select * from (select *, row_number() over (partition by question_id order by turn desc) as age from history) where age <= {C.HISTORY_TURNS}) group by question_id), contexts as ({source_blocks('turned', False)}) "
+    "chat_messages": f"with recursive {CONVERSATION}, past as (select question_id, list(role order by turn) as rs, list(text order by turn) as cs from (select * from (select *, row_number() over (partition by question_id order by turn desc) as age from history) where age <= {C.HISTORY_TURNS}) group by question_id), contexts as ({source_blocks('turned', False)}) "
     "select question_id, case when context is not null then list_concat(['system'], coalesce(rs, []), ['user']) end as roles, case when context is not null then list_concat(['system text'], coalesce(cs, []), ['Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question || chr(10)]) end as contents from questions left join past using (question_id) left join contexts using (question_id)",
-    "evidence_export": f"with {INDEX},{SCOPE},{structure('found', ONE, 3)} select question_id, to_json({{'query': {V(X.QUESTION)}, 'smiles': {V(X.SUBJECT)}, 'block': '{BLOCK}', 'sources': list({{'source_doc': source_doc, 'page_number': page_number, 'text': text, 'compounds': compounds, 'blocks': blocks, 'score': score, 'route': 'structure'}} order by rank)}})::varchar as json from found join annotated using (chunk_ord) group by question_id",
+    "evidence_export": f"with recursive {INDEX},{SCOPE},{structure('found', ONE, 3)} select question_id, to_json({{'query': {V(X.QUESTION)}, 'smiles': {V(X.SUBJECT)}, 'block': '{BLOCK}', 'sources': list({{'source_doc': source_doc, 'page_number': page_number, 'text': text, 'compounds': compounds, 'blocks': blocks, 'score': score, 'route': 'structure'}} order by rank)}})::varchar as json from found join annotated using (chunk_ord) group by question_id",
     "previews": "select doc_id, case when length(text) > 240 then left(text, 240) || '…' else text end as preview from documents",
     "paper_ids": f"with f as (select filename, regexp_replace(regexp_extract(filename, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') as stem from {_FILES}) select filename, case when contains(stem, '_') and split_part(stem, '_', 1) <> '' then split_part(stem, '_', 1) when stem <> '' then stem else filename end as paper_id from f",
     "thin_rule": f"select filename, page, image_index, {THIN} as thin, not {THIN} as needs_pixels from {IMAGES}",
-    "pixel_rows": f"with {PIXEL_ROWS} select image, y, round(mean, 6) as mean, round(deviation, 6) as deviation, is_line from px_lines",
-    "pixel_features": f"with {PIXEL_ROWS}, fr as (select image, avg(case when v < 200 then 1.0 else 0 end) as ink, avg(case when v > 240 then 1.0 else 0 end) as white, count(*) as n from px group by image), en as (select image, 0 - sum(c / n * log2(c / n)) as entropy from (select image, least(v * 16 // 256, 15) as bin, count(*) as c from px group by all) join fr using (image) group by image), "
+    "pixel_rows": f"with recursive {PIXEL_ROWS} select image, y, round(mean, 6) as mean, round(deviation, 6) as deviation, is_line from px_lines",
+    "pixel_features": f"with recursive {PIXEL_ROWS}, fr as (select image, avg(case when v < 200 then 1.0 else 0 end) as ink, avg(case when v > 240 then 1.0 else 0 end) as white, count(*) as n from px group by image), en as (select image, 0 - sum(c / n * log2(c / n)) as entropy from (select image, least(v * 16 // 256, 15) as bin, count(*) as c from px group by all) join fr using (image) group by image), "
     "gp as (select image, count(*) as lines, avg(gap) as mean_gap, stddev_pop(gap) as dev from (select image, y - lag(y) over (partition by image order by y) as gap from px_lines where is_line) group by image), hs as (select image, count(*) as height, count(*) filter (is_line) as n_hlines from px_lines group by image) "
     "select image, round(ink, 6) as ink_frac, round(white, 6) as white_frac, round(entropy, 6) as entropy, round(n_hlines / height, 6) as hline_frac, n_hlines, coalesce(lines >= 4 and dev < greatest(2.0, 0.35 * mean_gap), false) as grid from fr join en using (image) join hs using (image) left join gp using (image)",
-    "image_classify": f"with {CLASSIFIED} select filename, page, image_index, label, reasons from classified",
-    "inventory_pivot": f"with {CLASSIFIED} select filename, {', '.join(f'count(*) filter (label = {V(x)}) as {x}' for x in C.IMAGE_LABELS)}, count(*) as total from classified group by filename",
-    "inventory_rollup": f"with {CLASSIFIED} select filename, label, count(*) as n_images from classified group by rollup (filename, label)",
-    "inventory_summary": f"with {CLASSIFIED}, papers as (select split_part(filename, '_', 1) as k0, regexp_replace(filename, '\\.pdf$', '') as stem from classified), named as (select case when contains(stem, '_') and k0 <> '' then k0 else stem end as k from papers), by_paper as (select k, count(*) as n from named group by k), by_class as (select label as k, count(*) as n from classified group by label) "
+    "image_classify": f"with recursive {CLASSIFIED} select filename, page, image_index, label, reasons from classified",
+    "inventory_pivot": f"with recursive {CLASSIFIED} select filename, {', '.join(f'count(*) filter (label = {V(x)}) as {x}' for x in C.IMAGE_LABELS)}, count(*) as total from classified group by filename",
+    "inventory_rollup": f"with recursive {CLASSIFIED} select filename, label, count(*) as n_images from classified group by rollup (filename, label)",
+    "inventory_summary": f"with recursive {CLASSIFIED}, papers as (select split_part(filename, '_', 1) as k0, regexp_replace(filename, '\\.pdf$', '') as stem from classified), named as (select case when contains(stem, '_') and k0 <> '' then k0 else stem end as k from papers), by_paper as (select k, count(*) as n from named group by k), by_class as (select label as k, count(*) as n from classified group by label) "
     "select (select count(*) from classified) as total_images, (select '{' || string_agg('\"' || k || '\":' || n, ',' order by k) || '}' from by_paper) as counts_by_paper, (select '{' || string_agg('\"' || k || '\":' || n, ',' order by k) || '}' from by_class) as counts_by_class",
-    "ocr_skip_reason": f"with {CLASSIFIED} select filename, page, image_index, case when label is distinct from 'table_image' then 'not_table_image' when {THIN} then 'thin_table_rule' when width < {C.OCR_MIN_WIDTH} or height < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skip_reason from (select filename, page, image_index, label, coalesce(width, 0) as width, coalesce(height, 0) as height from (select filename, page, image_index, label, width, height from classified union all select 'chosen ' || id, 0, 0, label, width, height from {X.sql_rows([(i, *r) for i, r in enumerate(X.TABLE_IMAGES)], 'id, label, width, height')}))",
+    "ocr_skip_reason": f"with recursive {CLASSIFIED} select filename, page, image_index, case when label is distinct from 'table_image' then 'not_table_image' when {THIN} then 'thin_table_rule' when width < {C.OCR_MIN_WIDTH} or height < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skip_reason from (select filename, page, image_index, label, coalesce(width, 0) as width, coalesce(height, 0) as height from (select filename, page, image_index, label, width, height from classified union all select 'chosen ' || id, 0, 0, label, width, height from {X.sql_rows([(i, *r) for i, r in enumerate(X.TABLE_IMAGES)], 'id, label, width, height')}))",
     "ocr_words": f"select * from (values ('t', 0, 'a', 90.0::double, 1, 1, 1, 1), ('t', 5, 'e', 91.0::double, 6, 6, 6, 6)) v(table_id, word_ord, text, conf, \"left\", top, width, height) union all "
     f"select 'doc' || doc_id, cast(word_ord as integer), text, cast(word_ord % 97 - 1 as double), case when word_ord % 29 <> 0 then cast(word_ord as integer) end, cast(2 * word_ord as integer), cast(length(text) as integer), 12 from {_WORDS} where word_ord % 5 <> 0 and word_ord % 97 > 0 and word_ord % 11 <> 0",
-    "ocr_rows": f"with {ROWS} select table_id, word_ord, \"row\" from text_rows",
-    "ocr_raw_text": f"with {ROWS}, {RAW} select table_id, raw_text from raw",
-    "ocr_gutters": f"with {ROWS},{GUTTERS} select table_id, \"row\", x from gutters",
-    "ocr_boundaries": f"with {ROWS},{GUTTERS},{EDGES} select table_id, edges from column_edges",
-    "ocr_grid": f"with {ROWS},{GUTTERS},{EDGES},{GRID} select * exclude (body) from grids",
-    "ocr_decision": f"with {DECIDED} select table_id, status, reason, round(mean, 6) as mean_confidence, case when reason is null then n_rows end as n_rows, case when reason is null then n_cols end as n_cols from decided",
-    "ocr_summary": f"with {REPORT} select status, reason, cast(grouping(status) + grouping(reason) as integer) as level, count(*) as n_tables from report group by grouping sets ((status, reason), (status), ())",
-    "table_text": f"with {REPORT} select id, body as text from report where body is not null",
-    "attach_tables": f"with {INDEX},{REPORT}, bodies as (select id as chunk_ord, body as text, filename, page from report where status = 'accepted'),{candidates(C.SUFFIXES, TABLE_LEXICON, 'bodies', 'b_')}, first_names as (select chunk_ord, name from (select *, row_number() over (partition by chunk_ord order by name) as place from b_candidates) where place <= {C.MAX_TABLE_NAMES}), "
+    "ocr_rows": f"with recursive {ROWS} select table_id, word_ord, \"row\" from text_rows",
+    "ocr_raw_text": f"with recursive {ROWS}, {RAW} select table_id, raw_text from raw",
+    "ocr_gutters": f"with recursive {ROWS},{GUTTERS} select table_id, \"row\", x from gutters",
+    "ocr_boundaries": f"with recursive {ROWS},{GUTTERS},{EDGES} select table_id, edges from column_edges",
+    "ocr_grid": f"with recursive {ROWS},{GUTTERS},{EDGES},{GRID} select * exclude (body) from grids",
+    "ocr_decision": f"with recursive {DECIDED} select table_id, status, reason, round(mean, 6) as mean_confidence, case when reason is null then n_rows end as n_rows, case when reason is null then n_cols end as n_cols from decided",
+    "ocr_summary": f"with recursive {REPORT} select status, reason, cast(grouping(status) + grouping(reason) as integer) as level, count(*) as n_tables from report group by grouping sets ((status, reason), (status), ())",
+    "table_text": f"with recursive {REPORT} select id, body as text from report where body is not null",
+    "attach_tables": f"with recursive {INDEX},{REPORT}, bodies as (select id as chunk_ord, body as text, filename, page from report where status = 'accepted'),{candidates(C.SUFFIXES, TABLE_LEXICON, 'bodies', 'b_')}, first_names as (select chunk_ord, name from (select *, row_number() over (partition by chunk_ord order by name) as place from b_candidates) where place <= {C.MAX_TABLE_NAMES}), "
     f"b_wanted as (select distinct name from first_names where name not in (select name from compounds)),{resolve('b_wanted', TABLE_LEXICON, 'b_').replace(CACHE, '(select null::varchar as name, null::varchar as smiles where false)')},{keyed('b_resolved', 'b_')}, every as (select name, block from compounds union all select name, block from b_keyed where block is not null), "
     "marks as (select chunk_ord, list_sort(list_distinct(list(name))) as compounds, list_sort(list_distinct(list(block))) as blocks from first_names join every using (name) group by chunk_ord) "
     f"select filename as source_doc, cast(page as bigint) as page_number, {V(C.TABLE_PASSAGE)} || text as text, coalesce(compounds, []) as compounds, coalesce(blocks, []) as blocks, chunk_ord as table_ocr_id from bodies left join marks using (chunk_ord)",
-    "ocsr_candidates": f"with {CLASSIFIED} select filename, page, image_index from classified where label in ({', '.join(map(V, C.STRUCTURE_LABELS))}) and not {THIN}",
-    "ocsr_validate": f"with {STRUCTURES} select id, status, reason, predicted_smiles, case when reason is null then part end as smiles, block, case when reason is null then cast(atoms as integer) end as heavy_atoms, cast(confidence as double) as confidence from structures",
-    "ocsr_dedupe": f"with {STRUCTURES} select id, status from deduped",
-    "ocsr_summary": f"with {STRUCTURES} select count(*) as crops, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'refused') as refused, (select '{{' || string_agg('\"' || reason || '\":' || n, ',' order by reason) || '}}' from (select reason, count(*) as n from deduped where status = 'refused' group by reason)) as refused_by_reason from deduped",
-    "structures_for_block": f"with {STRUCTURES} select id, source_doc, page_number from structures where status = 'accepted' and block = '{BLOCK}'",
-    "attach_structures": f"with {CHUNKS},{STRUCTURES}, both_kinds as (select 'page' as method, source_doc from chunks union all select 'structure_ocr', source_doc from deduped where status = 'accepted') select method, count(*) as n_chunks, count(distinct source_doc) as n_documents from both_kinds group by method",
-    "solubility_rows": f"with {FACTS} select * from facts",
-    "chart_series": f"with {FACTS} select solvent, cast(\"temperature_C\" as double) as series, list(solubility_x100 order by organic_fraction) as figures from facts group by all",
+    "ocsr_candidates": f"with recursive {CLASSIFIED} select filename, page, image_index from classified where label in ({', '.join(map(V, C.STRUCTURE_LABELS))}) and not {THIN}",
+    "ocsr_validate": f"with recursive {STRUCTURES} select id, status, reason, predicted_smiles, case when reason is null then part end as smiles, block, case when reason is null then cast(atoms as integer) end as heavy_atoms, cast(confidence as double) as confidence from structures",
+    "ocsr_dedupe": f"with recursive {STRUCTURES} select id, status from deduped",
+    "ocsr_summary": f"with recursive {STRUCTURES} select count(*) as crops, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'refused') as refused, (select '{{' || string_agg('\"' || reason || '\":' || n, ',' order by reason) || '}}' from (select reason, count(*) as n from deduped where status = 'refused' group by reason)) as refused_by_reason from deduped",
+    "structures_for_block": f"with recursive {STRUCTURES} select id, source_doc, page_number from structures where status = 'accepted' and block = '{BLOCK}'",
+    "attach_structures": f"with recursive {CHUNKS},{STRUCTURES}, both_kinds as (select 'page' as method, source_doc from chunks union all select 'structure_ocr', source_doc from deduped where status = 'accepted') select method, count(*) as n_chunks, count(distinct source_doc) as n_documents from both_kinds group by method",
+    "solubility_rows": f"with recursive {FACTS} select * from facts",
+    "chart_series": f"with recursive {FACTS} select solvent, cast(\"temperature_C\" as double) as series, list(solubility_x100 order by organic_fraction) as figures from facts group by all",
     "file_pages": "select '/in/' || doc_id || '.pdf' as path, doc_id || '.pdf' as source_doc, cast(n as integer) as page_number, lines[n] as text from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as n from (select doc_id, string_split(text, chr(10)) as lines from documents))",
-    "merged_name_cache": f"with {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name, smiles from {CACHE} union all "
+    "merged_name_cache": f"with recursive {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name, smiles from {CACHE} union all "
     f"select name, case when length(name) % 3 <> 0 then repeat('C', length(name)) end as smiles from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
     "recognised_answers": f"select cast(doc_id as varchar) as crop_id, {said('n')} as predicted_smiles, {sure('n')} as confidence, case when n % 6 = 5 then 'RuntimeError' end as error from (select doc_id, strlen(text) as n from documents)",
-    "structure_run": f"""with {CLASSIFIED},
+    "structure_run": f"""with recursive {CLASSIFIED},
 tried as (select filename, page, image_index, strlen(filename || '|' || page || '|' || image_index) as n from classified where label in ({', '.join(map(V, C.STRUCTURE_LABELS))}) and not {THIN}),
 crops as (select filename, page, image_index, cast(c as integer) as crop_index, n + c as n, false as failed from (select *, unnest(range(1 + n % 2)) as c from tried where n % 7 <> 0) union all select filename, page, image_index, 0, n, true from tried where n % 7 = 0),
 answers as (select *, 'ocsr_' || left(sha1(concat_ws('|', filename, page, 'embedded', image_index, crop_index)), 14) as id, case when not failed then nullif({said('n')}, '') end as predicted_smiles, case when failed then 'ValueError' when n % 6 = 5 then 'RuntimeError' end as error from crops),
-parsed as (select *, case when {PARSES.replace('smiles', 'predicted_smiles')} then predicted_smiles end as part from answers),
-judged as (select *, case when error is not null then 'recognizer_error:' || error when predicted_smiles is null then 'empty_prediction' when part is null then 'invalid_smiles' when len(regexp_extract_all(part, {ATOM})) < {C.MIN_HEAVY_ATOMS} then 'too_small' end as reason from parsed),
-keys as (select *, case when reason is null then 'accepted' else 'refused' end as status, case when reason is null then upper(left(sha256(regexp_replace(part, '[/\\\\@]', '', 'g')), 14)) end as block from judged)
+{validated('answers', 'keys')}
 select id, filename as source_doc, page as page_number, image_index as source_index, crop_index, status, reason, predicted_smiles, case when reason is null then part end as smiles, block
 from (select *, row_number() over (partition by filename, page, block, status order by image_index, crop_index) as copy from keys) where status <> 'accepted' or copy = 1""",
-    "table_run": f"""with {CLASSIFIED},{DECIDED},
+    "table_run": f"""with recursive {CLASSIFIED},{DECIDED},
 own as (select c.*, 'tbl_' || left(sha1(concat_ws('|', filename, page, image_index)), 14) as image_id, case when filename not in ('A_first.pdf', 'B_second.pdf', 'notes.pdf') then 'doc' || (page + 1000 * image_index) end as table_id,
   case when {THIN} then 'thin_table_rule' when coalesce(width, 0) < {C.OCR_MIN_WIDTH} or coalesce(height, 0) < {C.OCR_MIN_HEIGHT} then 'not_table_like' end as skipped from classified c where label = 'table_image')
 select image_id as table_id, filename, page, image_index, case when skipped is not null then 'skipped' else coalesce(status, 'refused') end as status, coalesce(skipped, case when status is null then 'no_text' else reason end) as reason, round(mean, 6) as mean_confidence,

@@ -7,12 +7,12 @@ from itertools import zip_longest
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.keys import surrogate_block
 from lodestone.functions.text import tokenize
 from lodestone.operators import chat, coverage, index, search
 from lodestone.operators import resolve as R
 from lodestone.operators.chunking import chunk_pages
 from lodestone.operators.rank import bm25_scores, bm25_search, postings
+from lodestone.plans import fixtures
 from lodestone.sources.adapters import pdf_pages
 from lodestone.sources.tables import evidence_json, merged_cache, read_index, read_lexicon, write_index, write_name_cache
 
@@ -146,7 +146,7 @@ def test_resolution_tiers_and_keys(spark):
     groups = sorted(r.names for r in R.synonym_groups(known).collect())
     assert groups == [["apap", "paracetamol", "salt"], ["fumaric acid", "maleic acid"]]
     assert "water" not in {r.name for r in known.collect()}
-    assert known.where("name = 'apap'").first().block == surrogate_block("CC(=O)Nc1ccc(O)cc1")
+    assert known.where("name = 'apap'").first().block == fixtures.SUBJECT_BLOCK
     assert merged_cache(cache, spark.createDataFrame([("nothing", "C"), ("new", None)], "name string, smiles string")).count() == 3
 
 
