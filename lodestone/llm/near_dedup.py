@@ -1,7 +1,8 @@
 """Near-duplicate groups of documents by SetSketch registers.
 
 1. Each text becomes its set of distinct 5-word shingles, a 128-bit digest of the sorted set, and a sketch of it; texts of
-   equal sets are one class from then on, however many copies there are, so copies cost one row each.
+   equal sets are one class from then on, however many copies there are, so copies cost one row each. A class has a
+   number of its own, which stands for it below where a ``doc_id`` is read, so that texts which share an id stay apart.
 2. Runs of registers are keys of bands. A band's bucket links every member to the bucket's smallest document: as many
    pairs as members. Pairs that pass exact size bounds and the likelihood estimate are verified on full sets.
 3. Buckets that still hold several components compare all members outside their leader's component with all others, on
@@ -43,7 +44,7 @@ REGISTERS = BANDS * ROWS
 BLOCK_ELEMENTS, BLOCK_ROWS = 500_000, 2048
 #: Counters that the rarity of shingles is estimated with, 8 MB; it does not grow with the corpus.
 COUNTERS = 1 << 20
-_KEYS = "doc_id long, n long, key_a long, key_b long, registers binary"
+_KEYS = "doc_id long, text_key long, n long, key_a long, key_b long, registers binary"
 
 
 def _least(percent: int) -> int:
@@ -63,7 +64,7 @@ def _sketches(least: int):
                     a.append(int(one))
                     b.append(int(two))
                     registers.append(sketch(elements, REGISTERS).tobytes() if len(elements) >= least else b"")
-                yield pa.record_batch([ids[part].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(registers, pa.binary())], names=["doc_id", "n", "key_a", "key_b", "registers"])
+                yield pa.record_batch([ids[part].cast(pa.int64()), batch.column("text_key")[part], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(registers, pa.binary())], names=["doc_id", "text_key", "n", "key_a", "key_b", "registers"])
 
     return run
 
@@ -233,25 +234,27 @@ def _compared(table: pa.Table, percent: int) -> pa.Table:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text, ...); other columns are ignored. The bands are made for ``percent`` of 80 or more.
 
-    Null and wordless texts have no shingles and stay alone. Rows that repeat a doc_id share its component when their
-    texts are linked, and each gets a row; ``kept`` is whether doc_id is the component's smallest. A null doc_id
-    belongs to the class of equal sets, links nothing else and is never kept. Very long texts are read whole, one at a
-    time; no rows give no rows.
+    Null and wordless texts have no shingles and stay alone. Rows that repeat a doc_id are one document, whether their
+    texts are equal or not: they share a component, and each gets a row; ``kept`` is whether doc_id is the component's
+    smallest. A null doc_id belongs to the class of equal sets, links nothing else and is never kept. Very long texts are
+    read whole, one at a time; no rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     found = materialize(docs.mapInArrow(_sketches(_least(percent)), _KEYS), "sketches")
     keys = ["n", "key_a", "key_b"]
-    # written, so that the join below deals both sides anew and a class of many copies can be split over tasks
-    classes = materialize(found.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
-    members = found.select("doc_id", *keys).join(classes, keys, "left")
+    # written, so that numbers stay and the join below deals both sides anew, and a class of many copies can be split over tasks
+    first_row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("first_row")
+    classes = materialize(found.where("n > 0").groupBy(*keys).agg(first_row).select(*keys, F.col("first_row.doc_id").alias("rep"), F.col("first_row.text_key").alias("rep_key"), F.monotonically_increasing_id().alias("class")), "classes")
+    members = materialize(found.select("doc_id", *keys).join(classes.drop("rep_key"), keys, "left"), "members")
 
-    many = classes.where(F.col("n") >= _least(percent))
-    reps = materialize(found.join(many.select(*keys, F.col("rep").alias("doc_id")), ["doc_id", *keys]).dropDuplicates(["doc_id"]).select("doc_id", "n", "registers"), "representatives")
+    many = classes.where((F.col("n") >= _least(percent)) & F.col("rep").isNotNull()).select(*keys, F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"), "class")
+    reps = materialize(found.join(many, ["doc_id", "text_key", *keys]).dropDuplicates(["class"]).select(F.col("class").alias("doc_id"), "n", "registers"), "representatives")
     banded = reps.select("doc_id", "registers").mapInArrow(_bands, "band long, doc_id long")
     shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1").select("band", "leader")
     buckets = materialize(banded.join(shared, "band"), "buckets")
-    wanted = buckets.select("doc_id").distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, elements binary"), "sets")
+    wanted = buckets.select(F.col("doc_id").alias("class")).distinct().join(many, "class").select("doc_id", "text_key", "class")
+    texts = docs.join(wanted, ["doc_id", "text_key"]).select(F.col("class").alias("doc_id"), "text")
+    sets = materialize(texts.mapInArrow(_sets, "doc_id long, elements binary"), "sets")
 
     # every member of a bucket goes to its leader; pairs of several bands are one pair
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -271,14 +274,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shorter = _comparisons(rare) < _comparisons(large)
         more = more.unionByName(_across(rare, materialize(_mixed(rare), "mixed"), sets, percent) if shorter else _across(named, mixed.where("blocks > 1"), sets, percent))
     edges = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
-    final = materialize(components(edges), "components")
-    release(buckets, sets, reps, first, named, mixed)
+    final = components(edges.unionByName(_of_one_document(members)))
+    smallest = final.join(classes.select(F.col("class").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("smallest"))
+    final = materialize(final.join(smallest, "component").select(F.col("id").alias("class"), "smallest"), "components")
+    release(found, classes, buckets, sets, reps, first, named, mixed)
 
-    labelled = members.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    labelled = members.join(final, "class", "left")
+    component = F.coalesce("smallest", "rep", "doc_id")
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _of_one_document(members: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of each doc_id that has several."""
+    held = members.where("class is not null and doc_id is not null")
+    several = materialize(held.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("doc_id", "a"), "several")
+    return held.join(several, "doc_id").where(F.col("a") != F.col("class")).select("a", F.col("class").alias("b")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that another document of their group stands for; rows without a doc_id stay."""
     gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select("doc_id").distinct()

@@ -84,6 +84,19 @@ def test_empty_table_and_null_or_repeated_ids(spark, table):
     assert got == [(-1, 0, -1, False), (-1, 1, 3, False), (3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False)]
 
 
+def test_one_id_with_different_texts_loses_no_link(spark):
+    """Each text of a repeated id is compared by itself, and the id joins what its texts are linked with."""
+    rng = random.Random(11)
+    texts = [prose(rng, 200, 10**6) for _ in range(6)]
+    near = [t + " more" for t in texts]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (7, near[1]), (8, near[2]), (3, near[0]), (9, texts[3]), (9, ""), (2, texts[4]), (4, near[4]), (4, texts[5]), (6, near[5]), (None, texts[4]), (None, prose(rng, 50, 10**6))]
+    want = {5: 3, 7: 3, 8: 3, 3: 3, 9: 9, 2: 2, 4: 2, 6: 2}
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want and len(got) == len(rows)
+        assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["2", "None"]
+
+
 def test_dropping_keeps_one_of_each_group(table):
     docs = table(["a b c d e f g", "A B C D E F G", "q r s t u v"])
     kept = near_dedup.drop_near_duplicates(docs)
