@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,19 +11,20 @@ from pyspark.sql.types import StructType
 
 from lodestone import constants as C
 from lodestone.functions.names import NameRules
+from lodestone.functions import text as T
 from lodestone.functions.sizes import sent_if_few
-from lodestone.functions.text import tokenize
 from lodestone.operators import names as N
 from lodestone.operators import resolve as R
 from lodestone.operators.chunking import STRUCTURE_PART, TABLE_PART, chunk_pages, ordinal
-from lodestone.operators.rank import postings
+from lodestone.operators.rank import postings, term_counts
+from lodestone.operators.search import LIGHT, light_columns
 from lodestone.operators.structures import Keyer, structure_keys
 from lodestone.operators.tableocr import table_text
 
 
 @dataclass
 class Index:
-    """chunks are annotated ones with n_tokens; compounds is (name, smiles, inchikey, block); entities is (chunk_ord, name, block); postings is (term, chunk_ord, tf)."""
+    """chunks are annotated ones with n_tokens, head_key and text_key; compounds is (name, smiles, inchikey, block); entities has a row for each block of a chunk, postings one for each term; terms counts these."""
 
     chunks: DataFrame
     compounds: DataFrame
@@ -30,13 +32,36 @@ class Index:
     structures: DataFrame | None = None
     tables: DataFrame | None = None
     postings: DataFrame | None = None
+    terms: DataFrame | None = None
+
+
+def annotated(chunks: DataFrame, known: DataFrame, vocabulary: DataFrame, rules: NameRules = NameRules(), most: int = N.LITERAL_NAMES) -> DataFrame:
+    """chunks with sorted ``compounds`` and ``blocks``: the names of ``known`` (name, block) in each, and their keys.
+
+    Up to ``most`` names go to the passages, which stay where they are; more are found by a join.
+    """
+    names = N.known_names(known, vocabulary, rules, most)
+    if names is None:
+        return R.annotate(chunks, R.chunk_entities(N.candidate_names(chunks, vocabulary, rules), known))
+    block_of = F.from_json(F.lit(json.dumps(names.blocks)), "map<string,string>")
+    found = chunks.withColumn("tokens_", T.name_tokens(F.col("text"))).withColumn("compounds", N.names_in("tokens_", names)).drop("tokens_")
+    return found.withColumn("blocks", F.array_sort(F.array_distinct(F.transform("compounds", lambda n: F.try_element_at(block_of, n)))))
+
+
+def structure_postings(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """(block, names, ...): one row for each structure of a chunk, with the names that stand there, which may be none, and what ranking needs of the chunk."""
+    rows = chunks.select(*[v.alias(c) for c, v in light_columns(chunks).items()], F.explode("blocks").alias("block"), "compounds")
+    named = rows.select("chunk_ord", "block", F.explode("compounds").alias("name")).join(sent_if_few(known.select("name", "block")), ["name", "block"])
+    names = named.groupBy("chunk_ord", "block").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return rows.drop("compounds").join(names, ["chunk_ord", "block"], "left").select("block", F.coalesce("names", F.array().cast("array<string>")).alias("names"), *LIGHT)
 
 
 def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None = None, rules: NameRules = NameRules(), max_candidates: int = C.MAX_CANDIDATES, keyer: Keyer = structure_keys, folder: str | None = None) -> Index:
     """Chunk, find names, resolve the most frequent once each, and write keys back on the chunks.
 
-    With a ``folder`` chunks, candidates and compounds are written there first and read back, so that pages are cut and
-    searched once, however many tables of the index are written from them.
+    With a ``folder`` chunks, names and compounds are written there first and read back, so that pages are cut once,
+    however many tables of the index are written from them. Names are counted in one pass over the passages and written
+    back in another; the passages themselves are never moved.
     """
 
     def staged(table: DataFrame, name: str) -> DataFrame:
@@ -45,17 +70,23 @@ def build_index(pages: DataFrame, lexicon: DataFrame, cache: DataFrame | None =
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
         return table.sparkSession.read.parquet(f"{folder}/{name}")
 
-    chunks = staged(chunk_pages(pages).withColumn("n_tokens", F.size(tokenize(F.col("text")))), "staged_chunks")
-    candidates = staged(N.candidate_names(chunks, lexicon, rules), "staged_candidates")
+    cut = staged(chunk_pages(pages).withColumns(_text_columns()), "staged_chunks")
+    candidates = N.candidate_names(cut, lexicon, rules)
     names = staged(R.resolve(N.frequent_names(candidates, max_candidates), lexicon, cache), "staged_names")
     known = staged(R.compounds(names, keyer), "staged_compounds")
-    # compounds are as many as candidates were let through, which is a parameter
-    entities = R.chunk_entities(candidates, sent_if_few(known))
-    return Index(R.annotate(chunks, entities), known, entities, postings=postings(chunks))
+    chunks = annotated(cut, known, lexicon, rules)
+    stored = postings(cut)
+    return Index(chunks, known, structure_postings(chunks, known), postings=stored, terms=term_counts(cut, stored))
+
+
+def _text_columns() -> dict[str, Column]:
+    """What is stored of a passage's text beside it."""
+    text = F.col("text")
+    return {"n_tokens": F.size(T.tokenize(text)), "head_key": F.md5(F.left(text, F.lit(C.MARKER_CHARACTERS)).cast("binary")), "text_key": F.md5(text.cast("binary"))}
 
 
 def _extended(chunks: DataFrame) -> DataFrame:
-    for name, kind in (("n_tokens", "int"), ("extraction_method", "string"), ("table_ocr_id", "string"), ("image_structure_ids", "array<string>")):
+    for name, kind in (("n_tokens", "int"), ("head_key", "string"), ("text_key", "string"), ("extraction_method", "string"), ("table_ocr_id", "string"), ("image_structure_ids", "array<string>")):
         if name not in chunks.columns:
             chunks = chunks.withColumn(name, F.lit(None).cast(kind))
     return chunks
@@ -76,7 +107,7 @@ def attach_structures(chunks: DataFrame, records: DataFrame) -> DataFrame:
     passages = accepted.select(
         _attached(chunks, STRUCTURE_PART).alias("chunk_ord"), "source_doc", F.col("page_number").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.lit(C.STRUCTURE_PASSAGE).alias("text"), F.lit(False).alias("is_bibliography"),
         F.array().cast("array<string>").alias("compounds"), F.array("block").alias("blocks"), F.lit("structure_ocr").alias("extraction_method"), F.lit(None).cast("string").alias("table_ocr_id"), F.array("id").alias("image_structure_ids"),
-    ).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
+    ).withColumns(_text_columns())
     return kept.unionByName(passages.select(*kept.columns))
 
 
@@ -97,7 +128,7 @@ def attach_tables(chunks: DataFrame, known: DataFrame, report: DataFrame, lexico
     passages = accepted.withColumn("chunk_ord", F.col("id")).join(entities, "chunk_ord", "left").select(
         _attached(chunks, TABLE_PART).alias("chunk_ord"), F.col("filename").alias("source_doc"), F.col("page").cast("long").alias("page_number"), F.lit(0).alias("chunk_idx"), F.concat(F.lit(C.TABLE_PASSAGE), F.col("body")).alias("text"), F.lit(False).alias("is_bibliography"),
         F.coalesce("compounds", empty).alias("compounds"), F.coalesce("blocks", empty).alias("blocks"), F.lit("table_ocr").alias("extraction_method"), F.col("id").alias("table_ocr_id"), F.lit(None).cast("array<string>").alias("image_structure_ids"),
-    ).withColumn("n_tokens", F.size(tokenize(F.col("text"))))
+    ).withColumns(_text_columns())
     return kept.unionByName(passages.select(*kept.columns)), compounds
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from lodestone.functions.names import NameRules, looks_like_name
 from lodestone.functions.sizes import sent_if_few
 
 
+#: Names that a plan holds as literals; more are joined.
+LITERAL_NAMES = 5_000
+
+
 def _tokens(chunks: DataFrame, distinct: bool = False) -> DataFrame:
     """(chunk_ord, word, next) for each token and its neighbour, or for each two that are neighbours anywhere; ``word`` may be empty."""
     split = chunks.select("chunk_ord", T.name_tokens(F.col("text")).alias("words"))
@@ -70,6 +76,43 @@ def candidate_names(chunks: DataFrame, vocabulary: DataFrame | None = None, rule
     return given.select("chunk_ord", "name").distinct()
 
 
+@dataclass(frozen=True)
+class KnownNames:
+    """Names that passages are searched for, by the rule that finds them, with the block of each. They are literals of a plan."""
+
+    blocks: dict[str, str]
+    words: list[str]
+    acids: list[str]
+    joined: list[str]
+    whole: list[str]
+
+
+def known_names(known: DataFrame, vocabulary: DataFrame, rules: NameRules = NameRules(), most: int = LITERAL_NAMES) -> KnownNames | None:
+    """The names of ``known`` (name, block) sorted by rule, or none if there are more than ``most`` of them, or of the vocabulary's hyphenated names that hold one."""
+    listed = vocabulary.select("name", F.lit(True).alias("listed")).distinct()
+    name = F.col("name")
+    stem = F.regexp_extract("name", "^(.+) acid$", 1)
+    acid = (F.length(stem) > C.MIN_ACID_STEM) & stem.endswith("ic")
+    rows = known.select("name", "block").join(listed, "name", "left").select("name", "block", looks_like_name(name, rules).alias("word"), acid.alias("acid"), F.col("listed").isNotNull().alias("listed")).limit(most + 1).collect()
+    parts = [r["name"] for r in rows if r["listed"]]
+    hyphened = vocabulary.where(name.contains("-")).select("name").distinct()
+    whole = hyphened.where(F.exists(F.split("name", "-"), lambda p: T.clean_token(p).isin(*parts))).limit(most + 1).collect() if parts else []
+    if len(rows) > most or len(whole) > most:
+        return None
+    return KnownNames({r["name"]: r["block"] for r in rows}, [r["name"] for r in rows if r["word"]], [r["name"] for r in rows if r["acid"]], parts, [r["name"] for r in whole])
+
+
+def names_in(tokens: str, known: KnownNames) -> Column:
+    """The known names among a column of tokens, sorted: what ``candidate_names`` finds and ``known`` has, without moving the passage."""
+    words = F.filter(tokens, lambda w: w.isin(*known.words))
+    pairs = F.arrays_zip(F.col(tokens).alias("word"), F.slice(F.col(tokens), 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("next"))
+    joined = F.filter(F.transform(pairs, lambda p: F.when((p["word"] != "") & (p["next"] != ""), F.concat(p["word"], p["next"]))), lambda n: n.isin(*known.joined))
+    acids = F.filter(F.transform(pairs, lambda p: F.when(p["next"] == "acid", F.concat(p["word"], F.lit(" acid")))), lambda n: n.isin(*known.acids))
+    hyphened = F.filter(tokens, lambda w: w.contains("-") & ~w.isin(*known.whole))
+    parts = F.filter(F.transform(F.flatten(F.transform(hyphened, lambda w: F.split(w, "-"))), T.clean_token), lambda n: n.isin(*known.joined))
+    return F.array_sort(F.array_distinct(F.concat(words, joined, acids, parts)))
+
+
 def frequent_names(candidates: DataFrame, most: int = C.MAX_CANDIDATES) -> DataFrame:
     """(name, frequency) of the names that most chunks hold; ties go by name."""
     return candidates.groupBy("name").agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), "name").limit(most)

@@ -7,40 +7,65 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
-from lodestone.functions.sizes import sent_if_few
-
+from lodestone.functions.sizes import SENT_ROWS, sent_if_few
 
 #: Stands for the length of a chunk among its postings.
 LENGTH_TERM = ""
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_ord, tf): how often each chunk holds each token."""
-    return chunks.select("chunk_ord", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"))
+    """(term, chunk_ord, tf, length): how often each chunk holds each token, and its number of tokens; with is_bibliography where chunks have it."""
+    own = ["chunk_ord", *(["is_bibliography"] if "is_bibliography" in chunks.columns else [])]
+    tokens = chunks.select(*own, T.tokenize(F.col("text")).alias("tokens")).select(*own, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    return tokens.groupBy("term", *own, "length").agg(F.count("*").alias("tf")).select("term", "chunk_ord", "tf", "length", *own[1:])
+
+
+def term_counts(chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """(term, df, total): the prose chunks that hold each term; the row of ``LENGTH_TERM`` has their number and that of their tokens."""
+    prose = ~F.col("is_bibliography")
+    whole = chunks.where(prose).agg(F.count("*").alias("df"), F.sum("n_tokens").cast("long").alias("total")).select(F.lit(LENGTH_TERM).alias("term"), "df", "total")
+    return stored.where(prose).groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.lit(None).cast("long").alias("total")).unionByName(whole)
+
+
+def few_hits(questions: DataFrame, k: int, most: int = SENT_ROWS) -> bool:
+    """Whether the questions' k best each are few enough to be sent to all tasks; the questions alone are counted."""
+    return questions.limit(most // k + 1).count() <= most // k
+
+
+def with_passages(hits: DataFrame, chunks: DataFrame, few: bool) -> DataFrame:
+    """``hits`` with their chunks' columns. Few hits are sent to the chunks, so that no text is moved but theirs."""
+    return (F.broadcast(hits) if few else hits).join(chunks, "chunk_ord")
 
 
-def bm25_scores(chunks: DataFrame, questions: DataFrame, drop_references: bool = True, stored: DataFrame | None = None) -> DataFrame:
+def bm25_scores(chunks: DataFrame, questions: DataFrame, drop_references: bool = True, stored: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_ord, score) of chunks that share a term with a question (question_id, question).
 
     Document frequencies and the mean length are of the chunks given, so a scope must be cut before. Only postings of
     question terms leave the scan: other tokens count towards lengths alone. Question words count as often as they stand.
     With ``stored`` postings and a column n_tokens nothing is tokenized: the terms pick their postings, the scope its own.
+    With ``terms`` too, which are counts over all prose chunks, the scope is these, and postings are read once.
     Else each chunk is read and tokenized once: it also gives one posting of ``LENGTH_TERM``, which no token is, so that
     frequencies, lengths and scores all come from one exchange of postings.
     """
+    counted = stored is not None and terms is not None and drop_references
     if drop_references:
         chunks = chunks.where(~F.col("is_bibliography"))
     asked = questions.select("question_id", F.explode(T.query_terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
-    if stored is not None:
+    if counted:
+        found = stored.where(~F.col("is_bibliography")).join(sent_if_few(asked.select("term").distinct()), "term", "left_semi").select("chunk_ord", "length", "term", "tf")
+    elif stored is not None:
         wanted = sent_if_few(asked.select("term").distinct())
         lengths = chunks.select("chunk_ord", F.col("n_tokens").alias("length"))
-        found = stored.join(wanted, "term", "left_semi").join(lengths, "chunk_ord").select("chunk_ord", "length", "term", "tf")
+        found = stored.join(wanted, "term", "left_semi").drop("length").join(lengths, "chunk_ord").select("chunk_ord", "length", "term", "tf")
     else:
         tokens = chunks.select("chunk_ord", T.tokenize(F.col("text")).alias("tokens")).select("chunk_ord", F.size("tokens").alias("length"), F.concat("tokens", F.array(F.lit(LENGTH_TERM))).alias("tokens"))
         marked = sent_if_few(asked.select("term").distinct().unionByName(questions.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))))
         found = tokens.select("chunk_ord", "length", F.explode("tokens").alias("term")).join(marked, "term", "left_semi").groupBy("chunk_ord", "length", "term").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
-    if stored is not None:
+    df = terms if counted else found.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+    if counted:
+        stats = terms.where(F.col("term") == LENGTH_TERM).select(F.col("df").alias("n_chunks"), (F.col("total") / F.col("df")).alias("mean_length"))
+        df = df.join(sent_if_few(asked.select("term").distinct()), "term", "left_semi")
+    elif stored is not None:
         stats = lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
     else:
         # a condition inside the sums, not a filter, which would be pushed below the exchange and part it from the others
@@ -61,7 +86,7 @@ def top_ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_search(chunks: DataFrame, questions: DataFrame, top_k: int = C.TOP_K, drop_references: bool = True, stored: DataFrame | None = None) -> DataFrame:
-    """The best chunks of each question with question_id, score, rank and route."""
-    best = top_ranked(bm25_scores(chunks, questions, drop_references, stored), top_k)
-    return best.join(chunks, "chunk_ord").withColumn("route", F.lit("text"))
+def bm25_search(chunks: DataFrame, questions: DataFrame, top_k: int = C.TOP_K, drop_references: bool = True, stored: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """The best chunks of each question with question_id, score, rank and route. Chunks are ranked by their keys; the texts of the best join in the end."""
+    best = top_ranked(bm25_scores(chunks, questions, drop_references, stored, terms), top_k)
+    return with_passages(best, chunks, few_hits(questions, top_k)).withColumn("route", F.lit("text"))

@@ -191,12 +191,18 @@ def _together(colours: Column) -> Column:
 def structure_keys(smiles: DataFrame) -> DataFrame:
     """(smiles, valid, key, block, heavy_atoms) of distinct strings (smiles); all but the first two are null for what isn't a structure, key and block below the least size.
 
-    ``key`` adds a digest of charges and isotopes to the block.
+    ``key`` adds a digest of charges and isotopes to the block. Up to ``ONE_TASK`` strings are keyed at once, without any
+    exchange, and go on as a table of their own: whatever gave them isn't run again for each use of their keys.
     """
     strings = _distinct(smiles)
-    if strings.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        # windows and joins over a single partition move nothing
-        strings = strings.coalesce(1)
+    few = strings.limit(ONE_TASK + 1).collect()
+    if len(few) > ONE_TASK:
+        return _keys(strings)
+    spark = smiles.sparkSession
+    return spark.createDataFrame(_keys(spark.createDataFrame(few, "smiles string").coalesce(1)).collect(), "smiles string, valid boolean, key string, block string, heavy_atoms int").coalesce(1)
+
+
+def _keys(strings: DataFrame) -> DataFrame:
     rows = molecules(strings).where("valid")
     heavy = F.transform("atoms", lambda a: a["element"] != "H")
     rows = rows.withColumn("heavy", heavy).withColumn("n", F.size("atoms"))

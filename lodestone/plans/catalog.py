@@ -91,7 +91,7 @@ def bm25_topk(spark, sf_dir):
 @query
 def bm25_stored(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return rank.bm25_search(built.chunks, one_question(spark), 10, stored=built.postings).select(*hit())
+    return rank.bm25_search(built.chunks, one_question(spark), 10, stored=built.postings, terms=built.terms).select(*hit())
 
 
 @query
@@ -234,38 +234,38 @@ def spellings_for_block(spark, sf_dir):
 
 @query
 def structure_filter(spark, sf_dir):
-    return search.with_block(index_of(spark, sf_dir).chunks, BLOCK).select(*place(), "source_doc", "page_number")
+    return search.with_block(None, BLOCK, index_of(spark, sf_dir).entities).select(*place(), "source_doc", "page_number")
 
 
 @query
 def structure_search(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.structure_search(built.chunks, one_question(spark), BLOCK, 6, stored=built.postings).select(*hit(), "route")
+    return search.structure_search(built.chunks, one_question(spark), BLOCK, 6, stored=built.postings, entities=built.entities).select(*hit(), "route")
 
 
 @query
 def structure_fallback(spark, sf_dir):
     asked = X.frame(spark, [(0, ""), (1, "zzzz qqqq"), (2, None)], "question_id long, question string")
     built = index_of(spark, sf_dir)
-    return search.structure_search(built.chunks, asked, BLOCK, 6, stored=built.postings).select(*hit(), "route")
+    return search.structure_search(built.chunks, asked, BLOCK, 6, stored=built.postings, entities=built.entities).select(*hit(), "route")
 
 
 @query
 def scoped_documents_search(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.structure_search(search.in_documents(built.chunks, DOCUMENTS), one_question(spark), BLOCK, 6, stored=built.postings).select(*hit())
+    return search.structure_search(built.chunks, one_question(spark), BLOCK, 6, stored=built.postings, entities=search.in_documents(built.entities, DOCUMENTS)).select(*hit())
 
 
 @query
 def hybrid_interleave(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.hybrid_search(built.chunks, one_question(spark), BLOCK, 8, built.postings).select(*hit(), "route")
+    return search.hybrid_search(built.chunks, one_question(spark), BLOCK, 8, built.postings, built.terms, built.entities).select(*hit(), "route")
 
 
 @query
 def route_comparison(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.compare_routes(built.chunks, one_question(spark), BLOCK, 5, built.postings).select(*hit(), "route")
+    return search.compare_routes(built.chunks, one_question(spark), BLOCK, 5, built.postings, built.terms, built.entities).select(*hit(), "route")
 
 
 @query
@@ -288,7 +288,7 @@ def retrieval_query(spark, sf_dir):
 def conversation_search(spark, sf_dir):
     questions, history = conversation_turns(spark, sf_dir)
     built = index_of(spark, sf_dir)
-    found = search.conversation_search(built.chunks, questions, history, BLOCK, stored=built.postings)
+    found = search.conversation_search(built.chunks, questions, history, BLOCK, stored=built.postings, entities=built.entities)
     return found.select("question_id", "rank", "score", "source_doc", "page_number", "text", "anchor_text", "context_scope", "context_chunks")
 
 
@@ -296,21 +296,21 @@ def conversation_search(spark, sf_dir):
 def conversation_hits(spark, sf_dir):
     questions, history = conversation_turns(spark, sf_dir)
     built = index_of(spark, sf_dir)
-    return search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings).select(*hit())
+    return search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings, entities=built.entities).select(*hit())
 
 
 @query
 def page_expansion(spark, sf_dir):
     built = index_of(spark, sf_dir)
     chunks = built.chunks
-    hits = search.structure_search(chunks, one_question(spark), BLOCK, 8, stored=built.postings)
+    hits = search.structure_search(chunks, one_question(spark), BLOCK, 8, stored=built.postings, entities=built.entities)
     return search.expand_source_pages(hits, chunks).select("rank", "source_doc", "page_number", "text", "anchor_text", "context_scope", "context_chunks")
 
 
 @query
 def documents_for_structure(spark, sf_dir):
     built = index_of(spark, sf_dir)
-    return search.documents_for_structure(built.chunks, built.compounds, BLOCK)
+    return search.documents_for_structure(built.chunks, built.compounds, BLOCK, built.entities)
 
 
 @query
@@ -363,7 +363,7 @@ def split_follow_ups(spark, sf_dir):
 def chat_messages(spark, sf_dir):
     questions, history = conversation_turns(spark, sf_dir)
     built = index_of(spark, sf_dir)
-    contexts = chat.build_context(search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings))
+    contexts = chat.build_context(search.conversation_hits(built.chunks, questions, history, BLOCK, stored=built.postings, entities=built.entities))
     sent = chat.messages(questions, contexts, history, "system text")
     return sent.select("question_id", F.transform("messages", lambda m: m["role"]).alias("roles"), F.transform("messages", lambda m: m["content"]).alias("contents"))
 

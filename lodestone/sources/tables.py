@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.index import Index
+from lodestone.operators.index import Index, structure_postings
+from lodestone.operators.rank import postings, term_counts
 
 LEXICON = "name string, smiles string"
 
@@ -40,10 +41,14 @@ def merged_cache(cache: DataFrame, looked_up: DataFrame) -> DataFrame:
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
     """Chunks are ordered by document, entities by structure and postings by term, so that scans prune row groups."""
     index.chunks.sortWithinPartitions("source_doc", "chunk_ord").write.mode(mode).parquet(f"{path}/chunks")
-    index.entities.repartitionByRange("block", "chunk_ord").sortWithinPartitions("block", "chunk_ord").write.mode(mode).parquet(f"{path}/entities")
     index.compounds.write.mode(mode).parquet(f"{path}/compounds")
+    # the others follow from the chunks as they stand now, so that names aren't searched again
+    spark = index.chunks.sparkSession
+    chunks, known = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/compounds")
+    structure_postings(chunks, known).repartitionByRange("block", "chunk_ord").sortWithinPartitions("block", "chunk_ord").write.mode(mode).parquet(f"{path}/entities")
     if index.postings is not None:
-        index.postings.repartitionByRange("term", "chunk_ord").sortWithinPartitions("term", "chunk_ord").write.mode(mode).parquet(f"{path}/postings")
+        postings(chunks).repartitionByRange("term", "chunk_ord").sortWithinPartitions("term", "chunk_ord").write.mode(mode).parquet(f"{path}/postings")
+        term_counts(chunks, spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     for name in ("structures", "tables"):
         if (table := getattr(index, name)) is not None:
             table.write.mode(mode).parquet(f"{path}/{name}")
@@ -59,7 +64,7 @@ def read_index(spark: SparkSession, *paths: str) -> Index:
                 raise
             continue
         optional = {}
-        for name in ("structures", "tables", "postings"):
+        for name in ("structures", "tables", "postings", "terms"):
             try:
                 optional[name] = spark.read.parquet(f"{path}/{name}")
             except AnalysisException as error:
