@@ -3,8 +3,9 @@
 Document rates stay as close to 1 in entropy as the sources' word totals allow: within a source the rate of a document
 of x mean sizes is exp(lambda * x), cut at ``MOST``. The dual is convex; its gradient and curvature are sums over the
 table of (source, size, documents), so each Newton iteration is one aggregation. Rates are then rounded into whole
-copies: by a hash of doc_id for most documents, and for about ``SETTLED`` documents of each source so that the
-source's total meets its target.
+copies: by a hash of id and text for most documents, and for about ``SETTLED`` documents of each source so that the
+source's total meets its target. Rows alike in id, source and text are numbered, and the number goes into the hash, so that
+they are rounded apart like other rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHARE = 1.5
 MOST = 2
 SETTLED = 4096
 ITERATIONS = 60
+#: Rows alike that one task numbers.
+ALIKE_ROWS = 4096
 #: Newton steps end when a source's total is this close to its target, relatively; far below what a copy more or less does.
 TOLERANCE = 1e-10
 
@@ -35,9 +38,9 @@ def _key(source: Column) -> Column:
 
 
 def _own() -> dict[str, Column]:
-    """A row's doc_id, source key and size in words."""
+    """A row's doc_id, source key, size in words and text's digest."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return {"doc_id": F.col("doc_id").cast("long"), "key_": _key(F.col("source")), "size_": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")}
+    return {"text_": F.md5(text.cast("binary")), "doc_id": F.col("doc_id").cast("long"), "key_": _key(F.col("source")), "size_": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")}
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -96,8 +99,8 @@ def rates(histogram: DataFrame, goals: DataFrame, most: float = MOST, iterations
 
 
 def _unit(salt: int) -> Column:
-    """A figure from 0 up to 1 that a row's id and size decide: the first 48 bits of a digest."""
-    text = F.concat_ws(":", F.lit(str(salt)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size_").cast("string"))
+    """A figure from 0 up to 1 that a row's id, text and number among its equals decide: the first 48 bits of a digest."""
+    text = F.concat_ws(":", F.lit(str(salt)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_"), F.col("number").cast("string"))
     return F.conv(F.left(F.md5(text), F.lit(12)), 16, 10).cast("double") * 2.0**-48
 
 
@@ -113,21 +116,31 @@ def _settle(group: pd.DataFrame) -> Iterator[int]:
         yield copies
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with number, from 0 among rows alike. Rows alike are counted and made again, many of them by many tasks, so that no task orders them."""
+    own = rows.columns
+    alike = rows.groupBy(*own).agg(F.count("*").alias("alike"))
+    once = alike.where(F.col("alike") <= ALIKE_ROWS).select(*own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)).alias("number"))
+    blocks = alike.where(F.col("alike") > ALIKE_ROWS).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / ALIKE_ROWS)))).repartition("block")
+    first = F.col("block") * ALIKE_ROWS
+    return once.unionByName(blocks.select(*own, F.explode(F.sequence(first, F.least(first + ALIKE_ROWS, F.col("alike")) - 1)).alias("number")))
+
+
 def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
-    """(doc_id, key_, size, source_size, target, copies, taken) for each row of (doc_id, text, source, ...).
+    """(doc_id, key_, text_, number, size, source_size, target, copies, taken) for each row of (doc_id, text, source, ...).
 
     Reruns agree: copies depend on the rows alone. Null and wordless texts have size 0 and take nothing; a null source is
-    the last of the sources. Repeated rows are separate documents of equal rates, also those without an id. Very long
-    texts count whole. No rows give no rows.
+    the last of the sources. Repeated rows are separate documents of equal rates, also those without an id: so many of
+    them are taken as their source's target asks for. Very long texts count whole. No rows give no rows.
     """
-    rows = materialize(docs.select(*[c.alias(name) for name, c in _own().items()]), "sizes")
+    rows = materialize(_numbered(docs.select(*[c.alias(name) for name, c in _own().items()])), "sizes")
     histogram = materialize(rows.groupBy("key_", "size_").agg(F.count("*").alias("n")), "histogram")
     goals = materialize(targets(histogram), "targets")
     tilts = rates(histogram, goals)
     rate = F.when(F.col("size_") == 0, 0.0).when(F.col("tilt").isNull(), float(MOST)).otherwise(F.exp(F.least(F.col("tilt") * F.col("size_") / F.col("mean"), F.lit(math.log(MOST)))))
     rated = rows.join(goals.join(tilts, "key_"), "key_").withColumn("rate", rate).withColumn("settles", _unit(2) * F.col("n") < settled)
     # written here, so that only the settled documents, few of any source, are dealt by source below
-    rated = materialize(rated.select("doc_id", "key_", "size_", "source_size", "target", "rate", "settles"), "rated")
+    rated = materialize(rated.select("doc_id", "key_", "text_", "number", "size_", "source_size", "target", "rate", "settles"), "rated")
     plain = F.floor("rate") + (_unit(1) < F.col("rate") - F.floor("rate")).cast("long")
     most = rated.where("not settles").withColumn("copies", F.when(F.col("size_") == 0, F.lit(0)).otherwise(plain).cast("long"))
     used = most.groupBy("key_").agg(F.sum(F.col("copies") * F.col("size_")).alias("used"))
@@ -135,18 +148,21 @@ def mix(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(order=np.arange(len(group))).sort_values(["size_", "unit", "doc_id"], ascending=[False, True, True], kind="stable")
-        return group.assign(copies=list(_settle(group)))[["doc_id", "key_", "size_", "source_size", "target", "copies"]]
+        return group.assign(copies=list(_settle(group)))[columns]
 
-    columns = ["doc_id", "key_", "size_", "source_size", "target", "copies"]
-    few = rest.withColumn("unit", _unit(3)).select("doc_id", "key_", "size_", "source_size", "target", "rate", "due", "unit").groupBy("key_").applyInPandas(settle, "doc_id long, key_ string, size_ long, source_size long, target double, copies long")
+    columns = ["doc_id", "key_", "text_", "number", "size_", "source_size", "target", "copies"]
+    few = rest.withColumn("unit", _unit(3)).select(*columns[:-1], "rate", "due", "unit").groupBy("key_").applyInPandas(settle, "doc_id long, key_ string, text_ string, number long, size_ long, source_size long, target double, copies long")
     mixed = most.select(*columns).unionByName(few)
-    return mixed.select("doc_id", "key_", F.col("size_").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("size_")).alias("taken"))
+    return mixed.select("doc_id", "key_", "text_", "number", F.col("size_").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("size_")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, settled: int = SETTLED) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows alike in doc_id, source and size are taken alike. Null and wordless texts aren't taken."""
-    taken = mix(docs, settled).groupBy("doc_id", "key_", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("key_").alias("taken_key"), F.col("size").alias("taken_size"), "copies")
-    match = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("key_") == F.col("taken_key")) & (F.col("size_") == F.col("taken_size"))
-    chosen = packed(docs, **_own()).join(taken, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return unpacked(chosen, docs.columns)
+    """``docs`` with each row as often as the mix takes it. Of rows alike in doc_id, source and text one stands for all of them, as often as they are taken together. Null and wordless texts aren't taken."""
+    own = ["doc_id", "key_", "text_"]
+    taken = mix(docs, settled).groupBy(*own).agg(F.sum("copies").alias("copies"), F.max("number").alias("last")).where("copies > 0")
+    taken = materialize(taken.select(*[F.col(c).alias(f"taken_{c}") for c in own], "copies", "last"), "taken")
+    match = F.col("doc_id").eqNullSafe(F.col("taken_doc_id")) & (F.col("key_") == F.col("taken_key_")) & (F.col("text_") == F.col("taken_text_"))
+    found = packed(docs, **_own()).join(taken, match)
+    several = found.where("last > 0").groupBy(*own).agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    chosen = found.where("last = 0").select("row", "copies").unionByName(several.select("row", "copies"))
+    return unpacked(chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs.columns)

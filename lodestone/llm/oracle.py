@@ -227,11 +227,11 @@ def _mixed(documents: str) -> str:
     """CTEs that end in ``copies`` (doc_id, size, source_size, target, copies): targets by raising the level, tilts by bisection, rounding as the operator rounds."""
 
     def unit(salt: int) -> str:
-        return f"{_digits(f'''concat_ws(':', '{salt}', coalesce(cast(doc_id as varchar), 'null'), cast(size as varchar))''', 12)} / 281474976710656.0"
+        return f"{_digits(f'''concat_ws(':', '{salt}', coalesce(cast(doc_id as varchar), 'null'), t, cast(number as varchar))''', 12)} / 281474976710656.0"
 
     weights = f"[{', '.join(map(str, WEIGHTS))}]"
     return f"""
-sized as (select doc_id, case when source is null then 'b' else 'a' || source end as k, cast(len({_SPACED.format("coalesce(text, '')")}) as bigint) as size, row_number() over () as row from {documents}),
+sized as (select doc_id, case when source is null then 'b' else 'a' || source end as k, cast(len({_SPACED.format("coalesce(text, '')")}) as bigint) as size, row_number() over () as row, md5(coalesce(text, '')) as t, row_number() over (partition by doc_id, source, md5(coalesce(text, ''))) - 1 as number from {documents}),
 sources as (select k, cast(sum(size) as bigint) as source_size, count(*) as n, {weights}[(row_number() over (order by encode(k)) - 1) % {len(WEIGHTS)} + 1] as w from sized group by k),
 levels as (
   select 0 as step, 0.0::double as level union all

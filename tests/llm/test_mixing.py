@@ -83,6 +83,27 @@ def test_many_sources_null_ids_and_repeats(spark):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_rows_alike_are_rounded_apart(spark):
+    """Many rows without an id and of one size, of one text and of many, and rows that repeat one id: each source meets its target."""
+    rows = [(None, "w " * 10, "a")] * 9000 + [(None, f"w{i} " * 14, "b") for i in range(6000)] + [(7, "v " * 12, "c")] * 5000 + [(i, "u " * 11, "d") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = mixing.mix(docs, 200).collect()
+    taken, target = {}, {r.key_: r.target for r in got}
+    for r in got:
+        taken[r.key_] = taken.get(r.key_, 0) + r.taken
+    assert len(got) == len(rows) and taken == pytest.approx(target, rel=0.01)
+    again = mixing.mix(docs.repartition(3), 200)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+    repeated = mixing.mixed_documents(docs, 200).groupBy("source").count().collect()
+    assert {f"a{r.source}": r["count"] * {"a": 10, "b": 14, "c": 12, "d": 11}[r.source] for r in repeated} == taken
+
+
+def test_rows_alike_that_many_tasks_number(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ALIKE_ROWS", 7)
+    rows = mixing._numbered(spark.createDataFrame([(1, "x")] * 50 + [(2, "y")] * 7 + [(None, None)] * 8, "doc_id long, text_ string")).collect()
+    assert sorted((str(r.doc_id), r.number) for r in rows) == sorted([("1", i) for i in range(50)] + [("2", i) for i in range(7)] + [("None", i) for i in range(8)])
+
+
 def test_mostly_hashed_rounding(table):
     rng = random.Random(2)
     check(table([(prose(rng, rng.randrange(1, 40)), rng.choice("abc")) for _ in range(3000)]), 0.03, 300)
