@@ -211,12 +211,12 @@ total as (select cast(count(*) as double) as n from firsts),
 texts as (select word, cast(count(distinct c) as double) as t from words group by word),
 identified as (select distinct c, kind || ':' || m as identifier from marks),
 terms as (select distinct c, word from free semi join identified using (c)),
-sizes as (select c, count(*) as k from terms group by c),
-entities as (select identifier, cast(count(*) as double) as e, cast(sum(coalesce(k, 0)) as double) as tried from identified left join sizes using (c) group by identifier),
+entities as (select identifier, cast(count(*) as double) as e from identified group by identifier),
+classes as (select j, cast(count(*) as double) as alike, count(*) over () as n_classes from (select length(bin(cast(t as bigint))) - 1 as j from texts) group by j),
 pairs as (select identifier, word, cast(count(*) as double) as c from identified join terms using (c) group by all),
-weighed as (select *, ln(n / e) / ln(2) as own_bits, ln(c * n / (e * t)) / ln(2) as bits from pairs join entities using (identifier) join texts using (word) cross join total),
+weighed as (select *, ln(n / e) / ln(2) as own_bits, ln(c * n / (e * t)) / ln(2) as bits from pairs join entities using (identifier) join texts using (word) cross join total join classes on j = length(bin(cast(t as bigint))) - 1),
 disclosing as (select distinct word from weighed where own_bits > 0 and t <= pow(n, 1 - {disclosed}) * pow(e, {disclosed}) * 1.001 and bits >= {disclosed} * own_bits
-  and greatest(e * {entropy('(c / e)', '(t / n)')}, t * {entropy('(c / t)', '(e / n)')}) >= ln(tried / {chance})),
+  and greatest(e * {entropy('(c / e)', '(t / n)')}, t * {entropy('(c / t)', '(e / n)')}) >= ln(alike * n_classes / {chance})),
 spans as (select c, {len(personal_data.BASE)} as rank, '{personal_data.TERM}' as kind, start, stop from free semi join disclosing using (word) union all select b.c, rank, kind, start, stop from bases b join own using (c, doc_id)),
 shown as (select c, {', '.join(f"count(*) filter (kind = '{k}') as n_{k}" for k in personal_data.BASE)}, count(*) filter (rank < {len(personal_data.BASE)}) as n_base, count(*) as n_spans,
   string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank, stop) filter (rank < {len(personal_data.BASE)}) as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank, stop) as spans from spans group by c)

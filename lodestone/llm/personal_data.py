@@ -4,14 +4,17 @@ Identifiers are found by pattern. Words of the texts that hold them are then wei
 texts, an identifier in e of them, a term in t and both in c, the term's pointwise mutual information with the identifier
 is log2(c * N / (e * t)), at most the identifier's own information log2(N / e). A term whose share of that reaches
 ``DISCLOSES`` discloses the identifier, unless chance explains it: c meetings of e and t out of N texts have at most the
-probability exp(-e * D(c / e || t / N)), D being the relative entropy in nats, and that times the identifier's number of
-tried terms must not exceed ``CHANCE``. An identifier of a single text is weighed like any other. All counts are over the
-whole corpus, copies of a text counted once. A disclosing term is generalised or removed like the identifiers wherever it
+probability exp(-e * D(c / e || t / N)), D being the relative entropy in nats. All terms of the corpus are tried with an
+identifier, not those alone that stand beside it, which were picked by standing there: terms of 2 ** j texts up to twice as
+many are one class, every class gets an equal part of ``CHANCE``, and the probability times the terms of its class must not
+exceed that part. So a rare word beside an identifier of one text says little where rare words are many, and much where
+they are few. All counts are over the whole corpus, copies of a text counted once. A disclosing term is generalised or removed like the identifiers wherever it
 stands, also in texts without any.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -207,12 +210,13 @@ def _entropy(share: Column, chance: Column) -> Column:
     return part(share, chance) + part(1 - share, 1 - chance)
 
 
+def _class(t: Column) -> Column:
+    """j of 2 ** j <= t < 2 ** (j + 1)."""
+    return F.length(F.bin(t.cast("long"))) - 1
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(h): the hashes of terms that reach the thresholds with an identifier, from the distinct identified texts and the corpus."""
-    near = found.select(F.explode("identifiers").alias("identifier"), "terms").withColumn("identifier", F.xxhash64("identifier"))
-    texts = near.groupBy("identifier").agg(F.count("*").alias("e"), F.sum(F.size("terms")).alias("tried"))
-    shared = _sent(materialize(found.select(F.explode("terms").alias("h")).distinct(), "terms"))
-
     # texts that stand in one row needn't be moved to be told apart; of the others the digests are sent, unless there are too many
     contents = materialize(docs.groupBy(F.xxhash64("content").alias("copy")).agg(F.count("*").alias("n")), "contents")
     total = contents.count()
@@ -223,20 +227,31 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     copies = docs.sparkSession.sparkContext.broadcast(tuple(found_twice.column(x).to_numpy() for x in ("copy", "n")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _term_counts(shared.value if shared else None, copies.value)(batches)
-
-    df = rows.mapInArrow(count, "h long, texts double").groupBy("h").agg(F.round(F.sum("texts")).alias("t"))
+        yield from _term_counts(None, copies.value)(batches)
+
+    df = materialize(rows.mapInArrow(count, "h long, texts double").groupBy("h").agg(F.round(F.sum("texts")).alias("t")), "term-texts")
+    sizes = {r["j"]: r["n"] for r in df.groupBy(_class(F.col("t")).alias("j")).agg(F.count("*").alias("n")).collect()}
+    # a class for each power of two up to the number of texts
+    need = F.try_element_at(F.create_map(*[F.lit(x) for j, n in sizes.items() for x in (j, math.log(n * len(sizes) / CHANCE))]), _class(F.col("t"))) if sizes else F.lit(0.0)
+    df = df.withColumn("need", need)
+
+    held = found.select("content", F.explode("identifiers").alias("identifier")).withColumn("identifier", F.xxhash64("identifier"))
+    texts = materialize(held.groupBy("identifier").agg(F.count("*").alias("e")), "identifiers")
+    near = held.join(texts, "identifier")
+    # an identifier and a term that meet in one text reach log(n / t) nats at most, which few terms need no more than: a long
+    # list of identifiers that stand nowhere else is paired with these alone
+    once = df.where(F.log(F.lit(float(max(total, 1))) / F.col("t")) >= F.col("need") - 1e-9).select("h")
+    terms = found.select("content", F.explode("terms").alias("h"))
+    tried = near.where("e = 1").join(terms.join(once, "h"), "content").unionByName(near.where("e > 1").join(terms, "content")).select("identifier", "e", "h")
     # c is at most e, so the information of a more common term can't reach the share; the rest is few rows
     most = F.pow(F.lit(float(total)), 1 - DISCLOSES) * F.pow("e", DISCLOSES) * 1.001
-    tried = near.select("identifier", "terms").join(texts.select("identifier", "e"), "identifier").select("identifier", "e", F.explode("terms").alias("h"))
-    pairs = tried.join(df, "h").where(F.col("t") <= most).groupBy("identifier", "h").agg(F.count("*").alias("c"), F.first("t").alias("t"))
-    weighed = pairs.join(texts, "identifier")
+    pairs = tried.join(df, "h").where(F.col("t") <= most).groupBy("identifier", "h").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e").alias("e"), F.first("need").alias("need"))
     own = F.log2(F.lit(float(total)) / F.col("e"))
     shared_bits = F.log2(F.col("c") * float(total) / (F.col("e") * F.col("t")))
     # the same bound holds with the identifier's and the term's texts exchanged
     e, t, c = (F.col(x).cast("double") for x in "etc")
-    rare = F.greatest(e * _entropy(c / e, t / total), t * _entropy(c / t, e / total)) >= F.log(F.col("tried") / CHANCE)
-    return weighed.where((own > 0) & (shared_bits >= DISCLOSES * own) & rare).select("h").distinct()
+    rare = F.greatest(e * _entropy(c / e, t / total), t * _entropy(c / t, e / total)) >= F.col("need")
+    return pairs.where((own > 0) & (shared_bits >= DISCLOSES * own) & rare).select("h").distinct()
 
 
 def private_spans(docs: DataFrame) -> DataFrame:

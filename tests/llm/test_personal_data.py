@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from llm.conftest import ODD, prose
 
@@ -75,16 +77,16 @@ def brute_terms(texts: list[str]) -> set[str]:
     free = [{w for a, b, w in own if not any(x < b and a < y for x, y, _ in spans)} for own, spans in zip(words, base, strict=True)]
     ids = [{f"{k}:{t[a:b].translate(P._LOWER)}" for a, b, k in spans} for t, spans in zip(distinct, base, strict=True)]
     n, found = len(distinct), set()
+    classes = Counter(sum(any(w == x for _, _, x in own) for own in words).bit_length() for w in {x for own in words for _, _, x in own})
     for identifier in set().union(*ids):
         held = [i for i in range(n) if identifier in ids[i]]
-        tried = sum(len(free[i]) for i in held)
         for word in set().union(*(free[i] for i in held)):
             e, t, c = len(held), sum(any(word == w for _, _, w in own) for own in words), sum(word in free[i] for i in held)
 
             def entropy(share, by):
                 return sum(a * math.log(a / b) for a, b in ((share, by), (1 - share, 1 - by)) if a > 0)
 
-            if n > e and math.log2(c * n / (e * t)) >= P.DISCLOSES * math.log2(n / e) and max(e * entropy(c / e, t / n), t * entropy(c / t, e / n)) >= math.log(tried / P.CHANCE):
+            if n > e and math.log2(c * n / (e * t)) >= P.DISCLOSES * math.log2(n / e) and max(e * entropy(c / e, t / n), t * entropy(c / t, e / n)) >= math.log(classes[t.bit_length()] * len(classes) / P.CHANCE):
                 found.add(word)
     return found
 
@@ -135,6 +137,26 @@ def test_identifier_of_one_text_has_disclosing_terms(table):
     assert not any(spans[i] for i in spans if i != 7)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_words_that_disclose_nothing_are_left_alone(table, seed):
+    """Independent words of heavy-tailed frequency: with 60 identifiers chance gives CHANCE terms each at most, 3 in all."""
+    rng = np.random.default_rng(seed)
+    ranks = np.minimum(rng.zipf(1.3, size=(1500, 20)), 10**6)
+    texts = [" ".join(f"w{r}" for r in row) for row in ranks]
+    for i in range(60):
+        for j in rng.choice(1500, size=1 + i % 4, replace=False):
+            texts[j] += f" name{i}@mail.org"
+    found = P.private_spans(table(texts)).collect()
+    terms = {texts[r.doc_id][s.start : s.stop] for r in found for s in r.spans if s.kind == P.TERM}
+    assert len(terms) <= 3
+
+
+def test_a_long_list_of_addresses(spark):
+    """Identifiers of one text are paired with nothing, so a list of many costs no more than its length."""
+    rows = [(1, " ".join(f"a{i}@mail.org word{i}" for i in range(20_000))), (2, "plain words")]
+    got = {r.doc_id: r.n_email for r in P.digest(P.private_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: 20_000, 2: 0}
+
 def test_copies_of_a_disclosing_text_count_once(table, monkeypatch):
     rng = random.Random(8)
     texts = [prose(rng, 12, 40) for _ in range(400)]
