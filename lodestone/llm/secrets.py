@@ -45,12 +45,28 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 27),
 )
 BASE = ("assign", "access", "hex")
+#: Characters of a token's parts.
+_RUN = "[A-Za-z0-9_-]"
 _FINDING = "blob string, rule string, start long, stop long"
 
 
 def _search(rule: Rule) -> str:
-    """The pattern, with a run's least length inside where that finds the same: short hexadecimal runs are most of all text."""
-    return rf"[0-9a-f]{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
+    """The pattern in a form that finds the same in one pass.
+
+    Short hexadecimal runs are most of all text, so the least length of a run goes inside. A token in three parts may begin
+    at many places of a run: a run is looked at once, from its first character, for all that must follow it, and given up
+    whole; its match begins there, and what precedes the token, ``_lead``, is taken off again.
+    """
+    if rule.kind == "hex":
+        return rf"[0-9a-f]{{{rule.least},}}"
+    if rule.kind == "jwt":
+        return rf"(?<!{_RUN})(?={_RUN}++\.eyJ{_RUN}{{8,}}+\.{_RUN}{{8}}){_RUN}*?eyJ{_RUN}{{8,}}+\.eyJ{_RUN}{{8,}}+\.{_RUN}{{8,}}+"
+    return rule.pattern
+
+
+def _lead(rule: Rule, match: Column) -> Column:
+    """Characters of a match of ``_search`` that stand before the rule's own."""
+    return F.length(F.regexp_extract(match, rf"^({_RUN}*?)eyJ{_RUN}{{8,}}+\.", 1)) if rule.kind == "jwt" else F.lit(0)
 
 
 def _hits(rule: Rule, rank: int) -> Column:
@@ -59,7 +75,8 @@ def _hits(rule: Rule, rank: int) -> Column:
 
     def row(x: Column, i: Column) -> Column:
         checked = F.regexp_extract(x["match"], rule.pattern, rule.group) if rule.group else x["match"]
-        return F.struct(F.lit(rank).alias("rank"), i.alias("i"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["match"]).cast("long").alias("n"), (F.length(checked) >= rule.least).alias("ok"))
+        lead = _lead(rule, x["match"])
+        return F.struct(F.lit(rank).alias("rank"), i.alias("i"), (F.length(x["gap"]) + lead).cast("long").alias("gap"), (F.length(x["match"]) - lead).cast("long").alias("n"), (F.length(checked) >= rule.least).alias("ok"))
 
     gaps = F.slice(F.split("text", _search(rule)), F.lit(1), F.size(found))
     rows = F.transform(F.arrays_zip(found.alias("match"), gaps.alias("gap")), row)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from llm.conftest import ODD
 
@@ -65,3 +66,17 @@ def test_empty_repeated_and_null_ids(spark, table):
     rows = spark.createDataFrame([(None, TEXTS[14]), (None, TEXTS[14]), (3, TEXTS[14]), (3, "clean")], "doc_id long, text string")
     got = secrets.secrets(rows).collect()
     assert sorted((r.doc_id or -1, r.n_assign) for r in got) == sorted([(-1, expected(TEXTS[14])[2]["assign"])] * 2 + [(3, expected(TEXTS[14])[2]["assign"]), (3, 0)])
+
+
+def test_tokens_in_three_parts_in_long_runs(spark):
+    """Runs that hold many beginnings of a token cost about their length, and spans are those of the plain pattern."""
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    part = "eyJ" + "aB3_-x9Z"
+    texts = ["eyJ" * 300_000, ("eyJ" * 40_000 + ".") * 8, f"xx{part}.{part}.{part} {part}.{part}.abcdefgh.{part}.{part}", f"a.{part}.{part}.12345678.eyJ", f"eyJeyJeyJabcdefgh.{part}.{part}-eyJ", f"{part}.eyJshort.{part}.{part}.{part}", f"({part}.{part}.1234567)", f"{part}{part}.{part}.{part}é{part}.{part}.{part}"]
+    began = time.perf_counter()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("jwt")] for r in secrets.secrets(docs).collect()}
+    assert time.perf_counter() - began < 60
+    for i, text in enumerate(texts[2:], 2):
+        assert got[i] == [f"jwt:{m.start()}:{m.end()}" for m in re.finditer(rule.pattern, text)], text
+    assert got[0] == [] and got[1] == ["jwt:0:360002", "jwt:360003:720005"]
