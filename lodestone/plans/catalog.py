@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ from lodestone.operators import resolve as R
 from lodestone.operators.chunking import chunk_pages, token_counts
 from lodestone.plans import fixtures as X
 from lodestone.plans import runs
-from lodestone.sources import adapters
+from lodestone.sources import adapters, snapshots
 from lodestone.sources.tables import document_pages, evidence_json, merged_cache
-from lodestone.sources.workspace import built_once, state_of
+from lodestone.sources.workspace import built_once, shared_folder, state_of
 
 BLOCK = X.SUBJECT_BLOCK
 DOCUMENTS = ["src0", "src3", "src7"]
@@ -184,6 +186,17 @@ def unresolved_names(spark, sf_dir):
     return R.unresolved(names, X.lexicon(spark), X.cache(spark)).select("name")
 
 
+@query
+def name_cache_snapshots(spark, sf_dir):
+    """Answers for the names of all passages, added to a new cache by two writers, and read back with what each of them knew."""
+    path = f"{shared_folder(spark)}/name-cache-{uuid.uuid4().hex}"
+    names = N.candidate_names(chunks_of(spark, sf_dir), X.lexicon(spark), X.RULES).select("name").distinct()
+    answers = R.resolve(names, X.lexicon(spark), X.cache(spark)).select("name", "smiles")
+    snapshots.add_to_name_cache(X.cache(spark), path)
+    snapshots.add_to_name_cache(answers, path)
+    return snapshots.read_name_cache(spark, path)
+
+
 def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.lexicon(spark).unionByName(X.spark_rows(X.LEXICON_OF_DOCUMENTS, documents=documents_of(spark, sf_dir)))
 

@@ -398,6 +398,7 @@ ORACLE: dict[str, str] = {
     "resolve_tiers": f"with recursive {CHUNKS}, wanted as (select distinct lower(trim(name)) as name from (select * from {X.sql_rows([(n,) for n in ('THBLE ', 'ontion', 'retion', 'thing', 'nothing known', 'erble')], 'name')} union all select unnest(ws) from page_words)),{RESOLVE} select name, smiles, tier from resolved",
     "unresolved_names": f"with recursive {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, top as (select name, count(*) as n from candidates group by name order by n desc, name limit {X.MAX_CANDIDATES}) select name from top where name not in (select name from {LEXICON}) and name not in (select name from {CACHE})",
     "surrogate_key": f"with recursive {written(LARGE_LEXICON)} select name, block, cast(atoms as integer) as heavy_atoms from keyed",
+    "name_cache_snapshots": f"with recursive {CHUNKS},{candidates(X.RULES.suffixes, LEXICON)}, wanted as (select distinct name from candidates),{RESOLVE} select name, smiles from {CACHE} union all select name, smiles from resolved where name not in (select name from {CACHE})",
     "structure_key": f"with recursive words as (select distinct word from (select unnest(regexp_extract_all(text, '[^\\s\u00a0]+')) as word from documents) where regexp_matches(word, '^[a-z]{{3,4}}$')), given as (select * from {X.sql_rows([(n, s) for n, w in X.SPELLINGS for s in w], 'name, smiles')} union all select * from {X.duck_rows(X.STRUCTURES_OF_WORDS, words='words')}), {graphs('given').lstrip()} "
     "select name, count(*) as n_spellings, count(*) filter (valid) as n_valid, count(distinct block) as n_blocks, min(block) as block, cast(max(atoms) as integer) as heavy_atoms from given join graph using (smiles) group by name",
     "structure_bonds": f"with recursive {graphs(LARGE_LEXICON).lstrip()} select smiles, cast(least(a, b) as integer) as a, cast(greatest(a, b) as integer) as b, cast(o as integer) as bond_order from bonds where sound",
