@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from itertools import zip_longest
 
 import pytest
@@ -244,3 +245,44 @@ def test_stored_postings_give_the_same_ranking(spark, chunks):
     for plain, quick in ((search.structure_search(chunks, q, B, 5), search.structure_search(counted, q, B, 5, stored=stored)), (search.hybrid_search(chunks, q, B, 5), search.hybrid_search(counted, q, B, 5, stored))):
         columns = ["question_id", "rank", "chunk_ord", "score", "route"]
         assert sorted(map(str, plain.select(*columns).collect())) == sorted(map(str, quick.select(*columns).collect()))
+
+
+def moved_columns(frame) -> list[str]:
+    """What the exchanges of a plan carry."""
+    mode = frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    blocks = frame._jdf.queryExecution().explainString(mode).split("\n\n")
+    return [line for b in blocks if re.match(r"\(\d+\) (Broadcast)?Exchange", b.strip()) for line in b.splitlines() if line.startswith("Input")]
+
+
+def test_searches_move_no_texts_and_read_one_structure(spark, tmp_path):
+    """With broadcasts by size off, as large tables have it: only keys are exchanged, and the structure's rows are picked in the scan."""
+    pages = spark.createDataFrame([(i, f"d{i % 4}.pdf", i, f"caffeine and {TOKENS[i % 10]} {TOKENS[(i * 7) % 10]} theine") for i in range(40)], "page_ord long, source_doc string, page_number int, text string")
+    lexicon = spark.createDataFrame([("caffeine", "Cn1c(=O)c2c(ncn2C)n(C)c1=O"), ("theine", "CN1C=NC2=C1C(=O)N(C)C(=O)N2C")], "name string, smiles string")
+    path = str(tmp_path / "index")
+    build = index.build_index(pages, lexicon, folder=str(tmp_path / "staged"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not any("text#" in line for line in moved_columns(build.chunks))
+        write_index(build, path)
+        built = read_index(spark, path)
+        block = built.compounds.first().block
+        assert built.entities.where(F.size("names") == 2).count() == 40
+        q, past = asked(spark, "red stone", "its heat"), history(spark, ("user", "salt acid"), ("assistant", "heat light"))
+        more = {"stored": built.postings, "entities": built.entities}
+        found = [
+            bm25_search(built.chunks, q, 5, stored=built.postings, terms=built.terms), search.structure_search(built.chunks, q, block, 5, **more), search.hybrid_search(built.chunks, q, block, 5, built.postings, built.terms, built.entities),
+            search.conversation_hits(built.chunks, q, past, block, **more), search.compare_routes(built.chunks, q, block, 5, built.postings, built.terms, built.entities),
+        ]
+        for frame in found:
+            assert moved_columns(frame) and not any("text#" in line and ("chunk_ord#" in line or "source_doc#" in line) for line in moved_columns(frame))
+        plain = [bm25_search(built.chunks, q, 5), search.structure_search(built.chunks, q, block, 5), search.hybrid_search(built.chunks, q, block, 5), search.conversation_hits(built.chunks, q, past, block)]
+        columns = ["question_id", "rank", "chunk_ord", "score", "route"]
+        for quick, slow in zip(found, plain, strict=False):
+            assert sorted(map(str, quick.select(*columns).collect())) == sorted(map(str, slow.select(*columns).collect()))
+        scan = search.with_block(None, block, built.entities)._jdf.queryExecution().executedPlan().toString()
+        assert f"EqualTo(block,{block})" in scan and "blocks#" not in scan
+        read = found[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Relation \[[^\]]*tf#", read)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
