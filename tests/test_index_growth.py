@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.names import NameRules
-from lodestone.operators import index, names, rank
+from lodestone.operators import index, names, rank, search
 from lodestone.operators.chunking import chunk_pages
 
 TEXTS = [
@@ -47,6 +47,8 @@ def test_names_are_counted_and_written_back_as_they_are_found(spark, cut, most):
     found = names.candidate_names(cut, vocabulary, RULES)
     counted = names.name_frequencies(cut, vocabulary, RULES, most)
     assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in names.frequent_names(found, 1000).collect()}
+    held = names.names_found(cut, vocabulary, RULES, most)
+    assert sorted(map(str, held.collect())) == sorted(map(str, found.collect())) and ("Exchange" in plan(held)) == (most == 1)
     known = found.select("name").distinct().withColumn("block", F.left("name", F.lit(2)))
     columns = ["chunk_ord", "compounds", "blocks"]
     joined = index.annotated(cut, known, vocabulary, RULES, most=0)
@@ -61,3 +63,17 @@ def test_structure_postings_move_nothing(spark, cut):
     held = index.structure_postings(index.annotated(cut, known, vocabulary, RULES), known)
     assert "Exchange" not in plan(held)
     assert {(r.chunk_ord.page, r.block, tuple(r.names)) for r in held.collect() if r.chunk_ord.page == 0} == {(0, "A", ("ofthe",)), (0, "B", ("nicotinic acid",))}
+
+
+def test_a_text_that_many_ask_is_ranked_once(spark, monkeypatch):
+    rows = [((0, i), f"d{i % 3}", i, f"red stone {'salt ' * (i % 5)}", False, ["n"], ["B"]) for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_ord struct<part:int,page:int>, source_doc string, page_number int, text string, is_bibliography boolean, compounds array<string>, blocks array<string>")
+    questions = spark.createDataFrame([(i, q) for i, q in enumerate(["salt", "red salt", "salt", None, "salt"])], "question_id long, question string")
+    none = spark.createDataFrame([], "question_id long, turn long, role string, text string")
+    asked = []
+    scores = search.bm25_scores
+    monkeypatch.setattr(search, "bm25_scores", lambda scope, texts, **more: asked.append(texts.count()) or scores(scope, texts, **more))
+    hits = {}
+    for r in search.conversation_hits(chunks, questions, none, "B").orderBy("rank").collect():
+        hits.setdefault(r.question_id, []).append((r.chunk_ord, r.score, r.rank))
+    assert asked == [2] and len(hits) == 5 and hits[0] == hits[2] == hits[4] and hits[0][0][1] is not None and hits[3][0][1] is None
