@@ -6,10 +6,11 @@ in order of the groups, into the root of the dataset.
 1. Every leaf gets its coordinate: its position among its group's leaves, and their number.
 2. Blocks of 2 ** TIER consecutive nodes build TIER levels at once, and their tops are the nodes of the next tier. All
    nodes stand in materialised tables by (group, level, position).
-3. A leaf's proof is looked up by coordinates alone: position and group size say which siblings it needs. A leaf explodes
-   those of its own tier only, joins the node table and orders them; the siblings above are those of its block, which
-   the block's node looks up likewise, once for all leaves below. So a node is asked for by 2 ** (TIER - 1) rows at most,
-   where a lookup of all levels by every leaf would ask for the uppermost nodes half as often as there are rows.
+3. A leaf's siblings of its own tier stand in its block. Those above are the same for all leaves of the block, whose node
+   looks them up once, by coordinates alone: position and group size say which it needs. It explodes those of its own tier
+   only, joins the node table and orders them, and takes the others from its block's node in turn. So a node is asked for
+   by 2 ** (TIER - 1) rows at most, where a lookup of all levels by every leaf would ask for the uppermost nodes half as
+   often as there are rows.
 4. A row is verified by folding its digest with its siblings up to the root.
 """
 
@@ -33,7 +34,7 @@ _STEPS = "array<struct<level:int,left:boolean,digest:string>>"
 
 @dataclass
 class Manifest:
-    """``leaves`` has the columns of the input that were kept, group, idx, n and leaf; ``proofs`` group, idx, subroot and steps; ``root`` is null for a dataset without rows."""
+    """``leaves`` has the columns of the input that were kept, group, idx, n and leaf; ``proofs`` these without n, subroot and steps; ``root`` is null for a dataset without rows."""
 
     leaves: DataFrame
     proofs: DataFrame
@@ -96,12 +97,33 @@ def _tops(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [x.where(F.col("level") == depth(F.col("n"))) for x in levels]).select("group", "digest")
 
 
-def _lookups(levels: list[DataFrame], tiers: int, tier: int, above: DataFrame) -> DataFrame:
-    """(group, idx, subroot, steps) of every leaf; ``above`` has a group's subroot, and its steps from there on."""
+def _within_blocks(leaves: DataFrame, held: DataFrame, tier: int, kept: list[str]) -> DataFrame:
+    """(group, idx, leaf, kept columns, subroot, steps) of leaves; the siblings of their own tier stand in their block, and ``held`` has the steps above it."""
+    step = F.expr(f"shiftright(idx, {tier})").alias("block")
+    blocks = leaves.groupBy("group", step).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "leaf", *kept))).alias("held")).withColumn("level0", F.col("held.leaf"))
+    for k in range(1, tier):
+        blocks = blocks.withColumn(f"level{k}", _above(F.col(f"level{k - 1}")))
+    rows = blocks.join(held, ["group", "block"]).select("group", "n", "subroot", "steps", *[f"level{k}" for k in range(tier)], F.posexplode("held").alias("place", "item"))
+
+    def own(k: int) -> Column:
+        at = F.shiftright("place", k)
+        # a level that the whole group doesn't have gives no step; a last node has no sibling
+        return F.when(depth(F.col("n")) > k, F.struct(F.lit(k).alias("level"), (at % 2 == 1).alias("left"), F.get(F.col(f"level{k}"), at.bitwiseXOR(F.lit(1))).alias("digest")))
+
+    steps = F.concat(F.array_compact(F.array(*[own(k) for k in range(tier)])), F.col("steps"))
+    return rows.select("group", *[F.col(f"item.{c}").alias(c) for c in ("idx", "leaf", *kept)], "subroot", steps.alias("steps"))
+
+
+def _lookups(levels: list[DataFrame], tiers: int, tier: int, above: DataFrame, leaves: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``_within_blocks`` for all leaves, and the table behind them; ``above`` has a group's subroot, and its steps from there on."""
     parents = None
     for t in reversed(range(tiers)):
         low = t * tier
         items = levels[t].where((F.col("level") == low) & ((depth(F.col("n")) > low) | F.lit(t == 0))).select("group", "n", "idx")
+        ended = above.join(items.where((F.col("idx") == 0) & (depth(F.col("n")) <= low + tier)), "group", "left_semi").select("group", F.lit(0).cast("long").alias("block"), "subroot", "steps")
+        held = ended if parents is None else ended.unionByName(parents.withColumnRenamed("idx", "block"))
+        if t == 0:
+            break
         top = F.least(depth(F.col("n")), F.lit(low + tier))
         asked = items.where(top > low).select("group", "n", F.col("idx").alias("item"), F.explode(F.sequence(F.lit(low), top - 1)).alias("level"))
         place = F.expr(f"shiftright(item, level - {low})")
@@ -110,15 +132,16 @@ def _lookups(levels: list[DataFrame], tiers: int, tier: int, above: DataFrame) -
         nodes = levels[t].unionByName(levels[t + 1]).where((F.col("level") >= low) & (F.col("level") < low + tier)).select("group", "level", "idx", "digest")
         found = asked.join(nodes, ["group", "level", "idx"], "left")
         steps = found.groupBy("group", F.col("item").alias("idx")).agg(F.sort_array(F.collect_list(F.struct("level", (F.col("place") % 2 == 1).alias("left"), "digest"))).alias("own"))
-        ended = above.join(items.where((F.col("idx") == 0) & (depth(F.col("n")) <= low + tier)), "group", "left_semi").select("group", F.lit(0).cast("long").alias("block"), "subroot", "steps")
-        held = ended if parents is None else ended.unionByName(parents.withColumnRenamed("idx", "block"))
         whole = items.join(steps, ["group", "idx"], "left").withColumn("block", F.expr(f"shiftright(idx, {tier})")).join(held, ["group", "block"])
         own = F.coalesce(F.col("own"), F.expr(f"cast(array() as {_STEPS})"))
         whole = whole.select("group", "idx", "subroot", F.concat(own, F.col("steps")).alias("steps"))
         used, parents = parents, materialize(whole, "proofs")
         if used is not None:
             release(used)
-    return parents
+    behind = materialize(held, "held")
+    if parents is not None:
+        release(parents)
+    return _within_blocks(leaves, behind, tier, kept), behind
 
 
 def build(rows: DataFrame, key: str, group: str, leaf: Column, kept: list[Column] = (), tier: int = TIER) -> Manifest:
@@ -135,10 +158,10 @@ def build(rows: DataFrame, key: str, group: str, leaf: Column, kept: list[Column
     upper, more = _tree(subroots, tier)
     top = _tops(upper).first()
     ends = subroots.limit(1).select("group", F.lit(None).cast("string").alias("subroot"), F.expr(f"cast(array() as {_STEPS})").alias("steps"))
-    outer = _lookups(upper, more, tier, ends)
+    outer, behind = _lookups(upper, more, tier, ends, subroots, [])
     above = materialize(subroots.select("idx", F.col("name").alias("group"), F.col("leaf").alias("subroot")).join(outer.select("idx", "steps"), "idx").drop("idx"), "groups")
-    proofs = _lookups(levels, tiers, tier, above)
-    release(*levels[1:], *upper[1:], subroots, outer, above)
+    proofs, _ = _lookups(levels, tiers, tier, above, leaves, [c for c in leaves.columns if c not in ("group", "idx", "n", "leaf")])
+    release(*levels[1:], *upper[1:], subroots, behind, above)
     return Manifest(leaves, proofs, top and top["digest"])
 
 
@@ -162,7 +185,6 @@ def document_manifest(docs: DataFrame, tier: int = TIER) -> Manifest:
 
 def audited(manifest: Manifest) -> DataFrame:
     """One row for each leaf: its own digest, its proof's, and the root that its tampered or else its own digest folds to."""
-    held = manifest.leaves.join(manifest.proofs, ["group", "idx"])
     root = F.lit(manifest.root).cast("string")
-    rows = held.select(F.col("key").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.sha2(F.array_join(siblings(F.col("steps")), ""), 256).alias("proof_sha256"), folded(F.col("tampered"), F.col("steps")).alias("folded_root"))
+    rows = manifest.proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.sha2(F.array_join(siblings(F.col("steps")), ""), 256).alias("proof_sha256"), folded(F.col("tampered"), F.col("steps")).alias("folded_root"))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))

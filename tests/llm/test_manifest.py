@@ -106,3 +106,20 @@ def test_no_coordinate_is_asked_by_many(spark, monkeypatch):
     monkeypatch.setattr(manifest, "release", lambda *tables: None)
     got(spark, [(i, "s", "en", i, "t") for i in range(700)], tier=3)
     assert asked and max(r["count"] for a in asked for r in a.collect()) <= 4
+
+
+def test_leaves_ask_for_no_coordinates(spark, monkeypatch):
+    """A leaf's own siblings stand in its block, and its columns go along: no row of all leaves is looked up or joined back."""
+    asked, kind = [], type(spark.range(0))
+    join = kind.join
+
+    def seen(self, other, on=None, how=None):
+        asked.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", seen)
+    monkeypatch.setattr(manifest, "release", lambda *tables: None)
+    table = spark.createDataFrame([(i, "s", "en", i, "t", 1, "x", "y", 2, "z", 3, 4, "k") for i in range(500)], SCHEMA)
+    manifest.audited(manifest.document_manifest(table, 3))
+    # below the sort, which joins its tasks' offsets
+    assert [n for n in asked if n >= 500] == [500]
