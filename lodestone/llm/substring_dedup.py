@@ -35,7 +35,8 @@ from lodestone.llm.scratch import materialize
 from lodestone.llm.textarrays import groups, mix
 
 LENGTH = 100
-GRAM = 24
+#: Bytes that a pick is known by. With 24 of them prose repeats by chance, the more the larger the corpus.
+GRAM = 32
 #: Positions among which a stretch picks, and bytes in front of its pick at most.
 PICKS = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
@@ -46,7 +47,7 @@ ALIKE, BUCKET_RECORDS, BUCKET_STRETCHES, SORTED_RECORDS = 100_000, 40_000, 200_0
 SAMPLED_LEADS, GROUP_LEADS = 8, 64
 #: Rows that multikey quicksort hands over to a plain sort.
 FEW = 96
-_WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
 
 

@@ -90,3 +90,11 @@ def test_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, text), (4, text), (4, text), (9, text)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_removed) for r in substring_dedup.deduplicated(rows).collect())
     assert got == [(-1, 120), (4, 0), (4, 0), (9, 120)]
+
+
+def test_grams_tell_passages_that_share_24_bytes_apart():
+    """Texts that share no more than 24 bytes, as prose does by chance, have no pick in common."""
+    rng = np.random.default_rng(1)
+    shared = b"common words of prose 24"
+    keys = [set(substring_dedup.Picked([rng.integers(97, 123, 300, dtype=np.uint8).tobytes() + shared + rng.integers(97, 123, 300, dtype=np.uint8).tobytes()]).key.tolist()) for _ in range(60)]
+    assert len(shared) == 24 and sum(map(len, keys)) == len(set().union(*keys))
