@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions import tokens
 from lodestone.functions.names import NameRules
 from lodestone.operators import index, names, rank, search
 from lodestone.operators.chunking import chunk_pages
@@ -77,3 +79,30 @@ def test_a_text_that_many_ask_is_ranked_once(spark, monkeypatch):
     for r in search.conversation_hits(chunks, questions, none, "B").orderBy("rank").collect():
         hits.setdefault(r.question_id, []).append((r.chunk_ord, r.score, r.rank))
     assert asked == [2] and len(hits) == 5 and hits[0] == hits[2] == hits[4] and hits[0][0][1] is not None and hits[3][0][1] is None
+
+
+def test_postings_are_stored_as_lists(spark, cut):
+    """One row for a term of a slice and a kind of passages, so that what is written grows with lists, not rows; only a question's terms are unpacked."""
+    kinds = cut.withColumn("is_bibliography", F.col("chunk_ord.page") % 2 == 0)
+    lists = rank.posting_lists(kinds.coalesce(1))
+    rows = lists.collect()
+    assert len(rows) == len({(r.term, r.is_bibliography) for r in rows}) and {len(r.chunk_ord.page) for r in rows} > {1}
+    assert all(len(r.chunk_ord.page) == len(r.tf) == len(r.length) and r.df == (0 if r.is_bibliography else len(r.tf)) for r in rows)
+    held = sorted(map(str, rank.unpacked(lists).where("term in ('of', 'acid')").collect()))
+    picked = rank.postings_of(lists, spark.createDataFrame([("of",), ("acid",), ("nowhere",)], "term string"))
+    assert held and sorted(map(str, picked.collect())) == held
+    assert plan(picked).index("Generate") < plan(picked).index("BroadcastHashJoin")
+
+
+def test_sizes_and_reference_lists_are_those_of_the_expressions(spark):
+    texts = [*TEXTS, "\u212aELVIN \u0130STANBUL 12", "see DOI doi doi", "doi A.B.; C.; D.; E.; F.; G.,", "1. Smith, J. 22. O'Neil, K. 333. Li, M.", "1. a 2. b 3. c", "[CrossRef] [pubmed] [PubMed]"]
+    pages = spark.createDataFrame([(i, "d", i, t) for i, t in enumerate(texts)], "page_ord long, source_doc string, page_number long, text string")
+    rows = chunk_pages(pages, 50, 10, counted=True).select("n_tokens", F.size(T.tokenize(F.col("text"))).alias("n"), "is_bibliography", T.is_bibliography(F.col("text")).alias("b")).collect()
+    assert [(r.n_tokens, r.is_bibliography) for r in rows] == [(r.n, r.b) for r in rows] and sum(r.b for r in rows) == 4
+
+
+def test_ends_of_names_are_stripped_however_long(spark):
+    texts = ["(" * 40 + "acid" + ")" * 40 + " " + "'" * 30 + " [(x-1)], (a", "((((((((((((b]]]]]]]]]]]", "-a- (,) c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(T.name_tokens(F.col("text")).alias("t")).collect()
+    found = tokens.name_tokens(pa.array(texts))
+    assert [[found.words[c].decode() for c, t in zip(found.code, found.text, strict=True) if t == i] for i in range(len(texts))] == [r.t for r in rows]
