@@ -11,6 +11,7 @@ from lodestone.functions import tokens
 from lodestone.functions.names import NameRules
 from lodestone.operators import index, names, rank, search
 from lodestone.operators.chunking import chunk_pages
+from lodestone.plans import catalog
 
 TEXTS = [
     "of the nicotinic acid of-the [Nicotinic] acid, ofthe ((-)) of ( the acid", "", None, " \t\n", "a b c   d é\u0085f　g\x1ch​i᠎j", "(R)-of-the ofthe-x x-ofthe KELVIN K12 ẞİ ÉTÉ",
@@ -106,3 +107,18 @@ def test_ends_of_names_are_stripped_however_long(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(T.name_tokens(F.col("text")).alias("t")).collect()
     found = tokens.name_tokens(pa.array(texts))
     assert [[found.words[c].decode() for c, t in zip(found.code, found.text, strict=True) if t == i] for i in range(len(texts))] == [r.t for r in rows]
+
+
+@pytest.mark.parametrize("name", ["checked_retrieval", "build_context", "evidence_export"])
+def test_queries_of_one_structure_rank_by_stored_postings(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def asked(*args, **given):
+        raise Asked(given.get("stored"), given.get("entities"))
+
+    monkeypatch.setattr(catalog, "index_of", lambda *_: index.Index(spark.range(1), None, "entities", postings="postings"))
+    monkeypatch.setattr(search, "structure_search", asked)
+    with pytest.raises(Asked) as found:
+        catalog.QUERIES[name](spark, "")
+    assert found.value.args == ("postings", "entities")
