@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import tokens
 from lodestone.functions.names import NameRules
-from lodestone.operators import index, names, rank, search
+from lodestone.operators import coverage, index, names, rank, search
 from lodestone.operators.chunking import chunk_pages
 from lodestone.plans import catalog
 
@@ -122,3 +122,28 @@ def test_queries_of_one_structure_rank_by_stored_postings(spark, monkeypatch, na
     with pytest.raises(Asked) as found:
         catalog.QUERIES[name](spark, "")
     assert found.value.args == ("postings", "entities")
+
+
+@pytest.mark.parametrize("some", [["Caffeine", "red", "nowhere"], ["--"], []])
+def test_names_are_tried_where_texts_stand(spark, monkeypatch, some):
+    """No text is moved to meet the names' postings, and the rows are those of the join with them, which more names take."""
+    rows = [((0, i), "d", i, t, b) for i, (t, b) in enumerate([("red caffeine", ["B"]), ("REDS -- caf feine", ["B"]), ("Caffeine red-stone", []), ("plain", ["A"]), ("a--b red", ["A", "B"]), ("caffeines", ["B"])])]
+    chunks = spark.createDataFrame(rows, "chunk_ord struct<part:int,page:int>, source_doc string, page_number int, text string, blocks array<string>")
+    known = spark.createDataFrame([(n, "B") for n in some] + [("plain", "A")], "name string, block string")
+    stored = rank.postings(chunks)
+
+    def found():
+        return [coverage.name_counts(chunks, coverage.query_names(known, "B"), stored), coverage.unreachable(chunks, known, "B", stored=stored), coverage.reach_report(chunks, known, "B", "Plain", stored), coverage.set_difference(chunks, "red", "B", stored)]
+
+    scanned = found()
+    assert "Exchange" not in plan(scanned[1]) and not any("Join" in plan(frame) for frame in scanned[1:])
+    monkeypatch.setattr(coverage, "NAMES_IN_SCAN", -1)
+    joined = found()
+    assert "Join" in plan(joined[3])
+    assert [sorted(map(str, frame.collect())) for frame in scanned] == [sorted(map(str, frame.collect())) for frame in joined]
+    assert [frame.dtypes for frame in scanned] == [frame.dtypes for frame in joined]
+
+
+def test_a_name_counts_in_any_case_also_where_lower_case_keeps_a_letter(spark):
+    chunks = spark.createDataFrame([((0, 1), "a re\u017fin")], "chunk_ord struct<part:int,page:int>, text string")
+    assert coverage.name_counts(chunks, spark.createDataFrame([("resin",)], "name string"), rank.postings(chunks)).first().n_chunks == 1
