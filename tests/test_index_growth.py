@@ -147,3 +147,15 @@ def test_names_are_tried_where_texts_stand(spark, monkeypatch, some):
 def test_a_name_counts_in_any_case_also_where_lower_case_keeps_a_letter(spark):
     chunks = spark.createDataFrame([((0, 1), "a re\u017fin")], "chunk_ord struct<part:int,page:int>, text string")
     assert coverage.name_counts(chunks, spark.createDataFrame([("resin",)], "name string"), rank.postings(chunks)).first().n_chunks == 1
+
+
+def test_terms_reach_the_scan_of_stored_postings(spark, cut, tmp_path):
+    rank.posting_lists(cut).write.parquet(str(tmp_path / "postings"))
+    stored = spark.read.parquet(str(tmp_path / "postings"))
+    for n in (2, rank.NAMED_TERMS, rank.NAMED_TERMS + 1):
+        wanted = spark.createDataFrame([("of",), (None,)] + [(f"t{i}",) for i in range(1, n)], "term string")
+        picked = rank.postings_of(stored, wanted)
+        assert n > 2 or "EqualTo(term," in plan(picked)
+        assert ("t1)" in picked._jdf.queryExecution().optimizedPlan().toString()) == (n <= rank.NAMED_TERMS)
+        assert sorted(map(str, picked.collect())) == sorted(map(str, rank.unpacked(stored).where("term = 'of'").collect())) != []
+    assert rank.postings_of(stored, wanted.limit(0)).count() == 0
