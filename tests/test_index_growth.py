@@ -159,3 +159,12 @@ def test_terms_reach_the_scan_of_stored_postings(spark, cut, tmp_path):
         assert ("t1)" in picked._jdf.queryExecution().optimizedPlan().toString()) == (n <= rank.NAMED_TERMS)
         assert sorted(map(str, picked.collect())) == sorted(map(str, rank.unpacked(stored).where("term = 'of'").collect())) != []
     assert rank.postings_of(stored, wanted.limit(0)).count() == 0
+
+
+def test_hits_of_pages_are_not_ranked_to_be_counted(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(catalog, "index_of", lambda *_: index.Index(None, None, None))
+    monkeypatch.setattr(search, "structure_search", lambda *_, **__: None)
+    monkeypatch.setattr(search, "expand_source_pages", lambda hits, chunks, few=None: given.append(few) or spark.createDataFrame([], "rank int, source_doc string, page_number long, text string, anchor_text string, context_scope string, context_chunks int"))
+    catalog.QUERIES["page_expansion"](spark, "")
+    assert given == [True]
