@@ -11,7 +11,7 @@ from lodestone.functions import tokens
 from lodestone.functions.names import NameRules
 from lodestone.operators import coverage, index, names, rank, search
 from lodestone.operators.chunking import chunk_pages
-from lodestone.plans import catalog
+from lodestone.plans import catalog, fixtures
 
 TEXTS = [
     "of the nicotinic acid of-the [Nicotinic] acid, ofthe ((-)) of ( the acid", "", None, " \t\n", "a b c   d é\u0085f　g\x1ch​i᠎j", "(R)-of-the ofthe-x x-ofthe KELVIN K12 ẞİ ÉTÉ",
@@ -168,3 +168,13 @@ def test_hits_of_pages_are_not_ranked_to_be_counted(spark, monkeypatch):
     monkeypatch.setattr(search, "expand_source_pages", lambda hits, chunks, few=None: given.append(few) or spark.createDataFrame([], "rank int, source_doc string, page_number long, text string, anchor_text string, context_scope string, context_chunks int"))
     catalog.QUERIES["page_expansion"](spark, "")
     assert given == [True]
+
+
+def test_literal_candidates_are_found_where_texts_stand(spark):
+    """No token is a row, and the names are those of the rules one by one."""
+    sf_dir = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["candidate_literal"](spark, sf_dir)
+    assert "Generate" not in plan(found) and "Join" not in plan(found)
+    vocabulary = spark.createDataFrame([(v,) for v in fixtures.VOCABULARY], "name string")
+    want = names.candidate_names(catalog.name_texts(spark, sf_dir), vocabulary).select(*catalog.place(), "name")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) != []
