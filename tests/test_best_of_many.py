@@ -47,3 +47,20 @@ def test_many_questions_make_no_rows_of_pairs(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(search, "bm25_scores", None)
     assert wanted and rows_of(search.conversation_hits(chunks, questions, past, "KEY").select(*columns)) == wanted
+
+
+def test_questions_go_to_passages_that_stay(spark, monkeypatch):
+    """Without stored postings the rows are those of the join, for any number of slices, and only the best leave the scan."""
+    chunks, questions = passages(spark), asked(spark, 40)
+    columns = ["question_id", "rank", "chunk_ord", "score"]
+    wanted = [rows_of(top_ranked(bm25_scores(chunks, questions, refs), 4)) for refs in (True, False)]
+    monkeypatch.setattr(rank, "bm25_scores", None)
+    found = rank.bm25_search(chunks, questions, 4)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(found.select(*columns)) == wanted[0] and rows_of(rank.bm25_search(chunks, questions, 4, drop_references=False).select(*columns)) == wanted[1]
+    monkeypatch.setattr(rank.A, "WIDE_SLICE_BYTES", 200)
+    assert rows_of(rank.bm25_search(chunks, questions, 4).select(*columns)) == wanted[0]
+    assert rows_of(rank.bm25_search(chunks, questions.where("question_id > 39"), 4).select(*columns)) == rows_of(rank.bm25_search(chunks.where("false"), questions, 4).select(*columns)) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(rank, "SENT_TERMS", 3)
+    assert rank.best_in_place(chunks, questions, 4) is None and rows_of(rank.bm25_search(chunks, questions, 4).select(*columns)) == wanted[0]
