@@ -178,3 +178,13 @@ def test_literal_candidates_are_found_where_texts_stand(spark):
     vocabulary = spark.createDataFrame([(v,) for v in fixtures.VOCABULARY], "name string")
     want = names.candidate_names(catalog.name_texts(spark, sf_dir), vocabulary).select(*catalog.place(), "name")
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_words_that_are_no_names_are_left_out_where_they_stand(spark):
+    words = ["paracetamol", "n-xyz", "3-methoxyaniline", "water", "ine", "plain", "aqweine", "x-1,2-y", "methylphen", "k12-3", "machine", "chlorobenzoates", "o-1", "s-abc1"]
+    chunks = spark.createDataFrame([((0, 1), " ".join(words))], "chunk_ord struct<part:int,page:int>, text string")
+    vocabulary = spark.createDataFrame([("x",)], "name string")
+    found, want = names.names_found(chunks, vocabulary), names.candidate_names(chunks, vocabulary)
+    assert sorted(r.name for r in found.collect()) == sorted(r.name for r in want.collect()) and found.count() > 4
+    may = names._may_be_names(pa.array([w.encode() for w in words], pa.large_binary()), NameRules())
+    assert [w for w, m in zip(words, may, strict=True) if not m] == ["ine", "plain", "o-1"]
