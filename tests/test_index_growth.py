@@ -12,6 +12,7 @@ from lodestone.functions.names import NameRules
 from lodestone.operators import coverage, index, names, rank, search
 from lodestone.operators.chunking import chunk_pages
 from lodestone.plans import catalog, fixtures
+from lodestone.plans.oracle import ORACLE
 
 TEXTS = [
     "of the nicotinic acid of-the [Nicotinic] acid, ofthe ((-)) of ( the acid", "", None, " \t\n", "a b c   d é\u0085f　g\x1ch​i᠎j", "(R)-of-the ofthe-x x-ofthe KELVIN K12 ẞİ ÉTÉ",
@@ -180,6 +181,34 @@ def test_literal_candidates_are_found_where_texts_stand(spark):
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) != []
 
 
+def test_no_name_is_too_rare_for_the_index(spark):
+    """A structure's name behind 500 more frequent ones is found; a caller may still ask for the most frequent alone."""
+    words = " ".join(f"w{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}ine" for i in range(520))
+    pages = spark.createDataFrame([(0, "d", 0, words), (1, "d", 1, words), (2, "d", 2, "a zzcaffeine")], "page_ord long, source_doc string, page_number long, text string")
+    lexicon = spark.createDataFrame([("zzcaffeine", "Cn1c(=O)c2c(ncn2C)n(C)c1=O")], "name string, smiles string")
+    built = index.build_index(pages, lexicon)
+    assert [r.name for r in built.compounds.collect()] == ["zzcaffeine"] and built.chunks.where("size(blocks) > 0").count() == 1
+    assert built.frequencies.count() == 521 and index.build_index(pages, lexicon, max_candidates=500).compounds.count() == 0
+
+
+@pytest.mark.parametrize("name", ["chat_messages"])
+def test_queries_of_the_whole_index(monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def asked(spark, sf_dir, most=500):
+        raise Asked(most)
+
+    monkeypatch.setattr(catalog, "index_of", asked)
+    monkeypatch.setattr(catalog, "conversation_turns", lambda *_: (None, None))
+    monkeypatch.setattr(catalog.X, "lexicon", lambda *_: fixtures)
+    monkeypatch.setattr(fixtures, "unionByName", lambda _: None, raising=False)
+    monkeypatch.setattr(catalog.X, "frame", lambda *_: None)
+    with pytest.raises(Asked) as found:
+        catalog.QUERIES[name](None, "")
+    assert found.value.args == (None,) and f"limit {fixtures.MAX_CANDIDATES}" not in ORACLE[name]
+
+
 def test_words_that_are_no_names_are_left_out_where_they_stand(spark):
     words = ["paracetamol", "n-xyz", "3-methoxyaniline", "water", "ine", "plain", "aqweine", "x-1,2-y", "methylphen", "k12-3", "machine", "chlorobenzoates", "o-1", "s-abc1"]
     chunks = spark.createDataFrame([((0, 1), " ".join(words))], "chunk_ord struct<part:int,page:int>, text string")
