@@ -191,7 +191,7 @@ def test_no_name_is_too_rare_for_the_index(spark):
     assert built.frequencies.count() == 521 and index.build_index(pages, lexicon, max_candidates=500).compounds.count() == 0
 
 
-@pytest.mark.parametrize("name", ["chat_messages", "evidence_export", "index_totals", "scoped_documents_search", "set_difference", "structure_filter"])
+@pytest.mark.parametrize("name", ["attach_tables", "chat_messages", "evidence_export", "index_totals", "scoped_documents_search", "set_difference", "structure_filter"])
 def test_queries_of_the_whole_index(monkeypatch, name):
     class Asked(Exception):
         pass
