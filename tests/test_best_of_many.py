@@ -64,3 +64,9 @@ def test_questions_go_to_passages_that_stay(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(rank, "SENT_TERMS", 3)
     assert rank.best_in_place(chunks, questions, 4) is None and rows_of(rank.bm25_search(chunks, questions, 4).select(*columns)) == wanted[0]
+
+
+def test_many_questions_move_texts_few_times():
+    """At 3 million passages and 250,000 questions a text is moved 4 times, a question and its best 75 times; few questions are still dealt to all cores."""
+    assert rank.cells_of(3_000_000, 250_000, 12) == (75, 4)
+    assert rank.cells_of(3_000_000, 30_000, 12) == (75, 1) and rank.cells_of(10_000, 5_000, 8) == (1, 10) and rank.cells_of(0, 0, 8) == (1, 1)
